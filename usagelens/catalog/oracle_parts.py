@@ -86,12 +86,19 @@ chats AS (
   FROM texts)"""
 
 
+_ACCENTED = "ÄÇÈÉÊÍÑÓÖÜßäçèéêíñóöü"
+
+
 def _detector_sql(d: config.Detector) -> str:
     pattern = d.pattern.replace("'", "''")
+    # Word breaks of the statement's regex engine know ASCII letters only: for patterns
+    # of digits, accented letters become an underscore, which is a word character too.
+    text = f"translate(user_text, '{_ACCENTED}', '{'_' * len(_ACCENTED)}')" if d.name in (
+        "ip_address", "phone_number") else "user_text"
     return (f"SELECT chat_id, ts, '{d.analyzer}' AS analyzer, '{d.name}' AS pattern, '{d.category}' AS category, "
-            f"'{d.severity}' AS severity, '{d.title}' AS title, {d.confidence} AS confidence, "
-            f"regexp_extract_all(user_text, '{pattern}', 0) AS ms, regexp_extract_all(user_text, '{pattern}', {d.group}) AS gs, "
-            f"string_split_regex(user_text, '{pattern}') AS ps, user_text FROM chats")
+            f"'{d.severity}' AS severity, '{d.title}' AS title, CAST({d.confidence} AS DOUBLE) AS confidence, "
+            f"regexp_extract_all({text}, '{pattern}', 0) AS ms, regexp_extract_all({text}, '{pattern}', {d.group}) AS gs, "
+            f"string_split_regex({text}, '{pattern}') AS ps, user_text FROM chats")
 
 
 FINDINGS = CHATS + """,
