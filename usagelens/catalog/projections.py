@@ -75,7 +75,14 @@ _MENTION = """
 
 def chats(spark: SparkSession, folder: str) -> DataFrame:
     """Messages from `documents`, with cleaned text and hash."""
-    rows = table(spark, folder, "documents").selectExpr("*", "CAST(substr(source, 4) AS INT) % 4 AS _n").selectExpr(
+    cleaned = spread(message_columns(table(spark, folder, "documents"))).withColumn(
+        "user_text_clean", clean_user_text(F.col("user_text")))
+    return cleaned.withColumn("user_text_hash", content_hash(F.col("user_text_clean")))
+
+
+def message_columns(documents: DataFrame) -> DataFrame:
+    """Works on static and streaming `documents` alike."""
+    return documents.selectExpr("*", "CAST(substr(source, 4) AS INT) % 4 AS _n").selectExpr(
         "doc_id AS chat_id", "concat(source, '.json') AS source_file", "'json' AS source_format",
         "CASE _n WHEN 0 THEN 'chatgpt' WHEN 1 THEN 'claude_code' WHEN 2 THEN 'gemini' ELSE 'mistral' END AS provider",
         "concat('conv-', doc_id DIV 4) AS conversation_key",
@@ -89,8 +96,6 @@ def chats(spark: SparkSession, folder: str) -> DataFrame:
         "CASE WHEN doc_id % 4 = 3 THEN 'model' ELSE 'user' END AS role", "lang AS language",
         f"concat(text, {_MENTION}, {_LEAK}) AS user_text").withColumn(
         "message_timestamp", F.col("conversation_timestamp"))
-    cleaned = spread(rows).withColumn("user_text_clean", clean_user_text(F.col("user_text")))
-    return cleaned.withColumn("user_text_hash", content_hash(F.col("user_text_clean")))
 
 
 COMPANY_RULES = RuleConfig(

@@ -1 +1,89 @@
+"""Streams run over all available input (`availableNow`), compared with batch SQL.
 
+In append mode a window is written once the watermark (newest event minus the
+allowed delay) has passed its end; the statements apply the same condition.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from usagelens.catalog import projections as p
+from usagelens.catalog.oracle_parts import FINDINGS, USAGE
+from usagelens.catalog.registry import query
+from usagelens.plans.jobs import Store, analysis_cycle
+from usagelens.session import scratch_path
+from usagelens.streaming import streams
+
+_U = f"WITH {USAGE}, top AS (SELECT max(usage_start) AS newest FROM usage) "
+
+
+def _usage_stream(spark, folder):
+    return p.usage_columns(streams.file_stream(spark, folder, "events.parquet"))
+
+
+@query("daily_stream", _U + """SELECT strftime(date_trunc('day', usage_start), '%Y-%m-%d %H:%M:%S') AS window_start, department_id,
+  count(*) AS events, CAST(sum(token_count) AS BIGINT) AS tokens, round(sum(cost), 2) AS cost FROM usage, top
+  WHERE date_trunc('day', usage_start) + INTERVAL 1 DAY <= newest - INTERVAL 1 HOUR GROUP BY 1, 2""")
+def daily_stream(spark, folder):
+    out = streams.run_available(streams.daily_usage(_usage_stream(spark, folder)), "daily")
+    return out.drop("window_end")
+
+
+@query("usage_sessions", _U + """, g AS (SELECT *, CASE WHEN usage_start - lag(usage_start) OVER (PARTITION BY user_id_hash ORDER BY usage_start)
+    <= INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM usage),
+  s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id_hash ORDER BY usage_start) AS n FROM g)
+  SELECT user_id_hash, strftime(min(usage_start), '%Y-%m-%d %H:%M:%S') AS session_start, count(*) AS events,
+    CAST(sum(token_count) AS BIGINT) AS tokens FROM s, top GROUP BY user_id_hash, n, newest
+  HAVING max(usage_start) + INTERVAL 6 HOUR <= newest - INTERVAL 1 HOUR""")
+def usage_sessions(spark, folder):
+    out = streams.run_available(streams.usage_sessions(_usage_stream(spark, folder), "6 hours"), "sessions")
+    return out.drop("session_end")
+
+
+@query("rate_limit_breaches", _U + """, w AS (SELECT user_id_hash, time_bucket(INTERVAL 10 MINUTE, usage_start) - to_minutes(10 * k) AS start
+    FROM usage, (SELECT unnest([0, 1, 2, 3, 4, 5]) AS k))
+  SELECT user_id_hash, strftime(start, '%Y-%m-%d %H:%M:%S') AS window_start, count(*) AS requests FROM w, top
+  WHERE start + INTERVAL 1 HOUR <= newest - INTERVAL 1 MINUTE GROUP BY 1, 2 HAVING count(*) > 2""")
+def rate_limit_breaches(spark, folder):
+    found = streams.rate_limit_breaches(_usage_stream(spark, folder), 2, "60 minutes", "10 minutes")
+    return streams.run_available(found, "rate").drop("window_end")
+
+
+@query("distinct_stream", f"WITH {USAGE} SELECT tool_name, count(*) AS events, round(sum(cost), 2) AS cost FROM usage GROUP BY 1")
+def distinct_stream(spark, folder):
+    """Every event delivered twice, counted once."""
+    doubled = _usage_stream(spark, folder).withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2))))
+    out = streams.run_available(streams.distinct_events(doubled), "distinct")
+    return out.groupBy("tool_name").agg(F.count("*").alias("events"), F.round(F.sum("cost"), 2).alias("cost"))
+
+
+@query("alert_stream", f"WITH {FINDINGS} SELECT finding_id, analyzer, pattern, severity FROM findings WHERE severity IN ('critical', 'high')")
+def alert_stream(spark, folder):
+    messages = p.message_columns(streams.file_stream(spark, folder, "documents.parquet"))
+    return streams.run_available(streams.alert_stream(messages), "alerts").select(
+        "finding_id", "analyzer", "pattern", "severity")
+
+
+@query("analysis_stream", f"""WITH {FINDINGS} SELECT analyzer, count(*) AS finding_count, count(DISTINCT f.chat_id) AS messages
+  FROM findings f JOIN chats c USING (chat_id) WHERE c.author = 'user' GROUP BY 1""")
+def analysis_stream(spark, folder):
+    """Cycles over a message stream, then once more over everything: the repeat adds nothing."""
+    store = Store(spark, scratch_path(spark, "store"))
+    as_of = F.lit(p.AS_OF).cast("timestamp")
+    messages = p.message_columns(streams.file_stream(spark, folder, "documents.parquet"))
+    streams.analysis_stream(messages, store, scratch_path(spark, "cycle"), as_of).awaitTermination()
+    analysis_cycle(store, p.message_columns(p.table(spark, folder, "documents")), "again", as_of)
+    return store.table("findings").read().groupBy("analyzer").agg(
+        F.count("*").alias("finding_count"), F.countDistinct("chat_id").alias("messages"))
+
+
+@query("event_feed", "SELECT event_id AS id, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 25")
+def event_feed(spark, folder):
+    """The last 25 events of a stream, each once."""
+    events = streams.file_stream(spark, folder, "events.parquet").selectExpr(
+        "CAST(event_id AS BIGINT) AS id", "event_type", "CAST(ts AS TIMESTAMP) AS ts")
+    store = Store(spark, scratch_path(spark, "feed"))
+    table = store.table("feed", "id BIGINT, event_type STRING, ts TIMESTAMP")
+    streams.feed_sink(events, table, 25, ["ts", "id"], scratch_path(spark, "feed-checkpoint")).awaitTermination()
+    return table.read().select("id", "event_type")

@@ -7,7 +7,6 @@ the batch at the same time.
 
 from __future__ import annotations
 
-import re
 import sys
 
 import numpy as np
@@ -20,8 +19,6 @@ from pyspark.sql import functions as F
 # no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-_DELIMITERS = re.compile(r"[-_.\s]+")
-
 
 def tokenize(name: Column) -> Column:
     """Lower-case word parts of a package name."""
@@ -67,40 +64,6 @@ def _code_points(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return grid.view(np.uint32).reshape(len(words), width), lengths
 
 
-def fuzzy_jaccard_batch(left: list[str], right: list[str], threshold: int = 1) -> np.ndarray:
-    """Fuzzy Jaccard of token lists: tokens match within `threshold` edits."""
-    tokens_a = [[t for t in _DELIMITERS.split(n.lower()) if t] for n in left]
-    tokens_b = [[t for t in _DELIMITERS.split(n.lower()) if t] for n in right]
-    owner, xs, ys, slot_a, slot_b = [], [], [], [], []
-    base_a = base_b = 0
-    for i, (ta, tb) in enumerate(zip(tokens_a, tokens_b)):
-        for p, x in enumerate(ta):
-            for q, y in enumerate(tb):
-                owner.append(i)
-                xs.append(x)
-                ys.append(y)
-                slot_a.append(base_a + p)
-                slot_b.append(base_b + q)
-        base_a += len(ta)
-        base_b += len(tb)
-    size_a = np.array([len(t) for t in tokens_a], dtype=np.float64)
-    size_b = np.array([len(t) for t in tokens_b], dtype=np.float64)
-    hits = np.zeros(len(left))
-    if owner:
-        near = osa_batch(xs, ys) <= threshold
-        of_a = np.repeat(np.arange(len(left)), size_a.astype(int))
-        of_b = np.repeat(np.arange(len(left)), size_b.astype(int))
-        matched_a = np.bincount(np.array(slot_a)[near], minlength=base_a) > 0
-        matched_b = np.bincount(np.array(slot_b)[near], minlength=base_b) > 0
-        hits = (np.bincount(of_a, weights=matched_a, minlength=len(left))
-                + np.bincount(of_b, weights=matched_b, minlength=len(left))) / 2.0
-    union = size_a + size_b - hits
-    with np.errstate(divide="ignore", invalid="ignore"):
-        value = np.where(union > 0, hits / union, 1.0)
-    value = np.where((size_a == 0) != (size_b == 0), 0.0, value)
-    return np.where((size_a == 0) & (size_b == 0), 1.0, value)
-
-
 def osa_distance():
     """Arrow function (string, string) -> int: optimal-string-alignment distance."""
 
@@ -111,14 +74,38 @@ def osa_distance():
     return osa
 
 
-def fuzzy_jaccard():
-    """Arrow function (string, string) -> double: fuzzy Jaccard similarity."""
+def within_one_edit(a: Column, b: Column) -> Column:
+    """Whether the alignment distance is at most 1, with built-in functions only.
+
+    That is a plain distance of at most 1, or one swap of neighbours: a plain
+    distance of 2 between equally long texts.
+    """
+    swapped = F.exists(
+        F.sequence(F.lit(1), F.greatest(F.length(a) - 1, F.lit(1))),
+        lambda i: F.concat(F.substring(a, 1, i - 1), F.substring(a, i + 1, F.lit(1)), F.substring(a, i, F.lit(1)),
+                           F.substring(a, i + 2, F.length(a))) == b)
+    plain = F.levenshtein(a, b, 2)
+    return F.when(F.abs(F.length(a) - F.length(b)) > 1, False).when(plain.isin(0, 1), True).otherwise(
+        (plain == 2) & (F.length(a) == F.length(b)) & swapped)
+
 
-    @F.pandas_udf("double")
-    def jaccard(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series(fuzzy_jaccard_batch(a.tolist(), b.tolist()), dtype="float64")
+def with_fuzzy_jaccard(pairs: DataFrame, tokens_a: str, tokens_b: str, name: str = "jaccard") -> DataFrame:
+    """Add the fuzzy Jaccard of two token arrays: tokens match within one edit.
 
-    return jaccard
+    The intersection is the mean of both directions. The two counts come out of
+    a generator, so that they are worked out once per pair however often the
+    similarity is used afterwards.
+    """
+    a, b = F.col(tokens_a), F.col(tokens_b)
+    counts = F.struct(
+        F.size(F.filter(a, lambda x: F.exists(b, lambda y: within_one_edit(x, y)))).alias("_from_a"),
+        F.size(F.filter(b, lambda y: F.exists(a, lambda x: within_one_edit(x, y)))).alias("_from_b"))
+    counted = pairs.select("*", F.size(a).alias("_size_a"), F.size(b).alias("_size_b"), F.inline(F.array(counts)))
+    hits = (F.col("_from_a") + F.col("_from_b")) / 2.0
+    union = F.col("_size_a") + F.col("_size_b") - hits
+    empty_a, empty_b = F.col("_size_a") == 0, F.col("_size_b") == 0
+    value = (F.when(empty_a & empty_b, 1.0).when(empty_a | empty_b, 0.0).when(union <= 0, 1.0).otherwise(hits / union))
+    return counted.withColumn(name, value).drop("_size_a", "_size_b", "_from_a", "_from_b")
 
 
 def deletion_keys(text: Column, edits: int) -> Column:
@@ -158,7 +145,11 @@ def ngram_cosine(pairs: DataFrame, keys: list[str], text_a: str, text_b: str, n:
     long = pairs.select(*keys, F.explode(F.array(
         F.struct(F.lit(0).alias("side"), F.col(text_a).alias("text")),
         F.struct(F.lit(1).alias("side"), F.col(text_b).alias("text")))).alias("s"))
-    grams = long.select(*keys, "s.side", F.explode(_split_grams(F.col("s.text"), size)).alias("gram"))
+    # Cut each text into characters once; a gram is then a slice, wherever it lies.
+    cut = long.select(*keys, "s.side", F.split("s.text", "").alias("_chars"), F.length("s.text").alias("_n"))
+    places = cut.select("*", F.explode(F.sequence(F.lit(1), F.greatest(
+        F.col("_n") - (size - 1), F.lit(1)))).alias("_i"))
+    grams = places.select(*keys, "side", F.array_join(F.slice("_chars", F.col("_i"), F.lit(size)), "").alias("gram"))
     counts = grams.groupBy(*keys, "gram").agg(
         F.count_if(F.col("side") == 0).cast("double").alias("x"),
         F.count_if(F.col("side") == 1).cast("double").alias("y"))
@@ -169,11 +160,3 @@ def ngram_cosine(pairs: DataFrame, keys: list[str], text_a: str, text_b: str, n:
     norm = F.sqrt("xx") * F.sqrt("yy")
     return sums.select(*keys, F.when(norm == 0, F.lit(0.0)).otherwise(
         F.round(F.col("dot") / norm, 3)).alias("similarity"))
-
-
-def _split_grams(text: Column, n: int) -> Column:
-    """As `char_ngrams`, in time linear in the text: cut once into characters, then slice."""
-    characters = F.split(text, "")
-    return F.when(F.length(text) < n, F.array(text)).otherwise(
-        F.transform(F.sequence(F.lit(1), F.length(text) - (n - 1)),
-                    lambda i: F.array_join(F.slice(characters, i, n), "")))

@@ -28,39 +28,35 @@ def _gated_matches(detector: Detector, text: Column, lower: Column) -> Column:
     return F.when(reduce(lambda a, b: a & b, gates), matches) if gates else matches
 
 
-def running_sums(lengths: Column) -> Column:
-    """Sums of all earlier elements, per position (first is 0).
-
-    Sums are taken over blocks, so the work stays far below quadratic for
-    texts with many matches.
-    """
-    count = F.size(lengths)
-    blocks = F.transform(
-        F.sequence(F.lit(0), F.floor((count - 1) / _BLOCK).cast("int")),
-        lambda b: F.aggregate(F.slice(lengths, b * _BLOCK + 1, F.lit(_BLOCK)), F.lit(0), lambda s, v: s + v))
-    starts = F.transform(
-        F.sequence(F.lit(0), F.size(blocks) - 1),
-        lambda b: F.aggregate(F.slice(blocks, F.lit(1), b), F.lit(0), lambda s, v: s + v))
-    return F.transform(
-        F.sequence(F.lit(0), count - 1),
-        lambda i: F.element_at(starts, F.floor(i / _BLOCK).cast("int") + 1) + F.aggregate(
-            F.slice(lengths, F.floor(i / _BLOCK).cast("int") * _BLOCK + 1, i % _BLOCK),
-            F.lit(0), lambda s, v: s + v))
-
-
-def with_positions(hits: DataFrame, text: str, pattern: str, matches: str = "matches") -> DataFrame:
-    """Add `offsets`: the zero-based start of each element of `matches`.
+def explode_matches(hits: DataFrame, text: str, pattern: str, keep: list[str], values: Column | None = None) -> DataFrame:
+    """One row per element of `matches`: the kept columns, `start`, `match` and `value`.
 
     `pattern` names the column that holds the expression. The text between
     matches is what `split` leaves, so a match starts after all pieces up to
-    its own and all earlier matches. Patterns must not match the empty string.
+    its own and all earlier matches. Sums run over blocks of matches, so the
+    work stays far below quadratic for texts with very many of them. Patterns
+    must not match the empty string.
     """
     pieces = F.expr(f"split(`{text}`, `{pattern}`, -1)")
-    hits = hits.withColumn("_gaps", F.transform(F.slice(pieces, 1, F.size(matches)), F.length))
+    hits = hits.withColumn("_value", values if values is not None else F.col("matches"))
+    hits = hits.withColumn("_gaps", F.transform(F.slice(pieces, F.lit(1), F.size("matches")), F.length))
     hits = hits.withColumn("_spans", F.zip_with(
-        "_gaps", F.transform(F.col(matches), F.length), lambda g, m: g + m))
-    return hits.withColumn("offsets", F.zip_with(
-        running_sums(F.col("_spans")), "_gaps", lambda s, g: s + g)).drop("_gaps", "_spans")
+        "_gaps", F.transform("matches", F.length), lambda gap, length: gap + length))
+    last_block = F.floor((F.size("_spans") - 1) / _BLOCK).cast("int")
+    hits = hits.withColumn("_blocks", F.transform(
+        F.sequence(F.lit(0), last_block), lambda b: _total(F.slice("_spans", b * _BLOCK + 1, F.lit(_BLOCK)))))
+    hits = hits.withColumn("_starts", F.transform(
+        F.sequence(F.lit(0), F.size("_blocks") - 1), lambda b: _total(F.slice("_blocks", F.lit(1), b))))
+    rows = hits.select(*keep, "_spans", "_gaps", "_starts", F.posexplode(F.arrays_zip(
+        F.col("matches").alias("match"), F.col("_value").alias("value"))).alias("_at", "_m"))
+    block = F.floor(F.col("_at") / _BLOCK).cast("int")
+    start = F.element_at("_starts", block + 1) + _total(
+        F.slice("_spans", block * _BLOCK + 1, F.col("_at") % _BLOCK)) + F.element_at("_gaps", F.col("_at") + 1)
+    return rows.select(*keep, start.alias("start"), "_m.match", "_m.value")
+
+
+def _total(numbers: Column) -> Column:
+    return F.aggregate(numbers, F.lit(0), lambda s, v: s + v)
 
 
 def context(text: Column, start: Column, length: Column, padding: int = 80) -> Column:
@@ -90,25 +86,20 @@ def detect(messages: DataFrame, id_col: str = "chat_id", text_col: str = "user_t
             _gated_matches(d, F.col("_text"), F.col("_lower")).alias("matches"))
         for d in detectors])
     hits = base.select(*carried, "_text", F.inline(F.filter(found, lambda h: F.size(h["matches"]) > 0)))
-    hits = with_positions(hits, "_text", "_regex")
-    hits = hits.withColumn(
-        "_shown", F.when(F.col("_group") == 0, F.col("matches")).otherwise(
-            F.expr("regexp_extract_all(_text, _regex, 1)")))
-    rows = hits.select(
-        *carried, "_text", "analyzer", "pattern", "category", "severity", "title", "confidence",
-        F.inline(F.arrays_zip(F.col("offsets").alias("start"), F.col("matches").alias("_match"),
-                              F.col("_shown").alias("_value"))))
+    shown = F.when(F.col("_group") == 0, F.col("matches")).otherwise(F.expr("regexp_extract_all(_text, _regex, 1)"))
+    rows = explode_matches(hits, "_text", "_regex", [
+        *carried, "_text", "analyzer", "pattern", "category", "severity", "title", "confidence"], shown)
     package = F.col("analyzer") == "slopsquatting"
     return rows.select(
         F.sha1(F.concat_ws("|", F.col(id_col).cast("string"), "analyzer", "pattern",
-                           F.col("start").cast("string"), "_match")).alias("finding_id"),
+                           F.col("start").cast("string"), "match")).alias("finding_id"),
         F.lit(run_id).cast("string").alias("run_id"),
         *carried, "analyzer", "pattern", "category", "severity",
-        F.when(package, F.concat(F.lit("Potential slopsquatting: "), "_value")).otherwise(F.col("title")).alias("title"),
+        F.when(package, F.concat(F.lit("Potential slopsquatting: "), "value")).otherwise(F.col("title")).alias("title"),
         F.when(package, F.col("title")).otherwise(F.concat(F.lit("Pattern: "), "pattern")).alias("detail"),
         "start",
-        F.when(package, F.col("_value")).otherwise(F.substring("_value", 1, 50)).alias("matched_text"),
-        context(F.col("_text"), F.col("start"), F.length("_match")).alias("snippet"),
+        F.when(package, F.col("value")).otherwise(F.substring("value", 1, 50)).alias("matched_text"),
+        context(F.col("_text"), F.col("start"), F.length("match")).alias("snippet"),
         "confidence")
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from usagelens import config
-from usagelens.functions.similarity import deletion_keys, fuzzy_jaccard, osa_distance, tokenize
+from usagelens.functions.similarity import deletion_keys, osa_distance, tokenize, with_fuzzy_jaccard
 from usagelens.functions.text import strip
 
 
@@ -78,7 +78,11 @@ def _token_candidates(names: DataFrame, dictionary: DataFrame, threshold: float)
     spread = names.select(F.explode(tokenize(F.col("q"))).alias("t")).unionAll(
         dictionary.select(F.explode(tokenize(F.col("p"))).alias("t")))
     empty = spread.sparkSession.range(1).select(F.lit("").alias("t"))
-    frequency = spread.unionAll(empty).groupBy("t").agg(F.count("*").alias("df"))
+    # How common a token is counts with its neighbours: those are what it is joined with.
+    exact = spread.unionAll(empty).groupBy("t").agg(F.count("*").alias("n"))
+    keys = exact.select("t", "n", F.explode(deletion_keys(F.col("t"), 1)).alias("k"))
+    shared = keys.groupBy("k").agg(F.sum("n").alias("kn"))
+    frequency = keys.join(shared, "k").groupBy("t").agg(F.sum("kn").alias("df"))
     a = _ranked_tokens(names, "q", frequency)
     b = _ranked_tokens(dictionary, "p", frequency)
 
@@ -111,10 +115,16 @@ def lookalikes(names: DataFrame, packages: DataFrame, name_col: str = "name", to
     queries = names.select(F.lower(strip(F.col(name_col))).alias("q")).filter(F.col("q").isNotNull()).distinct()
     known = packages.select(F.lower("name").alias("p")).distinct()
     fresh = queries.join(known.withColumnRenamed("p", "q"), "q", "left_anti")
+    # A pair's copies come from different keys, so folding before the shuffle would be in vain.
+    # The partition count is explicit because the rows are small but costly to measure.
+    width = int(names.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     pairs = _edit_candidates(fresh, known, max_distance).unionAll(
-        _token_candidates(fresh, known, min_similarity)).distinct()
-    measured = pairs.select("q", "p", osa_distance()("q", "p").alias("distance"),
-                            fuzzy_jaccard()("q", "p").alias("jaccard"))
+        _token_candidates(fresh, known, min_similarity)).repartition(width, "q", "p").distinct()
+    tokens = pairs.select("q", "p", tokenize(F.col("q")).alias("_a"), tokenize(F.col("p")).alias("_b"))
+    scored = with_fuzzy_jaccard(tokens, "_a", "_b")
+    # Built-in tests first; the distance itself is worked out for what is left.
+    possible = (F.levenshtein("q", "p", 2 * max_distance) >= 0) | (F.col("jaccard") >= min_similarity)
+    measured = scored.filter(possible).select("q", "p", "jaccard", osa_distance()("q", "p").alias("distance"))
     near = F.col("distance").between(1, max_distance)
     longest = F.greatest(F.length("q"), F.length("p"), F.lit(1))
     kept = measured.filter(near | (F.col("jaccard") >= min_similarity)).select(

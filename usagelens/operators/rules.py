@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from usagelens import config
 from usagelens.config import RuleConfig
 from usagelens.functions.text import collapse_whitespace, infer_department, severity_name, severity_rank, stable_id
-from usagelens.operators.detect import context, with_positions
+from usagelens.operators.detect import context, explode_matches
 from usagelens.session import within_rows
 
 KEY_CHARS = 32
@@ -211,10 +211,9 @@ def _bare_candidates(texts: DataFrame, keyed: DataFrame) -> DataFrame:
 def _verify(pairs: DataFrame, columns: list[str]) -> DataFrame:
     pairs = pairs.withColumn("_regex", F.concat(F.lit("(?iU)"), "pattern"))
     pairs = pairs.withColumn("matches", F.expr("regexp_extract_all(_text, _regex, 0)")).filter(F.size("matches") > 0)
-    pairs = with_positions(pairs, "_text", "_regex")
-    rows = pairs.select(
-        *columns, "_text", "rule_id", "label", "category", "severity", "source_table", "source_field",
-        F.inline(F.arrays_zip(F.col("offsets").alias("start"), F.col("matches").alias("matched_text"))))
+    rows = explode_matches(pairs, "_text", "_regex", [
+        *columns, "_text", "rule_id", "label", "category", "severity", "source_table", "source_field"])
+    rows = rows.withColumnRenamed("match", "matched_text")
     return rows.select(
         *columns, F.col("rule_id").alias("company_rule_id"), F.col("label").alias("company_label"),
         F.col("category").alias("company_category"), F.col("source_table").alias("company_source_table"),
