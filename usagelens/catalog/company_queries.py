@@ -37,7 +37,7 @@ def company_rules_of_tables(spark, folder):
 @query("rule_matches", _M + """SELECT source_file, conversation_key, message_id, rule_id AS company_rule_id, matched_text, department,
   provider, severity, category AS company_category FROM matches""")
 def rule_matches(spark, folder):
-    found = company_matches(p.chats(spark, folder), p.rules(spark, folder), p.RUN_ID, rule_config=p.COMPANY_RULES)
+    found = company_matches(p.chat_context(spark, folder), p.rules(spark, folder), p.RUN_ID, rule_config=p.COMPANY_RULES)
     return found.select("source_file", "conversation_key", "message_id", "company_rule_id", "matched_text", "department",
                         "provider", "severity", "company_category")
 
@@ -46,7 +46,7 @@ def rule_matches(spark, folder):
 def table_rule_matches(spark, folder):
     """All rules of whole `customer` and `supplier` tables over all messages; checked by brute force in the tests."""
     rules = p.stage(spark, folder, "table_rules", lambda: build_all_rules(p.company_tables(spark, folder)))
-    found = company_matches(p.chats(spark, folder), rules, p.RUN_ID)
+    found = company_matches(p.chat_context(spark, folder), rules, p.RUN_ID)
     return found.groupBy("company_source_table", "company_source_field").agg(
         F.count("*").alias("match_count"), F.countDistinct("company_rule_id").alias("rules"))
 

@@ -76,7 +76,7 @@ chats AS (
     CASE n WHEN 0 THEN 'gpt-4o' WHEN 1 THEN 'claude-sonnet-4-6' WHEN 2 THEN 'gemini-pro' ELSE 'mistral-large' END AS model_name,
     CASE n WHEN 0 THEN 'chatgpt' WHEN 1 THEN 'anthropic' WHEN 2 THEN 'gemini' ELSE 'mistral' END AS model,
     CASE n WHEN 1 THEN 'anthropic' WHEN 0 THEN 'chatgpt' WHEN 2 THEN 'gemini' ELSE 'mistral' END AS provider_family,
-    'conv-' || (doc_id // 4) AS conversation_key,
+    'conv-' || source || '-' || (doc_id // 80) AS conversation_key,
     CASE doc_id % 3 WHEN 0 THEN 'Budget planning' WHEN 1 THEN 'Code debugging' END AS conversation_title,
     CASE doc_id % 3 WHEN 0 THEN 'finance' WHEN 1 THEN 'engineering' END AS title_department,
     'm' || doc_id AS message_id, doc_id % 4 AS message_index,

@@ -85,7 +85,7 @@ def message_columns(documents: DataFrame) -> DataFrame:
     return documents.selectExpr("*", "CAST(substr(source, 4) AS INT) % 4 AS _n").selectExpr(
         "doc_id AS chat_id", "concat(source, '.json') AS source_file", "'json' AS source_format",
         "CASE _n WHEN 0 THEN 'chatgpt' WHEN 1 THEN 'claude_code' WHEN 2 THEN 'gemini' ELSE 'mistral' END AS provider",
-        "concat('conv-', doc_id DIV 4) AS conversation_key",
+        "concat('conv-', source, '-', doc_id DIV 80) AS conversation_key",
         "CASE doc_id % 3 WHEN 0 THEN 'Budget planning' WHEN 1 THEN 'Code debugging' END AS conversation_title",
         "CASE _n WHEN 0 THEN 'gpt-4o' WHEN 1 THEN 'claude-sonnet-4-6' WHEN 2 THEN 'gemini-pro' "
         "ELSE 'mistral-large' END AS model_name",
@@ -190,7 +190,7 @@ def rules(spark: SparkSession, folder: str) -> DataFrame:
 
 def matches(spark: SparkSession, folder: str) -> DataFrame:
     return stage(spark, folder, "matches", lambda: company_matches(
-        chats(spark, folder), rules(spark, folder), RUN_ID, rule_config=COMPANY_RULES))
+        chat_context(spark, folder), rules(spark, folder), RUN_ID, rule_config=COMPANY_RULES))
 
 
 def runs(spark: SparkSession, folder: str) -> DataFrame:

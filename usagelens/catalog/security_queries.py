@@ -341,9 +341,9 @@ def conversation_explorer(spark, folder):
 
 
 @query("conversation_detail", f"WITH {SCORED}" + """ SELECT message_id, message_index, coalesce(n, 0) AS findings FROM chats
-  LEFT JOIN per USING (chat_id) WHERE conversation_key = 'conv-7'""")
+  LEFT JOIN per USING (chat_id) WHERE conversation_key = 'conv-src7-0'""")
 def conversation_detail(spark, folder):
-    rows = views.conversation_detail(p.chat_context(spark, folder), p.findings(spark, folder), "conv-7")
+    rows = views.conversation_detail(p.chat_context(spark, folder), p.findings(spark, folder), "conv-src7-0")
     return rows.select("message_id", "message_index", F.coalesce(F.size("findings"), F.lit(0)).alias("findings"))
 
 

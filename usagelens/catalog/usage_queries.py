@@ -11,6 +11,7 @@ from usagelens.functions.text import contains_any
 from usagelens.operators import compliance
 from usagelens.plans import usage as u
 from usagelens.plans.filters import ReportFilters, filter_usage
+from usagelens.session import spread
 
 _KEYS = {"department": "department_id", "model": "model_name", "tool": "tool_name",
          "region": "coalesce(region, 'unknown')", "timespan": "strftime(usage_start, '%Y-%m-%d')"}
@@ -233,7 +234,7 @@ def anonymized_usage(spark, folder):
 def record_issues(spark, folder):
     """Usage records with planted faults, so that several rules fire."""
     number = F.col("id").cast("bigint")
-    rows = p.usage(spark, folder).withColumns({
+    rows = spread(p.usage(spark, folder)).withColumns({
         "purpose": F.when(number % 3 == 0, F.concat(F.lit("ask bob"), "id", F.lit("@corp.example or +4930"), (
             number + 1000000).cast("string"))).otherwise(F.col("purpose")),
         "user_id_hash": F.when(number % 5 == 0, "Jane Doe").otherwise(F.col("user_id_hash")),
@@ -247,7 +248,7 @@ def record_issues(spark, folder):
   WHERE cost > 100 HAVING count(*) > 0 UNION ALL
   SELECT 'pii_phone_de', 'id', count(*) FROM usage WHERE regexp_matches(id, '(\\+49|0)[1-9]\\d{{6,14}}') HAVING count(*) > 0""")
 def issue_counts(spark, folder):
-    rows = p.usage(spark, folder).withColumns({"usage_start": F.to_date("usage_start"), "usage_end": F.to_date("usage_end")})
+    rows = spread(p.usage(spark, folder)).withColumns({"usage_start": F.to_date("usage_start"), "usage_end": F.to_date("usage_end")})
     return compliance.issue_counts(compliance.record_issues(rows))
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from usagelens import config
 from usagelens.config import Detector
 from usagelens.functions.text import contains_any, unicode_pattern
+from usagelens.session import once
 
 _BLOCK = 64
 
@@ -137,22 +138,21 @@ def findings_json(messages: DataFrame, findings: DataFrame, insights: DataFrame
 
 
 # ------------------------------------------------------------- code imports
-def imported_packages(text: Column, lang: Column | None = None) -> tuple[Column, Column]:
-    """(language, distinct package names in order of appearance) of source code.
+def extract_packages(documents: DataFrame, id_col: str, text_col: str, lang: str | None = None) -> DataFrame:
+    """(id, language, position, package) for every package a source text imports.
 
-    Without a given language the one with more import statements is taken,
-    Python on a tie. Relative module paths are left out.
+    Names come in order of appearance, each once; relative module paths are left
+    out. Without a given language the one with more import statements is taken,
+    Python on a tie; with any other language both kinds count.
     """
-    python = F.regexp_extract_all(text, F.lit(unicode_pattern(config.PYTHON_IMPORT_PATTERN)), F.lit(1))
-    node_all = F.regexp_extract_all(text, F.lit(unicode_pattern(config.NODE_IMPORT_PATTERN)), F.lit(1))
-    node = F.filter(node_all, lambda m: ~m.startswith("."))
-    chosen = lang if lang is not None else F.when(F.size(python) >= F.size(node_all), "python").otherwise("node")
-    names = (F.when(chosen == "python", python).when(chosen == "node", node)
-             .otherwise(F.concat(python, node)))
-    return chosen, F.array_distinct(names)
-
-
-def extract_packages(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, language, position, package) for every package a source text imports."""
-    chosen, names = imported_packages(F.col(text_col))
-    return documents.select(id_col, chosen.alias("language"), F.posexplode(names).alias("position", "package"))
+    text = F.col(text_col)
+    found = once(
+        documents.select(id_col, text_col),
+        _python=F.regexp_extract_all(text, F.lit(unicode_pattern(config.PYTHON_IMPORT_PATTERN)), F.lit(1)),
+        _node=F.regexp_extract_all(text, F.lit(unicode_pattern(config.NODE_IMPORT_PATTERN)), F.lit(1)))
+    chosen = F.lit(lang) if lang else F.when(F.size("_python") >= F.size("_node"), "python").otherwise("node")
+    node = F.filter("_node", lambda m: ~m.startswith("."))
+    names = (F.when(F.col("language") == "python", F.col("_python")).when(F.col("language") == "node", node)
+             .otherwise(F.concat("_python", node)))
+    return found.withColumn("language", chosen).select(
+        id_col, "language", F.posexplode(F.array_distinct(names)).alias("position", "package"))

@@ -15,7 +15,7 @@ from usagelens import config
 from usagelens.config import RuleConfig
 from usagelens.functions.text import collapse_whitespace, infer_department, severity_name, severity_rank, stable_id
 from usagelens.operators.detect import context, explode_matches
-from usagelens.session import within_rows
+from usagelens.session import once, within_rows
 
 KEY_CHARS = 32
 GATE_CHARS = 3
@@ -149,9 +149,9 @@ def _candidates(messages: DataFrame, keyed: DataFrame, message_key: list[str], s
     few ten thousand short strings, so that side is always broadcast.
     """
     lead = keyed.select(F.substring("_compact", 1, gate).alias("_lead")).distinct()
-    tokens = messages.select(*messages.columns, _tokens(F.col("_text")).alias("_tokens"))
-    places = tokens.select(*messages.columns, "_tokens", F.posexplode("_tokens").alias("_at", "_first"))
-    start = F.array_join(F.slice("_tokens", F.col("_at") + 1, F.lit(gate)), "")
+    places = once(messages, _tokens=_tokens(F.col("_text"))).select(*messages.columns, "_tokens", F.posexplode("_tokens").alias("_at", "_first"))
+    start = F.when(F.length("_first") >= gate, F.col("_first")).otherwise(
+        F.array_join(F.slice("_tokens", F.col("_at") + 1, F.lit(gate)), ""))
     places = places.withColumn("_lead", F.substring(start, 1, gate))
     places = places.join(F.broadcast(lead), "_lead", "left_semi")
     widths = places.select("*", F.explode(F.sequence(F.lit(1), F.least(
@@ -166,9 +166,13 @@ def _candidates(messages: DataFrame, keyed: DataFrame, message_key: list[str], s
 
 
 def scan_messages(messages: DataFrame, rules: DataFrame, message_key: list[str], text_col: str = "user_text_clean",
-                  carry: tuple[str, ...] = (), broadcast_rules: int = BROADCAST_RULES) -> DataFrame:
+                  carry: tuple[str, ...] = (), broadcast_rules: int = BROADCAST_RULES,
+                  derive: dict[str, Column] | None = None) -> DataFrame:
     """Every match of every active rule in every message, case-insensitively.
 
+    `derive` adds columns worked out from carried ones and `_text`, for messages
+    with a match only.
+
     A rule set of checked size is broadcast and the scan needs no shuffle of
     texts before matches are known. Beyond that size only (message key, rule
     key) pairs are shuffled and the texts are fetched for the candidates.
@@ -179,7 +183,8 @@ def scan_messages(messages: DataFrame, rules: DataFrame, message_key: list[str],
         F.min(F.when(F.length("_compact") > 0, F.length("_compact"))).alias("shortest"),
         F.count_if(F.length("_compact") == 0).alias("bare")).first()
     columns = list(dict.fromkeys([*message_key, *carry]))
-    texts = messages.select(*columns, collapse_whitespace(F.col(text_col)).alias("_text")).filter(F.col("_text") != "")
+    texts = once(messages, _text=collapse_whitespace(F.col(text_col))).select(*columns, "_text").filter(
+        F.col("_text") != "")
     small = within_rows(keyed, broadcast_rules)
     parts = []
     if limits["span"]:
@@ -193,11 +198,11 @@ def scan_messages(messages: DataFrame, rules: DataFrame, message_key: list[str],
     if limits["bare"]:
         parts.append(_bare_candidates(texts, keyed.filter(F.length("_compact") == 0)))
     if not parts:
-        return _verify(texts.join(keyed.limit(0), F.lit(False)), columns)
+        return _verify(texts.limit(0).join(keyed.limit(0), F.lit(False)), columns, derive)
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
-    return _verify(out, columns)
+    return _verify(out, columns, derive)
 
 
 def _bare_candidates(texts: DataFrame, keyed: DataFrame) -> DataFrame:
@@ -208,9 +213,11 @@ def _bare_candidates(texts: DataFrame, keyed: DataFrame) -> DataFrame:
     return spread.join(rules, "_char").drop("_char")
 
 
-def _verify(pairs: DataFrame, columns: list[str]) -> DataFrame:
+def _verify(pairs: DataFrame, columns: list[str], derive: dict[str, Column] | None = None) -> DataFrame:
     pairs = pairs.withColumn("_regex", F.concat(F.lit("(?iU)"), "pattern"))
-    pairs = pairs.withColumn("matches", F.expr("regexp_extract_all(_text, _regex, 0)")).filter(F.size("matches") > 0)
+    pairs = once(pairs, matches=F.expr("regexp_extract_all(_text, _regex, 0)")).filter(F.size("matches") > 0)
+    for name, value in (derive or {}).items():
+        pairs, columns = pairs.withColumn(name, value), [*columns, name]
     rows = explode_matches(pairs, "_text", "_regex", [
         *columns, "_text", "rule_id", "label", "category", "severity", "source_table", "source_field"])
     rows = rows.withColumnRenamed("match", "matched_text")
@@ -231,10 +238,10 @@ def company_matches(messages: DataFrame, rules: DataFrame, run_id: str, text_col
     position, as the table's key demands.
     """
     key = ["source_file", "conversation_key", "message_id"]
-    named = messages.withColumn("department", infer_department(
-        F.coalesce(F.nullif("conversation_title", F.lit("")), F.col(text_col)), rule_config.department_keywords))
-    carry = ("department", "conversation_title", "provider", "model_name", "message_timestamp", "author", "role")
-    found = scan_messages(named, rules, key, text_col, carry, broadcast_rules)
+    carry = ("conversation_title", "provider", "model_name", "message_timestamp", "author", "role")
+    # The department is read off the title, or the text of a message with a match.
+    found = scan_messages(messages, rules, key, text_col, carry, broadcast_rules, {"department": infer_department(
+        F.coalesce(F.nullif("conversation_title", F.lit("")), F.col("_text")), rule_config.department_keywords)})
     rest = [c for c in found.columns if c not in (*key, "company_rule_id", "matched_text")]
     one = found.groupBy(*key, "company_rule_id", "matched_text").agg(
         F.max_by(F.struct(*rest), "start").alias("r")).select(
@@ -242,7 +249,7 @@ def company_matches(messages: DataFrame, rules: DataFrame, run_id: str, text_col
     return one.select(
         stable_id(F.lit(run_id), "source_file", "conversation_key", "message_id", "company_rule_id",
                   "matched_text").alias("id"),
-        F.lit(run_id).alias("analysis_run_id"), *key, *carry,
+        F.lit(run_id).alias("analysis_run_id"), *key, "department", *carry,
         F.lit(text_col).alias("source_field"), "company_rule_id", "company_label", "company_category",
         "company_source_table", "company_source_field", "start", "matched_text", "match_context", "severity",
         "confidence", (as_of if as_of is not None else F.col("message_timestamp")).alias("created_at"))

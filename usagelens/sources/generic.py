@@ -94,7 +94,7 @@ def read_csv_documents(spark: SparkSession, path: str) -> DataFrame:
     placed = rows.select(
         plain_path(F.col("_metadata.file_path")).alias("path"), F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("place"),
-        F.to_json(F.struct(*[F.col(f"`{c}`") for c in names]), {"ignoreNullFields": "false"}).alias("content"))
+        F.to_json(F.struct(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in names])).alias("content"))
     numbered = number_lines(placed, "row")
     return numbered.select(
         F.concat("path", F.lit(":row_"), F.col("row").cast("string")).alias("source"), "content",
@@ -118,11 +118,10 @@ def read_json_documents(spark: SparkSession, path: str) -> DataFrame:
 
 def csv_to_json(spark: SparkSession, path: str) -> DataFrame:
     """CSV rows as JSON objects of strings; rows of another width than the header are skipped."""
-    rows = spark.read.options(header=True, inferSchema=False, mode="DROPMALFORMED", emptyValue="",
-                              nullValue="\u0001").csv(path)
+    rows = spark.read.options(header=True, inferSchema=False, mode="DROPMALFORMED").csv(path)
     # Reading every column is what lets the parser see a row of the wrong width.
-    return rows.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in rows.columns]),
-                                 {"ignoreNullFields": "false"}).alias("row"))
+    return rows.select(F.to_json(F.struct(*[
+        F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in rows.columns])).alias("row"))
 
 
 def records_from_json(landed: DataFrame, column: str, source: str, source_type: str = "api") -> DataFrame:
