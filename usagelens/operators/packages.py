@@ -130,8 +130,8 @@ def lookalikes(names: DataFrame, packages: DataFrame, name_col: str = "name", to
     kept = measured.filter(near | (F.col("jaccard") >= min_similarity)).select(
         "q", "p", "distance",
         F.when(near, "damerau-levenshtein").otherwise("fuzzy-jaccard").alias("method"),
-        F.when(near, F.round(F.greatest(F.lit(0.0), 1 - F.col("distance") / longest), 4)).otherwise(
-            F.round("jaccard", 4)).alias("confidence"))
+        F.bround(F.when(near, F.greatest(F.lit(0.0), 1 - F.col("distance") / longest)).otherwise(
+            F.col("jaccard")), 4).alias("confidence"))
     hits = kept.join(packages.select(F.lower("name").alias("p"), F.col("name").alias("matched_package"),
                                      "ecosystem").distinct(), "p")
     order = Window.partitionBy("q").orderBy(F.desc("confidence"), "matched_package", "ecosystem")

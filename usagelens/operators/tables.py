@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 # ------------------------------------------------------------------- upserts
@@ -117,7 +118,7 @@ class VersionedTable:
     its success marker, so a lost writer leaves the table as it was.
     """
 
-    def __init__(self, spark: SparkSession, path: str, schema: str):
+    def __init__(self, spark: SparkSession, path: str, schema: str | StructType):
         self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
 
     def _folder(self):

@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from usagelens import config, schemas
 from usagelens.config import RuleConfig
@@ -26,7 +27,7 @@ class Store:
     spark: SparkSession
     root: str
 
-    def table(self, name: str, schema: str | None = None) -> VersionedTable:
+    def table(self, name: str, schema: str | StructType | None = None) -> VersionedTable:
         ddl = schema or (PROCESSED if name == "processed" else schemas.TABLES[name])
         return VersionedTable(self.spark, f"{self.root}/{name}", ddl)
 
@@ -74,7 +75,7 @@ def refresh_detector_views(store: Store, chats: DataFrame, as_of: Column) -> dic
     built = views.detector_views(messages, store.table("findings").read(), store.table("conversation_insights").read())
     out = {}
     for name, frame in built.items():
-        table = store.table(f"view_{name}", frame.schema.simpleString()[len("struct<"):-1])
+        table = store.table(f"view_{name}", frame.schema)
         table.write(frame)
         out[name] = table.read()
     advice = verdicts.recommendations(out["overview"], as_of)
