@@ -159,10 +159,12 @@ def _candidates(messages: DataFrame, keyed: DataFrame, message_key: list[str], s
     run = F.array_join(F.slice("_tokens", F.col("_at") + 1, F.col("_width")), "")
     shorter = F.array_join(F.slice("_tokens", F.col("_at") + 1, F.col("_width") - 1), "")
     keys = widths.filter((F.col("_width") == 1) | (F.length(shorter) < KEY_CHARS)).select(
-        *messages.columns, F.substring(run, 1, KEY_CHARS).alias("_key"))
+        *messages.columns, "_at", F.substring(run, 1, KEY_CHARS).alias("_key"))
     right = keyed.withColumn("_key", F.substring("_compact", 1, KEY_CHARS))
-    pairs = keys.join(F.broadcast(right) if small else right, "_key")
-    return pairs.dropDuplicates([*message_key, "rule_id"])
+    if small:
+        return keys.join(F.broadcast(right), "_key")
+    return keys.join(right, "_key").drop("_at").dropDuplicates([*message_key, "rule_id"]).withColumn(
+        "_at", F.lit(None).cast("int"))
 
 
 def scan_messages(messages: DataFrame, rules: DataFrame, message_key: list[str], text_col: str = "user_text_clean",
@@ -173,8 +175,8 @@ def scan_messages(messages: DataFrame, rules: DataFrame, message_key: list[str],
     `derive` adds columns worked out from carried ones and `_text`, for messages
     with a match only.
 
-    A rule set of checked size is broadcast and the scan needs no shuffle of
-    texts before matches are known. Beyond that size only (message key, rule
+    A rule set of checked size is broadcast and the scan needs no shuffle at
+    all. Beyond that size only (message key, rule
     key) pairs are shuffled and the texts are fetched for the candidates.
     """
     keyed = _keyed(rules)
@@ -198,7 +200,8 @@ def scan_messages(messages: DataFrame, rules: DataFrame, message_key: list[str],
     if limits["bare"]:
         parts.append(_bare_candidates(texts, keyed.filter(F.length("_compact") == 0)))
     if not parts:
-        return _verify(texts.limit(0).join(keyed.limit(0), F.lit(False)), columns, derive)
+        nothing = texts.limit(0).withColumn("_at", F.lit(0)).join(keyed.limit(0), F.lit(False))
+        return _verify(nothing, columns, derive)
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
@@ -208,7 +211,7 @@ def scan_messages(messages: DataFrame, rules: DataFrame, message_key: list[str],
 def _bare_candidates(texts: DataFrame, keyed: DataFrame) -> DataFrame:
     """Pairs for rules without any ASCII letter or digit: they share the rule's first character."""
     letters = F.array_distinct(F.split(F.lower("_text"), ""))
-    spread = texts.select("*", F.explode(letters).alias("_char"))
+    spread = texts.select("*", F.lit(None).cast("int").alias("_at"), F.explode(letters).alias("_char"))
     rules = keyed.withColumn("_char", F.substring(F.lower(F.trim("value")), 1, 1))
     return spread.join(rules, "_char").drop("_char")
 
@@ -216,6 +219,11 @@ def _bare_candidates(texts: DataFrame, keyed: DataFrame) -> DataFrame:
 def _verify(pairs: DataFrame, columns: list[str], derive: dict[str, Column] | None = None) -> DataFrame:
     pairs = pairs.withColumn("_regex", F.concat(F.lit("(?iU)"), "pattern"))
     pairs = once(pairs, matches=F.expr("regexp_extract_all(_text, _regex, 0)")).filter(F.size("matches") > 0)
+    # A message may offer a rule at several tokens. The one where the first match starts
+    # speaks for all of them, which takes no shuffle to find out.
+    before = F.expr("element_at(split(_text, _regex, 2), 1)")
+    token_index = F.regexp_count(F.lower(before), F.lit("[a-z0-9]+"))
+    pairs = pairs.filter(F.col("_at").isNull() | (F.col("_at") == token_index))
     for name, value in (derive or {}).items():
         pairs, columns = pairs.withColumn(name, value), [*columns, name]
     rows = explode_matches(pairs, "_text", "_regex", [
