@@ -360,3 +360,14 @@ def top_entities(spark, folder):
     count(*) FILTER (e = 'cfg') * 5 + count(*) FILTER (e = 'py') * 2 + count(*) FILTER (e = 'csv') * 3 AS score FROM f GROUP BY 1""")
 def context_exposure(spark, folder):
     return s.context_exposure(p.chats(spark, folder), "conversation_key", "user_text", {"cfg": 5, "py": 2, "csv": 3})
+
+
+@query("top_packages", _F + """SELECT lower(matched_text) AS package, count(*) AS mentions FROM report WHERE type = 'slopsquat'
+  GROUP BY 1 ORDER BY mentions DESC, package LIMIT 10""")
+def top_packages(spark, folder):
+    return s.top_packages(p.report_rows(spark, folder))
+
+
+@query("latest_detections", _F + "SELECT finding_id AS id, type, severity FROM report ORDER BY ts DESC NULLS LAST, finding_id LIMIT 6")
+def latest_detections(spark, folder):
+    return s.findings_page(p.report_rows(spark, folder), ReportFilters(limit=6)).select("id", "type", "severity")

@@ -315,3 +315,20 @@ def department_attribution(spark, folder):
     found = p.findings(spark, folder).select(
         F.concat(F.lit("dept-"), (F.col("chat_id") % 10).cast("string")).alias("department"))
     return u.department_attribution(p.usage(spark, folder), found)
+
+
+_SAVINGS = f"""WITH {USAGE}, s AS (
+  SELECT 'trivial_usage' AS category, department_id AS department, model_name AS model, count(*) AS sessions, round(sum(cost), 4) AS savings
+  FROM flagged WHERE trivial GROUP BY 2, 3
+  UNION ALL SELECT 'private_usage', department_id, model_name, count(*), round(sum(cost), 4) FROM flagged WHERE private GROUP BY 2, 3)"""
+
+
+@query("cost_recommendations", _SAVINGS + " SELECT * FROM s")
+def cost_recommendations(spark, folder):
+    return u.cost_recommendations(p.usage(spark, folder))
+
+
+@query("savings_split", _SAVINGS + """ SELECT category, round(sum(savings), 4) AS savings,
+  round(sum(savings) / (SELECT sum(savings) FROM s) * 100, 2) AS share FROM s GROUP BY 1""")
+def savings_split(spark, folder):
+    return u.savings_split(u.cost_recommendations(p.usage(spark, folder)))

@@ -226,3 +226,9 @@ def context_exposure(messages: DataFrame, session_col: str, text_col: str, weigh
         F.lower(F.col(text_col)), F.lit(rf"[a-z0-9_-]+\.({endings})\b"), F.lit(1))).alias("ending"))
     return files.groupBy(session_col).pivot("ending", list(weights)).count().na.fill(0).select(
         session_col, *weights, sum((F.col(e) * F.lit(w) for e, w in weights.items()), F.lit(0)).alias("score"))
+
+
+def top_packages(findings: DataFrame, limit: int = 10) -> DataFrame:
+    """The package names suggested most often."""
+    return findings.filter(F.col("type") == "slopsquat").groupBy(F.lower("match_value").alias("package")).agg(
+        F.count("*").alias("mentions")).orderBy(F.desc("mentions"), "package").limit(limit)

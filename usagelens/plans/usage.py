@@ -318,3 +318,25 @@ def cost_sparklines(usage: DataFrame, dimension: str = "department") -> DataFram
         F.round(F.sum("cost"), 2).alias("cost"))
     return daily.groupBy("key").agg(F.transform(
         F.array_sort(F.collect_list(F.struct("day", "cost"))), lambda s: s["cost"]).alias("daily_cost"))
+
+
+# ------------------------------------------------------- cost recommendations
+def cost_recommendations(usage: DataFrame) -> DataFrame:
+    """What trivial and private sessions cost per department and model: (category, department, model, savings)."""
+    trivial = is_trivial(F.col("purpose"), F.col("token_count"))
+    private = is_private(F.col("purpose"))
+    sums = usage.groupBy("department_id", "model_name").agg(
+        F.sum(F.when(trivial, F.col("cost"))).alias("t"), F.count_if(trivial).alias("tn"),
+        F.sum(F.when(private, F.col("cost"))).alias("p"), F.count_if(private).alias("pn"))
+    kinds = F.array(
+        F.struct(F.lit("trivial_usage").alias("category"), F.col("tn").alias("sessions"), F.col("t").alias("s")),
+        F.struct(F.lit("private_usage").alias("category"), F.col("pn").alias("sessions"), F.col("p").alias("s")))
+    return sums.select(F.col("department_id").alias("department"), F.col("model_name").alias("model"), F.inline(kinds)).filter(
+        F.col("sessions") > 0).select("category", "department", "model", "sessions", F.round("s", 4).alias("savings"))
+
+
+def savings_split(recommended: DataFrame) -> DataFrame:
+    """Savings per category and their share of the total."""
+    total = recommended.agg(F.sum("savings").alias("t")).scalar()
+    return recommended.groupBy("category").agg(F.sum("savings").alias("s")).select(
+        "category", F.round("s", 4).alias("savings"), F.round(F.col("s") / total * 100, 2).alias("share"))
