@@ -119,3 +119,15 @@ def test_no_rules(spark):
     messages = spark.createDataFrame([(1, "x")], "id int, t string")
     rules = r.build_all_rules(company(spark)).limit(0)
     assert r.scan_messages(messages, rules, ["id"], "t").count() == 0
+
+
+def test_rule_configuration(tmp_path):
+    from usagelens.config import RuleConfig
+
+    (tmp_path / "rules.json").write_text('{"category_rules": {"by_table": {"t": "secret"}, "by_field": {"mail": "pii"}}, '
+                                         '"severity_rules": {"by_field": {"mail": "critical"}, "by_table_field": {"t": {"a": "high"}}}, '
+                                         '"department_keywords": {"x": ["y"]}}')
+    made = RuleConfig.from_file(str(tmp_path / "rules.json"))
+    assert (made.category("t", "a"), made.category("t", "mail"), made.category("u", "a")) == ("secret", "pii", "secret")
+    assert (made.severity("t", "a"), made.severity("t", "mail"), made.severity("t", "b")) == ("high", "critical", "medium")
+    assert made.department_keywords == {"x": ["y"]}

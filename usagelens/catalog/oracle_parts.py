@@ -89,12 +89,12 @@ chats AS (
 _ACCENTED = "ÄÇÈÉÊÍÑÓÖÜßäçèéêíñóöü"
 
 
-def _detector_sql(d: config.Detector) -> str:
+def _detector_sql(d: config.Detector, column: str = "user_text") -> str:
     pattern = d.pattern.replace("'", "''")
     # Word breaks of the statement's regex engine know ASCII letters only: for patterns
     # of digits, accented letters become an underscore, which is a word character too.
-    text = f"translate(user_text, '{_ACCENTED}', '{'_' * len(_ACCENTED)}')" if d.name in (
-        "ip_address", "phone_number") else "user_text"
+    text = f"translate({column}, '{_ACCENTED}', '{'_' * len(_ACCENTED)}')" if d.name in (
+        "ip_address", "phone_number") else column
     return (f"SELECT chat_id, ts, '{d.analyzer}' AS analyzer, '{d.name}' AS pattern, '{d.category}' AS category, "
             f"'{d.severity}' AS severity, '{d.title}' AS title, CAST({d.confidence} AS DOUBLE) AS confidence, "
             f"regexp_extract_all({text}, '{pattern}', 0) AS ms, regexp_extract_all({text}, '{pattern}', {d.group}) AS gs, "
@@ -122,6 +122,10 @@ report AS (
     c.title_department AS department
   FROM findings f JOIN chats c USING (chat_id))"""
 
+REDACTED = CHATS + """,
+hits AS (
+  """ + "\n  UNION ALL ".join(_detector_sql(d, "user_text_clean") for d in config.DETECTORS) + ")"
+
 SCORED = FINDINGS + """,
 complexity AS (
   SELECT doc_id AS chat_id, doc_id % 10 + 1 AS score FROM labels WHERE doc_id IN (SELECT doc_id FROM documents)),

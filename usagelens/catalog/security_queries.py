@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from usagelens.catalog import projections as p
-from usagelens.catalog.oracle_parts import CHATS, FINDINGS, SCORED, USAGE
+from usagelens.catalog.oracle_parts import CHATS, FINDINGS, REDACTED, SCORED, USAGE
 from usagelens.catalog.registry import query
 from usagelens.config import DETECTORS
 from usagelens.operators import detect, verdicts
@@ -37,7 +37,8 @@ def finding_snippets(spark, folder):
     return p.findings(spark, folder).select("finding_id", "snippet")
 
 
-@query("redacted_text_findings")
+@query("redacted_text_findings", f"WITH {REDACTED} " + """SELECT analyzer, pattern, CAST(sum(len(ms)) AS BIGINT) AS finding_count
+  FROM hits GROUP BY 1, 2 HAVING sum(len(ms)) > 0""")
 def redacted_text_findings(spark, folder):
     """The detectors on cleaned text: what redaction leaves behind."""
     found = detect.detect(p.chat_context(spark, folder), text_col="user_text_clean")
@@ -325,11 +326,18 @@ def recommendations(spark, folder):
     return made.select("category", "title", "impact_score")
 
 
-@query("statistics_json")
+@query("statistics_json", _F + """SELECT (SELECT count(*) FROM chats) AS total_messages,
+  least(10, (SELECT count(*) FROM (SELECT DISTINCT category, severity, analyzer, c.provider, c.model_name FROM findings
+    JOIN chats c USING (chat_id)))) AS categories,
+  least(10, (SELECT count(*) FROM (SELECT DISTINCT provider, model_name FROM chats))) AS providers""")
 def statistics_json(spark, folder):
     context, found = p.chat_context(spark, folder), p.findings(spark, folder)
-    return verdicts.statistics_json(_overview(spark, folder), views.findings_by_category(context, found),
-                                    views.provider_stats(context, found))
+    packed = verdicts.statistics_json(_overview(spark, folder), views.findings_by_category(context, found),
+                                      views.provider_stats(context, found))
+    part = lambda path: F.get_json_object("statistics", path)
+    return packed.select(part("$.overview.total_messages").cast("bigint").alias("total_messages"),
+                         F.json_array_length(part("$.top_finding_categories")).alias("categories"),
+                         F.json_array_length(part("$.provider_usage_and_leaks")).alias("providers"))
 
 
 @query("conversation_explorer", f"WITH {SCORED}" + """ SELECT conversation_key, min(provider) AS provider, count(*) AS message_count,
