@@ -1,7 +1,34 @@
 """The same results in SQL for another engine (DuckDB)."""
 
+from usagelens.llm.licenses import BASE, COVER, GAP, NOTICES, Template
+
 LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+WORDS = f"[x for x in regexp_split_to_array({LOWERED}, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') if x <> '']"
+
+
+def license_sql(templates: tuple[Template, ...]) -> str:
+    rows = ", ".join(f"({i}, '{t.label}', {str(t.base).lower()}, string_split('{t.words}', ' '))" for i, t in enumerate(templates))
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, {WORDS} AS w FROM documents),
+t(t, label, base, w) AS (VALUES {rows}),
+g AS (SELECT t, label, base, len(w) - 2 AS runs, i - 1 AS at, w[i] AS a, w[i + 1] AS b, w[i + 2] AS c FROM (SELECT *, unnest(range(1, len(w) - 1)) AS i FROM t)),
+r AS (SELECT k, i - 1 AS at, w[i] AS a, w[i + 1] AS b, w[i + 2] AS c FROM (SELECT k, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
+v AS (SELECT k, t, label, base, runs, r.at - g.at AS diagonal, list(DISTINCT g.at) AS offsets FROM r JOIN g USING (a, b, c) GROUP BY ALL),
+o AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY k, t ORDER BY diagonal) <= {GAP} THEN 0 ELSE 1 END AS opens FROM v),
+m AS (SELECT *, sum(opens) OVER (PARTITION BY k, t ORDER BY diagonal) AS band FROM o),
+s AS (SELECT k, t, label, len(list_distinct(flatten(list(offsets)))) / any_value(runs)::DOUBLE AS coverage FROM m GROUP BY k, t, label, band),
+f AS (SELECT k, label, coverage, NULL AS start FROM s WHERE coverage >= {COVER}
+      UNION ALL SELECT k, label, 1.0, diagonal FROM v WHERE base AND len(offsets) = runs),
+x AS (SELECT k, count(start) AS n_base, min(start) AS first_word, max(start) AS last_word,
+      string_agg(DISTINCT CASE WHEN start IS NOT NULL THEN label END, ',' ORDER BY CASE WHEN start IS NOT NULL THEN label END) AS base_labels,
+      string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(coverage) AS score FROM f GROUP BY k)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
+       coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0)::DOUBLE AS score
+FROM d LEFT JOIN x USING (k)
+"""
+
+
 OP3 = f"""
 WITH d AS (SELECT doc_id, sha256({LOWERED}) AS text_sha256 FROM documents)
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, text_sha256
@@ -49,4 +76,4 @@ WITH d AS (
 SELECT doc_id, size, source_size, target::DOUBLE AS target, ((floor(k * e + u) - floor((k - 1) * e + u)) * size)::BIGINT AS taken FROM p
 """
 
-ORACLES = {"op3_exact_dedup": OP3, "op4_url_filter": OP4, "op8_mixing": OP8}
+ORACLES = {"op1_licenses": license_sql(BASE + NOTICES), "op3_exact_dedup": OP3, "op4_url_filter": OP4, "op8_mixing": OP8}
