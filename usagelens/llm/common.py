@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,3 +59,21 @@ def prefix_before(pieces: DataFrame, group: list[str], order: str, value: str, n
     """
     before = Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     return pieces.withColumn(name, F.coalesce(F.sum(value).over(before), F.lit(0)))
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], key: int = 0) -> Iterator[pa.RecordBatch]:
+    """Batches cut so that all rows of a key are in one of them; rows come sorted by the key column."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = batch.column(key).to_numpy(zero_copy_only=False)
+        others = np.flatnonzero(keys != keys[-1])
+        cut = int(others[-1]) + 1 if len(others) else 0
+        if cut or (held and held[-1].column(key)[-1].as_py() != keys[0]):
+            yield pa.concat_batches([*held, batch.slice(0, cut)])
+            held = [batch.slice(cut)]
+        else:
+            held.append(batch)
+    if held:
+        yield pa.concat_batches(held)

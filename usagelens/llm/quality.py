@@ -184,7 +184,7 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "quality", rows: int =
             codes = [pooled(t.as_py(), table).astype(np.float32).tobytes() for t in b.column(2)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3).cast(pa.int32()), pa.array(codes, pa.binary())], ["key", "label", "rest", "code"])
 
-    found = labelled(docs, labels, column, rows).mapInArrow(pool, "key long, label int, rest int, code binary").toPandas()
+    found = labelled(docs, labels, column, rows).withColumn("t", F.col("t").cast("binary")).mapInArrow(pool, "key long, label int, rest int, code binary").toPandas()
     found = found.sort_values(["key", "code"], kind="stable")
     x = np.frombuffer(b"".join(found["code"]), dtype=np.float32).reshape(-1, 2 * DIM).astype(np.float64)
     return Model(table, train(x, found["label"].to_numpy(np.float64), found["rest"].to_numpy() == 0))

@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from usagelens.llm import exact_dedup, licenses, main_text, mixing, pieces, quality, simhash, sql, toxicity, url_filter
+from usagelens.llm import ann, exact_dedup, licenses, main_text, mixing, pieces, quality, simhash, sql, toxicity, url_filter
 
 #: Fixed by contract: (host, path, verdict).
 URL_RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
@@ -64,7 +65,12 @@ def op9_main_text(spark: SparkSession, folder: str) -> DataFrame:
     return main_text.extract(table(spark, folder, "pages"))
 
 
-_OPERATORS = (op1_licenses, op2_pieces, op3_exact_dedup, op4_url_filter, op5_toxicity, op6_quality, op7_simhash, op8_mixing, op9_main_text)
+def op10_nearest(spark: SparkSession, folder: str) -> DataFrame:
+    return ann.nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+_OPERATORS = (op1_licenses, op2_pieces, op3_exact_dedup, op4_url_filter, op5_toxicity, op6_quality, op7_simhash, op8_mixing, op9_main_text,
+              op10_nearest)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -21,7 +21,7 @@ def labelled(docs: DataFrame, labels: DataFrame, column: str, rows: int, id_col:
         F.max(F.col(column)).cast("int").alias("label"))
     key = F.xxhash64(F.col("doc_id"), F.lit("sample"))
     chosen = ids.withColumn("key", key).orderBy("key").limit(rows).withColumnRenamed("doc_id", "_id")
-    return docs.select(F.col(id_col).cast("long").alias("_id"), text_of(F.col(text_col)).cast("binary").alias("t")).join(
+    return docs.select(F.col(id_col).cast("long").alias("_id"), text_of(F.col(text_col)).alias("t")).join(
         F.broadcast(chosen), "_id").select("key", "label", "t", F.pmod(F.col("key"), F.lit(10)).alias("rest"))
 
 
