@@ -90,9 +90,9 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
         run, "doc_id long, ids array<int>, decoded string")
 
 
-def digests(encoded: DataFrame) -> DataFrame:
-    """n_tokens and the digests of ids and decoded text."""
+def digests(encoded: DataFrame, *more: str) -> DataFrame:
+    """n_tokens and the digests of ids and decoded text; `more` columns come along."""
     return encoded.select(
-        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        "doc_id", *more, F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")).cast("binary"), 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))

@@ -104,17 +104,19 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", rows: int = T
     return Model(body["place"].to_numpy(np.int32), body["weight"].to_numpy(np.float32), float(bias.iloc[0]) if len(bias) else 0.0)
 
 
+def _score(text: str, bias: float, table: np.ndarray) -> float:
+    places = features(text)
+    places = np.unique(places[table[places] != 0])
+    return float(sigmoid(bias + float(table[places].sum(dtype=np.float64))))
+
+
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, score (0 to 1), predicted of every row; a null text scores as an empty one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = model.dense()
         for b in batches:
-            scores = []
-            for t in b.column(1):
-                places = features(t.as_py())
-                places = np.unique(places[table[places] != 0])
-                scores.append(float(sigmoid(model.bias + float(table[places].sum(dtype=np.float64)))))
+            scores = [_score(t.as_py(), model.bias, table) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64())], ["doc_id", "score"])
 
     scored = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(F.col(text_col)).alias("t")).mapInArrow(run, "doc_id long, score double")
@@ -126,17 +128,11 @@ def clean_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRES
 
     Rows are judged in place, so nothing is joined and repeated ids do no harm.
     """
-    model = fit(docs, labels)
-    columns = docs.columns
+    model, at = fit(docs, labels), docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = model.dense()
         for b in batches:
-            keep = []
-            for t in b.column(len(columns)):
-                places = features(t.as_py())
-                places = np.unique(places[table[places] != 0])
-                keep.append(float(sigmoid(model.bias + float(table[places].sum(dtype=np.float64)))) < threshold)
-            yield b.select(range(len(columns))).filter(pa.array(keep, pa.bool_()))
-
-    return docs.select(*[F.col(f"`{c}`") for c in columns], text_of(F.col("text")).alias("_whole")).mapInArrow(run, docs.schema)
+            yield b.filter(pa.array([_score(t.as_py() or "", model.bias, table) < threshold for t in b.column(at)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
