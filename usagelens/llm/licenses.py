@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from usagelens.llm.common import lower_ascii, text_of
+from usagelens.session import materialise
 
 K, GAP, COVER = 3, 3, 0.8
 MOST_RUNS, MOST_WORDS = 100_000, 60
@@ -111,7 +112,7 @@ def scan(docs: DataFrame, templates: tuple[Template, ...] = BASE + NOTICES, id_c
     of a span, 1 for an exact occurrence, 0 without any. Null and empty texts
     have no words and no labels. Repeated rows get equal results, each of its own.
     """
-    voted = votes(docs, templates, id_col, text_col)
+    voted = materialise(votes(docs, templates, id_col, text_col), "license-votes")  # hits only; read by both ways below
     exact = F.col("base") & (F.bit_count("offsets") == F.col("runs"))
     places = voted.filter(exact).select("doc_id", "_text", "label", F.col("diagonal").alias("start"), F.lit(1.0).alias("coverage"), F.lit(True).alias("base"))
     found = places.unionByName(spans(voted).select("doc_id", "_text", "label", "start", "coverage", F.lit(False).alias("base")))
