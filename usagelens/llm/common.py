@@ -10,8 +10,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: A word of running text: anything between ASCII white space.
-SPACED_WORD = "[^\\x20\\x09-\\x0D]+"
 SALTS = 16
 
 
@@ -38,6 +36,19 @@ def salt_of(*columns: Column, salts: int = SALTS) -> Column:
     return F.pmod(F.xxhash64(*columns), F.lit(salts)).cast("int")
 
 
+def semi_by_id(docs: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
+    """Rows of `docs` whose doc_id is (or with left_anti: is not) in the one column of `ids`; null ids are equal. Names can't clash."""
+    other = unused(docs, "_wanted")
+    return docs.join(ids.toDF(other), F.col("doc_id").eqNullSafe(F.col(other)), how)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """`name`, made longer until `df` has no such column."""
+    while name.lower() in (c.lower() for c in df.columns):
+        name += "_"
+    return name
+
+
 def attach_by_key(rows: DataFrame, table: DataFrame, key: str, row_id: str, salts: int = SALTS) -> DataFrame:
     """Join `table` (one row per `key`) to `rows` where one key may hold a large share of the rows.
 

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from usagelens.llm.common import attach_by_key, lower_ascii, salt_of, text_of
+from usagelens.llm.common import attach_by_key, lower_ascii, salt_of, semi_by_id, text_of, unused
 from usagelens.llm.cuckoo import CuckooFilter
 from usagelens.session import materialise
 
@@ -146,12 +146,13 @@ def kept_documents(docs: DataFrame) -> DataFrame:
     """
     index = build(digests(docs))
     judged = materialise(_judged(index).select("doc_id", "digest", "kept"), "dedup-kept")
-    shared = materialise(index.live.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("_id")), "dedup-shared")
-    kept = judged.filter("kept").select(F.col("doc_id").alias("_kept"), F.col("digest").alias("_digest"))
-    same_id, same_kept = F.col("doc_id").eqNullSafe(F.col("_id")), F.col("doc_id").eqNullSafe(F.col("_kept"))
+    shared = materialise(index.live.groupBy("doc_id").count().filter("count > 1").select("doc_id"), "dedup-shared")
+    kept = judged.filter("kept")
     if shared.isEmpty():
-        return docs.join(kept.drop("_digest"), same_kept, "left_semi")
-    several = docs.join(shared, same_id, "left_semi").withColumn(
-        "_own", F.unhex(F.sha2(lower_ascii(text_of(F.col("text"))).cast("binary"), 256)))
-    several = several.join(kept, same_kept & (F.col("_own") == F.col("_digest")), "left_semi").dropDuplicates(["doc_id", "_own"])
-    return docs.join(shared, same_id, "left_anti").join(kept.drop("_digest"), same_kept, "left_semi").unionByName(several.drop("_own"))
+        return semi_by_id(docs, kept.select("doc_id"))
+    own, wanted = unused(docs, "_own"), unused(docs, "_digest")
+    several = semi_by_id(docs, shared).withColumn(own, F.unhex(F.sha2(lower_ascii(text_of(F.col("text"))).cast("binary"), 256)))
+    wanted_id = unused(docs, "_wanted")
+    several = several.join(kept.select(F.col("doc_id").alias(wanted_id), F.col("digest").alias(wanted)),
+                           F.col("doc_id").eqNullSafe(F.col(wanted_id)) & (F.col(own) == F.col(wanted)), "left_semi").dropDuplicates(["doc_id", own])
+    return semi_by_id(semi_by_id(docs, shared, "left_anti"), kept.select("doc_id")).unionByName(several.drop(own))

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from usagelens.llm.common import SPACED_WORD, prefix_before, text_of
+from usagelens.llm.common import prefix_before, text_of, unused
 from usagelens.session import materialise
 
 WEIGHTS = (3.0, 1.0, 2.0)
@@ -96,6 +96,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     Repeated rows of one id are told apart by nothing, so each takes the largest
     number of copies among them.
     """
-    taken = mix(docs, **options).groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_copies")).filter("_copies > 0")
-    return docs.join(taken, F.col("doc_id").eqNullSafe(F.col("_id")), "inner").withColumn(
-        "_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).drop("_id", "_copies", "_copy")
+    wanted, copies, copy = (unused(docs, c) for c in ("_wanted", "_copies", "_copy"))
+    taken = mix(docs, **options).groupBy(F.col("doc_id").alias(wanted)).agg(F.max("copies").alias(copies)).filter(F.col(copies) > 0)
+    return docs.join(taken, F.col("doc_id").eqNullSafe(F.col(wanted)), "inner").withColumn(
+        copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies)))).drop(wanted, copies, copy)

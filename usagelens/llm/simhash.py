@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from usagelens.llm.common import attach_by_key, text_of
+from usagelens.llm.common import attach_by_key, semi_by_id, text_of
 from usagelens.llm.components import connected_components
 from usagelens.session import materialise
 
@@ -199,6 +199,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def representatives(docs: DataFrame) -> DataFrame:
-    """The documents whose id is their component's, with their own columns (rows that share such an id all stay)."""
-    kept = near_duplicates(docs).filter("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col("doc_id") == F.col("_kept"), "left_semi")
+    """The documents whose id is their component's, with their own columns.
+
+    Rows that share such an id all stay, and so does a document without id that
+    is linked to none with one.
+    """
+    kept = near_duplicates(docs).filter("doc_id <=> component_id").select("doc_id").distinct()
+    return semi_by_id(docs, kept)
