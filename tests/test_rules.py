@@ -1,9 +1,11 @@
 import random
 import re
+from collections import Counter
 
 from pyspark.sql import functions as F
 
 from usagelens.catalog import projections as p
+from usagelens.config import RuleConfig
 from usagelens.functions.text import collapse_whitespace
 from usagelens.operators import rules as r
 from usagelens.plans.jobs import Store, ensure_rule_scan, run_rule_scan
@@ -54,9 +56,8 @@ def test_scan_equals_brute_force(spark):
     texts = {x["id"]: x["n"] for x in messages.select("id", collapse_whitespace(F.col("t")).alias("n")).collect()}
     want = brute_force(listed, texts)
     assert len(want) > 1000
-    for limit in (50_000, 1):  # broadcast rules, and the shuffled path
-        found = r.scan_messages(messages, rules, ["id"], "t", broadcast_rules=limit)
-        assert sorted(tuple(x) for x in found.select("id", "company_rule_id", "start", "matched_text").collect()) == want
+    found = r.scan_messages(messages, rules, ["id"], "t")
+    assert sorted(tuple(x) for x in found.select("id", "company_rule_id", "start", "matched_text").collect()) == want
 
 
 def test_rules_of_whole_tables_equal_brute_force(spark, folder):
@@ -131,3 +132,26 @@ def test_rule_configuration(tmp_path):
     assert (made.category("t", "a"), made.category("t", "mail"), made.category("u", "a")) == ("secret", "pii", "secret")
     assert (made.severity("t", "a"), made.severity("t", "mail"), made.severity("t", "b")) == ("high", "critical", "medium")
     assert made.department_keywords == {"x": ["y"]}
+
+
+def test_case_partners_blanks_and_shared_values(spark):
+    rows = spark.createDataFrame([("1", "customer 5"), ("2", "kilo"), ("3", "\u00a0lead"), ("4", "k\u0131lo"), ("5", "\u6771\u4eac"), ("6", "\u03c3\u03bf\u03c6\u03cc\u03c2"),
+                                  ("7", "x"), ("8", "kilo"), ("9", "a b")], "id string, company_name string")
+    rules = r.build_rules("customers", rows, RuleConfig(table_fields={"customers": {"company_name": "high"}}))
+    texts = ["a cu\u017ftomer 5 b", "k\u0131lo", "\u212aILO", "my lead", "in \u6771\u4eac now", "\u03a3\u039f\u03a6\u038c\u03a3 x", "X-ray a-B", "K\u0130LO kilo"]
+    messages = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    got = Counter((x.id, x.company_rule_id.split(":")[1]) for x in r.scan_messages(messages, rules, ["id"], "t").collect())
+    listed = {x.rule_id.split(":")[1]: x.pattern for x in rules.collect()}
+    want = Counter()
+    for n, text in enumerate(texts):
+        for rule, pattern in listed.items():
+            hits = spark.range(1).select(F.size(F.regexp_extract_all(F.lit(text), F.lit("(?iU)" + pattern), F.lit(0))).alias("n")).first().n
+            if hits:
+                want[n, rule] = hits
+    assert got == want and {(0, "1"), (3, "3"), (4, "5"), (1, "2"), (1, "8")} <= set(got)
+
+
+def test_json_cells_keep_the_order_of_the_text(spark):
+    deep = "[" * 40 + '{"z": true, "a": {"b": [null, 1.5, "x"]}}' + "]" * 40
+    got = spark.createDataFrame([(deep,), ("",), ("{bad",)], "x string").select(r.json_scalars(F.col("x")).alias("v")).collect()
+    assert [x.v for x in got] == [["z", "True", "a", "b", "1.5", "x"], [], ["{bad"]]

@@ -110,7 +110,7 @@ findings AS (
   SELECT chat_id, ts, analyzer, pattern, category, severity, confidence,
     CAST(list_sum(list_transform(ps[1:i], lambda x: length(x)))
       + coalesce(list_sum(list_transform(ms[1:i-1], lambda x: length(x))), 0) AS BIGINT) AS start,
-    ms[i] AS match, CASE WHEN analyzer = 'slopsquatting' THEN gs[i] ELSE substr(gs[i], 1, 50) END AS matched_text,
+    ms[i] AS match, CASE WHEN analyzer = 'slopsquatting' THEN gs[i] ELSE substr(gs[i], 1, 50) END AS matched_text, sha256(gs[i]) AS match_hash,
     CASE WHEN analyzer = 'slopsquatting' THEN 'Potential slopsquatting: ' || gs[i] ELSE title END AS title,
     CASE analyzer WHEN 'pii' THEN 'pii' WHEN 'slopsquatting' THEN 'slopsquat' ELSE 'secret' END AS type, user_text,
     sha1(concat_ws('|', CAST(chat_id AS VARCHAR), analyzer, pattern, CAST(

@@ -18,7 +18,7 @@ from usagelens.operators.rules import build_all_rules, company_matches
 from usagelens.operators.tables import run_row
 from usagelens.operators.verdicts import COMPLEXITY, complexity_findings, insights, parse_verdicts
 from usagelens.plans.security import report_findings
-from usagelens.session import materialise, spread
+from usagelens.session import materialise
 
 RUN_ID = "run-1"
 AS_OF = "2024-02-01 00:00:00"
@@ -75,7 +75,7 @@ _MENTION = """
 
 def chats(spark: SparkSession, folder: str) -> DataFrame:
     """Messages from `documents`, with cleaned text and hash."""
-    cleaned = spread(message_columns(table(spark, folder, "documents"))).withColumn(
+    cleaned = message_columns(table(spark, folder, "documents")).withColumn(
         "user_text_clean", clean_user_text(F.col("user_text")))
     return cleaned.withColumn("user_text_hash", content_hash(F.col("user_text_clean")))
 

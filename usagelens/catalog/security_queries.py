@@ -144,7 +144,7 @@ for _dim, _key in (("model", "model"), ("provider", "provider"), ("department",
     _slopsquat(_dim, _key)
 
 
-@query("duplicate_secrets", _F + """SELECT sha256(matched_text) AS secret_hash, 'security_leak' AS category,
+@query("duplicate_secrets", _F + """SELECT match_hash AS secret_hash, 'security_leak' AS category,
     strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first_detected, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_detected,
     count(DISTINCT provider) AS providers, count(DISTINCT conversation_id) AS affected_users,
     count(DISTINCT message_id) AS affected_sessions,

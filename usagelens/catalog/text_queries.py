@@ -10,7 +10,6 @@ from usagelens.catalog.registry import query
 from usagelens.functions import text as t
 from usagelens.functions.similarity import ngram_cosine
 from usagelens.operators import detect, packages, rows, vectors
-from usagelens.session import spread
 
 _C = f"WITH {CHATS} "
 
@@ -40,13 +39,13 @@ def rows_per_first_column(spark, folder):
 
 @query("html_text", r"""SELECT page_id, trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')) AS text FROM pages""")
 def html_text(spark, folder):
-    return spread(p.table(spark, folder, "pages")).select("page_id", t.html_text(F.col("html")).alias("text"))
+    return p.table(spark, folder, "pages").select("page_id", t.html_text(F.col("html")).alias("text"))
 
 
 @query("html_preview", r"""SELECT page_id, substr(trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')), 1, 5000) AS text FROM pages""")
 def html_preview(spark, folder):
     """The first 5000 characters of the text, the feature's own limit."""
-    return spread(p.table(spark, folder, "pages")).select("page_id", t.html_text(F.col("html"), 5000).alias("text"))
+    return p.table(spark, folder, "pages").select("page_id", t.html_text(F.col("html"), 5000).alias("text"))
 
 
 @query("word_counts", r"""SELECT conv_id, turn, len(regexp_extract_all(translate(text, 'ÄÇÈÉÊÍÑÓÖÜßäçèéêíñóöü', 'ACEEEINOOUsaceeeinoou'),

@@ -77,18 +77,26 @@ def pseudonym(value: Column) -> Column:
     return F.concat(F.substring(F.sha2(value.cast("string"), 256), 1, 12), F.lit("-hash"))
 
 
-def parse_timestamp(value: Column, numbers: bool = True) -> Column:
-    """A timestamp from an ISO string or, if allowed, epoch milliseconds; else null.
+def parse_iso(text: Column) -> Column:
+    """A timestamp from an ISO string, extended or compact; else null.
 
     Strings without an offset are read in the session zone, which is UTC.
     """
-    text = F.trim(value.cast("string"))
-    iso = F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}"), F.try_to_timestamp(text))
-    if not numbers:
-        return iso
-    number = F.when(text.rlike(r"^-?\d+(\.\d+)?([eE][+-]?\d+)?$"), text.try_cast("double"))
-    millis = F.timestamp_micros((number * 1000).cast("bigint"))
-    return F.coalesce(millis, iso)
+    spread = F.regexp_replace(text, r"^(\d{4})(\d{2})(\d{2})(?=$|[T ])", "$1-$2-$3")
+    spread = F.regexp_replace(spread, r"(?<=^\d{4}-\d{2}-\d{2}[T ])(\d{2})(\d{2})(\d{2})?(?=$|[.Z+-])", "$1:$2:$3")
+    spread = F.regexp_replace(spread, r"(?<=[T ]\d{2}:\d{2}):(?=$|[Z+-])", ":00")
+    return F.when(spread.rlike(r"^\d{4}-\d{2}-\d{2}([T ]\d{2}.*)?$"), F.try_to_timestamp(spread))
+
+
+def parse_timestamp(value: Column) -> Column:
+    """A timestamp from a VARIANT: a number is epoch milliseconds, a string is ISO; else null.
+
+    The JSON type decides, so a string of digits is a date or nothing.
+    """
+    kind = F.schema_of_variant(value)
+    number = F.when(kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT|INT)"), F.try_variant_get(value, "$", "double"))
+    text = F.when(kind == "STRING", F.try_variant_get(value, "$", "string"))
+    return F.coalesce(F.timestamp_micros((number * 1000).cast("bigint")), parse_iso(text))
 
 
 # ------------------------------------------------------------ classification
@@ -170,9 +178,11 @@ def strip_code_fence(text: Column) -> Column:
     return F.when(text.rlike(r"(?s)^\s*```"), F.when(inner != "", inner).otherwise(text)).otherwise(strip(text))
 
 
-def prompt_lines(text: Column, position: Column, limit: int = 2000) -> Column:
-    """A numbered line with the text cut to `limit` characters, as scorers receive it."""
-    return F.concat(F.lit("["), position.cast("string"), F.lit("] "), F.substring(text, 1, limit))
+def prompt_lines(text: Column, position: Column, size: int = 2000) -> Column:
+    """The message's numbered lines, as scorers receive them: parts of `size` characters that together are the whole text."""
+    last = F.greatest(F.ceil(F.length(text) / size).cast("int"), F.lit(1))
+    return F.transform(F.sequence(F.lit(1), last), lambda part: F.concat(
+        F.lit("["), position.cast("string"), F.lit("] "), F.substring(text, (part - 1) * size + 1, F.lit(size))))
 
 
 # --------------------------------------------------------- content of blocks

@@ -30,13 +30,13 @@ def _gated_matches(detector: Detector, text: Column, lower: Column) -> Column:
 
 
 def explode_matches(hits: DataFrame, text: str, pattern: str, keep: list[str], values: Column | None = None) -> DataFrame:
-    """One row per element of `matches`: the kept columns, `start`, `match` and `value`.
+    """One row per element of `matches`: the kept columns, `start`, `match`, `value` and `snippet`.
 
     `pattern` names the column that holds the expression. The text between
     matches is what `split` leaves, so a match starts after all pieces up to
-    its own and all earlier matches. Sums run over blocks of matches, so the
-    work stays far below quadratic for texts with very many of them. Patterns
-    must not match the empty string.
+    its own and all earlier matches; sums run over blocks of matches. Finished
+    structs are exploded: neither the text nor the arrays travel with each
+    match. Patterns must not match the empty string.
     """
     pieces = F.expr(f"split(`{text}`, `{pattern}`, -1)")
     hits = hits.withColumn("_value", values if values is not None else F.col("matches"))
@@ -48,12 +48,18 @@ def explode_matches(hits: DataFrame, text: str, pattern: str, keep: list[str], v
         F.sequence(F.lit(0), last_block), lambda b: _total(F.slice("_spans", b * _BLOCK + 1, F.lit(_BLOCK)))))
     hits = hits.withColumn("_starts", F.transform(
         F.sequence(F.lit(0), F.size("_blocks") - 1), lambda b: _total(F.slice("_blocks", F.lit(1), b))))
-    rows = hits.select(*keep, "_spans", "_gaps", "_starts", F.posexplode(F.arrays_zip(
-        F.col("matches").alias("match"), F.col("_value").alias("value"))).alias("_at", "_m"))
-    block = F.floor(F.col("_at") / _BLOCK).cast("int")
-    start = F.element_at("_starts", block + 1) + _total(
-        F.slice("_spans", block * _BLOCK + 1, F.col("_at") % _BLOCK)) + F.element_at("_gaps", F.col("_at") + 1)
-    return rows.select(*keep, start.alias("start"), "_m.match", "_m.value")
+
+    def begin(at: Column) -> Column:
+        block = F.floor(at / _BLOCK).cast("int")
+        return F.element_at("_starts", block + 1) + _total(
+            F.slice("_spans", block * _BLOCK + 1, at % _BLOCK)) + F.element_at("_gaps", at + 1)
+
+    found = F.transform("matches", lambda m, at: F.struct(
+        begin(at).alias("start"), m.alias("match"), F.element_at("_value", at + 1).alias("value")))
+    hits = hits.withColumn("_found", found)
+    return hits.select(*keep, F.inline(F.transform("_found", lambda f: F.struct(
+        f["start"].alias("start"), f["match"].alias("match"), f["value"].alias("value"),
+        context(F.col(text), f["start"], F.length(f["match"])).alias("snippet")))))
 
 
 def _total(numbers: Column) -> Column:
@@ -73,7 +79,8 @@ def detect(messages: DataFrame, id_col: str = "chat_id", text_col: str = "user_t
     """One row per match of any detector; `keep` names message columns to carry along.
 
     Give the raw text to find what cleaning would remove, or the cleaned text
-    to look at what is left after it.
+    to look at what is left after it. `matched_text` is for display, at most 50
+    characters of a secret; `match_hash` stands for the whole value.
     """
     detectors = list(detectors)
     carried = [id_col, *keep]
@@ -89,7 +96,7 @@ def detect(messages: DataFrame, id_col: str = "chat_id", text_col: str = "user_t
     hits = base.select(*carried, "_text", F.inline(F.filter(found, lambda h: F.size(h["matches"]) > 0)))
     shown = F.when(F.col("_group") == 0, F.col("matches")).otherwise(F.expr("regexp_extract_all(_text, _regex, 1)"))
     rows = explode_matches(hits, "_text", "_regex", [
-        *carried, "_text", "analyzer", "pattern", "category", "severity", "title", "confidence"], shown)
+        *carried, "analyzer", "pattern", "category", "severity", "title", "confidence"], shown)
     package = F.col("analyzer") == "slopsquatting"
     return rows.select(
         F.sha1(F.concat_ws("|", F.col(id_col).cast("string"), "analyzer", "pattern",
@@ -100,8 +107,7 @@ def detect(messages: DataFrame, id_col: str = "chat_id", text_col: str = "user_t
         F.when(package, F.col("title")).otherwise(F.concat(F.lit("Pattern: "), "pattern")).alias("detail"),
         "start",
         F.when(package, F.col("value")).otherwise(F.substring("value", 1, 50)).alias("matched_text"),
-        context(F.col("_text"), F.col("start"), F.length("match")).alias("snippet"),
-        "confidence")
+        F.sha2("value", 256).alias("match_hash"), "snippet", "confidence")
 
 
 def finding_type(analyzer: Column) -> Column:
@@ -143,13 +149,14 @@ def extract_packages(documents: DataFrame, id_col: str, text_col: str, lang: str
 
     Names come in order of appearance, each once; relative module paths are left
     out. Without a given language the one with more import statements is taken,
-    Python on a tie; with any other language both kinds count.
+    Python on a tie; with any other language both kinds count. Lines end at
+    line feeds only.
     """
     text = F.col(text_col)
     found = once(
         documents.select(id_col, text_col),
-        _python=F.regexp_extract_all(text, F.lit(unicode_pattern(config.PYTHON_IMPORT_PATTERN)), F.lit(1)),
-        _node=F.regexp_extract_all(text, F.lit(unicode_pattern(config.NODE_IMPORT_PATTERN)), F.lit(1)))
+        _python=F.regexp_extract_all(text, F.lit("(?d)" + unicode_pattern(config.PYTHON_IMPORT_PATTERN)), F.lit(1)),
+        _node=F.regexp_extract_all(text, F.lit("(?d)" + unicode_pattern(config.NODE_IMPORT_PATTERN)), F.lit(1)))
     chosen = F.lit(lang) if lang else F.when(F.size("_python") >= F.size("_node"), "python").otherwise("node")
     node = F.filter("_node", lambda m: ~m.startswith("."))
     names = (F.when(F.col("language") == "python", F.col("_python")).when(F.col("language") == "node", node)

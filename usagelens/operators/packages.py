@@ -30,11 +30,16 @@ def count_by_ecosystem(packages: DataFrame) -> DataFrame:
 
 
 def from_registry_feed(items: DataFrame, ecosystem: str) -> DataFrame:
-    """Dictionary rows of landed registry items; counts default to 0, descriptions are cut to 500."""
+    """Dictionary rows of landed registry items; counts default to 0."""
     return items.filter(F.coalesce("name", F.lit("")) != "").select(
         "name", F.lit(ecosystem).alias("ecosystem"), F.coalesce("downloads", F.lit(0)).cast("bigint").alias("downloads"),
         F.coalesce("dependent_packages_count", F.lit(0)).cast("bigint").alias("dependent_packages_count"),
-        F.substring("description", 1, 500).alias("description"), "repository_url")
+        "description", "repository_url")
+
+
+def listed(packages: DataFrame) -> DataFrame:
+    """Dictionary rows as the listing shows them, descriptions cut to 500 characters."""
+    return packages.withColumn("description", F.substring("description", 1, 500))
 
 
 # --------------------------------------------------------------- look-alikes

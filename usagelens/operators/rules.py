@@ -8,18 +8,19 @@ meet in an equality join on short keys and only survivors run the expression.
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from usagelens import config
 from usagelens.config import RuleConfig
 from usagelens.functions.text import collapse_whitespace, infer_department, severity_name, severity_rank, stable_id
-from usagelens.operators.detect import context, explode_matches
-from usagelens.session import once, within_rows
+from usagelens.operators.detect import explode_matches
+from usagelens.session import once
 
 KEY_CHARS = 32
-GATE_CHARS = 3
-BROADCAST_RULES = 50_000
 
 
 # ---------------------------------------------------------------- rule build
@@ -57,38 +58,43 @@ def _as_replacement(text: Column) -> Column:
     return F.regexp_replace(text, r"([\\$])", r"\\$1")
 
 
-def json_scalars(raw: Column, depth: int = 6) -> Column:
-    """All keys and leaf values of a JSON text; the text itself when it is not JSON.
-
-    Walks `depth` levels, which the call states explicitly; deeper parts come
-    out as one JSON text so that nothing is lost.
+def _scalars(raw: str | None) -> list[str]:
+    """Keys and leaves in the file's order, at any depth, without recursion of our own."""
+    if not raw:
+        return []
+    try:
+        waiting = [json.loads(raw)]
+    except (ValueError, RecursionError):
+        return [raw]
+    out = []
+    while waiting:
+        node = waiting.pop()
+        if isinstance(node, dict):
+            for key, value in reversed(node.items()):
+                waiting += [value, str(key)]
+        elif isinstance(node, list):
+            waiting += reversed(node)
+        elif node is not None:
+            out.append(str(node))
+    return [v for v in out if v.strip()]
+
+
+def json_scalars(raw: Column) -> Column:
+    """All keys and leaf values of a JSON text, at any depth; the text itself when it is not JSON.
+
+    Keys come in the order of the text, which VARIANT does not keep; only JSON
+    cells of company tables pass here.
     """
-    return F.filter(_walk(F.try_parse_json(raw), raw, depth), lambda s: F.trim(s) != "")
-
 
-def _walk(node: Column, raw: Column, depth: int) -> Column:
-    scalar = F.try_variant_get(node, "$", "string")
-    if depth == 0:
-        return F.array(scalar)
-    kind = F.schema_of_variant(node)
-    fields = F.map_entries(F.try_variant_get(node, "$", "map<string,variant>"))
-    below = F.flatten(F.transform(
-        fields, lambda e: F.concat(F.array(e["key"]), _walk_inner(e["value"], depth - 1))))
-    items = F.flatten(F.transform(
-        F.try_variant_get(node, "$", "array<variant>"), lambda v: _walk_inner(v, depth - 1)))
-    return (F.when(node.isNull(), F.array(raw))
-            .when(kind.startswith("OBJECT"), below)
-            .when(kind.startswith("ARRAY"), items)
-            .otherwise(F.array(F.when(kind == "BOOLEAN", F.initcap(scalar)).otherwise(scalar))))
+    @F.pandas_udf("array<string>")
+    def walk(cells: pd.Series) -> pd.Series:
+        return cells.map(_scalars)
 
-
-def _walk_inner(node: Column, depth: int) -> Column:
-    none = F.array().cast("array<string>")
-    return F.when(F.is_variant_null(node), none).otherwise(_walk(node, F.lit(None).cast("string"), depth))
+    return walk(raw)
 
 
 def build_rules(table: str, rows: DataFrame, rules: RuleConfig = config.DEFAULT_RULE_CONFIG, id_col: str = "id",
-                legacy_separators: bool = False, json_depth: int = 6) -> DataFrame:
+                legacy_separators: bool = False) -> DataFrame:
     """One rule per non-empty configured cell of a company table, one per scalar of JSON cells."""
     types = dict(rows.dtypes)
     fields = [f for f in rules.table_fields.get(table, {}) if f in types]
@@ -96,7 +102,7 @@ def build_rules(table: str, rows: DataFrame, rules: RuleConfig = config.DEFAULT_
     for name in fields:
         text = F.col(name).cast("string")
         numeric = types[name].startswith(("decimal", "double", "float"))
-        values = json_scalars(text, json_depth) if name in rules.json_fields else F.array(text)
+        values = json_scalars(text) if name in rules.json_fields else F.array(text)
         cells.append(F.struct(
             F.lit(name).alias("source_field"), F.lit(rules.category(table, name)).alias("category"),
             F.lit(rules.severity(table, name)).alias("severity"), F.lit(name in rules.json_fields).alias("is_json"),
@@ -127,119 +133,121 @@ def build_all_rules(tables: dict[str, DataFrame], rules: RuleConfig = config.DEF
 
 
 # ----------------------------------------------------------------- rule scan
+#: Letters outside ASCII that equal an ASCII letter when case is ignored, and final sigma.
+_PARTNERS = ("\u017f\u0131\u0130\u212a\u03c2", "siik\u03c3")
+_GRAM = 3
+
+
+def _fold(text: Column) -> Column:
+    return F.lower(F.translate(text, *_PARTNERS))
+
+
 def _tokens(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
+    return F.regexp_extract_all(text, F.lit("[a-z0-9]+"), F.lit(0))
+
 
+def _patterns(rules: DataFrame) -> DataFrame:
+    """Distinct expressions of active rules with their compact key and how many message tokens it may span.
 
-def _keyed(rules: DataFrame) -> DataFrame:
-    """Active rules with the compact key and how many message tokens it may span."""
-    compact = F.array_join(_tokens(F.col("value")), "")
-    number = F.regexp_replace(F.regexp_replace(F.col("value"), r"\.0+$", ""), "[^0-9]", "")
+    Rules of equal value (the segment of every customer, say) share one
+    expression, which is matched once per message and expanded to rules last.
+    A value with a case partner of an ASCII letter has a key for either reading.
+    """
+    value = collapse_whitespace(F.col("value"))
+    tokens = F.col("_part")
+    number = F.regexp_replace(F.regexp_replace(value, r"\.0+$", ""), "[^0-9]", "")
     digits = F.col("pattern").contains(r"[\s,._-]*")
-    return rules.filter("active").select(
-        "*", F.when(digits, number).otherwise(compact).alias("_compact"),
-        F.when(digits, F.length(number)).otherwise(F.size(_tokens(F.col("value")))).alias("_span"))
+    parts = F.array_distinct(F.array(_tokens(F.lower(value)), _tokens(_fold(value))))
+    return rules.filter("active").withColumn("_part", F.explode(parts)).select(
+        "pattern", F.when(digits, number).otherwise(F.array_join(tokens, "")).alias("_compact"),
+        F.when(digits, F.length(number)).otherwise(F.size(tokens)).alias("_span"), _fold(value).alias("_folded")).distinct()
 
 
-def _candidates(messages: DataFrame, keyed: DataFrame, message_key: list[str], span: int, gate: int,
-                small: bool) -> DataFrame:
-    """(message columns, rule columns) pairs whose compact keys are equal.
+def _texts_both_ways(texts: DataFrame) -> DataFrame:
+    """Each text lower-cased and, where that differs, with case partners folded as well.
 
-    Positions are first filtered by the rules' leading characters: at most a
-    few ten thousand short strings, so that side is always broadcast.
+    A rule's own letters outside ASCII may be separators to its key, a
+    message's may stand for ASCII letters; so both readings of a message give keys.
     """
-    lead = keyed.select(F.substring("_compact", 1, gate).alias("_lead")).distinct()
-    places = once(messages, _tokens=_tokens(F.col("_text"))).select(*messages.columns, "_tokens", F.posexplode("_tokens").alias("_at", "_first"))
-    start = F.when(F.length("_first") >= gate, F.col("_first")).otherwise(
-        F.array_join(F.slice("_tokens", F.col("_at") + 1, F.lit(gate)), ""))
-    places = places.withColumn("_lead", F.substring(start, 1, gate))
-    places = places.join(F.broadcast(lead), "_lead", "left_semi")
-    widths = places.select("*", F.explode(F.sequence(F.lit(1), F.least(
-        F.lit(span), F.size("_tokens") - F.col("_at")))).alias("_width"))
+    plain, folded = F.lower("_text"), _fold(F.col("_text"))
+    return texts.withColumn("_reading", F.explode(F.array_distinct(F.array(plain, folded))))
+
+
+def _letter_keys(texts: DataFrame, key: list[str], lettered: DataFrame, span: int) -> DataFrame:
+    """(message key, _key): concatenations of whole message tokens that start like a rule.
+
+    Places are gated by the first three characters of the rules' keys, at most
+    36^3 strings, so that side is broadcast; keys of one or two characters are
+    gated as a whole and only meet places whose first token is as short.
+    """
+    leads = lettered.select(F.substring("_compact", 1, _GRAM).alias("_lead")).distinct()
+    places = once(texts.select(*key, "_reading"), _tokens=_tokens(F.col("_reading"))).select(
+        *key, "_tokens", F.posexplode("_tokens").alias("_at", "_first"))
+    start = F.array_join(F.slice("_tokens", F.col("_at") + 1, F.lit(_GRAM)), "")
+    openings = F.array_distinct(F.array_compact(F.array(
+        F.substring(start, 1, _GRAM), F.when(F.length("_first") <= 2, F.substring(start, 1, 2)), F.when(F.length("_first") == 1, F.col("_first")))))
+    places = places.withColumn("_lead", F.explode(openings)).join(F.broadcast(leads), "_lead", "left_semi").drop("_lead")
+    widths = places.select("*", F.explode(F.sequence(F.lit(1), F.least(F.lit(span), F.size("_tokens") - F.col("_at")))).alias("_width"))
     run = F.array_join(F.slice("_tokens", F.col("_at") + 1, F.col("_width")), "")
     shorter = F.array_join(F.slice("_tokens", F.col("_at") + 1, F.col("_width") - 1), "")
-    keys = widths.filter((F.col("_width") == 1) | (F.length(shorter) < KEY_CHARS)).select(
-        *messages.columns, "_at", F.substring(run, 1, KEY_CHARS).alias("_key"))
-    right = keyed.withColumn("_key", F.substring("_compact", 1, KEY_CHARS))
-    if small:
-        return keys.join(F.broadcast(right), "_key")
-    return keys.join(right, "_key").drop("_at").dropDuplicates([*message_key, "rule_id"]).withColumn(
-        "_at", F.lit(None).cast("int"))
+    return widths.filter((F.col("_width") == 1) | (F.length(shorter) < KEY_CHARS)).select(*key, F.substring(run, 1, KEY_CHARS).alias("_key"))
+
+
+def _bare_keys(texts: DataFrame, key: list[str]) -> DataFrame:
+    """(message key, _key): runs of up to three characters that begin outside ASCII letters, digits and blanks."""
+    text = F.col("_reading")
+    starts = F.filter(F.sequence(F.lit(1), F.length(text)), lambda i: F.substring(text, i, F.lit(1)).rlike("[^a-z0-9 ]"))
+    grams = F.flatten(F.transform(starts, lambda i: F.array(*[F.substring(text, i, F.lit(n)) for n in range(1, _GRAM + 1)])))
+    return texts.filter(text.rlike("[^a-z0-9 ]")).select(*key, F.explode(F.array_distinct(grams)).alias("_key"))
 
 
 def scan_messages(messages: DataFrame, rules: DataFrame, message_key: list[str], text_col: str = "user_text_clean",
-                  carry: tuple[str, ...] = (), broadcast_rules: int = BROADCAST_RULES,
-                  derive: dict[str, Column] | None = None) -> DataFrame:
+                  carry: tuple[str, ...] = (), derive: dict[str, Column] | None = None) -> DataFrame:
     """Every match of every active rule in every message, case-insensitively.
 
     `derive` adds columns worked out from carried ones and `_text`, for messages
     with a match only.
 
-    A rule set of checked size is broadcast and the scan needs no shuffle at
-    all. Beyond that size only (message key, rule
-    key) pairs are shuffled and the texts are fetched for the candidates.
+    One plan for all sizes: (message key, key) pairs meet the rules' keys in an
+    equality join whose strategy the measured sizes choose, each candidate
+    expression is verified once per message, and matches are expanded to rules.
     """
-    keyed = _keyed(rules)
-    limits = keyed.agg(
-        F.max(F.least("_span", F.lit(KEY_CHARS))).alias("span"),
-        F.min(F.when(F.length("_compact") > 0, F.length("_compact"))).alias("shortest"),
-        F.count_if(F.length("_compact") == 0).alias("bare")).first()
+    patterns = _patterns(rules)
+    limits = patterns.agg(F.max(F.least("_span", F.lit(KEY_CHARS))).alias("span"),
+                          F.count_if(F.length("_compact") == 0).alias("bare")).first()
     columns = list(dict.fromkeys([*message_key, *carry]))
-    texts = once(messages, _text=collapse_whitespace(F.col(text_col))).select(*columns, "_text").filter(
-        F.col("_text") != "")
-    small = within_rows(keyed, broadcast_rules)
+    texts = once(messages, _text=collapse_whitespace(F.col(text_col))).select(*columns, "_text").filter(F.col("_text") != "")
+    read = _texts_both_ways(texts.select(*message_key, "_text"))
+    lettered = patterns.filter(F.length("_compact") > 0)
     parts = []
     if limits["span"]:
-        lettered = keyed.filter(F.length("_compact") > 0)
-        gate = min(GATE_CHARS, limits["shortest"])
-        source = texts if small else texts.select(*message_key, "_text")
-        pairs = _candidates(source, lettered, message_key, limits["span"], gate, small)
-        if not small:
-            pairs = pairs.drop("_text").join(texts, message_key)
-        parts.append(pairs.drop("_key"))
+        offered = lettered.select("pattern", F.substring("_compact", 1, KEY_CHARS).alias("_key"))
+        parts.append(_letter_keys(read, message_key, lettered, limits["span"]).join(offered, "_key"))
     if limits["bare"]:
-        parts.append(_bare_candidates(texts, keyed.filter(F.length("_compact") == 0)))
-    if not parts:
-        nothing = texts.limit(0).withColumn("_at", F.lit(0)).join(keyed.limit(0), F.lit(False))
-        return _verify(nothing, columns, derive)
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return _verify(out, columns, derive)
-
-
-def _bare_candidates(texts: DataFrame, keyed: DataFrame) -> DataFrame:
-    """Pairs for rules without any ASCII letter or digit: they share the rule's first character."""
-    letters = F.array_distinct(F.split(F.lower("_text"), ""))
-    spread = texts.select("*", F.lit(None).cast("int").alias("_at"), F.explode(letters).alias("_char"))
-    rules = keyed.withColumn("_char", F.substring(F.lower(F.trim("value")), 1, 1))
-    return spread.join(rules, "_char").drop("_char")
+        offered = patterns.filter(F.length("_compact") == 0).select("pattern", F.substring("_folded", 1, _GRAM).alias("_key"))
+        parts.append(_bare_keys(read, message_key).join(offered, "_key"))
+    pairs = texts.select(*message_key).limit(0).withColumn("pattern", F.lit(""))
+    for part in parts:
+        pairs = pairs.unionByName(part.select(*message_key, "pattern"))
+    return _verify(texts.join(pairs.distinct(), message_key), rules, columns, derive)
 
 
-def _verify(pairs: DataFrame, columns: list[str], derive: dict[str, Column] | None = None) -> DataFrame:
+def _verify(pairs: DataFrame, rules: DataFrame, columns: list[str], derive: dict[str, Column] | None = None) -> DataFrame:
     pairs = pairs.withColumn("_regex", F.concat(F.lit("(?iU)"), "pattern"))
     pairs = once(pairs, matches=F.expr("regexp_extract_all(_text, _regex, 0)")).filter(F.size("matches") > 0)
-    # A message may offer a rule at several tokens. The one where the first match starts
-    # speaks for all of them, which takes no shuffle to find out.
-    before = F.expr("element_at(split(_text, _regex, 2), 1)")
-    token_index = F.regexp_count(F.lower(before), F.lit("[a-z0-9]+"))
-    pairs = pairs.filter(F.col("_at").isNull() | (F.col("_at") == token_index))
     for name, value in (derive or {}).items():
         pairs, columns = pairs.withColumn(name, value), [*columns, name]
-    rows = explode_matches(pairs, "_text", "_regex", [
-        *columns, "_text", "rule_id", "label", "category", "severity", "source_table", "source_field"])
-    rows = rows.withColumnRenamed("match", "matched_text")
-    return rows.select(
+    found = explode_matches(pairs, "_text", "_regex", [*columns, "pattern"])
+    known = rules.filter("active").select("pattern", "rule_id", "label", "category", "severity", "source_table", "source_field")
+    return found.join(known, "pattern").select(
         *columns, F.col("rule_id").alias("company_rule_id"), F.col("label").alias("company_label"),
         F.col("category").alias("company_category"), F.col("source_table").alias("company_source_table"),
-        F.col("source_field").alias("company_source_field"), "start", "matched_text",
-        context(F.col("_text"), F.col("start"), F.length("matched_text")).alias("match_context"),
-        "severity", F.lit(1.0).alias("confidence"))
+        F.col("source_field").alias("company_source_field"), "start", F.col("match").alias("matched_text"),
+        F.col("snippet").alias("match_context"), "severity", F.lit(1.0).alias("confidence"))
 
 
 def company_matches(messages: DataFrame, rules: DataFrame, run_id: str, text_col: str = "user_text_clean",
-                    rule_config: RuleConfig = config.DEFAULT_RULE_CONFIG, as_of: Column | None = None,
-                    broadcast_rules: int = BROADCAST_RULES) -> DataFrame:
+                    rule_config: RuleConfig = config.DEFAULT_RULE_CONFIG, as_of: Column | None = None) -> DataFrame:
     """The match table of one run: one row per (message, rule, matched text).
 
     Equal texts matched several times in one message are one row, at the last
@@ -248,7 +256,7 @@ def company_matches(messages: DataFrame, rules: DataFrame, run_id: str, text_col
     key = ["source_file", "conversation_key", "message_id"]
     carry = ("conversation_title", "provider", "model_name", "message_timestamp", "author", "role")
     # The department is read off the title, or the text of a message with a match.
-    found = scan_messages(messages, rules, key, text_col, carry, broadcast_rules, {"department": infer_department(
+    found = scan_messages(messages, rules, key, text_col, carry, {"department": infer_department(
         F.coalesce(F.nullif("conversation_title", F.lit("")), F.col("_text")), rule_config.department_keywords)})
     rest = [c for c in found.columns if c not in (*key, "company_rule_id", "matched_text")]
     one = found.groupBy(*key, "company_rule_id", "matched_text").agg(

@@ -1,38 +1,68 @@
-"""Nearest vectors: a small set of query vectors against a table of any size."""
+"""Nearest vectors: query vectors, in blocks, against a table of any size."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_QUERIES = 10_000
+QUERY_BLOCK = 1_000
+
+
+def _exact(vectors: np.ndarray, queries: np.ndarray, metric: str) -> np.ndarray:
+    if metric == "l2":
+        return np.square(vectors - queries).sum(axis=-1)
+    return -(vectors * queries).sum(axis=-1)
 
 
-def squared_distance(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v)
+def _search(query_ids: list, queries: np.ndarray, k: int, metric: str):
+    """The k nearest of each Arrow batch to each query of a block: a matrix product picks, exact distances decide."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            table = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+            rough = -(queries @ table.T)
+            if metric == "l2":
+                rough = 2 * rough + np.square(table).sum(axis=1) + np.square(queries).sum(axis=1)[:, None]
+            last = min(k, len(ids)) - 1
+            limit = np.partition(rough, last, axis=1)[:, last]
+            q, v = np.nonzero(rough <= (limit + 1e-9 * np.maximum(1.0, np.abs(limit)))[:, None])
+            distance = _exact(table[v], queries[q], metric)
+            order = np.lexsort((ids[v], distance, q))
+            q, v, distance = q[order], v[order], distance[order]
+            near = np.arange(len(q)) - np.searchsorted(q, q) < k
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([query_ids[i] for i in q[near]], pa.int64()), pa.array(ids[v[near]]), pa.array(distance[near])], ["q", "v", "distance"])
 
-def dot_product(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
+    return run
 
 
 def nearest(queries: DataFrame, vectors: DataFrame, k: int, query_id: str = "query_id", query_vec: str = "query",
             id_col: str = "vec_id", vec_col: str = "embedding", metric: str = "l2") -> DataFrame:
-    """The k nearest vectors of every query, by squared distance or dot product.
+    """The k nearest vectors of every query, by squared distance or dot product; ids are integers.
 
-    The queries are few (checked) and travel inside one array to every row, so
-    the table is scanned once and only k rows per query and task are shuffled.
+    Queries go out in blocks of QUERY_BLOCK, one scan of the table each; a task
+    keeps k rows per query and batch, and only those are shuffled.
     """
-    if queries.limit(MAX_QUERIES + 1).count() > MAX_QUERIES:
-        raise ValueError(f"more than {MAX_QUERIES} query vectors; search them in several calls")
-    packed = queries.agg(F.collect_list(F.struct(
-        F.col(query_id).alias(query_id), F.col(query_vec).cast("array<double>").alias("_q"))).alias("q")).scalar()
-    vec = F.col("_v")
-    score = squared_distance(vec, F.col("_q")) if metric == "l2" else -dot_product(vec, F.col("_q"))
-    scored = vectors.select(id_col, F.col(vec_col).cast("array<double>").alias("_v"), F.inline(packed)).select(
-        query_id, id_col, score.alias("distance"))
+    parts = max(1, -(-queries.count() // QUERY_BLOCK))
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(query_id)) - 1
+    placed = queries.select(F.col(query_id).cast("long").alias(query_id), F.col(query_vec).cast("array<double>").alias("_q")).withColumn(
+        "_part", F.pmod(F.xxhash64(query_id), F.lit(parts))).withColumn("_block", F.floor(place / QUERY_BLOCK))
+    source = vectors.select(F.col(id_col).cast("long").alias(id_col), F.col(vec_col).cast("array<double>").alias("_v"))
+    found = source.limit(0).select(F.col(id_col).alias("q"), F.col(id_col).alias("v"), F.lit(0.0).alias("distance"))
+    for block in placed.select("_part", "_block").distinct().orderBy("_part", "_block").collect():
+        asked = placed.filter((F.col("_part") == block["_part"]) & (F.col("_block") == block["_block"])).collect()
+        matrix = np.array([r["_q"] for r in asked], dtype=np.float64)
+        found = found.unionByName(source.mapInArrow(
+            _search([r[query_id] for r in asked], matrix, k, metric), "q long, v long, distance double"))
     order = Window.partitionBy(query_id).orderBy("distance", id_col)
-    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return found.withColumnsRenamed({"q": query_id, "v": id_col}).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
 def centroids(vectors: DataFrame, group_col: str, vec_col: str = "embedding") -> DataFrame:

@@ -29,7 +29,7 @@ def report_findings(findings: DataFrame, chats: DataFrame, department: Column |
         F.col("finding_id").alias("id"), finding_type(F.col("analyzer")).alias("type"), "severity", "category",
         model_family(F.coalesce("model_name", "provider")).alias("model"),
         model_family(F.col("provider")).alias("provider"), F.col("conversation_key").alias("conversation_id"),
-        "message_id", "role", "timestamp", F.col("matched_text").alias("match_value"),
+        "message_id", "role", "timestamp", F.col("matched_text").alias("match_value"), "match_hash",
         F.col("snippet").alias("match_context"), "department", F.lit("open").alias("status"),
         F.lit(None).cast("string").alias("notes"), "confidence")
 
@@ -41,7 +41,7 @@ def from_matches(matches: DataFrame, as_of: Column) -> DataFrame:
         F.col("company_category").alias("category"), model_family(F.coalesce("model_name", "provider")).alias("model"),
         model_family(F.col("provider")).alias("provider"), F.col("conversation_key").alias("conversation_id"),
         "message_id", "role", F.coalesce("message_timestamp", as_of).alias("timestamp"),
-        F.col("matched_text").alias("match_value"), "match_context", "department", F.lit("open").alias("status"),
+        F.col("matched_text").alias("match_value"), F.sha2("matched_text", 256).alias("match_hash"), "match_context", "department", F.lit("open").alias("status"),
         F.lit(None).cast("string").alias("notes"), "confidence")
 
 
@@ -101,7 +101,7 @@ def duplicate_secrets(findings: DataFrame, min_providers: int = 2, min_users: in
     before the distinct counts, so one value in very many rows is no hot group.
     """
     secrets = findings.filter(F.col("type") == "secret").select(
-        F.sha2("match_value", 256).alias("secret_hash"), "category", "provider", "conversation_id", "message_id",
+        F.col("match_hash").alias("secret_hash"), "category", "provider", "conversation_id", "message_id",
         "department", "timestamp")
     small = secrets.groupBy(
         "secret_hash", "provider", "conversation_id", "message_id", "department").agg(
@@ -177,9 +177,9 @@ def alert_stats(alerts_frame: DataFrame) -> DataFrame:
 
 
 def recent_leaks(findings: DataFrame, limit: int = 20) -> DataFrame:
-    """The newest secret and personal-data findings, at most 100."""
+    """The newest secret and personal-data findings."""
     return findings.filter(F.col("type").isin("secret", "pii")).orderBy(
-        F.desc("timestamp"), "id").limit(min(limit, 100))
+        F.desc("timestamp"), "id").limit(limit)
 
 
 def merge_feed(feed: DataFrame, arrivals: DataFrame, keep: int = 25) -> DataFrame:
@@ -203,11 +203,12 @@ def findings_summary(findings: DataFrame, analyzer: str | None = None, limit: in
         F.desc("finding_count"), "analyzer", "category", "severity").limit(limit)
 
 
-def provider_risk(findings: DataFrame, by: str = "provider", limit: int = 20) -> DataFrame:
-    """Totals and counts per severity, most critical first."""
-    return findings.groupBy(by).agg(
+def provider_risk(findings: DataFrame, by: str = "provider", limit: int | None = None) -> DataFrame:
+    """Totals and counts per severity, most critical first; all groups unless a limit is given."""
+    ranked = findings.groupBy(by).agg(
         F.count("*").alias("total"), *[F.count_if(F.col("severity") == s).alias(s) for s in config.SEVERITIES]).orderBy(
-        F.desc("critical"), F.desc("high"), by).limit(limit)
+        F.desc("critical"), F.desc("high"), by)
+    return ranked.limit(limit) if limit else ranked
 
 
 def top_entities(messages: DataFrame, text_col: str, kinds: dict[str, str], limit: int = 20) -> DataFrame:

@@ -13,7 +13,7 @@ CHATS = (
 )
 FINDINGS = (
     "finding_id STRING, run_id STRING, chat_id STRING, analyzer STRING, pattern STRING, category STRING, "
-    "severity STRING, title STRING, detail STRING, start INT, matched_text STRING, snippet STRING, "
+    "severity STRING, title STRING, detail STRING, start INT, matched_text STRING, match_hash STRING, snippet STRING, "
     "confidence DOUBLE, created_at TIMESTAMP"
 )
 RULES = (

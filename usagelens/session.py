@@ -63,21 +63,6 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def within_rows(df: DataFrame, limit: int) -> bool:
-    """Whether `df` has at most `limit` rows, counting no further than that."""
-    return df.limit(limit + 1).count() <= limit
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Deal rows out over all cores when the input has fewer splits than cores.
-
-    Inputs of real size have more splits than that and are left alone; a small
-    file with one row group would otherwise be one task of heavy text work.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def once(df: DataFrame, **columns: Column) -> DataFrame:
     """Add columns that are worked out exactly once per row.
 

@@ -14,11 +14,11 @@ from usagelens.sources.files import (
     carry_forward, file_name, file_stem, number_lines, parent_name, path_exists, running_count, text_lines,
     whole_files)
 
-_STANDARD = ("STRUCT<title: STRING, tags: VARIANT, author: STRING, count: VARIANT, exporter: STRING, date: STRING, "
+_STANDARD = ("STRUCT<title: STRING, tags: VARIANT, author: STRING, count: VARIANT, exporter: STRING, date: VARIANT, "
              "url: STRING, messages: ARRAY<STRUCT<id: STRING, author: STRING, content: VARIANT>>>")
-_ARRAY = ("ARRAY<STRUCT<conversation_hash: STRING, model: STRING, timestamp: STRING, language: STRING, turn: VARIANT, "
+_ARRAY = ("ARRAY<STRUCT<conversation_hash: STRING, model: STRING, timestamp: VARIANT, language: STRING, turn: VARIANT, "
           "redacted: VARIANT, toxic: VARIANT, conversation: ARRAY<STRUCT<role: STRING, content: VARIANT, "
-          "turn_identifier: STRING, timestamp: STRING>>>>")
+          "turn_identifier: STRING, timestamp: VARIANT>>>>")
 
 
 def empty_chats(spark: SparkSession) -> DataFrame:
@@ -138,7 +138,7 @@ def prompt_history(lines: DataFrame) -> DataFrame:
         "role_value": role, "author": F.coalesce(normalize_author(role), F.lit("user")),
         "user_text": block_text(_value_of("e", "prompt", "content", "text", "display"))}).filter(
         ~is_blank(F.col("user_text")))
-    stamp = parse_timestamp(_text_of("e", "timestamp", "createdAt"))
+    stamp = parse_timestamp(_value_of("e", "timestamp", "createdAt"))
     return to_chats(rows.select(
         F.col("path").alias("source_file"), F.lit("jsonl").alias("source_format"), F.lit("claude_code").alias("provider"),
         F.coalesce(_text_of("e", "sessionId", "conversationId"), file_stem(F.col("path"))).alias("conversation_key"),
@@ -160,7 +160,7 @@ def project_sessions(lines: DataFrame) -> DataFrame:
         "user_text": block_text(_value_of("e", "message", "content"))}).filter(
         F.col("author").isNotNull() & ~is_blank(F.col("user_text")))
     rows = running_count(rows, "idx")
-    stamp = parse_timestamp(_text_of("e", "timestamp"))
+    stamp = parse_timestamp(_value_of("e", "timestamp"))
     return to_chats(rows.select(
         F.col("path").alias("source_file"), F.lit("jsonl").alias("source_format"), F.lit("claude_code").alias("provider"),
         F.coalesce(_text_of("e", "sessionId", "conversationId"), file_stem(F.col("path"))).alias("conversation_key"),
@@ -188,7 +188,7 @@ def agent_sessions(lines: DataFrame) -> DataFrame:
         "user_text": block_text(_value_of("e", "content", "message", "text"))}).filter(
         F.col("author").isNotNull() & ~is_blank(F.col("user_text")))
     rows = running_count(rows, "idx")
-    stamp = parse_timestamp(_text_of("e", "timestamp"))
+    stamp = parse_timestamp(_value_of("e", "timestamp"))
     return to_chats(rows.select(
         F.col("path").alias("source_file"), F.lit("jsonl").alias("source_format"), F.lit("pi_agent").alias("provider"),
         F.coalesce(_text_of("e", "session_id", "sessionId"), file_stem(F.col("path"))).alias("conversation_key"),

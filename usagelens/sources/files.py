@@ -62,13 +62,14 @@ def _earlier_blocks():
 def number_lines(lines: DataFrame, name: str = "line") -> DataFrame:
     """Add the zero-based number of each row within its file.
 
-    Per split: the row's distance from the split's first row; per file: the sum
-    of earlier splits' counts, a window over one small row per split.
+    Per split: the row's number in it; per file: the sum of earlier splits'
+    counts, a window over one small row per split. Only counts cross from one
+    scan to the other, so both may be planned differently.
     """
-    blocks = lines.groupBy("path", "block").agg(F.count("*").alias("_n"), F.min("place").alias("_first"))
+    inside = lines.withColumn("_i", F.row_number().over(block_window()) - 1)
+    blocks = lines.groupBy("path", "block").agg(F.count("*").alias("_n"))
     base = blocks.withColumn("_base", F.coalesce(F.sum("_n").over(_earlier_blocks()), F.lit(0))).drop("_n")
-    return lines.join(base, ["path", "block"]).withColumn(
-        name, (F.col("_base") + F.col("place") - F.col("_first")).cast("int")).drop("_base", "_first")
+    return inside.join(base, ["path", "block"]).withColumn(name, (F.col("_base") + F.col("_i")).cast("int")).drop("_base", "_i")
 
 
 def running_count(rows: DataFrame, name: str) -> DataFrame:

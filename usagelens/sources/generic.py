@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from usagelens.config import RuleConfig
-from usagelens.functions.text import block_text, drop_nul, line_separators_to_space, model_family, parse_timestamp
+from usagelens.functions.text import block_text, drop_nul, line_separators_to_space, model_family, parse_iso
 from usagelens.sources.files import file_name, file_stem, number_lines, plain_path, whole_files
 
 Reader = Callable[..., DataFrame]
 _READERS: dict[str, Reader] = {}
+#: Quotes are doubled inside quotes, and a quoted field may hold line breaks.
+CSV = {"header": True, "inferSchema": False, "quote": '"', "escape": '"', "multiLine": True}
 
 
 def register_reader(kind: str, reader: Reader) -> None:
@@ -65,7 +67,7 @@ def conversations(files: DataFrame) -> DataFrame:
         model_family(F.coalesce(_first("e", "author", "model", "provider"), F.split_part(
             F.col("stem"), F.lit("_"), F.lit(1)))).alias("provider"),
         F.coalesce(_first("e", "title", "name"), "stem").alias("title"),
-        parse_timestamp(_first("e", "date", "timestamp", "created_at"), numbers=False).alias("exported_at"),
+        parse_iso(_first("e", "date", "timestamp", "created_at")).alias("exported_at"),
         kept.alias("messages")).filter(F.size("messages") > 0)
 
 
@@ -89,7 +91,7 @@ def read_conversations(spark: SparkSession, folder: str) -> DataFrame:
 # ------------------------------------------------------------------ documents
 def read_csv_documents(spark: SparkSession, path: str) -> DataFrame:
     """Each CSV row as a document {source, content (JSON), metadata}."""
-    rows = spark.read.option("header", True).csv(path)
+    rows = spark.read.options(**CSV).csv(path)
     names = rows.columns
     placed = rows.select(
         plain_path(F.col("_metadata.file_path")).alias("path"), F.col("_metadata.file_block_start").alias("block"),
@@ -118,7 +120,7 @@ def read_json_documents(spark: SparkSession, path: str) -> DataFrame:
 
 def csv_to_json(spark: SparkSession, path: str) -> DataFrame:
     """CSV rows as JSON objects of strings; rows of another width than the header are skipped."""
-    rows = spark.read.options(header=True, inferSchema=False, mode="DROPMALFORMED").csv(path)
+    rows = spark.read.options(**CSV, mode="DROPMALFORMED").csv(path)
     # Reading every column is what lets the parser see a row of the wrong width.
     return rows.select(F.to_json(F.struct(*[
         F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in rows.columns])).alias("row"))

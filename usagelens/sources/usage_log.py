@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from usagelens.functions.text import is_blank, parse_timestamp, usage_word_count
+from usagelens.functions.text import is_blank, parse_iso, usage_word_count
 from usagelens.schemas import USAGE_RAW
 
 
@@ -16,7 +16,7 @@ def with_defaults(raw: DataFrame, as_of: Column, line: Column | None = None) ->
 
     tokens = F.coalesce("token_count", F.lit(0))
     digest = F.substring(F.sha1(line), 1, 16) if line is not None else F.lit(None).cast("string")
-    stamp = lambda c: F.coalesce(parse_timestamp(F.col(c), numbers=False), as_of)
+    stamp = lambda c: F.coalesce(parse_iso(F.col(c)), as_of)
     rows = raw.select(
         F.coalesce(F.nullif("id", F.lit("")), digest).alias("id"), text("user_id_hash", "").alias("user_id_hash"),
         text("department_id", "unknown").alias("department_id"), text("tool_name", "unknown").alias("tool_name"),
