@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("usage_queries", "security_queries", "company_queries", "text_queries", "table_queries", "source_queries", "stream_queries")
+_MODULES = ("usage_queries", "security_queries", "company_queries", "text_queries", "table_queries", "source_queries", "stream_queries", "import_queries", "store_queries")
 
 
 def load() -> tuple[dict, dict]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from usagelens.catalog import projections as p
-from usagelens.catalog.oracle_parts import MATCHES, RULES
+from usagelens.catalog.oracle_parts import CHATS, MATCHES, RULES
 from usagelens.catalog.registry import query
 from usagelens.operators.rules import build_all_rules, company_matches, summarize
 from usagelens.plans import security, views
@@ -42,9 +42,30 @@ def rule_matches(spark, folder):
                         "provider", "severity", "company_category")
 
 
-@query("table_rule_matches")
+#: Each rule with two literals that a match must hold; texts and rules then meet by the expression.
+_TABLE_MATCHES = f"WITH {CHATS}" + r""", v AS (SELECT c_custkey, regexp_replace(CAST(CAST(c_acctbal AS DECIMAL(12, 2)) AS VARCHAR), '\.0+$', '') AS v FROM customer),
+  r(tbl, field, rule_id, pattern, one, two) AS (
+    SELECT 'customers', 'customer_code', c_custkey, '\bCST[\s\-_./]*' || (2000 + c_custkey) || '\b', 'cst', CAST(2000 + c_custkey AS VARCHAR) FROM customer
+    UNION ALL SELECT 'customers', 'company_name', c_custkey, '\bCustomer[\s\-_./#]*' || substr(c_name, 10) || '\b', 'customer', substr(c_name, 10) FROM customer
+    UNION ALL SELECT 'customers', 'email', c_custkey, '\bc' || c_custkey || '[\s\-_./@]*corp[\s\-_./@]*example\b', 'corp', 'c' || c_custkey FROM customer
+    UNION ALL SELECT 'customers', 'segment', c_custkey, '\b\Q' || lower(c_mktsegment) || '\E\b', lower(c_mktsegment), '' FROM customer
+    UNION ALL SELECT 'customers', 'annual_contract_value_eur', c_custkey, CASE WHEN regexp_matches(v, '^[0-9]+$') THEN
+        CASE WHEN length(v) >= 4 THEN '\b' || array_to_string(string_split(v, ''), '[\s,._-]*') || '\b' ELSE '\b' || v || '\b' END
+      WHEN contains(v, '.') THEN '\b' || array_to_string(regexp_extract_all(v, '[0-9]+'), '[\s\-_./]*') || '\b' ELSE '\b\Q' || v || '\E\b' END,
+      CASE WHEN regexp_matches(v, '^[0-9]+$') THEN v[1] ELSE regexp_extract(v, '[0-9]+') END, regexp_extract(v, '[0-9]$') FROM v
+    UNION ALL SELECT 'employees', 'employee_number', s_suppkey, '\bEMP[\s\-_./]*' || (1000 + s_suppkey) || '\b', 'emp', CAST(1000 + s_suppkey AS VARCHAR) FROM supplier
+    UNION ALL SELECT 'employees', 'full_name', s_suppkey, '\bSupplier[\s\-_./#]*' || substr(s_name, 10) || '\b', 'supplier', substr(s_name, 10) FROM supplier
+    UNION ALL SELECT 'employees', 'department', s_suppkey, '\bunit[\s\-_./]*' || s_nationkey || '\b', 'unit', CAST(s_nationkey AS VARCHAR) FROM supplier),
+  t AS (SELECT message_id, translate(user_text_clean, 'ÄÇÈÉÊÍÑÓÖÜßäçèéêíñóöü', '_____________________') AS x FROM chats),
+  d AS (SELECT DISTINCT pattern, one, two FROM r),
+  h AS (SELECT message_id, pattern, list_distinct(regexp_extract_all(x, '(?i)' || pattern)) AS ms FROM t JOIN d ON contains(lower(x), one) AND contains(lower(x), two))
+  SELECT tbl AS company_source_table, field AS company_source_field, CAST(sum(len(ms)) AS BIGINT) AS match_count, count(DISTINCT rule_id) AS rules
+  FROM r JOIN h USING (pattern) WHERE len(ms) > 0 GROUP BY 1, 2"""
+
+
+@query("table_rule_matches", _TABLE_MATCHES)
 def table_rule_matches(spark, folder):
-    """All rules of whole `customer` and `supplier` tables over all messages; checked by brute force in the tests."""
+    """All rules of whole `customer` and `supplier` tables over all messages."""
     rules = p.stage(spark, folder, "table_rules", lambda: build_all_rules(p.company_tables(spark, folder)))
     found = company_matches(p.chat_context(spark, folder), rules, p.RUN_ID)
     return found.groupBy("company_source_table", "company_source_field").agg(

@@ -255,11 +255,13 @@ def audit_trail(spark, folder):
     return s.audit_trail(_status_log(spark, folder)).select("finding_id", "status", "notes")
 
 
-@query("unanalysed", _F + """SELECT chat_id FROM chats WHERE author = 'user' AND chat_id NOT IN (
-  SELECT chat_id FROM findings WHERE analyzer = 'secrets')""")
+@query("unanalysed", _F + """SELECT chat_id FROM chats WHERE author = 'user' AND chat_id % 4 NOT IN (0, 1)""")
 def unanalysed(spark, folder):
-    done = p.findings(spark, folder).select("chat_id", "analyzer").distinct()
-    return detect.unanalysed(p.chat_context(spark, folder), done, "secrets").select("chat_id")
+    """Half of the messages are in the processed log of this analyzer, with and without findings; others only in another's."""
+    chats = p.chat_context(spark, folder)
+    log = detect.processed_log(chats.filter("chat_id % 4 IN (0, 1)"), ["secrets"]).unionByName(
+        detect.processed_log(chats.filter("chat_id % 4 = 2"), ["pii"]))
+    return detect.unanalysed(chats, log, "secrets").select("chat_id")
 
 
 @query("pending_insights", _F + """SELECT DISTINCT chat_id FROM findings WHERE chat_id NOT IN (

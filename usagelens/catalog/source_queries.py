@@ -86,22 +86,34 @@ def prompt_history_import(spark, folder):
     return got.groupBy("conversation_key").agg(F.count("*").alias("prompts"))
 
 
-@query("csv_documents", """SELECT p_partkey AS key, p_name AS name, p_brand AS brand FROM part""")
-def csv_documents(spark, folder):
-    """The parts as CSV files, read as one JSON document per row."""
+def _csv(spark, folder):
+    """`documents` as CSV files: texts hold commas, quotes (put in) and line breaks."""
     path = scratch_path(spark, "csv")
-    p.table(spark, folder, "part").write.option("header", True).csv(path)
-    got = generic.read_csv_documents(spark, path)
-    return got.select(F.get_json_object("content", "$.p_partkey").cast("bigint").alias("key"),
-                      F.get_json_object("content", "$.p_name").alias("name"), F.get_json_object("content", "$.p_brand").alias("brand"))
+    p.table(spark, folder, "documents").select("doc_id", _quoted().alias("text"), "lang", "source", "n_chars").write.options(
+        **{k: v for k, v in generic.CSV.items() if k in ("header", "quote", "escape")}).csv(path)
+    return path
+
+
+def _quoted():
+    return F.concat(F.lit('say "'), F.col("lang"), F.lit('", '), F.col("text"), F.lit('"'))
+
 
+_QUOTED = """'say "' || lang || '", ' || text || '"'"""
 
-@query("csv_rows_as_json", "SELECT count(*) AS n, count(DISTINCT p_partkey) AS keys FROM part")
+
+@query("csv_documents", f"SELECT doc_id, {_QUOTED} AS text, lang, source, n_chars, 'csv' AS type FROM documents")
+def csv_documents(spark, folder):
+    """Texts as CSV files, read as one JSON document per row by the reader registered for the suffix."""
+    got = generic.reader_for("any/file.csv")(spark, _csv(spark, folder))
+    field = lambda name, kind="string": F.get_json_object("content", f"$.{name}").cast(kind).alias(name)
+    return got.select(field("doc_id", "bigint"), field("text"), field("lang"), field("source"), field("n_chars", "bigint"),
+                      F.get_json_object("metadata", "$.type").alias("type"))
+
+
+@query("csv_rows_as_json", f"SELECT doc_id, {_QUOTED} AS text, lang, source, n_chars FROM documents")
 def csv_rows_as_json(spark, folder):
-    path = scratch_path(spark, "csv")
-    p.table(spark, folder, "part").write.option("header", True).csv(path)
-    rows = generic.csv_to_json(spark, path)
-    return rows.agg(F.count("*").alias("n"), F.countDistinct(F.get_json_object("row", "$.p_partkey")).alias("keys"))
+    rows = generic.csv_to_json(spark, _csv(spark, folder)).select(F.from_json("row", "doc_id STRING, text STRING, lang STRING, source STRING, n_chars STRING").alias("r"))
+    return rows.select(F.col("r.doc_id").cast("bigint").alias("doc_id"), "r.text", "r.lang", "r.source", F.col("r.n_chars").cast("bigint").alias("n_chars"))
 
 
 @query("response_records", "SELECT c_custkey AS key, c_name AS name FROM customer")

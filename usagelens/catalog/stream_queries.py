@@ -1,7 +1,7 @@
 """Streams run over all available input (`availableNow`), compared with batch SQL.
 
-In append mode a window is written once the watermark (newest event minus the
-allowed delay) has passed its end; the statements apply the same condition.
+Windows that are still open when the bounded input ends are added by a closing
+step, so the statements are the plain aggregates.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from usagelens.plans.jobs import Store, analysis_cycle
 from usagelens.session import scratch_path
 from usagelens.streaming import streams
 
-_U = f"WITH {USAGE}, top AS (SELECT max(usage_start) AS newest FROM usage) "
+_U = f"WITH {USAGE} "
 
 
 def _usage_stream(spark, folder):
@@ -23,10 +23,10 @@ def _usage_stream(spark, folder):
 
 
 @query("daily_stream", _U + """SELECT strftime(date_trunc('day', usage_start), '%Y-%m-%d %H:%M:%S') AS window_start, department_id,
-  count(*) AS events, CAST(sum(token_count) AS BIGINT) AS tokens, round(sum(cost), 2) AS cost FROM usage, top
-  WHERE date_trunc('day', usage_start) + INTERVAL 1 DAY <= newest - INTERVAL 1 HOUR GROUP BY 1, 2""")
+  count(*) AS events, CAST(sum(token_count) AS BIGINT) AS tokens, round(sum(cost), 2) AS cost FROM usage
+  GROUP BY 1, 2""")
 def daily_stream(spark, folder):
-    out = streams.run_available(streams.daily_usage(_usage_stream(spark, folder)), "daily")
+    out = streams.run_to_end(streams.daily_usage, _usage_stream(spark, folder), p.usage(spark, folder), "1 hour", "window_end", "daily")
     return out.drop("window_end")
 
 
@@ -34,20 +34,21 @@ def daily_stream(spark, folder):
     <= INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM usage),
   s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id_hash ORDER BY usage_start) AS n FROM g)
   SELECT user_id_hash, strftime(min(usage_start), '%Y-%m-%d %H:%M:%S') AS session_start, count(*) AS events,
-    CAST(sum(token_count) AS BIGINT) AS tokens FROM s, top GROUP BY user_id_hash, n, newest
-  HAVING max(usage_start) + INTERVAL 6 HOUR <= newest - INTERVAL 1 HOUR""")
+    CAST(sum(token_count) AS BIGINT) AS tokens FROM s GROUP BY user_id_hash, n""")
 def usage_sessions(spark, folder):
-    out = streams.run_available(streams.usage_sessions(_usage_stream(spark, folder), "6 hours"), "sessions")
+    out = streams.run_to_end(lambda u: streams.usage_sessions(u, "6 hours"), _usage_stream(spark, folder), p.usage(spark, folder),
+                             "1 hour", "session_end", "sessions")
     return out.drop("session_end")
 
 
 @query("rate_limit_breaches", _U + """, w AS (SELECT user_id_hash, time_bucket(INTERVAL 10 MINUTE, usage_start) - to_minutes(10 * k) AS start
     FROM usage, (SELECT unnest([0, 1, 2, 3, 4, 5]) AS k))
-  SELECT user_id_hash, strftime(start, '%Y-%m-%d %H:%M:%S') AS window_start, count(*) AS requests FROM w, top
-  WHERE start + INTERVAL 1 HOUR <= newest - INTERVAL 1 MINUTE GROUP BY 1, 2 HAVING count(*) > 2""")
+  SELECT user_id_hash, strftime(start, '%Y-%m-%d %H:%M:%S') AS window_start, count(*) AS requests FROM w
+  GROUP BY 1, 2 HAVING count(*) > 2""")
 def rate_limit_breaches(spark, folder):
-    found = streams.rate_limit_breaches(_usage_stream(spark, folder), 2, "60 minutes", "10 minutes")
-    return streams.run_available(found, "rate").drop("window_end")
+    out = streams.run_to_end(lambda u: streams.rate_limit_breaches(u, 2, "60 minutes", "10 minutes"), _usage_stream(spark, folder),
+                             p.usage(spark, folder), "1 minute", "window_end", "rate")
+    return out.drop("window_end")
 
 
 @query("distinct_stream", f"WITH {USAGE} SELECT tool_name, count(*) AS events, round(sum(cost), 2) AS cost FROM usage GROUP BY 1")

@@ -19,11 +19,11 @@ def clean_text(spark, folder):
     return p.chats(spark, folder).select("chat_id", "user_text_clean", "user_text_hash")
 
 
-@query("duplicate_texts", _C + """SELECT sha256(user_text_clean) AS user_text_hash, count(*) AS copies, min(chat_id) AS first_id
-  FROM chats GROUP BY 1 HAVING count(*) > 1""")
+@query("duplicate_texts", """SELECT sha256(text) AS text_hash, count(*) AS copies, min(doc_id) AS first_id
+  FROM documents GROUP BY 1 HAVING count(*) > 1""")
 def duplicate_texts(spark, folder):
-    return p.chats(spark, folder).groupBy("user_text_hash").agg(
-        F.count("*").alias("copies"), F.min("chat_id").alias("first_id")).filter("copies > 1")
+    return p.table(spark, folder, "documents").groupBy(t.content_hash(F.col("text")).alias("text_hash")).agg(
+        F.count("*").alias("copies"), F.min("doc_id").alias("first_id")).filter("copies > 1")
 
 
 @query("row_duplicates", """SELECT (SELECT count(*) FROM (SELECT DISTINCT text, lang FROM documents)) AS unique_rows,
@@ -97,34 +97,68 @@ def nearest_vectors(spark, folder):
     return vectors.nearest(queries, table, 5).withColumn("distance", F.round("distance", 6))
 
 
-@query("code_packages", _C + """SELECT chat_id, 'python' AS language, 0 AS position, 'x' AS package FROM chats WHERE false UNION ALL
-  SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'python' ELSE 'node' END, 0, CASE WHEN doc_id % 2 = 0 THEN 'pkg' || (doc_id % 19)
-    ELSE '@scope/lib-' || (doc_id % 23) END FROM documents""")
+#: Whole texts, each with import lines of its own behind it; a carriage return starts no line.
+_CODE = r"""code AS (SELECT doc_id AS chat_id, text || CASE WHEN doc_id % 2 = 0 THEN E'\nimport pkg' || (doc_id % 19) || E'\r  import hidden\nfrom requets.x import y'
+    ELSE E'\nconst a = require("@scope/lib-' || (doc_id % 23) || '"); require("./local"); require("djagno")' END AS code FROM documents),
+  m AS (SELECT chat_id, regexp_extract_all(code, '(?m)^\s*(?:import|from)\s+([a-zA-Z0-9_\-]+)', 1) AS py,
+    regexp_extract_all(code, '(?:require\s*\(\s*[''"]|from\s+[''"])([a-zA-Z0-9@][a-zA-Z0-9_\-./]*)[''"]', 1) AS js FROM code),
+  l AS (SELECT chat_id, CASE WHEN len(py) >= len(js) THEN 'python' ELSE 'node' END AS language,
+    CASE WHEN len(py) >= len(js) THEN py ELSE js END AS names FROM m),
+  e AS (SELECT chat_id, language, unnest(names) AS package, unnest(range(0, len(names))) AS place FROM l),
+  found AS (SELECT chat_id, language, row_number() OVER (PARTITION BY chat_id ORDER BY min(place)) - 1 AS position, package FROM e GROUP BY 1, 2, 4)"""
+
+
+@query("code_packages", f"WITH {_CODE} SELECT chat_id, language, position, package FROM found")
 def code_packages(spark, folder):
-    code = _code(spark, folder)
-    return detect.extract_packages(code, "chat_id", "code").select("chat_id", "language", "position", "package")
+    return detect.extract_packages(_code(spark, folder), "chat_id", "code").select("chat_id", "language", "position", "package")
 
 
 def _code(spark, folder):
-    """Every text followed by an import line of its own; the text's own lines never start an import."""
     return p.table(spark, folder, "documents").selectExpr(
-        "doc_id AS chat_id", "concat(regexp_replace(text, '(?i)\\\\b(from|import|require)', 'x'), "
-        "CASE WHEN doc_id % 2 = 0 THEN concat('\\nimport pkg', doc_id % 19) "
-        "ELSE concat('\\nconst a = require(\"@scope/lib-', doc_id % 23, '\"); require(\"./local\")') END) AS code")
+        "doc_id AS chat_id", "concat(text, CASE WHEN doc_id % 2 = 0 THEN concat('\\nimport pkg', doc_id % 19, '\\r  import hidden\\nfrom requets.x import y') "
+        "ELSE concat('\\nconst a = require(\"@scope/lib-', doc_id % 23, '\"); require(\"./local\"); require(\"djagno\")') END) AS code")
 
 
-@query("import_verdicts", """WITH n AS (SELECT DISTINCT 'pkg' || (doc_id % 19) AS package, 'python' AS language FROM documents WHERE doc_id % 2 = 0
-    UNION SELECT DISTINCT '@scope/lib-' || (doc_id % 23), 'node' FROM documents WHERE doc_id % 2 = 1)
-  SELECT package, language, false AS is_stdlib, CASE WHEN contains(package, '7') THEN 'safe' ELSE 'danger' END AS risk FROM n""")
+@query("import_verdicts", f"""WITH {_CODE}, n AS (SELECT DISTINCT package, language FROM found),
+  v AS (SELECT *, CASE package WHEN 'requets' THEN 'requests' WHEN 'djagno' THEN 'django' END AS typosquat_of, contains(package, '7') AS listed FROM n)
+  SELECT package, language, false AS is_stdlib, typosquat_of, CASE WHEN typosquat_of IS NULL THEN listed END AS exists,
+    CASE WHEN typosquat_of IS NULL AND listed THEN 'safe' ELSE 'danger' END AS risk FROM v""")
 def import_verdicts(spark, folder):
+    """Imports against a registry snapshot; two names lie within two edits of popular ones."""
     found = detect.extract_packages(_code(spark, folder), "chat_id", "code")
     registry = found.select("package", "language").distinct().filter(F.col("package").contains("7"))
-    return packages.import_verdicts(found, registry).select("package", "language", "is_stdlib", "risk")
+    return packages.import_verdicts(found, registry).select("package", "language", "is_stdlib", "typosquat_of", "exists", "risk")
 
 
-@query("package_lookalikes")
+_NAMES = """d AS (SELECT p_partkey, replace(p_name, ' ', '-') || '-' || lower(replace(p_brand, '#', '')) AS n,
+    CASE WHEN p_partkey % 2 = 0 THEN 'pypi' ELSE 'npm' END AS ecosystem FROM part),
+  q AS (SELECT DISTINCT CASE p_partkey % 5 WHEN 0 THEN substr(n, 1, 1) || substr(n, 3, 1) || substr(n, 2, 1) || substr(n, 4)
+    WHEN 1 THEN substr(n, 1, 2) || substr(n, 4) WHEN 2 THEN substr(n, 1, 2) || substr(n, 2) WHEN 3 THEN replace(n, '-', '_') ELSE n END AS q FROM d)"""
+#: Every name beside every dictionary name. Tokens match within one edit, a swap of neighbours included; at that
+#: distance the restricted and the unrestricted edit distance agree.
+_LOOKALIKES = f"""WITH {_NAMES}, f AS (SELECT q, regexp_split_to_array(q, '[-_.]+') AS a FROM q WHERE q NOT IN (SELECT n FROM d)),
+  k AS (SELECT DISTINCT n AS p, regexp_split_to_array(n, '[-_.]+') AS b FROM d),
+  ta AS (SELECT DISTINCT unnest(a) AS x FROM f), tb AS (SELECT DISTINCT unnest(b) AS y FROM k),
+  near AS (SELECT x, list(y) AS ys FROM ta, tb WHERE damerau_levenshtein(x, y) <= 1 GROUP BY x),
+  back AS (SELECT y, list(x) AS xs FROM ta, tb WHERE damerau_levenshtein(x, y) <= 1 GROUP BY y),
+  fa AS (SELECT f.q, u.i, ys FROM f, (SELECT q, a, unnest(range(1, len(a) + 1)) AS i FROM f) u LEFT JOIN near ON x = u.a[u.i] WHERE u.q = f.q),
+  fb AS (SELECT k.p, u.i, xs FROM k, (SELECT p, b, unnest(range(1, len(b) + 1)) AS i FROM k) u LEFT JOIN back ON y = u.b[u.i] WHERE u.p = k.p),
+  ca AS (SELECT fa.q, k.p, count(*) AS n FROM fa JOIN k ON list_has_any(fa.ys, k.b) GROUP BY 1, 2),
+  cb AS (SELECT f.q, fb.p, count(*) AS n FROM fb JOIN f ON list_has_any(fb.xs, f.a) GROUP BY 1, 2),
+  pairs AS (SELECT f.q, k.p, (coalesce(ca.n, 0) + coalesce(cb.n, 0)) / 2.0 AS hits, len(a) + len(b) AS size, damerau_levenshtein(f.q, k.p) AS distance
+    FROM f CROSS JOIN k LEFT JOIN ca ON ca.q = f.q AND ca.p = k.p LEFT JOIN cb ON cb.q = f.q AND cb.p = k.p),
+  s AS (SELECT *, hits / (size - hits) AS jaccard, distance BETWEEN 1 AND 2 AS close FROM pairs),
+  c AS (SELECT q, p, distance, CASE WHEN close THEN 'damerau-levenshtein' ELSE 'fuzzy-jaccard' END AS method,
+    round_even(CASE WHEN close THEN greatest(0.0, 1 - distance / greatest(length(q), length(p), 1)::DOUBLE) ELSE jaccard END, 4) AS confidence
+    FROM s WHERE close OR jaccard >= 0.6),
+  r AS (SELECT q, p, ecosystem, distance, method, confidence, row_number() OVER (PARTITION BY q ORDER BY confidence DESC, p, ecosystem) AS rank
+    FROM c JOIN (SELECT DISTINCT n, ecosystem FROM d) e ON e.n = c.p)
+  SELECT q AS package_name, p AS matched_package, ecosystem, distance, method, confidence, rank FROM r WHERE rank <= 10"""
+
+
+@query("package_lookalikes", _LOOKALIKES)
 def package_lookalikes(spark, folder):
-    """Near names in the dictionary; compared with brute force in the tests."""
+    """Near names in the whole dictionary."""
     return packages.lookalikes(p.package_names(spark, folder), p.packages(spark, folder))
 
 

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from usagelens import config
 from usagelens.catalog import projections as p
 from usagelens.catalog.oracle_parts import FINDINGS, USAGE
 from usagelens.catalog.registry import query
-from usagelens.functions.text import contains_any
 from usagelens.operators import compliance
 from usagelens.plans import usage as u
 from usagelens.plans.filters import ReportFilters, filter_usage
@@ -126,9 +126,14 @@ SELECT department_id AS department, CAST(period AS VARCHAR) AS period, 'cost' AS
   department_id || ' cost deviated from baseline' AS explanation FROM scored WHERE abs(z) >= """
 
 
-@query("cost_anomalies", f"WITH {USAGE}{_ANOMALY} 2")
+_SPIKE = USAGE.replace("value AS cost", "value * CASE WHEN user_id % 10 = 3 AND ts >= TIMESTAMP '2024-01-30' THEN 40 ELSE 1 END AS cost")
+
+
+@query("cost_anomalies", f"WITH {_SPIKE}{_ANOMALY} 2")
 def cost_anomalies(spark, folder):
-    return u.anomalies(p.usage(spark, folder))
+    """One department's last day costs forty times as much."""
+    spike = (F.col("department_id") == "dept-3") & (F.col("usage_start") >= F.lit("2024-01-30").cast("timestamp"))
+    return u.anomalies(p.usage(spark, folder).withColumn("cost", F.when(spike, F.col("cost") * 40).otherwise(F.col("cost"))))
 
 
 @query("cost_deviations", f"WITH {USAGE}{_ANOMALY} 0.5")
@@ -220,35 +225,42 @@ def anonymized_usage(spark, folder):
     return compliance.anonymize(p.usage(spark, folder).withColumnRenamed("user_id_hash", "user_id"))
 
 
-@query("record_issues", f"""WITH {USAGE}, r AS (SELECT *, CASE WHEN CAST(id AS BIGINT) % 3 = 0
-    THEN 'ask bob' || id || '@corp.example or +4930' || (1000000 + CAST(id AS BIGINT)) ELSE purpose END AS note,
-    CASE WHEN CAST(id AS BIGINT) % 5 = 0 THEN 'Jane Doe' ELSE user_id_hash END AS uid, cost - 5 AS c, token_count * 40 AS t FROM usage)
-  SELECT id, 'unhashed_user' AS rule, 'user_id_hash' AS field FROM r WHERE contains(uid, ' ')
-  UNION ALL SELECT id, 'pii_email', 'purpose' FROM r WHERE contains(note, '@')
-  UNION ALL SELECT id, 'pii_phone_de', 'purpose' FROM r WHERE contains(note, '+49')
-  UNION ALL SELECT id, 'pii_phone_de', 'id' FROM r WHERE regexp_matches(id, '(\\+49|0)[1-9]\\d{{6,14}}')
-  UNION ALL SELECT id, 'tokens_high', 'token_count' FROM r WHERE t > 100000
-  UNION ALL SELECT id, 'cost_high', 'cost' FROM r WHERE c > 100
-  UNION ALL SELECT id, 'cost_negative', 'cost' FROM r WHERE c < 0""")
+_FIELDS = ("id", "user_id_hash", "department_id", "tool_name", "model_name", "usage_start", "usage_end", "token_count", "cost", "purpose", "region")
+
+
+def _issue_sql(rows):
+    """Every rule on every field of `rows`."""
+    parts = [f"SELECT id, 'missing_field' AS rule, '{f}' AS field FROM {rows} WHERE {f} IS NULL" for f in config.RECORD_REQUIRED_FIELDS]
+    parts.append(f"SELECT id, 'unhashed_user', 'user_id_hash' FROM {rows} WHERE contains(user_id_hash, ' ') OR contains(user_id_hash, '@')")
+    parts += [f"SELECT id, 'pii_{name}', '{f}' FROM {rows} WHERE regexp_matches(CAST({f} AS VARCHAR), '{pattern}')"
+              for name, pattern in config.RECORD_PII_PATTERNS.items() for f in _FIELDS]
+    parts += [f"SELECT id, '{rule}', '{f}' FROM {rows} WHERE {f} {test}" for rule, f, test in (
+        ("tokens_high", "token_count", f"> {config.MAX_TOKEN_COUNT}"), ("tokens_negative", "token_count", "< 0"),
+        ("cost_high", "cost", f"> {config.MAX_COST}"), ("cost_negative", "cost", "< 0"))]
+    return " UNION ALL ".join(parts)
+
+
+@query("record_issues", f"""WITH {USAGE}, r AS (SELECT * REPLACE (CASE WHEN CAST(id AS BIGINT) % 3 = 0
+    THEN 'ask bob' || id || '@corp.example or +4930' || (1000000 + CAST(id AS BIGINT)) ELSE purpose END AS purpose,
+    CASE WHEN CAST(id AS BIGINT) % 5 = 0 THEN 'Jane Doe' ELSE user_id_hash END AS user_id_hash, cost - 5 AS cost, token_count * 40 AS token_count,
+    CASE CAST(id AS BIGINT) % 7 WHEN 0 THEN 'srv 10.0.' || (CAST(id AS BIGINT) % 250) || '.7' WHEN 1 THEN 'DE44 DE44500105175407324931' ELSE region END AS region) FROM usage)
+  {_issue_sql("r")}""")
 def record_issues(spark, folder):
-    """Usage records with planted faults, so that several rules fire."""
+    """Usage records with planted faults, so that several rules fire; every rule on every field."""
     number = F.col("id").cast("bigint")
     rows = p.usage(spark, folder).withColumns({
         "purpose": F.when(number % 3 == 0, F.concat(F.lit("ask bob"), "id", F.lit("@corp.example or +4930"), (
             number + 1000000).cast("string"))).otherwise(F.col("purpose")),
         "user_id_hash": F.when(number % 5 == 0, "Jane Doe").otherwise(F.col("user_id_hash")),
+        "region": F.when(number % 7 == 0, F.concat(F.lit("srv 10.0."), (number % 250).cast("string"), F.lit(".7"))).when(
+            number % 7 == 1, "DE44 DE44500105175407324931").otherwise(F.col("region")),
         "cost": F.col("cost") - 5, "token_count": F.col("token_count") * 40})
-    rows = rows.withColumns({"usage_start": F.to_date("usage_start"), "usage_end": F.to_date("usage_end"),
-                             "cost": F.round("cost", 2)})
-    return compliance.record_issues(rows).filter(~contains_any(F.col("rule"), ["ipv4"])).select("id", "rule", "field")
+    return compliance.record_issues(rows).select("id", "rule", "field")
 
 
-@query("issue_counts", f"""WITH {USAGE} SELECT 'cost_high' AS rule, 'cost' AS field, count(*) AS issue_count FROM usage
-  WHERE cost > 100 HAVING count(*) > 0 UNION ALL
-  SELECT 'pii_phone_de', 'id', count(*) FROM usage WHERE regexp_matches(id, '(\\+49|0)[1-9]\\d{{6,14}}') HAVING count(*) > 0""")
+@query("issue_counts", f"""WITH {USAGE}, i AS ({_issue_sql("usage")}) SELECT rule, field, count(*) AS issue_count FROM i GROUP BY 1, 2""")
 def issue_counts(spark, folder):
-    rows = p.usage(spark, folder).withColumns({"usage_start": F.to_date("usage_start"), "usage_end": F.to_date("usage_end")})
-    return compliance.issue_counts(compliance.record_issues(rows))
+    return compliance.issue_counts(compliance.record_issues(p.usage(spark, folder)))
 
 
 @query("duplicate_ids", """WITH l AS (SELECT user_id AS id, event_id AS line FROM events), f AS (

@@ -13,7 +13,7 @@ from usagelens.functions.text import is_blank
 from usagelens.operators.detect import detect
 from usagelens.operators.tables import VersionedTable, keep_last
 from usagelens.plans.jobs import Store, analysis_cycle, refresh_detector_views
-from usagelens.session import scratch_path
+from usagelens.session import materialise, scratch_path
 from usagelens.sources.usage_log import with_defaults
 
 
@@ -90,6 +90,22 @@ def run_available(stream: DataFrame, label: str, mode: str = "append") -> DataFr
     return spark.read.schema(stream.schema).parquet(out)
 
 
+def run_to_end(build: Callable[[DataFrame], DataFrame], stream: DataFrame, rows: DataFrame, late: str, end_col: str, label: str,
+               time_col: str = "usage_start") -> DataFrame:
+    """A windowed stream over bounded input, with the windows that no watermark closes.
+
+    In append mode a window is written once the watermark (newest event minus
+    `late`) has passed its end. When the input is known to have ended, what is
+    still open is worked out by the same `build` over `rows`, the same input as
+    a table, and added.
+    """
+    written = run_available(build(stream), label)
+    newest = rows.agg(F.max(time_col).alias("m")).scalar()
+    # Stored first: a filter on a session's end would be pushed below the merge of its events.
+    still_open = materialise(build(rows), f"{label}-all").filter(F.col(end_col) > newest - F.expr(f"INTERVAL {late}"))
+    return written.unionByName(still_open.select(*written.columns))
+
+
 def upsert_sink(stream: DataFrame, table: VersionedTable, keys: list[str], checkpoint: str, order: list[str] | None = None,
                 **trigger) -> StreamingQuery:
     """Each batch is upserted by key, so a replayed batch changes nothing."""
