@@ -181,15 +181,17 @@ def _letter_keys(texts: DataFrame, key: list[str], lettered: DataFrame, span: in
     gated as a whole and only meet places whose first token is as short.
     """
     leads = lettered.select(F.substring("_compact", 1, _GRAM).alias("_lead")).distinct()
-    places = once(texts.select(*key, "_reading"), _tokens=_tokens(F.col("_reading"))).select(
-        *key, "_tokens", F.posexplode("_tokens").alias("_at", "_first"))
-    start = F.array_join(F.slice("_tokens", F.col("_at") + 1, F.lit(_GRAM)), "")
-    openings = F.array_distinct(F.array_compact(F.array(
-        F.substring(start, 1, _GRAM), F.when(F.length("_first") <= 2, F.substring(start, 1, 2)), F.when(F.length("_first") == 1, F.col("_first")))))
+    words = F.col("_tokens")
+    # A place carries its own few tokens only; the whole list would be copied once per token.
+    runs = F.transform(words, lambda _, at: F.slice(words, at + 1, F.lit(span)))
+    places = once(texts.select(*key, "_reading"), _tokens=_tokens(F.col("_reading"))).select(*key, F.explode(runs).alias("_run"))
+    first, start = F.get("_run", F.lit(0)), F.array_join(F.slice("_run", 1, _GRAM), "")
+    short = F.array(F.substring(start, 1, _GRAM), F.substring(start, 1, 2), first)
+    openings = F.when(F.length(first) >= _GRAM, F.array(F.substring(first, 1, _GRAM))).otherwise(short)
     places = places.withColumn("_lead", F.explode(openings)).join(F.broadcast(leads), "_lead", "left_semi").drop("_lead")
-    widths = places.select("*", F.explode(F.sequence(F.lit(1), F.least(F.lit(span), F.size("_tokens") - F.col("_at")))).alias("_width"))
-    run = F.array_join(F.slice("_tokens", F.col("_at") + 1, F.col("_width")), "")
-    shorter = F.array_join(F.slice("_tokens", F.col("_at") + 1, F.col("_width") - 1), "")
+    widths = places.select("*", F.explode(F.sequence(F.lit(1), F.size("_run"))).alias("_width"))
+    run = F.array_join(F.slice("_run", F.lit(1), F.col("_width")), "")
+    shorter = F.array_join(F.slice("_run", F.lit(1), F.col("_width") - 1), "")
     return widths.filter((F.col("_width") == 1) | (F.length(shorter) < KEY_CHARS)).select(*key, F.substring(run, 1, KEY_CHARS).alias("_key"))
 
 

@@ -63,6 +63,16 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal rows out over all cores when the input has fewer splits than cores; results are the same either way.
+
+    For files of one row group, which cannot be split when read. Inputs of real
+    size have more splits than that and are left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def once(df: DataFrame, **columns: Column) -> DataFrame:
     """Add columns that are worked out exactly once per row.
 
