@@ -1,6 +1,5 @@
 import json
 
-import pytest
 from pyspark.sql import functions as F
 
 from usagelens import schemas
@@ -186,5 +185,7 @@ def test_nearest(spark):
     asked = spark.createDataFrame([(1, [3.2, 0.0])], "query_id int, query array<float>")
     assert [r["vec_id"] for r in vectors.nearest(asked, table, 3).orderBy("rank").collect()] == [3, 4, 2]
     assert [r["vec_id"] for r in vectors.nearest(asked, table, 1, metric="dot").collect()] == [9]
-    with pytest.raises(ValueError):
-        vectors.nearest(spark.range(10_001).selectExpr("id AS query_id", "array(1.0) AS query"), table, 1)
+    many = spark.range(1500).selectExpr("id AS query_id", "array(CAST(id AS DOUBLE) / 150, 0D) AS query")  # two blocks of queries
+    got = {r["query_id"]: r["vec_id"] for r in vectors.nearest(many, table, 1).collect()}
+    assert len(got) == 1500 and got[0] == 0 and got[760] == 5 and got[1499] == 9
+    assert vectors.nearest(many.limit(0), table, 1).count() == 0
