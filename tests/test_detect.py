@@ -79,3 +79,17 @@ def test_text_functions(spark):
     assert value(spark, t.infer_department(lit("zzz"))) is None
     assert value(spark, t.html_text(lit("<p>a</p>\n<b>b</b>"))) == "a b"
     assert value(spark, t.prompt_lines(lit("abc"), lit(1), 2)) == ["[1] ab", "[1] c"]
+
+
+def test_one_text_with_very_many_matches(spark):
+    text = " ".join(f"user{i}@example.com says hello" for i in range(8000))
+    messages = spark.createDataFrame([("1", text)], "chat_id string, user_text string")
+    got = sorted((r.start, r.matched_text) for r in d.detect(messages).select("start", "matched_text").collect())
+    assert got == [(m.start(), m[0]) for m in re.finditer(r"user\d+@example\.com", text)]
+
+
+def test_long_secrets_with_one_beginning_are_two(spark):
+    long = "postgres://user:pw@" + "h" * 60
+    messages = spark.createDataFrame([("1", long + "/a"), ("2", long + "/b")], "chat_id string, user_text string")
+    found = d.detect(messages).filter("pattern like '%connection%' or matched_text like 'postgres%'").select("matched_text", "match_hash").collect()
+    assert len({r.matched_text for r in found}) == 1 and len({r.match_hash for r in found}) == 2

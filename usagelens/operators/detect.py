@@ -39,14 +39,14 @@ def explode_matches(hits: DataFrame, text: str, pattern: str, keep: list[str], v
     match. Patterns must not match the empty string.
     """
     pieces = F.expr(f"split(`{text}`, `{pattern}`, -1)")
-    hits = hits.withColumn("_value", values if values is not None else F.col("matches"))
-    hits = hits.withColumn("_gaps", F.transform(F.slice(pieces, F.lit(1), F.size("matches")), F.length))
-    hits = hits.withColumn("_spans", F.zip_with(
-        "_gaps", F.transform("matches", F.length), lambda gap, length: gap + length))
+    # Each step is worked out once per text: inlined into the lambdas it would be once per match.
+    hits = once(hits, _value=values if values is not None else F.col("matches"),
+                _gaps=F.transform(F.slice(pieces, F.lit(1), F.size("matches")), F.length))
+    hits = once(hits, _spans=F.zip_with("_gaps", F.transform("matches", F.length), lambda gap, length: gap + length))
     last_block = F.floor((F.size("_spans") - 1) / _BLOCK).cast("int")
-    hits = hits.withColumn("_blocks", F.transform(
+    hits = once(hits, _blocks=F.transform(
         F.sequence(F.lit(0), last_block), lambda b: _total(F.slice("_spans", b * _BLOCK + 1, F.lit(_BLOCK)))))
-    hits = hits.withColumn("_starts", F.transform(
+    hits = once(hits, _starts=F.transform(
         F.sequence(F.lit(0), F.size("_blocks") - 1), lambda b: _total(F.slice("_blocks", F.lit(1), b))))
 
     def begin(at: Column) -> Column:
@@ -56,7 +56,7 @@ def explode_matches(hits: DataFrame, text: str, pattern: str, keep: list[str], v
 
     found = F.transform("matches", lambda m, at: F.struct(
         begin(at).alias("start"), m.alias("match"), F.element_at("_value", at + 1).alias("value")))
-    hits = hits.withColumn("_found", found)
+    hits = once(hits, _found=found)
     return hits.select(*keep, F.inline(F.transform("_found", lambda f: F.struct(
         f["start"].alias("start"), f["match"].alias("match"), f["value"].alias("value"),
         context(F.col(text), f["start"], F.length(f["match"])).alias("snippet")))))
