@@ -13,7 +13,7 @@ from usagelens.config import RuleConfig
 from usagelens.operators import verdicts
 from usagelens.operators.detect import detect, processed_log
 from usagelens.operators.rules import company_matches, summarize
-from usagelens.operators.tables import VersionedTable, has_completed_run, new_rows, run_row, swap_recommendations
+from usagelens.operators.tables import VersionedTable, checked_insights, has_completed_run, new_rows, run_row, swap_recommendations
 from usagelens.plans import views
 from usagelens.session import materialise
 
@@ -61,7 +61,7 @@ def analysis_cycle(store: Store, chats: DataFrame, run_id: str, as_of: Column, d
     added = found.count()
     if added:
         store.table("findings").append_new(found, ["finding_id"])
-        scored = verdicts.insights(found, as_of)
+        scored = checked_insights(verdicts.insights(found, as_of))
         known = store.table("conversation_insights").read()
         store.table("conversation_insights").write(
             known.unionByName(_typed(new_rows(known, scored, ["chat_id"]), schemas.INSIGHTS)))
