@@ -16,8 +16,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from usagelens.llm.common import lower_ascii, text_of
@@ -60,17 +59,20 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(lower_ascii(text_of(text)), BREAKS), "")
 
 
-def _runs(templates: tuple[Template, ...]) -> pa.Table:
-    rows = []
-    for number, t in enumerate(templates):
-        w = t.words.split()
-        if not K <= len(w) <= MOST_WORDS:
+def _runs(spark: SparkSession, templates: tuple[Template, ...]) -> DataFrame:
+    """(t, label, base, runs, at, _run, _hash): every run of K words of the templates, which are literals of the query."""
+    sizes = [len(t.words.split()) for t in templates]
+    for t, n in zip(templates, sizes):
+        if not K <= n <= MOST_WORDS:
             raise ValueError(f"a template needs {K} to {MOST_WORDS} words: {t.words}")
-        rows += [{"t": number, "label": t.label, "base": t.base, "runs": len(w) - K + 1, "at": i, "w": w[i:i + K]} for i in range(len(w) - K + 1)]
-    if len(rows) > MOST_RUNS:
-        raise ValueError(f"more than {MOST_RUNS} template runs")
-    return pa.Table.from_pylist(rows, pa.schema([("t", pa.int32()), ("label", pa.string()), ("base", pa.bool_()), ("runs", pa.int32()),
-                                                 ("at", pa.int32()), ("w", pa.list_(pa.string()))]))
+    if not templates or sum(n - K + 1 for n in sizes) > MOST_RUNS:
+        raise ValueError(f"between 1 and {MOST_RUNS} template runs are needed")
+    listed = [F.struct(F.lit(n).alias("t"), F.lit(t.label).alias("label"), F.lit(t.base).alias("base"), F.lit(" ".join(t.words.split())).alias("words"))
+              for n, t in enumerate(templates)]
+    rows = spark.range(1).select(F.inline(F.array(*listed))).withColumn("w", F.split("words", " "))
+    runs = F.transform(F.sequence(F.lit(0), F.size("w") - K), lambda i: F.slice("w", i + 1, K))
+    rows = rows.select("t", "label", "base", (F.size("w") - K + 1).alias("runs"), F.posexplode(runs).alias("at", "_run"))
+    return rows.withColumn("_hash", F.xxhash64(*[F.col("_run")[i] for i in range(K)]))
 
 
 def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -80,8 +82,7 @@ def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def votes(docs: DataFrame, templates: tuple[Template, ...], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, _text, t, label, base, runs, diagonal, offsets): offsets has one bit per run found on the diagonal."""
-    spark = docs.sparkSession
-    runs = spark.createDataFrame(_runs(templates)).withColumn("_hash", F.xxhash64(*[F.col("w")[i] for i in range(K)])).withColumnRenamed("w", "_run")
+    runs = _runs(docs.sparkSession, templates)
     n, w = F.size("_words"), F.col("_words")
     hashes = F.transform(F.sequence(F.lit(0), n - K), lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(K)]))
     rolled = _source(docs, id_col, text_col).filter(n >= K).select("doc_id", "_text", "_words", F.posexplode(hashes).alias("_at", "_own"))
