@@ -6,6 +6,7 @@ import math
 import re
 from collections import defaultdict
 
+import numpy as np
 import pytest
 import sentencepiece
 from hypothesis import given, settings
@@ -47,6 +48,8 @@ def test_licenses_of_nothing_and_bad_templates(none):
     assert L.scan(none).collect() == []
     with pytest.raises(ValueError):
         L.scan(none, (Template("too short", "x"),))
+    with pytest.raises(ValueError):
+        L.scan(none, ())
 
 
 def test_a_word_put_in_moves_to_the_next_diagonal(spark):
@@ -63,6 +66,12 @@ def words():
     return pieces.Words(queries.piece_model())
 
 
+def test_the_word_table_keeps_no_long_words(words, library):
+    text = "short " + "字" * 5_000 + " short"
+    assert np.frombuffer(words.encode(text)[0], dtype=np.int32).tolist() == library.encode(text)
+    assert "▁short" in words and max(map(len, words)) <= pieces.LONG_WORD
+
+
 @pytest.fixture(scope="module")
 def library():
     return sentencepiece.SentencePieceProcessor(model_file=queries.piece_model())

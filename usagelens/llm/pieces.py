@@ -22,12 +22,17 @@ from pyspark.sql import functions as F
 from usagelens.llm.common import text_of
 
 MARK = "▁"
-TABLE_WORDS = 200_000
+TABLE_WORDS, LONG_WORD = 200_000, 256
 OUT_CHARS = 8_000_000
 
 
 class Words(dict):
-    """Marked word -> (ids as int32 bytes, decoded text); emptied when full."""
+    """Marked word -> (ids as int32 bytes, decoded text); emptied when full.
+
+    Words above LONG_WORD characters (texts of scripts without spaces) hardly
+    come twice; they are segmented where they stand, so the table has a bounded
+    number of bytes as well as of words.
+    """
 
     CHUNK = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
 
@@ -45,11 +50,12 @@ class Words(dict):
                           and [sp.id_to_piece(i) for i in self.before] == [MARK, "<0x0A>"])
 
     def __missing__(self, word: str) -> tuple[bytes, str]:
-        if len(self) >= self.limit:
-            self.clear()
         ids = self.processor.encode("\n" + word)[len(self.before):]
         made = np.array(ids, dtype=np.int32).tobytes(), self.processor.decode(self.before + ids)[self.start:]
-        self[word] = made
+        if len(word) <= LONG_WORD:
+            if len(self) >= self.limit:
+                self.clear()
+            self[word] = made
         return made
 
     def encode(self, text: str) -> tuple[bytes, str]:
