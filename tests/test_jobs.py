@@ -1,5 +1,6 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from usagelens import schemas
@@ -66,6 +67,30 @@ def test_upserts(spark, tmp_path):
     assert swapped == {"o": "historical", "p": "draft", "t": "active"}
 
 
+def test_writes_cost_what_they_bring(spark, tmp_path):
+    schema, rows = "id int, v string, at int", lambda *r: spark.createDataFrame(list(r), "id int, v string, at int")
+    root = tmp_path / "t"
+    table = tables.VersionedTable(spark, str(root), schema, ("id",), ("at",))
+    table.write(spark.range(20_000).selectExpr("CAST(id AS INT) AS id", "uuid() AS v", "0 AS at"))
+    for turn in range(3):
+        table.upsert(rows((1, f"a{turn}", turn), (1, "old", turn - 1), (30_000 + turn, "n", 0)), ["id"], ["at"])
+    assert table.append_new(rows((1, "seen", 9), (50_000, "x", 9)), ["id"]) == 5
+    size = lambda folder: sum(f.stat().st_size for f in folder.glob("*.parquet"))
+    assert size(root / "v=1") > 500_000 and all(size(root / f) < 20_000 for f in ("_put=2", "_put=3", "_put=4", "_new=5"))
+    now = {r["id"]: r["v"] for r in table.read().filter("id = 1 OR id >= 20000").collect()}
+    assert now == {1: "a2", 30_000: "n", 30_001: "n", 30_002: "n", 50_000: "x"} and table.read().count() == 20_004
+    assert table.read(2).filter("id = 1").first()["v"] == "a0"
+    with pytest.raises(ValueError):
+        tables.VersionedTable(spark, str(root), schema).read()
+    with pytest.raises(ValueError):
+        table.upsert(rows((1, "b", 1)), ["v"])
+    assert table.compact() == 6 and table.versions() == [1, 2, 3, 4, 5, 6] and table.read().count() == 20_004
+    assert table.compact() == 7 and table.versions() == [6, 7] and not (root / "v=1").exists()
+    (root / "_put=8").mkdir()  # a lost writer
+    assert table.read().count() == 20_004 and table.upsert(rows((2, "z", 1)), ["id"], ["at"]) == 8
+    assert table.read().filter("id = 2").first()["v"] == "z"
+
+
 def test_create_tables(spark, tmp_path):
     spark.sql(f"CREATE DATABASE IF NOT EXISTS lens LOCATION '{tmp_path}/lens'")
     assert len(schemas.create_tables(spark, "lens")) == len(schemas.TABLES)
@@ -111,7 +136,7 @@ def test_streams(spark, tmp_path):
     assert sorted(r["id"] for r in out.collect()) == ["a", "b", "c"]
     sessions = streams.usage_sessions(streams.usage_log_stream(spark, str(folder), as_of()), "10 minutes", "1 minute")
     assert [(r["events"], str(r["session_start"])) for r in streams.run_available(sessions, "t").collect()] == [(3, "2026-01-01 10:00:00")]
-    table = tables.VersionedTable(spark, str(tmp_path / "sum"), "department_id string, n long")
+    table = tables.VersionedTable(spark, str(tmp_path / "sum"), "department_id string, n long", ("department_id",))
     counts = streams.usage_log_stream(spark, str(folder), as_of()).groupBy("department_id").agg(F.count("*").alias("n"))
     for text in (None, event("d", 55)):
         if text:

@@ -69,10 +69,13 @@ def alert_stream(spark, folder):
 @query("analysis_stream", f"""WITH {FINDINGS} SELECT analyzer, count(*) AS finding_count, count(DISTINCT f.chat_id) AS messages
   FROM findings f JOIN chats c USING (chat_id) WHERE c.author = 'user' GROUP BY 1""")
 def analysis_stream(spark, folder):
-    """Cycles over a message stream, then once more over everything: the repeat adds nothing."""
+    """Cycles over a message stream of three batches, then once more over everything: the repeat adds nothing."""
     store = Store(spark, scratch_path(spark, "store"))
     as_of = F.lit(p.AS_OF).cast("timestamp")
-    messages = p.message_columns(streams.file_stream(spark, folder, "documents.parquet"))
+    landed = scratch_path(spark, "landed")
+    p.table(spark, folder, "documents").repartition(3, "doc_id").write.parquet(landed)
+    raw = p.table(spark, folder, "documents").schema
+    messages = p.message_columns(spark.readStream.schema(raw).option("maxFilesPerTrigger", 1).parquet(landed))
     streams.analysis_stream(messages, store, scratch_path(spark, "cycle"), as_of).awaitTermination()
     analysis_cycle(store, p.message_columns(p.table(spark, folder, "documents")), "again", as_of)
     return store.table("findings").read().groupBy("analyzer").agg(

@@ -17,21 +17,27 @@ def upsert(target: DataFrame, updates: DataFrame, keys: list[str], order: list[s
     winner is an aggregate, so rows fold on the map side and a key with very
     many versions is no single-task sort.
     """
-    rank = F.struct(F.col("_new"), *[F.col(c) for c in order or []])
     both = target.withColumn("_new", F.lit(0)).unionByName(
         updates.withColumn("_new", F.lit(1)), allowMissingColumns=True)
-    columns = [c for c in both.columns if c not in (*keys, "_new")]
+    out = _folded(both, "_new", keys, order or (), keep_first)
+    return out.select(*target.columns, *[c for c in out.columns if c not in target.columns])
+
+
+def _folded(rows: DataFrame, age: str, keys, order=(), keep_first=()) -> DataFrame:
+    """One row per key: the greatest by (`age`, `order`), with the stored value of `keep_first` columns."""
+    rank = F.struct(F.col(age), *[F.col(c) for c in order])
+    columns = [c for c in rows.columns if c not in (*keys, age)]
     if not columns:
-        return both.select(*keys).distinct()
+        return rows.select(*keys).distinct()
     # One buffer per key where every column can be compared; maps and variants cannot.
-    if all(_orderable(both, c) for c in columns):
+    if all(_orderable(rows, c) for c in columns):
         winner = F.max(F.struct(rank.alias("_rank"), *columns))
     else:
-        winner = F.max_by(F.struct(*columns), F.struct(rank, *[c for c in columns if _orderable(both, c)]))
-    firsts = [F.min_by(c, F.struct("_new", *(order or []))).alias(f"_first_{c}") for c in keep_first]
-    out = both.groupBy(*keys).agg(winner.alias("_w"), *firsts)
+        winner = F.max_by(F.struct(*columns), F.struct(rank, *[c for c in columns if _orderable(rows, c)]))
+    firsts = [F.min_by(c, F.struct(age, *order)).alias(f"_first_{c}") for c in keep_first]
+    out = rows.groupBy(*keys).agg(winner.alias("_w"), *firsts)
     picked = [F.coalesce(f"_first_{c}", f"_w.{c}").alias(c) if c in keep_first else F.col(f"_w.{c}") for c in columns]
-    return out.select(*keys, *picked).select(*target.columns, *[c for c in columns if c not in target.columns])
+    return out.select(*keys, *picked)
 
 
 def _orderable(frame: DataFrame, column: str) -> bool:
@@ -112,53 +118,99 @@ def has_completed_run(runs: DataFrame) -> bool:
 
 # ---------------------------------------------------------- versioned tables
 class VersionedTable:
-    """A table as numbered Parquet folders; a version counts once it is complete.
-
-    One writer at a time. Readers always see the newest version that carries
-    its success marker, so a lost writer leaves the table as it was.
+    """A table as numbered Parquet folders: whole versions (`v=`), rows added since (`_new=`) and rows upserted since (`_put=`).
+
+    `append_new` writes the new rows only, whatever the table holds, and so does
+    `upsert` where the table was opened with its `keys`: a read folds what was
+    upserted over the newest whole version, and `compact` stores that as a new
+    one. A folder counts once it carries its success marker, so a lost writer
+    leaves the table as it was. One writer at a time. The last two whole
+    versions and what follows them stay, older folders are deleted.
     """
 
-    def __init__(self, spark: SparkSession, path: str, schema: str | StructType):
+    def __init__(self, spark: SparkSession, path: str, schema: str | StructType, keys: tuple[str, ...] = (), order: tuple[str, ...] = ()):
         self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
+        self.keys, self.order = tuple(keys), tuple(order)
 
-    def _folder(self):
+    def _files(self):
         jvm = self.spark.sparkContext._jvm
         path = jvm.org.apache.hadoop.fs.Path(self.path)
-        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path, jvm
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path, jvm.org.apache.hadoop.fs.Path
 
-    def versions(self) -> list[int]:
-        files, root, jvm = self._folder()
+    def _folders(self) -> dict[int, str]:
+        """The kind of each complete folder, by its number."""
+        files, root, path = self._files()
         if not files.exists(root):
-            return []
-        names = [s.getPath().getName() for s in files.listStatus(root)]
-        numbers = [int(n[2:]) for n in names if n.startswith("v=") and n[2:].isdigit()]
-        return sorted(n for n in numbers if files.exists(
-            jvm.org.apache.hadoop.fs.Path(f"{self.path}/v={n}/_SUCCESS")))
+            return {}
+        parts = [s.getPath().getName().partition("=") for s in files.listStatus(root)]
+        return {int(n): kind for kind, _, n in parts if kind in ("v", "_new", "_put") and n.isdigit()
+                and files.exists(path(f"{self.path}/{kind}={n}/_SUCCESS"))}
 
-    def read(self, version: int | None = None) -> DataFrame:
-        versions = self.versions()
-        if not versions:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/v={version or versions[-1]}")
+    def _empty(self) -> DataFrame:
+        return self.spark.createDataFrame([], self.schema)
 
-    def write(self, rows: DataFrame, partition_by: tuple[str, ...] = ()) -> int:
+    def versions(self) -> list[int]:
+        return sorted(self._folders())
+
+    def read(self, version: int | None = None) -> DataFrame:
+        """The rows as of a version, or the newest."""
+        folders = {n: kind for n, kind in self._folders().items() if version is None or n <= version}
+        whole = max((n for n, kind in folders.items() if kind == "v"), default=0)
+        empty = self._empty()
+        rows = self.spark.read.schema(self.schema).parquet(f"{self.path}/v={whole}") if whole else empty
+        rows = rows.withColumn("_age", F.lit(0))
+        for kind in ("_new", "_put"):
+            if paths := [f"{self.path}/{kind}={n}" for n in sorted(folders) if n > whole and folders[n] == kind]:
+                reader = self.spark.read.schema(self._empty().schema.add(kind, "integer")).option("basePath", self.path)
+                rows = rows.unionByName(reader.parquet(*paths).withColumnRenamed(kind, "_age"))
+        if not any(n > whole and kind == "_put" for n, kind in folders.items()):
+            return rows.drop("_age")
+        if not self.keys:
+            raise ValueError(f"{self.path} was upserted by key: open it with its keys")
+        return _folded(rows, "_age", self.keys, self.order).select(*empty.columns)
+
+    def _store(self, rows: DataFrame, kind: str, partition_by: tuple[str, ...] = ()) -> int:
         number = (self.versions() or [0])[-1] + 1
         writer = rows.write.mode("overwrite")
-        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(f"{self.path}/v={number}")
+        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(f"{self.path}/{kind}={number}")
+        return number
+
+    def _typed(self, rows: DataFrame) -> DataFrame:
+        have = set(rows.columns)
+        return rows.select(*[(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name)
+                             for f in self._empty().schema])
+
+    def write(self, rows: DataFrame, partition_by: tuple[str, ...] = ()) -> int:
+        """A new whole version; returns its number."""
+        number = self._store(rows, "v", partition_by)
+        folders = self._folders()
+        oldest = sorted(n for n, kind in folders.items() if kind == "v")[-2:][0]
+        files, _, path = self._files()
+        for n in [n for n in folders if n < oldest]:
+            files.delete(path(f"{self.path}/{folders[n]}={n}"), True)
         return number
 
     def upsert(self, updates: DataFrame, keys: list[str], order: list[str] | None = None,
                keep_first: tuple[str, ...] = ()) -> int:
+        """Put rows in place by key. Without declared keys, or to keep first values, the whole table is written anew."""
+        if self.keys and (self.keys != tuple(keys) or tuple(order or ()) != self.order):
+            raise ValueError(f"the table is keyed by {self.keys}, ordered by {self.order}")
+        if self.keys and not keep_first:
+            return self._store(self._typed(updates), "_put")
         return self.write(upsert(self.read(), updates, keys, order, keep_first))
 
     def append_new(self, rows: DataFrame, keys: list[str]) -> int:
-        stored = self.read()
-        return self.write(stored.unionByName(new_rows(stored, rows, keys)))
+        """Add the rows whose key is not stored yet; only they are written."""
+        return self._store(self._typed(new_rows(self.read(), rows, keys)), "_new")
+
+    def compact(self) -> int:
+        """Fold all changes into a new whole version."""
+        return self.write(self.read())
 
     def wipe(self) -> int:
         """Replace the content by nothing; returns how many rows there were."""
         before = self.read().count()
-        self.write(self.spark.createDataFrame([], self.schema))
+        self.write(self._empty())
         return before
 
 

@@ -13,7 +13,7 @@ from usagelens.config import RuleConfig
 from usagelens.operators import verdicts
 from usagelens.operators.detect import detect, processed_log
 from usagelens.operators.rules import company_matches, summarize
-from usagelens.operators.tables import VersionedTable, checked_insights, has_completed_run, new_rows, run_row, swap_recommendations
+from usagelens.operators.tables import VersionedTable, checked_insights, has_completed_run, run_row, swap_recommendations
 from usagelens.plans import views
 from usagelens.session import materialise
 
@@ -29,7 +29,7 @@ class Store:
 
     def table(self, name: str, schema: str | StructType | None = None) -> VersionedTable:
         ddl = schema or (PROCESSED if name == "processed" else schemas.TABLES[name])
-        return VersionedTable(self.spark, f"{self.root}/{name}", ddl)
+        return VersionedTable(self.spark, f"{self.root}/{name}", ddl, *schemas.KEYS.get(name, ()))
 
 
 def _typed(rows: DataFrame, ddl: str) -> DataFrame:
@@ -45,14 +45,16 @@ def analysis_cycle(store: Store, chats: DataFrame, run_id: str, as_of: Column, d
     """Detect in user messages no analyzer has seen, then insights and recommendations.
 
     Messages count as seen once a run finished, with or without findings. A
-    repeated cycle over the same messages adds nothing. `chats` needs chat_id,
-    author, the text, and the columns the views read.
+    repeated cycle over the same messages adds nothing, and a cycle writes only
+    what its own messages bring. `chats` needs chat_id, author, the text, and
+    the columns the views read.
     """
     analyzers = sorted({d.analyzer for d in detectors})
     messages = chats.withColumn("chat_id", F.col("chat_id").cast("string")).filter(F.col("author") == "user")
     seen = store.table("processed").read()
-    # A message is finished when every analyzer has seen it.
-    finished = seen.filter(F.col("analyzer").isin(*analyzers)).groupBy("chat_id").agg(
+    # A message is finished when every analyzer has seen it. Only this batch's part of the log is folded.
+    seen = seen.filter(F.col("analyzer").isin(*analyzers)).join(messages.select("chat_id").distinct(), "chat_id", "left_semi")
+    finished = seen.groupBy("chat_id").agg(
         F.countDistinct("analyzer").alias("n")).filter(F.col("n") == len(analyzers)).select("chat_id")
     fresh = messages.join(finished, "chat_id", "left_anti")
     found = detect(fresh, detectors=detectors, text_col=text_col, run_id=run_id).withColumn("created_at", as_of)
@@ -62,9 +64,7 @@ def analysis_cycle(store: Store, chats: DataFrame, run_id: str, as_of: Column, d
     if added:
         store.table("findings").append_new(found, ["finding_id"])
         scored = checked_insights(verdicts.insights(found, as_of))
-        known = store.table("conversation_insights").read()
-        store.table("conversation_insights").write(
-            known.unionByName(_typed(new_rows(known, scored, ["chat_id"]), schemas.INSIGHTS)))
+        store.table("conversation_insights").append_new(_typed(scored, schemas.INSIGHTS), ["chat_id"])
     store.table("processed").append_new(log, ["chat_id", "analyzer"])
     return {"messages": log.select("chat_id").distinct().count(), "findings": added}
 
@@ -90,8 +90,7 @@ def run_rule_scan(store: Store, chats: DataFrame, rules: DataFrame, run_id: str,
     store.table("company_rules").upsert(_typed(rules, schemas.RULES), ["rule_id"])
     stored_rules = store.table("company_rules").read()
     found = _typed(company_matches(chats, stored_rules, run_id, rule_config=rule_config, as_of=as_of), schemas.MATCHES)
-    keys = ["analysis_run_id", "source_file", "conversation_key", "message_id", "company_rule_id", "matched_text"]
-    store.table("company_matches").upsert(found, keys, ["start"])
+    store.table("company_matches").upsert(found, *map(list, schemas.KEYS["company_matches"]))
     matches = store.table("company_matches").read()
     own = matches.filter(F.col("analysis_run_id") == run_id)
     store.table("conversation_summaries").upsert(

@@ -64,6 +64,15 @@ TABLES = {
     "finding_status": FINDING_STATUS,
 }
 
+#: (keys, order) of the tables whose rows are upserted; of several rows of a key the latest write and the greatest order win.
+KEYS = {
+    "company_rules": (("rule_id",), ()),
+    "company_matches": (("analysis_run_id", "source_file", "conversation_key", "message_id", "company_rule_id", "matched_text"), ("start",)),
+    "conversation_summaries": (("analysis_run_id", "conversation_key"), ()),
+    "analysis_runs": (("id",), ()),
+    "popular_packages": (("ecosystem", "name"), ()),
+}
+
 
 def create_tables(spark: SparkSession, database: str | None = None) -> list[str]:
     """Create every table that does not exist yet; safe to call repeatedly."""

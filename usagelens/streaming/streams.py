@@ -108,7 +108,7 @@ def run_to_end(build: Callable[[DataFrame], DataFrame], stream: DataFrame, rows:
 
 def upsert_sink(stream: DataFrame, table: VersionedTable, keys: list[str], checkpoint: str, order: list[str] | None = None,
                 **trigger) -> StreamingQuery:
-    """Each batch is upserted by key, so a replayed batch changes nothing."""
+    """Each batch is upserted by key, so a replayed batch changes nothing; a table opened with its keys is not rewritten."""
     def write(batch: DataFrame, number: int) -> None:
         if not batch.isEmpty():
             table.upsert(batch, keys, order)
