@@ -136,9 +136,13 @@ def append_log(stream: DataFrame, path: str, checkpoint: str, **trigger) -> Stre
 
 def analysis_stream(messages: DataFrame, store: Store, checkpoint: str, as_of: Column,
                     all_chats: Callable[[], DataFrame] | None = None, **trigger) -> StreamingQuery:
-    """The analysis cycle on every batch of new messages; views are refreshed when it found something."""
+    """The analysis cycle on every batch of new messages; views are refreshed when it found something.
+
+    A batch is stored first: the cycle reads it several times, some of them for
+    one column, and a batch of a stream would be worked out whole each time.
+    """
     def cycle(batch: DataFrame, number: int) -> None:
-        result = analysis_cycle(store, batch, f"batch-{number}", as_of)
+        result = analysis_cycle(store, materialise(batch, "cycle-batch"), f"batch-{number}", as_of)
         if result["findings"] and all_chats is not None:
             refresh_detector_views(store, all_chats(), as_of)
 
