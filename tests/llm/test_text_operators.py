@@ -190,6 +190,16 @@ def test_main_text():
     assert M.main_text(plain).split("\n") == ["Head", "Some text, with marks; and more of it.", "Other text, with marks, too."]
 
 
+ARTICLE = "<article><h1>Head</h1><p>Some text, with marks; and more of it.</p></article>"
+
+
+@pytest.mark.parametrize("start", ["<html><head><title>No</title><body>", "<head><meta charset=utf-8><title>No</title>", "<head><noscript><img src=x></noscript><title>No</title>",
+                                   "<head><script>var a = '<body>';</script><body>", "<title>No</title>", "<head><template><div>No</div></template></head>"])
+def test_main_text_without_head_end_or_body(start):
+    assert M.main_text(start + ARTICLE).split("\n") == ["Head", "Some text, with marks; and more of it."]
+    assert M.main_text("<head><title>No</title>\n Bare text.") == "Bare text."
+
+
 @pytest.mark.parametrize("markup", ["", " ", "<", "<p", "</div></div>", "<!--", "plain text", "<script>", "<p>" * 3000, "&#0; &#xD800; &bogus;", "<svg/><p>x"])
 def test_broken_markup_has_some_text(markup):
     assert isinstance(M.main_text(markup), str)

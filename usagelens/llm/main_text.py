@@ -39,6 +39,8 @@ INNER = frozenset("p li h1 h2 h3 h4 h5 h6 blockquote pre dd dt td th tr ul ol dl
 ENDS = {"p": BLOCKS - {"body", "html"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot", "thead"},
         "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}, "h1": HEADINGS, "h2": HEADINGS, "h3": HEADINGS,
         "h4": HEADINGS, "h5": HEADINGS, "h6": HEADINGS}
+#: What may stand in a head; any other start tag, and text, ends an open one.
+HEAD = frozenset("head html base basefont bgsound link meta noscript script style template title".split())
 #: Elements that stop the search for one to end.
 WALLS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "option": {"select"}}
 FURNITURE = frozenset((
@@ -60,7 +62,19 @@ class _Page(HTMLParser):
         self.tags, self.parents, self.notes = ["#root"], [-1], [{}]
         self.open, self.nodes, self.block = [0], [], 0
 
+    def _in_head(self):
+        return any(self.tags[e] == "head" for e in self.open)
+
+    def _end_head(self):
+        """Close a head that is open without an end tag; inside its own elements only a body tag closes it."""
+        if self._in_head():
+            del self.open[[self.tags[e] for e in self.open].index("head"):]
+            self.block += 1
+
     def handle_starttag(self, tag, attrs):
+        if tag == "body" or self.tags[self.open[-1]] == "head" and tag not in HEAD or (
+                self.tags[self.open[-1]] == "noscript" and tag not in HEAD and self._in_head()):
+            self._end_head()
         if tag == "br":
             self._put(" ")
             return
@@ -99,6 +113,8 @@ class _Page(HTMLParser):
                 break
 
     def handle_data(self, data):
+        if self.tags[self.open[-1]] == "head" and data.strip():
+            self._end_head()
         self._put(data)
 
     def _put(self, data):
