@@ -200,6 +200,23 @@ def test_main_text_without_head_end_or_body(start):
     assert M.main_text("<head><title>No</title>\n Bare text.") == "Bare text."
 
 
+REFERENCES = "".join(f"<li><a href={i}>Author {i}, a paper with a long title, in a journal.</a></li>" for i in range(4))
+
+
+@pytest.mark.parametrize("tag", ["article", "main"])
+def test_lists_of_links_inside_the_article_stay(tag):
+    page = f"<body><{tag}><h1>Head</h1><p>Some text, with marks; and more of it.</p><ul>{REFERENCES}</ul></{tag}></body>"
+    assert M.main_text(page).split("\n") == ["Head", "Some text, with marks; and more of it.", *(f"Author {i}, a paper with a long title, in a journal." for i in range(4))]
+
+
+def test_a_page_of_links_keeps_its_text_and_loses_its_menu():
+    menu = "<ul>" + "".join(f"<li><a href={i}>Go {i}</a></li>" for i in range(4)) + "</ul>"
+    text = M.main_text(f"<body>{menu}<div><h1>Papers</h1><ul>{REFERENCES}</ul></div></body>")
+    assert "Author 3, a paper with a long title, in a journal." in text and "Go 1" not in text
+    story = "<p>Some text, with marks; and more of it, and more.</p>" * 3
+    assert "Go 1" not in M.main_text(f"<body>{menu}{story}{menu}</body>")
+
+
 @pytest.mark.parametrize("markup", ["", " ", "<", "<p", "</div></div>", "<!--", "plain text", "<script>", "<p>" * 3000, "&#0; &#xD800; &bogus;", "<svg/><p>x"])
 def test_broken_markup_has_some_text(markup):
     assert isinstance(M.main_text(markup), str)

@@ -9,8 +9,9 @@ which element is the article: the walk goes down from the body as long as one
 child holds nearly all content weight, and stops at an article. All blocks of
 that element are its text, short ones too, except subtrees of boilerplate
 (menus, adverts, forms, ...), known by tag, role or class words, or by being
-mostly links. A class word is not believed of an element that holds most of the
-content weight.
+mostly links outside an article or main element and mostly not content by the
+ratios. Neither a class word nor its links are believed of an element that holds
+most of the content weight.
 
 Pages are independent, so this is one narrow pass.
 """
@@ -176,9 +177,10 @@ def main_text(html: str) -> str:
             out[parents[e]] += out[e]
         return out
 
-    inside, link, heading = [False] * n, [False] * n, [0] * n
+    inside, body, link, heading = [False] * n, [False] * n, [False] * n, [0] * n
     for e in range(1, n):
         inside[e] = inside[parents[e]] or tags[e] == "article"
+        body[e] = body[parents[e]] or tags[e] in ("article", "main")
         link[e] = link[parents[e]] or tags[e] == "a"
     holds_article = [t in ("article", "main") for t in tags]
     links = [0] * n
@@ -201,7 +203,8 @@ def main_text(html: str) -> str:
         elif (note.get("role") or "").lower() in ROLES or words & FURNITURE:
             gone[e] = tag == "article" and bool(words & {"comment", "comments", "reply", "replies"}) or not most and tag not in HEADINGS | {"a", "b", "i", "em", "strong", "span"} or (
                 tag in ("span", "a") and bool(words & {"ad", "ads", "advert", "share", "skip", "sponsored"}))
-        elif tag in ("ul", "ol", "div", "section", "table", "p") and links[e] >= 3 and linked[e] > LINKED * letters[e]:
+        elif tag in ("ul", "ol", "div", "section", "table", "p") and links[e] >= 3 and linked[e] > LINKED * letters[e] and not (
+                body[e] or most or 2 * content[e] > letters[e]):
             gone[e] = True
     for i in list(weight):
         if gone[nodes[i][0]]:
