@@ -8,7 +8,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from usagelens.llm import ann, exact_dedup, licenses, main_text, mixing, pieces, quality, simhash, sql, toxicity, url_filter
+from usagelens.llm import (alignment, ann, exact_dedup, fill_middle, licenses, main_text, mixing, pieces, quality, simhash, sql, token_files,
+                           toxicity, url_filter)
+from usagelens.session import scratch_path
 
 #: Fixed by contract: (host, path, verdict).
 URL_RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
@@ -26,6 +28,12 @@ def piece_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def byte_model() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def op1_licenses(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.scan(table(spark, folder, "documents"))
 
@@ -69,8 +77,22 @@ def op10_nearest(spark: SparkSession, folder: str) -> DataFrame:
     return ann.nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op11_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    return alignment.align(table(spark, folder, "documents"), byte_model(), piece_model())
+
+
+def op12_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    path = scratch_path(spark, "token-file")
+    token_files.write(table(spark, folder, "documents"), byte_model(), path)
+    return token_files.digests(spark, path)
+
+
+def op13_fill_middle(spark: SparkSession, folder: str) -> DataFrame:
+    return fill_middle.digests(fill_middle.pieces(table(spark, folder, "documents")))
+
+
 _OPERATORS = (op1_licenses, op2_pieces, op3_exact_dedup, op4_url_filter, op5_toxicity, op6_quality, op7_simhash, op8_mixing, op9_main_text,
-              op10_nearest)
+              op10_nearest, op11_alignment, op12_token_files, op13_fill_middle)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -76,4 +76,23 @@ WITH d AS (
 SELECT doc_id, size, source_size, target::DOUBLE AS target, ((floor(k * e + u) - floor((k - 1) * e + u)) * size)::BIGINT AS taken FROM p
 """
 
-ORACLES = {"op1_licenses": license_sql(BASE + NOTICES), "op3_exact_dedup": OP3, "op4_url_filter": OP4, "op8_mixing": OP8}
+OP13 = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents
+), u AS (
+  SELECT doc_id, t, regexp_extract_all(t, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS w, ('0x' || h[1:8])::BIGINT AS h1,
+         ('0x' || h[9:16])::BIGINT AS h2, ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4 FROM d
+), c AS (
+  SELECT doc_id, t, len(w)::BIGINT AS n, CASE WHEN t = '' OR regexp_matches(t, '<[PSM]>') OR h3 % 100 >= 50 THEN 'plain'
+         WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form, w,
+         least(h1 % (len(w) + 1), h2 % (len(w) + 1)) AS low, greatest(h1 % (len(w) + 1), h2 % (len(w) + 1)) AS high FROM u
+), p AS (
+  SELECT *, array_to_string(w[1:low], '') AS prefix, array_to_string(w[low + 1:high], '') AS middle, array_to_string(w[high + 1:], '') AS suffix FROM c
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END::BIGINT AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(middle) END::BIGINT AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+              ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(t) AS restored_sha256
+FROM p
+"""
+
+ORACLES = {"op1_licenses": license_sql(BASE + NOTICES), "op3_exact_dedup": OP3, "op4_url_filter": OP4, "op8_mixing": OP8, "op13_fill_middle": OP13}
