@@ -176,6 +176,31 @@ def test_long_texts_are_cut_without_a_trace():
     assert np.concatenate(library.encode(pieces)).tolist() == library.encode([text])[0].tolist()
 
 
+SPACES = "".join(chr(c) for c in range(0x3001) if chr(c).isspace()) + "\u200b\u180e\ufeff"
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.text(alphabet=st.one_of(st.sampled_from(SPACES), st.sampled_from("ab'sé1<|>.日"), st.characters()), max_size=25), max_size=4))
+def test_words_are_encoded_like_whole_texts(library, texts):
+    texts = [*texts, "".join(f"a{s}b{s}{s}c{s} d{s}\n" for s in SPACES), "x<|endoftext|>  y", "", " "]
+    plain = [e.ids for e in library.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert [ids.tolist() for ids in library.encode(texts)] == plain
+
+
+def test_the_table_of_words_is_bounded(monkeypatch):
+    monkeypatch.setattr(byte_tokens, "TABLE_WORDS", 5)
+    library = byte_tokens.ByteTokens(queries.byte_model())
+    for n in range(20):
+        text = f"a{n} b{n} " + "long" * 100
+        assert library.encode([text])[0].tolist() == library.tokenizer.encode(text).ids
+        assert len(library.known) <= 5 + 2 and " " + "long" * 100 not in library.known
+
+
+@pytest.fixture(scope="module")
+def library():
+    return byte_tokens.ByteTokens(queries.byte_model())
+
+
 # --------------------------------------------------------------------- alignment
 def plain_alignment(rows):
     """Per row (n_a, n_b, groups, links) with links as id pairs."""

@@ -32,7 +32,7 @@ from usagelens.llm.pieces import MARK, Words
 from usagelens.session import materialise
 
 #: Characters of text aligned together, and links of a block.
-TEXT_CHARS, LINKS = 1_000_000, 1 << 21
+TEXT_CHARS, LINKS = 250_000, 1 << 20
 
 
 # ------------------------------------------------------------------ alignment

@@ -3,14 +3,21 @@
 from __future__ import annotations
 
 import json
+import os
 import re
 from collections.abc import Iterator
 
 import numpy as np
 from tokenizers import Tokenizer
 
-#: Characters of text given to a library at once; a Python object per token makes its answer some fifty times as large.
-CHUNK_CHARS = 1_000_000
+#: Characters of a text that are read at once; the library's answer is some fifty times as large.
+CHUNK_CHARS = 250_000
+#: White space and what follows it. No token reaches over the border before white space that the library knows as such too.
+WORD = re.compile(r"\s*\S+|\s+")
+#: White space to Python, not to the library.
+DOUBTFUL = re.compile("[\x1c-\x1f]")
+#: Words that a task remembers, and the longest of them.
+TABLE_WORDS, LONG_WORD = 250_000, 256
 #: No token of a byte-level pattern reaches over the place between a letter and a space with a letter behind it.
 BORDER = re.compile("[A-Za-z](?= [A-Za-z])")
 
@@ -31,11 +38,14 @@ class ByteTokens:
     """Ids of texts, and the bytes of each id.
 
     `plain` reads the strings of special tokens inside texts as ordinary text.
-    Texts are cut only for byte-level vocabularies that rewrite nothing;
-    others get them whole.
+    The library encodes a word once while it is remembered: the new words of a
+    few texts are set one behind the other, encoded together and told apart by
+    the bytes of their tokens. Vocabularies that are not byte-level, or rewrite
+    texts, get whole texts.
     """
 
     def __init__(self, path: str, plain: bool = False):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = plain
         said = json.loads(self.tokenizer.to_str())
@@ -43,17 +53,54 @@ class ByteTokens:
         self.cuttable = (said["normalizer"] is None and reader.get("type") == "ByteLevel" and not reader.get("add_prefix_space")
                          and reader.get("use_regex", True) and not any(re.search("[A-Za-z] [A-Za-z]", t["content"]) for t in said["added_tokens"]))
         self.vocabulary = max(self.tokenizer.get_vocab().values(), default=-1) + 1
+        self.sizes = np.array(list(map(len, self.bytes_of())), dtype=np.int64)
+        self.known: dict[str, bytes] = {}
 
     def pieces(self, text: str) -> list[str]:
         return list(cut(text)) if self.cuttable else [text]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
+        if not self.cuttable:
+            return self._encoded(texts)
+        words = [None if DOUBTFUL.search(t) else WORD.findall(t) for t in texts]
+        if len(self.known) > TABLE_WORDS:
+            self.known.clear()
+        fresh = list(set().union(*(w for w in words if w is not None)) - self.known.keys())
+        self._learn(fresh)
+        out = [self._encoded([t])[0] if w is None else np.frombuffer(b"".join(map(self.known.__getitem__, w)), dtype=np.int32)
+               for t, w in zip(texts, words)]
+        for word in fresh:
+            if len(word) > LONG_WORD:
+                del self.known[word]
+        return out
+
+    def _encoded(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, dtype=np.int32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _learn(self, words: list[str]) -> None:
+        """Encode new words. Only the first of a text may begin without white space; such are not set behind others."""
+        joined = [w for w in words if w[0].isspace()]
+        alone = [w for w in words if not w[0].isspace()]
+        for at in range(0, len(joined), 2000):
+            some = joined[at:at + 2000]
+            ids = self._encoded(["".join(some)])[0]
+            token_ends, word_ends = np.cumsum(self.sizes[ids]), np.cumsum([len(w.encode()) for w in some])
+            cut = np.searchsorted(token_ends, word_ends)
+            if len(ids) and (token_ends[np.minimum(cut, len(ids) - 1)] == word_ends).all():
+                raw, ends = ids.tobytes(), (4 * (cut + 1)).tolist()
+                self.known.update(zip(some, map(raw.__getitem__, map(slice, [0, *ends], ends))))
+            else:
+                alone += some
+        for at in range(0, len(alone), 2000):
+            some = alone[at:at + 2000]
+            self.known.update(zip(some, (ids.tobytes() for ids in self._encoded(some))))
+
     def bytes_of(self) -> list[bytes]:
-        """The bytes each id stands for; an id without an entry has none."""
+        """The bytes each id stands for (of an added token its string); an id without an entry has none."""
         letters = _byte_letters()
         out = [b""] * self.vocabulary
+        for i, token in self.tokenizer.get_added_tokens_decoder().items():
+            out[i] = token.content.encode()
         for entry, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
             out[i] = bytes(letters[c] for c in entry) if all(c in letters for c in entry) else entry.encode()
         return out
