@@ -114,6 +114,17 @@ def links(a: np.ndarray, b: np.ndarray, leaves: np.ndarray) -> tuple[np.ndarray,
     return tuple(np.concatenate(c) for c in zip(*out))
 
 
+def _spelled(rows: list[np.ndarray], words: list[bytes]) -> list[bytes]:
+    """The bytes that each row of ids stands for."""
+    sizes = np.array(list(map(len, words)), dtype=np.int64)
+    ids = np.concatenate([np.zeros(0, dtype=np.int32), *rows])
+    ends = np.cumsum(sizes[ids])
+    place = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat((np.cumsum(sizes) - sizes)[ids] - ends + sizes[ids], sizes[ids])
+    spelled = np.frombuffer(b"".join(words), dtype=np.uint8)[place].tobytes()
+    cuts = np.append(0, ends)[np.cumsum([0, *map(len, rows)])].tolist()
+    return [spelled[low:high] for low, high in zip(cuts, cuts[1:])]
+
+
 class Span(NamedTuple):
     """An aligned piece: its document, the number of groups, the ids of all links, the groups as text."""
 
@@ -136,9 +147,10 @@ class Pair:
         self.bytes_b = [bytes([int(sp.id_to_piece(i)[1:-1], 16)]) if sp.is_byte(i) else sp.id_to_piece(i).replace(MARK, " ").encode()
                         for i in range(sp.get_piece_size())]
         self.sizes_a, self.sizes_b = (np.array(list(map(len, t)), dtype=np.int64) for t in (self.bytes_a, self.bytes_b))
-        #: Written id and what follows it, by separator and id: within a side, after the first side, after a group.
-        self.text_a = [f"{i}{s}".encode() for s in ",|" for i in range(len(self.bytes_a))]
-        self.text_b = [f"{i}{s}".encode() for s in ",;" for i in range(len(self.bytes_b))]
+        #: Written id and what follows it, zeros before: within a side, after the first side, after a group.
+        self.text = np.array([f"{i}{s}" for n, ends in ((len(self.bytes_a), ",|"), (len(self.bytes_b), ",;")) for s in ends for i in range(n)], dtype=bytes)
+        self.text_sizes = np.char.str_len(self.text)
+        self.text = self.text.view(np.uint8).reshape(len(self.text), -1)
 
     def tokens(self, texts: list[str | None]) -> list[list[tuple[np.ndarray, np.ndarray]]]:
         """For each text the ids of both sides, piece by piece; none where a side does not say space + text byte for byte.
@@ -147,18 +159,13 @@ class Pair:
         """
         cut = [(self.a.pieces(" " + t) if self.cuttable else [" " + t]) if t else [] for t in texts]
         flat = [p for pieces in cut for p in pieces]
-        made_a = self.a.encode(flat)
+        said = [p.encode() for p in flat]
+        made = self.a.encode(flat), [np.array(self.processor.encode(p[1:]), dtype=np.int32) for p in flat]
+        good = [x == y == z for x, y, z in zip(said, *(_spelled(ids, words) for ids, words in zip(made, (self.bytes_a, self.bytes_b))))]
         out, at = [], 0
         for pieces in cut:
-            rows = []
-            for piece, a in zip(pieces, made_a[at:at + len(pieces)]):
-                b = self.processor.encode(piece[1:])
-                said = piece.encode()
-                if b"".join([self.bytes_a[i] for i in a.tolist()]) != said or b"".join([self.bytes_b[i] for i in b]) != said:
-                    rows = []
-                    break
-                rows.append((a, np.array(b, dtype=np.int32)))
-            out.append(rows)
+            here = slice(at, at + len(pieces))
+            out.append(list(zip(made[0][here], made[1][here])) if all(good[here]) else [])
             at += len(pieces)
         return out
 
@@ -197,11 +204,12 @@ class Pair:
         whole = np.empty(len(a) + len(b), dtype=np.int64)
         # A token of either side stands behind the tokens of both sides in earlier groups.
         whole[np.arange(len(a)) + np.repeat(leaves[:, 2], leaves[:, 1] - leaves[:, 0])] = a + len(self.bytes_a) * last[0]
-        shift = len(self.text_a)
-        whole[np.arange(len(b)) + np.repeat(leaves[:, 1], leaves[:, 3] - leaves[:, 2])] = shift + b + len(self.bytes_b) * last[1]
-        table = self.text_a + self.text_b
-        for a0, a1, b0, b1 in spans.tolist():
-            yield b"".join([table[i] for i in whole[a0 + b0:a1 + b1].tolist()])
+        whole[np.arange(len(b)) + np.repeat(leaves[:, 1], leaves[:, 3] - leaves[:, 2])] = 2 * len(self.bytes_a) + b + len(self.bytes_b) * last[1]
+        letters = self.text[whole]
+        text = letters[letters != 0].tobytes()
+        ends = np.append(0, np.cumsum(self.text_sizes[whole]))
+        for low, high in zip(ends[spans[:, 0] + spans[:, 2]].tolist(), ends[spans[:, 1] + spans[:, 3]].tolist()):
+            yield text[low:high]
 
 
 # --------------------------------------------------------------------- blocks

@@ -16,8 +16,8 @@ CHUNK_CHARS = 250_000
 WORD = re.compile(r"\s*\S+|\s+")
 #: White space to Python, not to the library.
 DOUBTFUL = re.compile("[\x1c-\x1f]")
-#: Words that a task remembers, and the longest of them.
-TABLE_WORDS, LONG_WORD = 250_000, 256
+#: Words that a task learns before it forgets those which it has not met since the time before, and the longest of them.
+TABLE_WORDS, LONG_WORD = 150_000, 256
 #: No token of a byte-level pattern reaches over the place between a letter and a space with a letter behind it.
 BORDER = re.compile("[A-Za-z](?= [A-Za-z])")
 
@@ -55,6 +55,7 @@ class ByteTokens:
         self.vocabulary = max(self.tokenizer.get_vocab().values(), default=-1) + 1
         self.sizes = np.array(list(map(len, self.bytes_of())), dtype=np.int64)
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def pieces(self, text: str) -> list[str]:
         return list(cut(text)) if self.cuttable else [text]
@@ -64,8 +65,11 @@ class ByteTokens:
             return self._encoded(texts)
         words = [None if DOUBTFUL.search(t) else WORD.findall(t) for t in texts]
         if len(self.known) > TABLE_WORDS:
-            self.known.clear()
-        fresh = list(set().union(*(w for w in words if w is not None)) - self.known.keys())
+            self.known, self.older = {}, self.known
+        fresh = set().union(*(w for w in words if w is not None)) - self.known.keys()
+        met = fresh & self.older.keys()
+        self.known.update(zip(met, map(self.older.__getitem__, met)))
+        fresh = list(fresh - met)
         self._learn(fresh)
         out = [self._encoded([t])[0] if w is None else np.frombuffer(b"".join(map(self.known.__getitem__, w)), dtype=np.int32)
                for t, w in zip(texts, words)]
