@@ -193,7 +193,7 @@ def test_the_table_of_words_is_bounded(monkeypatch):
     for n in range(20):
         text = f"a{n} b{n} " + "long" * 100
         assert library.encode([text])[0].tolist() == library.tokenizer.encode(text).ids
-        assert len(library.known) + len(library.older) <= 2 * (5 + 2) and " " + "long" * 100 not in library.known
+        assert len(library.words) + len(library.words.older) <= 2 * (5 + 2) and " " + "long" * 100 not in library.words
 
 
 @pytest.fixture(scope="module")
@@ -255,6 +255,22 @@ def plain_result(rows):
         ";".join(",".join(map(str, g)) + "|" + ",".join(map(str, h)) for g, h in groups)) if groups else "") for (i, _), (n_a, n_b, groups, links) in zip(rows, made)]
 
 
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.text(alphabet=st.one_of(st.sampled_from(SPACES), st.sampled_from("ab'sé1<|>.日▁"), st.characters()), max_size=25), max_size=4))
+def test_both_sides_are_encoded_like_whole_texts(both, texts):
+    texts = [*texts, "".join(f"a{s}b{s}{s}c{s} d{s}\n" for s in SPACES), "x\n  y \n z  ", "", " ", "\n", "a▁b", "<s> <0x41>"]
+    for text, pieces in zip(texts, both.tokens(texts)):
+        whole = both._whole([" " + text])[0] if text else None
+        got = [tuple(ids.tolist() for ids in side) for side in zip(*pieces)]
+        assert ([sum(side, ()) for side in (tuple(map(tuple, x)) for x in got)] if pieces else None) == (
+            None if whole is None else [tuple(ids.tolist()) for ids in whole])
+
+
+@pytest.fixture(scope="module")
+def both():
+    return A.Pair(queries.byte_model(), queries.piece_model())
+
+
 @pytest.mark.parametrize("size", [100, A.LINKS])
 def test_alignment(many, size):
     rows, frame = many

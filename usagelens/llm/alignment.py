@@ -17,6 +17,7 @@ has is one row per block, and nothing that is shuffled grows with the links.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -26,11 +27,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from usagelens.llm.byte_tokens import ByteTokens
+from usagelens.llm.byte_tokens import WORD, ByteTokens, WordTable, encoded_words, uncollected
 from usagelens.llm.common import text_of
 from usagelens.llm.pieces import MARK, Words
 from usagelens.session import materialise
 
+#: White space that the second side may hold in the middle of a token.
+OTHER_SPACE = re.compile(r"[^\S \n]")
 #: Characters of text aligned together, and links of a block.
 TEXT_CHARS, LINKS = 250_000, 1 << 20
 
@@ -141,7 +144,10 @@ class Pair:
     def __init__(self, byte_model: str, piece_model: str):
         self.a = ByteTokens(byte_model, plain=True)
         words = Words(piece_model)
-        self.processor, self.cuttable = words.processor, self.a.cuttable and words.separable
+        self.processor, self.before = words.processor, words.before
+        #: Words are borders of both sides, and the first gives all bytes back.
+        self.cuttable = self.a.lossless and words.separable
+        self.words = WordTable(self._learn)
         sp = self.processor
         self.bytes_a = self.a.bytes_of()
         self.bytes_b = [bytes([int(sp.id_to_piece(i)[1:-1], 16)]) if sp.is_byte(i) else sp.id_to_piece(i).replace(MARK, " ").encode()
@@ -158,17 +164,53 @@ class Pair:
         A piece begins with the space before a word, or the one that is put before the text.
         """
         cut = [(self.a.pieces(" " + t) if self.cuttable else [" " + t]) if t else [] for t in texts]
-        flat = [p for pieces in cut for p in pieces]
-        said = [p.encode() for p in flat]
-        made = self.a.encode(flat), [np.array(self.processor.encode(p[1:]), dtype=np.int32) for p in flat]
-        good = [x == y == z for x, y, z in zip(said, *(_spelled(ids, words) for ids, words in zip(made, (self.bytes_a, self.bytes_b))))]
+        made = self._tokens([p for pieces in cut for p in pieces])
         out, at = [], 0
         for pieces in cut:
-            here = slice(at, at + len(pieces))
-            out.append(list(zip(made[0][here], made[1][here])) if all(good[here]) else [])
+            here = made[at:at + len(pieces)]
+            out.append(here if all(ids is not None for ids in here) else [])
             at += len(pieces)
         return out
 
+    def _tokens(self, pieces: list[str]) -> list[tuple[np.ndarray, np.ndarray] | None]:
+        """The ids of both sides; None where one of them says something else than the piece."""
+        by_word = [self.cuttable and not OTHER_SPACE.search(p) for p in pieces]
+        words, cuts = [], [0]
+        for piece, good in zip(pieces, by_word):
+            words += WORD.findall(piece) if good else []
+            cuts.append(len(words))
+        found = self.words.values_of(words)
+        a, b = zip(*found) if found else ((), ())
+        whole = iter(self._whole([p for p, good in zip(pieces, by_word) if not good]))
+        out = []
+        for good, low, high in zip(by_word, cuts, cuts[1:]):
+            if not good:
+                out.append(next(whole))
+            elif None in b[low:high]:
+                out.append(None)
+            else:
+                out.append(tuple(np.frombuffer(b"".join(side[low:high]), dtype=np.int32) for side in (a, b)))
+        return out
+
+    def _whole(self, pieces: list[str]) -> list[tuple[np.ndarray, np.ndarray] | None]:
+        a, b = self.a.encode(pieces), [np.array(self.processor.encode(p[1:]), dtype=np.int32) for p in pieces]
+        said = [p.encode() for p in pieces]
+        spelled = zip(_spelled(a, self.bytes_a), _spelled(b, self.bytes_b))
+        return [(x, y) if p == q == r else None for x, y, p, (q, r) in zip(a, b, said, spelled)]
+
+    def _learn(self, words: list[str]) -> list[tuple[bytes, bytes | None]]:
+        """The ids of words (with their white space before) as bytes; None where the second side says something else than the word."""
+        lead = self.before
+        encode = lambda text: np.array(self.processor.encode("\n" + text)[len(lead):], dtype=np.int32)
+        b = encoded_words(words, encode, self.sizes_b)
+        if b is None:  # a word holds what the model rewrites
+            b = [encode(w).tobytes() for w in words]
+        rows, said = [np.frombuffer(b"".join(b), dtype=np.int32)], "".join(words).encode()
+        if _spelled(rows, self.bytes_b)[0] != said:
+            right = _spelled([np.frombuffer(ids, dtype=np.int32) for ids in b], self.bytes_b)
+            b = [ids if w.encode() == z else None for w, ids, z in zip(words, b, right)]
+        return list(zip(self.a.learn(words), b))
+
     def align(self, rows: list[list[tuple[np.ndarray, np.ndarray]]]) -> Iterator[Span]:
         """The pieces of `tokens` in order, aligned together up to some number of tokens."""
         held, size = [], 0
@@ -297,6 +339,10 @@ def blocks(docs: DataFrame, byte_model: str, piece_model: str, id_col: str = "do
             yield held
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with uncollected():
+            yield from filled(batches)
+
+    def filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both, block = Pair(byte_model, piece_model), _Block()
         for rows in some(batches):
             tokens = both.tokens([text for _, _, text in rows])

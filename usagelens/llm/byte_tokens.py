@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 from tokenizers import Tokenizer
@@ -34,6 +36,58 @@ def cut(text: str, size: int = CHUNK_CHARS) -> Iterator[str]:
     yield text[at:]
 
 
+@contextmanager
+def uncollected() -> Iterator[None]:
+    """Without the search for cycles, of which encoding makes none: it walks through every remembered word."""
+    gc.disable()
+    try:
+        yield
+    finally:
+        gc.enable()
+
+
+class WordTable(dict):
+    """What `learn` says of words, asked once while a word is remembered; long words are never remembered."""
+
+    def __init__(self, learn: Callable[[list[str]], list]):
+        super().__init__()
+        self.learn, self.older = learn, {}
+
+    def values_of(self, words: list[str]) -> list:
+        if len(self) > TABLE_WORDS:
+            self.older = dict(self)
+            self.clear()
+        found = list(map(self.get, words))
+        missing = [i for i, value in enumerate(found) if value is None]
+        if missing:
+            fresh = set(map(words.__getitem__, missing))
+            met = fresh & self.older.keys()
+            self.update(zip(met, map(self.older.__getitem__, met)))
+            new = list(fresh - met)
+            self.update(zip(new, self.learn(new)))
+            for i in missing:
+                found[i] = self[words[i]]
+            for word in new:
+                if len(word) > LONG_WORD:
+                    del self[word]
+        return found
+
+
+def encoded_words(words: list[str], encode: Callable[[str], np.ndarray], sizes: np.ndarray) -> list[bytes] | None:
+    """The ids (as bytes) of words that are set one behind the other; None if tokens reach over their borders after all."""
+    out = []
+    for at in range(0, len(words), 2000):
+        some = words[at:at + 2000]
+        ids = encode("".join(some))
+        token_ends, word_ends = np.cumsum(sizes[ids]), np.cumsum([len(w.encode()) for w in some])
+        cut = np.searchsorted(token_ends, word_ends)
+        if not len(ids) or token_ends[-1] != word_ends[-1] or (token_ends[cut] != word_ends).any():
+            return None
+        raw, ends = ids.tobytes(), (ids.itemsize * (cut + 1)).tolist()
+        out += map(raw.__getitem__, map(slice, [0, *ends], ends))
+    return out
+
+
 class ByteTokens:
     """Ids of texts, and the bytes of each id.
 
@@ -54,8 +108,9 @@ class ByteTokens:
                          and reader.get("use_regex", True) and not any(re.search("[A-Za-z] [A-Za-z]", t["content"]) for t in said["added_tokens"]))
         self.vocabulary = max(self.tokenizer.get_vocab().values(), default=-1) + 1
         self.sizes = np.array(list(map(len, self.bytes_of())), dtype=np.int64)
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.words = WordTable(self.learn)
+        #: Every text comes back byte for byte: nothing is rewritten, and each single byte has an entry.
+        self.lossless = self.cuttable and plain and _byte_letters().keys() <= self.tokenizer.get_vocab().keys()
 
     def pieces(self, text: str) -> list[str]:
         return list(cut(text)) if self.cuttable else [text]
@@ -63,41 +118,27 @@ class ByteTokens:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if not self.cuttable:
             return self._encoded(texts)
-        words = [None if DOUBTFUL.search(t) else WORD.findall(t) for t in texts]
-        if len(self.known) > TABLE_WORDS:
-            self.known, self.older = {}, self.known
-        fresh = set().union(*(w for w in words if w is not None)) - self.known.keys()
-        met = fresh & self.older.keys()
-        self.known.update(zip(met, map(self.older.__getitem__, met)))
-        fresh = list(fresh - met)
-        self._learn(fresh)
-        out = [self._encoded([t])[0] if w is None else np.frombuffer(b"".join(map(self.known.__getitem__, w)), dtype=np.int32)
-               for t, w in zip(texts, words)]
-        for word in fresh:
-            if len(word) > LONG_WORD:
-                del self.known[word]
-        return out
+        out = [self._encoded([t])[0] if DOUBTFUL.search(t) else None for t in texts]
+        words, cuts = [], [0]
+        for text, ids in zip(texts, out):
+            words += WORD.findall(text) if ids is None else []
+            cuts.append(len(words))
+        found = self.words.values_of(words)
+        return [np.frombuffer(b"".join(found[low:high]), dtype=np.int32) if ids is None else ids for ids, low, high in zip(out, cuts, cuts[1:])]
 
     def _encoded(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, dtype=np.int32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, words: list[str]) -> None:
-        """Encode new words. Only the first of a text may begin without white space; such are not set behind others."""
+    def learn(self, words: list[str]) -> list[bytes]:
+        """The ids of new words. Only the first of a text may begin without white space; such are not set behind others."""
         joined = [w for w in words if w[0].isspace()]
-        alone = [w for w in words if not w[0].isspace()]
-        for at in range(0, len(joined), 2000):
-            some = joined[at:at + 2000]
-            ids = self._encoded(["".join(some)])[0]
-            token_ends, word_ends = np.cumsum(self.sizes[ids]), np.cumsum([len(w.encode()) for w in some])
-            cut = np.searchsorted(token_ends, word_ends)
-            if len(ids) and (token_ends[np.minimum(cut, len(ids) - 1)] == word_ends).all():
-                raw, ends = ids.tobytes(), (4 * (cut + 1)).tolist()
-                self.known.update(zip(some, map(raw.__getitem__, map(slice, [0, *ends], ends))))
-            else:
-                alone += some
+        made = encoded_words(joined, lambda text: self._encoded([text])[0], self.sizes)
+        known = {} if made is None else dict(zip(joined, made))
+        alone = [w for w in words if w not in known]
         for at in range(0, len(alone), 2000):
             some = alone[at:at + 2000]
-            self.known.update(zip(some, (ids.tobytes() for ids in self._encoded(some))))
+            known.update(zip(some, (ids.tobytes() for ids in self._encoded(some))))
+        return [known[w] for w in words]
 
     def bytes_of(self) -> list[bytes]:
         """The bytes each id stands for (of an added token its string); an id without an entry has none."""

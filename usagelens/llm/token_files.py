@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from usagelens.llm.byte_tokens import ByteTokens
+from usagelens.llm.byte_tokens import ByteTokens, uncollected
 from usagelens.llm.common import prefix_before, text_of
 from usagelens.session import scratch_path
 
@@ -173,7 +173,8 @@ def tokens(docs: DataFrame, tokenizer: str, end_id: int | None = 0, id_col: str
 
         for batch in batches:
             for part in some(batch):
-                made = list(encoded(part.column(3).to_pylist()))
+                with uncollected():
+                    made = list(encoded(part.column(3).to_pylist()))
                 ends = np.cumsum([0, *map(len, made)], dtype=np.int64)
                 ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(made)))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), ids], ["row", "doc_id", "tie", "ids"])
