@@ -3,13 +3,15 @@
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 import sentencepiece
 
 import check
 import corpus_pipeline
-from usagelens.llm import ann, pieces, quality, queries, toxicity
+from test_near_copies import plain_kept
+from usagelens.llm import ann, pieces, quality, queries, sql, toxicity
 from usagelens.llm.exact_dedup import exact_dedup
 from usagelens.llm.mixing import mix
 from usagelens.llm.simhash import near_duplicates
@@ -140,17 +142,34 @@ def test_nearest_among_few(spark):
     assert ann.nearest(frame.limit(1), ann.F.col("vec_id") % 50 == 0).collect() == []
 
 
+def test_toxic_documents_go(spark, judged, tmp_path):
+    docs, labels = judged
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    left = Counter(r.doc_id for r in corpus_pipeline.toxic_out(spark, docs, str(tmp_path)).collect())
+    bad, good = [i for i in range(900) if i % 5 == 0], [i for i in range(900) if i % 5]
+    assert sum(i in left for i in bad) <= 0.05 * len(bad) and sum(i in left for i in good) >= 0.98 * len(good)
+    assert left[None] == 1 and left[9000] == left[9001] == 1 and left[9002] <= 1  # nulls, empty and clean stay, the toxic row of 9002 goes
+
+
+def plain_copies(docs):
+    """How often the mix may emit each document, from the statement of the contract's mixture run by another engine."""
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas())
+    return {i: round(taken / size) if size else None for i, size, taken in con.execute(f"SELECT doc_id, size, taken FROM ({sql.OP8})").fetchall()}
+
+
 def test_pipeline_against_plain_stages(spark, folder):
-    """Every stage's rows follow from its own input."""
+    """Every stage's rows follow from its own input, as plain versions that share no code with the stages have them."""
     docs = queries.table(spark, folder, "documents")
     library = sentencepiece.SentencePieceProcessor(model_file=queries.piece_model())
     for name, stage in corpus_pipeline.STAGES:
         made = corpus_pipeline.materialise(stage(spark, docs, folder), "test")
         before, after = docs.collect(), made.collect()
+        left = Counter(r.doc_id for r in after)
         if name == "toxicity":
-            model = toxicity.fit(docs, queries.table(spark, folder, "labels"))
-            wanted = {r.doc_id for r in toxicity.score(docs, model).collect() if not r.predicted}
-            assert {r.doc_id for r in after} == wanted
+            toxic = {r.doc_id: r.toxic for r in queries.table(spark, folder, "labels").collect()}
+            good = [r.doc_id for r in before if toxic.get(r.doc_id) == 0]  # test_toxic_documents_go has enough toxic ones to learn from
+            assert len(good) > 50 and sum(i in left for i in good) >= 0.95 * len(good)
         elif name == "exact_dedup":
             groups = {}
             for r in before:
@@ -158,9 +177,10 @@ def test_pipeline_against_plain_stages(spark, folder):
                 groups[lowered] = max(r.doc_id, groups.get(lowered, r.doc_id))
             assert sorted(r.doc_id for r in after) == sorted(groups.values())
         elif name == "near_dedup":
-            assert sorted(r.doc_id for r in after) == sorted({r.component_id for r in near_duplicates(docs).collect()})
+            assert sorted((r.doc_id for r in after), key=repr) == plain_kept([(r.doc_id, r.text) for r in before])
         elif name == "mix":
-            assert Counter(r.doc_id for r in after) == Counter({r.doc_id: r.copies for r in mix(docs).collect() if r.copies})
+            wanted = plain_copies(docs)
+            assert left == Counter({i: n for i, n in wanted.items() if n}) + Counter({i: left[i] for i, n in wanted.items() if n is None and left[i]})
         else:
             assert sorted((r.doc_id, list(r.ids)) for r in after) == sorted((r.doc_id, library.encode(r.text or "")) for r in before)
         if name != "tokens":

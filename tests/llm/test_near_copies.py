@@ -1,8 +1,12 @@
 """The near_dedup stage of the pipeline beside all pairs by exact five-word Jaccard."""
 
+import random
 from collections import defaultdict
 from itertools import combinations
 
+import numpy as np
+import pytest
+
 import corpus_pipeline
 from usagelens.llm import near_copies, queries
 
@@ -69,3 +73,45 @@ def test_pair_missed_by_no_band():
         a, b = (set(near_copies.band_keys(near_copies.shingles(t.encode()))) for t in (edited(words), edited(words, 30)))
         hit += bool(a & b)
     assert hit == 300
+
+
+def test_a_bucket_of_near_misses(spark):
+    """600 texts that share most of their words, hardly any two of them at 0.8: all pairs are compared, few rows are made."""
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(60)]
+    rows = [(n, " ".join(w if rng.random() > 0.02 else f"x{rng.randint(0, 40)}" for w in base)) for n in range(600)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    wanted = plain_kept(rows)
+    assert 1 < len(wanted) < 600 and kept(frame) == wanted
+
+
+@pytest.mark.parametrize("block", [3, 50])
+def test_blocks_of_a_bucket_meet(spark, block):
+    rng = random.Random(7)
+    sets = [sorted(rng.sample(range(100_000 * (n % 4), 100_000 * (n % 4) + 14), 12)) for n in range(40)]
+    held = spark.createDataFrame(list(enumerate(sets)), "v long, hashes array<int>")
+    met = spark.createDataFrame([(9, n, n % 8) for n in range(40)], "key long, v long, label long")
+    got = [(r.a, r.b) for r in near_copies.linked(met, held, block=block).collect()]
+    pairs = [(a, b) for a, b in combinations(range(40), 2) if a % 8 != b % 8 and len({*sets[a]} & {*sets[b]}) >= 0.8 * len({*sets[a]} | {*sets[b]})]
+    assert groups_of(got) == groups_of(pairs) and len(pairs) > 0 and len(got) < 40 * 15
+
+
+def groups_of(pairs):
+    root = list(range(40))
+    for a, b in pairs:
+        x, y = root[a], root[b]
+        root = [min(x, y) if r in (x, y) else r for r in root]
+    return root
+
+
+def test_overlaps():
+    rng = np.random.RandomState(2)
+    sets = [np.unique(rng.randint(0, 60_000, n)).astype(np.int32) for n in (0, 1, 30_000, 30_000, 5)]
+    got = near_copies.overlaps(sets)
+    assert all(got[i, j] == len(np.intersect1d(sets[i], sets[j])) for i, j in combinations(range(5), 2))
+
+
+def test_repeated_rows_among_near_copies(spark):
+    words = [f"w{i}" for i in range(64)]
+    rows = [(4, edited(words)), (4, edited(words)), (5, edited(words, 30)), (5, edited(words, 30)), (6, "other text"), (None, "other text")]
+    assert kept(spark.createDataFrame(rows, "doc_id long, text string")) == [4, 6]
