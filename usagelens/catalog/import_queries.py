@@ -13,6 +13,7 @@ from usagelens.operators.rules import build_rules
 from usagelens.session import scratch_path
 from usagelens.sources import chat_exports, generic
 from usagelens.sources.files import whole_files
+from usagelens.sources.splitting import json_items
 from usagelens.streaming import streams
 
 
@@ -77,7 +78,8 @@ def conversation_array_import(spark, folder):
         F.concat(F.lit("gpt-"), (F.col("conv_id") % 4).cast("string")).alias("model"), F.lit("2024-02-03T04:05:06+00:00").alias("timestamp"),
         F.concat(F.lit("lang"), (F.col("conv_id") % 3).cast("string")).alias("language"), turns.alias("conversation"))
     packed = _turns(spark, folder).groupBy(F.expr("conv_id DIV 20").alias("g")).agg(F.to_json(F.collect_list(one)).alias("value"))
-    got = chat_exports.conversation_array(whole_files(spark, _files(packed.select("value"), spark, "arrays"), "*.txt"))
+    got = chat_exports.conversation_array(json_items(
+        spark, _files(packed.select("value"), spark, "arrays"), chat_exports.CONVERSATION, "*.txt", lists_only=True))
     return got.select(*_CHAT.split(", "), "model_name", "language", "conversation_timestamp")
 
 

@@ -10,6 +10,7 @@ from usagelens.catalog.registry import query
 from usagelens.session import scratch_path
 from usagelens.sources import chat_exports, generic, usage_log
 from usagelens.sources.files import number_lines, text_lines
+from usagelens.sources.splitting import json_items
 
 
 def _landed(lines, spark, label):
@@ -124,3 +125,41 @@ def response_records(spark, folder):
         F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("["), one, F.lit("]"))).otherwise(one).alias("body"))
     got = generic.records_from_json(landed, "body", "crm")
     return got.select(F.element_at("record", "c_custkey").cast("bigint").alias("key"), F.element_at("record", "c_name").alias("name"))
+
+
+def _by_many_tasks(spark, read, label):
+    """`read` in a session of its own whose file splits are small, so that one file of any scale has several; the result as a table."""
+    own = spark.newSession()
+    own.conf.set("spark.sql.files.maxPartitionBytes", "256k")
+    own.conf.set("spark.sql.files.openCostInBytes", "64")
+    path = scratch_path(spark, label)
+    rows = read(own)
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
+_ONE_FILE = "row_number() OVER (ORDER BY doc_id) - 1"
+
+
+@query("csv_one_file", f"SELECT doc_id, {_ONE_FILE} AS row, {_QUOTED} AS text, source, n_chars FROM documents")
+def csv_one_file(spark, folder):
+    """All texts as one CSV file with line breaks in its quotes, cut into records by the tasks of its splits; rows keep their numbers."""
+    path = scratch_path(spark, "one-csv")
+    p.table(spark, folder, "documents").select("doc_id", _quoted().alias("text"), "source", "n_chars").coalesce(1).sortWithinPartitions("doc_id").write.options(
+        **{k: v for k, v in generic.CSV.items() if k in ("header", "quote", "escape")}).csv(path)
+    got = _by_many_tasks(spark, lambda own: generic.read_csv_documents(own, path), "one-csv-rows")
+    field = lambda name, kind="string": F.get_json_object("content", f"$.{name}").cast(kind).alias(name)
+    return got.select(field("doc_id", "bigint"), F.get_json_object("metadata", "$.row").cast("bigint").alias("row"), field("text"), field("source"), field("n_chars", "bigint"))
+
+
+@query("json_one_array", f"SELECT doc_id, {_ONE_FILE} AS index, text, source, n_chars FROM documents")
+def json_one_array(spark, folder):
+    """All documents as one JSON array in one file, cut into its elements by the tasks of its splits; elements keep their places."""
+    docs = p.table(spark, folder, "documents").select("doc_id", F.struct("doc_id", "text", "source", "n_chars", F.struct("lang").alias("more")).alias("d"))
+    ends = docs.agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
+    lead = F.when(F.col("doc_id") == F.col("low"), "[").otherwise("")
+    line = F.concat(lead, F.to_json("d"), F.when(F.col("doc_id") == F.col("high"), "]").otherwise(","))
+    path = _landed(docs.join(F.broadcast(ends)).coalesce(1).sortWithinPartitions("doc_id").select(line.alias("value")), spark, "one-array")
+    kind = "STRUCT<doc_id: BIGINT, text: STRING, source: STRING, n_chars: BIGINT, more: STRUCT<lang: STRING>>"
+    got = _by_many_tasks(spark, lambda own: json_items(own, path, kind, "*.txt"), "one-array-items")
+    return got.select("item.doc_id", F.col("index").cast("bigint").alias("index"), "item.text", "item.source", "item.n_chars")

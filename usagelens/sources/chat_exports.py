@@ -13,12 +13,14 @@ from usagelens.schemas import CHATS
 from usagelens.sources.files import (
     carry_forward, file_name, file_stem, number_lines, parent_name, path_exists, running_count, text_lines,
     whole_files)
+from usagelens.sources.splitting import json_groups, json_items
 
 _STANDARD = ("STRUCT<title: STRING, tags: VARIANT, author: STRING, count: VARIANT, exporter: STRING, date: VARIANT, "
              "url: STRING, messages: ARRAY<STRUCT<id: STRING, author: STRING, content: VARIANT>>>")
-_ARRAY = ("ARRAY<STRUCT<conversation_hash: STRING, model: STRING, timestamp: VARIANT, language: STRING, turn: VARIANT, "
-          "redacted: VARIANT, toxic: VARIANT, conversation: ARRAY<STRUCT<role: STRING, content: VARIANT, "
-          "turn_identifier: STRING, timestamp: VARIANT>>>>")
+#: An element of a conversation array.
+CONVERSATION = ("STRUCT<conversation_hash: STRING, model: STRING, timestamp: VARIANT, language: STRING, turn: VARIANT, "
+                "redacted: VARIANT, toxic: VARIANT, conversation: ARRAY<STRUCT<role: STRING, content: VARIANT, "
+                "turn_identifier: STRING, timestamp: VARIANT>>>")
 
 
 def empty_chats(spark: SparkSession) -> DataFrame:
@@ -66,11 +68,13 @@ def standard_export(files: DataFrame) -> DataFrame:
               exporter=F.col("d.exporter")).alias("metadata")))
 
 
-def conversation_array(files: DataFrame) -> DataFrame:
-    """Files that hold an array of conversations, each with a `conversation` list of turns."""
-    doc = files.filter(F.substring(F.ltrim("text"), 1, 1) == "[").select("path", F.from_json("text", _ARRAY).alias("d"))
-    doc = doc.filter(F.get("d", F.lit(0))["conversation"].isNotNull())
-    conv = doc.select("path", F.posexplode("d").alias("conv_idx", "c"))
+def conversation_array(items: DataFrame) -> DataFrame:
+    """Arrays of conversations, each with a `conversation` list of turns, as items (path, index, item) of type CONVERSATION.
+
+    The first item tells whether a file is one of these.
+    """
+    conv = items.select("path", F.col("index").alias("conv_idx"), F.col("item").alias("c"))
+    conv = conv.join(conv.filter("conv_idx = 0 and c.conversation is not null").select("path"), "path", "left_semi")
     each = conv.select("path", "conv_idx", "c", F.posexplode("c.conversation").alias("idx", "m"))
     kept = each.withColumns({
         "author": normalize_author(F.col("m.role")), "user_text": F.try_variant_get("m.content", "$", "string"),
@@ -208,9 +212,10 @@ def read_export_folder(spark: SparkSession, folder: str, legacy_headers: bool =
     """All JSON and Markdown exports of one folder; other shapes and broken files give no rows."""
     if not path_exists(spark, folder):
         return empty_chats(spark)
-    json_files = whole_files(spark, folder, "*.json")
+    single = json_groups(spark, folder).filter("not is_list")
+    arrays = json_items(spark, folder, CONVERSATION, lists_only=True)
     markdown = whole_files(spark, folder, "*.md")
-    return standard_export(json_files).unionByName(conversation_array(json_files)).unionByName(
+    return standard_export(single).unionByName(conversation_array(arrays)).unionByName(
         markdown_transcript(markdown, legacy_headers))
 
 

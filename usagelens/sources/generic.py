@@ -10,7 +10,8 @@ from pyspark.sql import types as T
 
 from usagelens.config import RuleConfig
 from usagelens.functions.text import block_text, drop_nul, line_separators_to_space, model_family, parse_iso
-from usagelens.sources.files import file_name, file_stem, number_lines, plain_path, whole_files
+from usagelens.sources.files import file_name, file_stem
+from usagelens.sources.splitting import csv_records, json_items
 
 Reader = Callable[..., DataFrame]
 _READERS: dict[str, Reader] = {}
@@ -37,17 +38,9 @@ def _first(entry: str, *keys: str) -> Column:
     return F.coalesce(*[F.nullif(F.try_variant_get(entry, f"$.{k}", "string"), F.lit("")) for k in keys])
 
 
-def _entries(files: DataFrame) -> DataFrame:
-    """One row per top-level object, in arrays or by itself."""
-    is_list = F.substring(F.ltrim("text"), 1, 1) == "["
-    items = F.when(is_list, F.from_json("text", "ARRAY<VARIANT>")).otherwise(F.array(F.try_parse_json("text")))
-    objects = F.filter(items, lambda v: F.schema_of_variant(v).startswith("OBJECT"))
-    return files.select("path", F.posexplode(objects).alias("entry_index", "e"))
-
-
-def conversations(files: DataFrame) -> DataFrame:
-    """Conversation records of JSON exports; conversations without messages are dropped."""
-    rows = _entries(files)
+def conversations(items: DataFrame) -> DataFrame:
+    """Conversation records of JSON exports (path, index, item); conversations without messages are dropped."""
+    rows = items.select("path", F.col("index").alias("entry_index"), F.col("item").alias("e"))
     stem = file_stem(F.col("path"))
     lists = F.coalesce(F.try_variant_get("e", "$.messages", "array<variant>"),
                        F.try_variant_get("e", "$.conversation", "array<variant>"))
@@ -85,32 +78,35 @@ def _message_text(message: Column) -> Column:
 
 
 def read_conversations(spark: SparkSession, folder: str) -> DataFrame:
-    return conversations(whole_files(spark, folder, "*.json"))
+    return conversations(json_items(spark, folder, "VARIANT", keep=lambda v: F.schema_of_variant(v).startswith("OBJECT")))
 
 
 # ------------------------------------------------------------------ documents
+def _csv_rows(spark: SparkSession, path: str) -> DataFrame:
+    """(path, row, content, fits) of CSV rows as JSON objects of strings, numbered from 0 within their file.
+
+    Files are cut into records by many tasks. The first file names the columns,
+    each file's first record is its header; `fits` tells rows of the header's width.
+    """
+    names = spark.read.options(**CSV).csv(path).columns
+    schema = ", ".join([f"c{i} STRING" for i in range(len(names))] + ["bad STRING"])
+    options = {**{k: str(v) for k, v in CSV.items() if k in ("quote", "escape", "multiLine")}, "columnNameOfCorruptRecord": "bad"}
+    rows = csv_records(spark, path).filter("record > 0").select("path", (F.col("record") - 1).cast("int").alias("row"), F.from_csv("text", schema, options).alias("r"))
+    content = F.struct(*[F.coalesce(F.col(f"r.c{i}"), F.lit("")).alias(name) for i, name in enumerate(names)])
+    return rows.select("path", "row", F.to_json(content).alias("content"), F.col("r.bad").isNull().alias("fits"))
+
+
 def read_csv_documents(spark: SparkSession, path: str) -> DataFrame:
     """Each CSV row as a document {source, content (JSON), metadata}."""
-    rows = spark.read.options(**CSV).csv(path)
-    names = rows.columns
-    placed = rows.select(
-        plain_path(F.col("_metadata.file_path")).alias("path"), F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("place"),
-        F.to_json(F.struct(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in names])).alias("content"))
-    numbered = number_lines(placed, "row")
-    return numbered.select(
+    return _csv_rows(spark, path).select(
         F.concat("path", F.lit(":row_"), F.col("row").cast("string")).alias("source"), "content",
         F.to_json(F.struct(F.lit("csv").alias("type"), file_name(F.col("path")).alias("filename"), "row")).alias("metadata"))
 
 
 def read_json_documents(spark: SparkSession, path: str) -> DataFrame:
     """JSON files as documents: one per array item, or one per file."""
-    files = whole_files(spark, path, "*.json")
-    is_list = F.substring(F.ltrim("text"), 1, 1) == "["
-    items = F.when(is_list, F.from_json("text", "ARRAY<VARIANT>")).otherwise(F.array(F.try_parse_json("text")))
-    each = files.select("path", is_list.alias("is_list"), F.posexplode(items).alias("index", "item"))
     name = file_name(F.col("path"))
-    return each.filter(F.col("item").isNotNull()).select(
+    return json_items(spark, path, "VARIANT").filter(F.col("item").isNotNull()).select(
         F.when(F.col("is_list"), F.concat("path", F.lit(":item_"), F.col("index").cast("string"))).otherwise(
             F.col("path")).alias("source"),
         F.to_json("item").alias("content"),
@@ -120,10 +116,7 @@ def read_json_documents(spark: SparkSession, path: str) -> DataFrame:
 
 def csv_to_json(spark: SparkSession, path: str) -> DataFrame:
     """CSV rows as JSON objects of strings; rows of another width than the header are skipped."""
-    rows = spark.read.options(**CSV, mode="DROPMALFORMED").csv(path)
-    # Reading every column is what lets the parser see a row of the wrong width.
-    return rows.select(F.to_json(F.struct(*[
-        F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in rows.columns])).alias("row"))
+    return _csv_rows(spark, path).filter("fits").select(F.col("content").alias("row"))
 
 
 def records_from_json(landed: DataFrame, column: str, source: str, source_type: str = "api") -> DataFrame:
