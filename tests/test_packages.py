@@ -149,3 +149,21 @@ def test_ngram_cosine(spark):
 
     got = {r["id"]: r["similarity"] for r in s.ngram_cosine(pairs, ["id"], "a", "b", 0).collect()}
     assert got == {r["id"]: cosine(r["a"], r["b"]) for r in pairs.collect()}
+
+
+def test_names_that_share_one_common_token_do_not_meet(spark):
+    words = [f"{a}{b}{c}" for a in "bdfgk" for b in "aeiou" for c in "lmnprst"]
+    known = spark.createDataFrame([(f"lib-{w}-{v}core{i}",) for i, (w, v) in enumerate(zip(words, words[::-1]))], "p string")
+    asked = spark.createDataFrame([(f"lib-{w}{w}-{v}",) for w, v in zip(words, words[3:])], "q string")
+    pairs = k._token_candidates(asked, known, 0.6).distinct().count()
+    assert pairs < 0.02 * len(words) ** 2
+
+
+def test_tokens_with_many_partners_meet_all_the_same(spark):
+    short = [chr(c) for c in range(97, 123)] + [f"{chr(c)}{chr(d)}" for c in range(97, 105) for d in range(97, 105)]
+    packages = spark.createDataFrame([(f"{a}-{b}", "npm") for a, b in zip(short, short[1:])], "name string, ecosystem string")
+    names = [f"{a}.{b}" for a, b in zip(short[::3], short[5::3])] + ["a-b-c-d", "a.a.b"]
+    got = k.lookalikes(spark.createDataFrame([(n,) for n in names], "name string"), packages, top_n=10**6, max_distance=1, min_similarity=0.6)
+    exact = {r.name for r in packages.collect()}
+    want = {(n, r.name) for n in names if n not in exact for r in packages.collect() if 0 < osa(n, r.name) <= 1 or jaccard(n, r.name) >= 0.6}
+    assert {(r.package_name, r.matched_package) for r in got.collect()} == want and len(want) > 100

@@ -1,17 +1,19 @@
 """Package names: dictionary scans, look-alike detection, and import verdicts.
 
 Look-alikes are found in bulk. Names and dictionary meet on shared deletion
-keys (edit distance) or on shared rare tokens (Jaccard); only those pairs are
-measured, so there is never a names x dictionary product.
+keys (edit distance) or on shared rare tokens, two of them where two must have
+partners (Jaccard); only those pairs are measured, so there is never a names x dictionary product.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from usagelens import config
-from usagelens.functions.similarity import deletion_keys, osa_distance, tokenize, with_fuzzy_jaccard
+from usagelens.functions.similarity import deletion_keys, osa_distance, tokenize, with_fuzzy_jaccard, within_one_edit
 from usagelens.functions.text import strip
 
 
@@ -54,54 +56,99 @@ def _edit_candidates(names: DataFrame, dictionary: DataFrame, edits: int) -> Dat
     return left.join(right, "k").filter(near).select("q", "p")
 
 
-def _ranked_tokens(names: DataFrame, column: str, frequency: DataFrame) -> DataFrame:
-    """Distinct tokens per name with their rank from rare to common and the name's token count."""
+def _name_tokens(names: DataFrame, column: str) -> DataFrame:
+    """(name, n, t, w): distinct tokens, how often each occurs, and all tokens counted; a name without any has one empty token."""
     tokens = names.select(column, tokenize(F.col(column)).alias("all"))
-    # A name without tokens takes part under one empty token.
-    tokens = tokens.select(column, F.size("all").alias("n"), F.explode(
-        F.when(F.size("all") == 0, F.array(F.lit(""))).otherwise(F.array_distinct("all"))).alias("t"),
-        F.col("all"))
-    # `n` counts repeats as the similarity does; a repeated token is one entry here,
-    # weighted by how often it occurs.
-    weight = F.size(F.filter("all", lambda x: x == F.col("t")))
-    tokens = tokens.select(column, "n", "t", F.greatest(weight, F.lit(1)).alias("w"))
-    ranked = tokens.join(frequency, "t")
-    order = Window.partitionBy(column).orderBy("df", "t")
-    return ranked.select(column, "n", "t", F.sum("w").over(
-        order.rowsBetween(Window.unboundedPreceding, -1)).alias("before"))
+    each = tokens.select(column, F.size("all").alias("n"), "all", F.explode(
+        F.when(F.size("all") == 0, F.array(F.lit(""))).otherwise(F.array_distinct("all"))).alias("t"))
+    return each.select(column, "n", "t", F.greatest(F.size(F.filter("all", lambda x: x == F.col("t"))), F.lit(1)).alias("w"))
+
+
+def _near_tokens(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(t, u): tokens of the names and of the dictionary within one edit of each other; every distinct token is compared once."""
+    a = left.select("t").distinct().select("t", F.explode(deletion_keys(F.col("t"), 1)).alias("k"))
+    b = right.select(F.col("t").alias("u")).distinct().select("u", F.explode(deletion_keys(F.col("u"), 1)).alias("k"))
+    return a.join(b, "k").select("t", "u").distinct().filter(within_one_edit(F.col("t"), F.col("u")))
+
+
+def _ranked(tokens: DataFrame, column: str, partners: DataFrame, share: float) -> DataFrame:
+    """(name, one, first, second): tokens from rare to common, each as (before, near); `partners` are (t, df, near).
+
+    At least the share of a name's n tokens must have partners, so at most
+    n - needed do not, and the rarest token that has one lies within that many of
+    the rarest (`first`). Where two distinct tokens must have partners, the next
+    one lies one further at most (`second`); `one` marks names in which one may do.
+    """
+    ranked = tokens.join(partners, "t", "left").fillna(0, "df")
+    order = Window.partitionBy(column).orderBy("df", "t").rowsBetween(Window.unboundedPreceding, -1)
+    placed = ranked.withColumn("before", F.coalesce(F.sum("w").over(order), F.lit(0)))
+    token = F.struct("before", F.coalesce("near", F.array().cast("array<string>")).alias("near"))
+    names = placed.groupBy(column).agg(F.first("n").alias("n"), F.max("w").alias("w"), F.collect_list(token).alias("all"))
+    needed = F.ceil(F.lit(round(share, 9)) * F.col("n") - F.lit(1e-6))
+    return names.withColumn("free", F.col("n") - needed).select(
+        column, ((needed < 2) | (F.col("w") > 1)).alias("one"), "all",
+        F.filter("all", lambda x: x["before"] <= F.col("free")).alias("first"),
+        F.filter("all", lambda x: x["before"] <= F.col("free") + 1).alias("second"))
+
+
+def _each(tokens: Column, key: Callable[[Column], Column]) -> Column:
+    return F.flatten(F.transform(tokens, lambda x: F.transform(x["near"], key)))
+
+
+def _both(left: Column, right: Column, key: Callable[[Column, Column], Column]) -> Column:
+    """Keys of partners of two tokens, the second one behind the first."""
+    return F.flatten(F.transform(left, lambda i: F.flatten(F.transform(
+        F.filter(right, lambda j: j["before"] > i["before"]),
+        lambda j: F.flatten(F.transform(i["near"], lambda u: F.transform(j["near"], lambda v: key(u, v))))))))
+
+
+def _single(kind: str) -> Callable[[Column], Column]:
+    return lambda u: F.xxhash64(F.lit(kind), u)
+
+
+def _pair(u: Column, v: Column) -> Column:
+    return F.xxhash64(F.lit("two"), F.least(u, v), F.greatest(u, v))
 
 
 def _token_candidates(names: DataFrame, dictionary: DataFrame, threshold: float) -> DataFrame:
     """Pairs whose fuzzy Jaccard may reach `threshold`.
 
     Reaching it means that on one side at least the share 2t / (1 + t) of the
-    tokens has a partner. So among the n - ceil(share * n) + 1 rarest tokens of
-    that side one must have a partner on the other side, and common tokens need
-    not be joined with each other.
+    tokens has a partner on the other side. Names meet the dictionary on its own
+    tokens: where two must have partners on a pair of them, else on one. A name
+    whose tokens have very many partners meets on single ones, which finds no
+    less, rather than on all their pairs.
     """
     share = 2 * threshold / (1 + threshold)
-    spread = names.select(F.explode(tokenize(F.col("q"))).alias("t")).unionAll(
-        dictionary.select(F.explode(tokenize(F.col("p"))).alias("t")))
-    empty = spread.sparkSession.range(1).select(F.lit("").alias("t"))
-    # How common a token is counts with its neighbours: those are what it is joined with.
-    exact = spread.unionAll(empty).groupBy("t").agg(F.count("*").alias("n"))
-    keys = exact.select("t", "n", F.explode(deletion_keys(F.col("t"), 1)).alias("k"))
-    shared = keys.groupBy("k").agg(F.sum("n").alias("kn"))
-    frequency = keys.join(shared, "k").groupBy("t").agg(F.sum("kn").alias("df"))
-    a = _ranked_tokens(names, "q", frequency)
-    b = _ranked_tokens(dictionary, "p", frequency)
-
-    def rare(tokens: DataFrame) -> Column:
-        needed = F.ceil(F.lit(round(share, 9)) * F.col("n") - F.lit(1e-6))
-        return F.coalesce(F.col("before"), F.lit(0)) < F.col("n") - needed + 1
-
-    def keyed(tokens: DataFrame, column: str) -> DataFrame:
-        return tokens.select(column, F.explode(deletion_keys(F.col("t"), 1)).alias("k")).select(
-            column, F.xxhash64("k").alias("k")).distinct()
-
-    one = keyed(a.filter(rare(a)), "q").join(keyed(b, "p"), "k").select("q", "p")
-    other = keyed(a, "q").join(keyed(b.filter(rare(b)), "p"), "k").select("q", "p")
-    return one.unionAll(other)
+    a, b = _name_tokens(names, "q"), _name_tokens(dictionary, "p")
+    near = _near_tokens(a, b)
+    # How common a token is counts what it would be joined with.
+    in_a, in_b = (side.groupBy("t").agg(F.count("*").alias("df")) for side in (a, b))
+    of_a = near.join(in_b.withColumnRenamed("t", "u"), "u").groupBy("t").agg(F.sum("df").alias("df"), F.collect_list("u").alias("near"))
+    of_b = near.join(in_a, "t").groupBy("u").agg(F.sum("df").alias("df")).select(F.col("u").alias("t"), "df", F.array("u").alias("near"))
+    # A token of the dictionary that no name is near to has no partner, but other names of the dictionary's side may share it.
+    of_b = in_b.select("t").join(of_b, "t", "left").select("t", F.coalesce("df", F.lit(0)).alias("df"), F.array("t").alias("near"))
+    left, right = _ranked(a, "q", of_a, share), _ranked(b, "p", of_b, share)
+    few = lambda tokens, most: F.aggregate(tokens, F.lit(0), lambda n, x: n + F.size(x["near"])) <= most
+    own = F.array_distinct(_each(F.col("all"), lambda u: u))
+    # The share of the name's tokens has partners.
+    chosen = left.select("q", F.explode(F.array_distinct(F.when(F.col("one") | ~few(F.col("second"), 64), _each(F.col("first"), _single("one"))).otherwise(
+        _both(F.col("first"), F.col("second"), _pair)))).alias("k"))
+    offered = right.select("p", own.alias("own")).select("p", F.explode(F.concat(
+        F.transform("own", _single("one")), _pairs_of(F.col("own"), True))).alias("k"))
+    one = chosen.join(offered, "k").select("q", "p")
+    # The share of the dictionary name's tokens has partners.
+    chosen = right.select("p", F.explode(F.array_distinct(F.when(F.col("one"), _each(F.col("first"), _single("one"))).otherwise(F.concat(
+        _both(F.col("first"), F.col("second"), _pair), _each(F.col("first"), _single("many")))))).alias("k"))
+    offered = left.select("q", own.alias("own")).select("q", F.explode(F.concat(F.transform("own", _single("one")), F.when(
+        F.size("own") <= 64, _pairs_of(F.col("own"), False)).otherwise(F.transform("own", _single("many"))))).alias("k"))
+    return one.unionAll(offered.join(chosen, "k").select("q", "p"))
+
+
+def _pairs_of(tokens: Column, twice: bool) -> Column:
+    """Keys of all pairs of tokens, with `twice` of each token with itself too."""
+    rest = lambda i: F.slice(tokens, i + (1 if twice else 2), F.size(tokens))
+    return F.flatten(F.transform(tokens, lambda u, i: F.transform(rest(i), lambda v: _pair(u, v))))
 
 
 def lookalikes(names: DataFrame, packages: DataFrame, name_col: str = "name", top_n: int = 10,
