@@ -26,7 +26,7 @@ def _usage_stream(spark, folder):
   count(*) AS events, CAST(sum(token_count) AS BIGINT) AS tokens, round(sum(cost), 2) AS cost FROM usage
   GROUP BY 1, 2""")
 def daily_stream(spark, folder):
-    out = streams.run_to_end(streams.daily_usage, _usage_stream(spark, folder), p.usage(spark, folder), "1 hour", "window_end", "daily")
+    out = streams.run_to_end(streams.daily_usage, _usage_stream(spark, folder), p.usage(spark, folder), "1 hour", "window_end", "daily", "1 day")
     return out.drop("window_end")
 
 
@@ -37,7 +37,7 @@ def daily_stream(spark, folder):
     CAST(sum(token_count) AS BIGINT) AS tokens FROM s GROUP BY user_id_hash, n""")
 def usage_sessions(spark, folder):
     out = streams.run_to_end(lambda u: streams.usage_sessions(u, "6 hours"), _usage_stream(spark, folder), p.usage(spark, folder),
-                             "1 hour", "session_end", "sessions")
+                             "1 hour", "session_end", "sessions", "6 hours", "user_id_hash")
     return out.drop("session_end")
 
 
@@ -47,10 +47,30 @@ def usage_sessions(spark, folder):
   GROUP BY 1, 2 HAVING count(*) > 2""")
 def rate_limit_breaches(spark, folder):
     out = streams.run_to_end(lambda u: streams.rate_limit_breaches(u, 2, "60 minutes", "10 minutes"), _usage_stream(spark, folder),
-                             p.usage(spark, folder), "1 minute", "window_end", "rate")
+                             p.usage(spark, folder), "1 minute", "window_end", "rate", "60 minutes")
     return out.drop("window_end")
 
 
+@query("limited_requests", "WITH RECURSIVE " + USAGE + """, o AS (
+    SELECT id, user_id_hash, usage_start AS t, row_number() OVER (PARTITION BY user_id_hash ORDER BY usage_start, id) AS k FROM usage),
+  r AS (SELECT id, user_id_hash, k, true AS accepted, [t] AS kept FROM o WHERE k = 1
+    UNION ALL SELECT o.id, o.user_id_hash, o.k, len(now) < 2, CASE WHEN len(now) < 2 THEN list_append(now, o.t) ELSE now END
+    FROM (SELECT o.*, [x FOR x IN r.kept IF o.t - x < INTERVAL 6 HOUR] AS now FROM r JOIN o ON o.user_id_hash = r.user_id_hash AND o.k = r.k + 1) AS o)
+  SELECT id, user_id_hash, accepted FROM r""")
+def limited_requests(spark, folder):
+    """A limiter of two requests in six hours, with state per user, over a stream that is stopped and started again between four batches."""
+    events = p.table(spark, folder, "events")
+    landed, out, checkpoint = (scratch_path(spark, f"requests-{part}") for part in ("landed", "judged", "checkpoint"))
+    seconds = F.unix_seconds(F.col("ts").cast("timestamp"))
+    cuts = [float("-inf"), *events.select(seconds.cast("double").alias("s")).approxQuantile("s", [0.25, 0.5, 0.75], 0.01), float("inf")]
+    for low, high in zip(cuts, cuts[1:]):
+        events.filter((seconds > low) & (seconds <= high)).write.mode("append").parquet(landed)
+        judged = streams.limited_requests(p.usage_columns(spark.readStream.schema(events.schema).parquet(landed)), 2, 6 * 3600)
+        judged.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(
+            availableNow=True).start().awaitTermination()
+    return spark.read.schema(judged.schema).parquet(out).select("id", "user_id_hash", "accepted")
+
+
 @query("distinct_stream", f"WITH {USAGE} SELECT tool_name, count(*) AS events, round(sum(cost), 2) AS cost FROM usage GROUP BY 1")
 def distinct_stream(spark, folder):
     """Every event delivered twice, counted once."""

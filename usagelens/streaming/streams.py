@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import sys
+from collections import deque
+from collections.abc import Callable, Iterator
 
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from usagelens import config, schemas
 from usagelens.functions.text import is_blank
@@ -16,6 +21,9 @@ from usagelens.plans.jobs import Store, analysis_cycle, refresh_detector_views
 from usagelens.session import materialise, scratch_path
 from usagelens.sources.usage_log import with_defaults
 
+# The state function travels to the workers by value, so that workers need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 # --------------------------------------------------------------------- sources
 def usage_log_stream(spark: SparkSession, folder: str, as_of: Column) -> DataFrame:
@@ -68,6 +76,45 @@ def rate_limit_breaches(usage: DataFrame, limit: int = 120, width: str = "60 sec
         user, F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "requests")
 
 
+def limited_requests(usage: DataFrame, limit: int = 120, seconds: int = 60, late: str = "1 minute", user: str = "user_id_hash",
+                     id_col: str = "id", time_col: str = "usage_start") -> DataFrame:
+    """(id, user, time, accepted) of every request, as a limiter decides one after the other.
+
+    A request is refused while `limit` requests of its user were accepted within
+    the `seconds` before it; refused ones do not count, so each decision hangs on
+    the earlier ones and no window says it. A user's state is the times of at most
+    `limit` accepted requests; a timer drops it when the last of them has run out.
+    Within a batch requests are judged by time and id, over batches as they
+    arrive, and those behind the watermark (`late`) are not judged. Requests
+    without a time are left out; those without a user are one user's.
+    """
+    span = seconds * 1_000_000
+
+    def judge(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        kept = deque(state.get[0] if state.exists else [])
+        rows = pd.concat(list(frames), ignore_index=True).sort_values(["at", "id"], kind="stable")
+        accepted = []
+        for at in rows["at"].tolist():
+            while kept and at - kept[0] >= span:
+                kept.popleft()
+            accepted.append(len(kept) < limit)
+            if accepted[-1]:
+                kept.append(at)
+        yield pd.DataFrame({"id": rows["id"], "user": rows["user"], "at": rows["at"], "accepted": accepted})
+        if kept:
+            state.update((list(kept),))
+            state.setTimeoutTimestamp(max((kept[-1] + span) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+
+    rows = usage.withWatermark(time_col, late).filter(F.col(time_col).isNotNull()).select(
+        F.col(id_col).cast("string").alias("id"), F.col(user).cast("string").alias("user"), time_col, F.unix_micros(time_col).alias("at"))
+    judged = rows.groupBy("user").applyInPandasWithState(
+        judge, "id string, user string, at long, accepted boolean", "times array<long>", "append", GroupStateTimeout.EventTimeTimeout)
+    return judged.select("id", F.col("user").alias(user), F.timestamp_micros("at").alias(time_col), "accepted")
+
+
 def distinct_events(usage: DataFrame, id_col: str = "id", time_col: str = "usage_start", late: str = "1 hour") -> DataFrame:
     """Each id once, for inputs that deliver at least once."""
     return usage.withWatermark(time_col, late).dropDuplicatesWithinWatermark([id_col])
@@ -91,18 +138,24 @@ def run_available(stream: DataFrame, label: str, mode: str = "append") -> DataFr
 
 
 def run_to_end(build: Callable[[DataFrame], DataFrame], stream: DataFrame, rows: DataFrame, late: str, end_col: str, label: str,
-               time_col: str = "usage_start") -> DataFrame:
+               width: str, session_of: str | None = None, time_col: str = "usage_start") -> DataFrame:
     """A windowed stream over bounded input, with the windows that no watermark closes.
 
     In append mode a window is written once the watermark (newest event minus
     `late`) has passed its end. When the input is known to have ended, what is
-    still open is worked out by the same `build` over `rows`, the same input as
-    a table, and added.
+    still open is worked out by the same `build` over the end of `rows`, the same
+    input as a table, and added: only events of the last `width` before the
+    watermark can lie in an open window. Sessions (`session_of` names whose, and
+    `width` is the gap) reach back further, so those of users with an event as late
+    as that are worked out.
     """
     written = run_available(build(stream), label)
-    newest = rows.agg(F.max(time_col).alias("m")).scalar()
+    closed = rows.agg(F.max(time_col)).select((F.col(f"max({time_col})") - F.expr(f"INTERVAL {late}")).alias("m")).scalar()
+    recent = rows.filter(F.col(time_col) > closed - F.expr(f"INTERVAL {width}"))
+    if session_of:
+        recent = rows.join(recent.select(session_of).distinct(), session_of, "left_semi")
     # Stored first: a filter on a session's end would be pushed below the merge of its events.
-    still_open = materialise(build(rows), f"{label}-all").filter(F.col(end_col) > newest - F.expr(f"INTERVAL {late}"))
+    still_open = materialise(build(recent), f"{label}-open").filter(F.col(end_col) > closed)
     return written.unionByName(still_open.select(*written.columns))
 
 
