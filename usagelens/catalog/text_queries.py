@@ -10,7 +10,7 @@ from usagelens.catalog.registry import query
 from usagelens.functions import text as t
 from usagelens.functions.similarity import ngram_cosine
 from usagelens.operators import detect, packages, rows, vectors
-from usagelens.session import spread
+from usagelens.session import scratch_path, spread
 
 _C = f"WITH {CHATS} "
 
@@ -98,6 +98,19 @@ def nearest_vectors(spark, folder):
     return vectors.nearest(queries, table, 5).withColumn("distance", F.round("distance", 6))
 
 
+@query("nearest_to_each", """WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+  d AS (SELECT a.vec_id AS query_id, b.vec_id, list_distance(a.v, b.v) ** 2 AS distance FROM e a, e b WHERE a.vec_id <> b.vec_id),
+  r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM d)
+  SELECT query_id, vec_id, round(distance, 6) AS distance, rank FROM r WHERE rank <= 5""")
+def nearest_to_each(spark, folder):
+    """The five vectors nearest to every vector, from lists to which the later half of the vectors was added."""
+    table = p.table(spark, folder, "embeddings")
+    lists = vectors.VectorLists.build(table.filter("vec_id % 2 = 0"), scratch_path(spark, "vector-lists"), lists=32)
+    lists.add(table)
+    asked = table.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    return lists.nearest(asked, 5, others_only=True).withColumn("distance", F.round("distance", 6))
+
+
 #: Whole texts, each with import lines of its own behind it; a carriage return starts no line.
 _CODE = r"""code AS (SELECT doc_id AS chat_id, text || CASE WHEN doc_id % 2 = 0 THEN E'\nimport pkg' || (doc_id % 19) || E'\r  import hidden\nfrom requets.x import y'
     ELSE E'\nconst a = require("@scope/lib-' || (doc_id % 23) || '"); require("./local"); require("djagno")' END AS code FROM documents),

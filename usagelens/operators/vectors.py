@@ -1,15 +1,32 @@
-"""Nearest vectors: query vectors, in blocks, against a table of any size."""
+"""Nearest vectors, exactly: a few queries by scans of the table, many by lists around centres.
+
+`VectorLists` keeps a table as lists of the vectors nearest to each of some
+centres, with their distance from it. A query looks into the lists around it
+first; the distance of its k-th found bounds where nearer ones can lie: by the
+triangle inequality a list can only hold one if its centre is not further than
+the bound and the list's radius together, and a member only if its distance from
+the centre differs from the query's by no more than the bound.
+"""
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark import cloudpickle
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from usagelens.session import materialise
+
+# The Arrow functions below travel to the workers by value, so that workers need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 QUERY_BLOCK = 1_000
+#: Members and queries that meet in one task at a time.
+LIST_PART, QUERY_PART = 4_096, 1_024
 
 
 def _exact(vectors: np.ndarray, queries: np.ndarray, metric: str) -> np.ndarray:
@@ -50,6 +67,7 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, query_id: str = "que
     Queries go out in blocks of QUERY_BLOCK, one scan of the table each; a task
     keeps k rows per query and batch, and only those are shuffled.
     """
+    queries = materialise(queries.select(query_id, query_vec), "vector-queries")  # read by every block
     parts = max(1, -(-queries.count() // QUERY_BLOCK))
     place = F.row_number().over(Window.partitionBy("_part").orderBy(query_id)) - 1
     placed = queries.select(F.col(query_id).cast("long").alias(query_id), F.col(query_vec).cast("array<double>").alias("_q")).withColumn(
@@ -65,6 +83,195 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, query_id: str = "que
     return found.withColumnsRenamed({"q": query_id, "v": id_col}).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
+# ------------------------------------------------------------------------ lists
+def _matrix(column: pa.Array) -> np.ndarray:
+    """A list column of equally long vectors."""
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def _rough(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Squared distances of all rows by a matrix product: near enough to choose by, with `_slack`."""
+    return np.maximum(np.square(a).sum(axis=1)[:, None] + np.square(b).sum(axis=1) - 2 * (a @ b.T), 0.0)
+
+
+def _slack(a: np.ndarray, b: np.ndarray) -> float:
+    """What a squared distance by matrix product may be off."""
+    return 1e-12 * (a.shape[1] + 8) * float(np.square(a).sum(axis=1).max(initial=0.0) + np.square(b).sum(axis=1).max(initial=0.0))
+
+
+def _centres(rows: DataFrame, n: int, rounds: int) -> np.ndarray:
+    """At most `n` centres, from rows chosen by hash and moved to their list's mean `rounds` times; n vectors come to the driver."""
+    chosen = rows.orderBy(F.xxhash64("id"), "id").limit(n).select("v").toPandas()
+    centres = np.unique(np.array(chosen["v"].tolist(), dtype=np.float64), axis=0) if len(chosen) else np.zeros((0, 0))
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, number = np.zeros_like(centres), np.zeros(len(centres), dtype=np.int64)
+        for batch in batches:
+            if batch.num_rows:
+                table = _matrix(batch.column(0))
+                best = _rough(table, centres).argmin(axis=1)
+                np.add.at(total, best, table)
+                number += np.bincount(best, minlength=len(centres))
+        seen = np.flatnonzero(number)
+        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array(number[seen]), pa.array(list(total[seen]), pa.list_(pa.float64()))], ["list", "n", "s"])
+
+    for _ in range(rounds if len(centres) else 0):
+        parts = rows.select("v").mapInArrow(sums, "list int, n long, s array<double>")
+        means = parts.select("list", "n", F.posexplode("s").alias("i", "x")).groupBy("list", "i").agg((F.sum("x") / F.sum("n")).alias("x"))
+        moved = means.groupBy("list").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda p: p["x"]).alias("v")).orderBy("list").toPandas()
+        centres = np.array(moved["v"].tolist(), dtype=np.float64)
+    return centres
+
+
+class VectorLists:
+    """A table of vectors (integer ids, squared distances) in lists under a folder that all executors reach.
+
+    Vectors that are null, or hold a null or non-finite component, or are of
+    another length than the centres, take no part.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    @classmethod
+    def build(cls, vectors: DataFrame, path: str, lists: int = 256, rounds: int = 2, id_col: str = "vec_id", vec_col: str = "embedding") -> VectorLists:
+        """Lists around at most `lists` centres."""
+        self = cls(vectors.sparkSession, path)
+        rows = materialise(self._clean(vectors, id_col, vec_col), "vectors")
+        width = rows.groupBy(F.size("v").alias("w")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "w").limit(1).collect()
+        rows = rows.filter(F.size("v") == (width[0]["w"] if width else 0))
+        centres = _centres(rows, lists, rounds)
+        kept = pa.table({"list": pa.array(range(len(centres)), pa.int32()), "centre": pa.array(list(centres), pa.list_(pa.float64()))})
+        self.spark.createDataFrame(kept).coalesce(1).write.parquet(f"{path}/centres")
+        self._assigned(rows, centres).write.parquet(f"{path}/members")
+        return self
+
+    def add(self, vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> None:
+        """Put vectors with new ids into their lists; of rows with one new id one is kept."""
+        fresh = self._clean(vectors, id_col, vec_col).groupBy("id").agg(F.min("v").alias("v"))
+        fresh = materialise(fresh.join(self.members().select("id"), "id", "left_anti"), "vectors-new")
+        self._assigned(fresh, self.centres()).write.mode("append").parquet(f"{self.path}/members")
+
+    def members(self) -> DataFrame:
+        """list, id, v, away (distance from the list's centre)."""
+        return self.spark.read.schema("list int, id long, v array<double>, away double").parquet(f"{self.path}/members")
+
+    def centres(self) -> np.ndarray:
+        rows = self.spark.read.schema("list int, centre array<double>").parquet(f"{self.path}/centres").orderBy("list").toPandas()
+        return np.array(rows["centre"].tolist(), dtype=np.float64) if len(rows) else np.zeros((0, 0))
+
+    @staticmethod
+    def _clean(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
+        v = F.col(vec_col).cast("array<double>")
+        rows = vectors.select(F.col(id_col).cast("long").alias("id"), v.alias("v"))
+        return rows.filter(F.col("id").isNotNull() & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & (F.size("v") > 0))
+
+    @staticmethod
+    def _assigned(rows: DataFrame, centres: np.ndarray) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                batch = batch.filter(pa.array(np.diff(batch.column(1).offsets.to_numpy()) == centres.shape[1]))
+                if batch.num_rows:
+                    table = _matrix(batch.column(1))
+                    best = _rough(table, centres).argmin(axis=1)
+                    away = np.sqrt(np.square(table - centres[best]).sum(axis=1))
+                    yield pa.RecordBatch.from_arrays([pa.array(best, pa.int32()), batch.column(0), batch.column(1), pa.array(away)], ["list", "id", "v", "away"])
+
+        return rows.select("id", "v").mapInArrow(run, "list int, id long, v array<double>, away double")
+
+    def nearest(self, queries: DataFrame, k: int, query_id: str = "query_id", query_vec: str = "query", others_only: bool = False) -> DataFrame:
+        """(query, vec_id, distance, rank): the k nearest members of every query, equal distances by id; `others_only` leaves out the query's own id.
+
+        Queries stay distributed. They visit the lists around them until those hold
+        k members (and the own one), then every list that may hold a nearer one.
+        """
+        centres, need = self.centres(), k + others_only
+        sizes = self.members().groupBy("list").agg(F.count("*").alias("n"), F.max("away").alias("radius")).orderBy("list").toPandas()
+        number, radius = np.zeros(len(centres), dtype=np.int64), np.zeros(len(centres))
+        number[sizes["list"]], radius[sizes["list"]] = sizes["n"], sizes["radius"]
+        parts = np.maximum(-(-number // LIST_PART), 1)
+        asked = materialise(self._clean(queries, query_id, query_vec).filter(F.size("v") == (centres.shape[1] if len(centres) else 0)), "vector-queries")
+
+        def visits(first: bool):
+            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for batch in batches:
+                    if not batch.num_rows:
+                        continue
+                    far = np.sqrt(_rough(table := _matrix(batch.column(1)), centres))
+                    slack = np.sqrt(_slack(table, centres))
+                    order = np.argsort(far, axis=1, kind="stable")
+                    before = np.cumsum(number[order], axis=1) - number[order]
+                    home = np.zeros(far.shape, dtype=bool)
+                    np.put_along_axis(home, order, before < need, axis=1)
+                    home &= number > 0
+                    bound = np.full(batch.num_rows, np.inf) if first else batch.column(2).to_numpy(zero_copy_only=False)
+                    wanted = home if first else ~home & (number > 0) & (far - radius <= bound[:, None] + slack)
+                    q, to = np.nonzero(wanted)
+                    # Every part of a list is visited.
+                    times = parts[to]
+                    part = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
+                    q, to = np.repeat(q, times), np.repeat(to, times)
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array(to, pa.int32()), pa.array(part, pa.int32()), batch.column(0).take(pa.array(q)), batch.column(1).take(pa.array(q)),
+                        pa.array(far[q, to]), pa.array(bound[q] + slack)], ["list", "part", "q", "qv", "far", "bound"])
+
+            return run
+
+        def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+            out = []
+            right = right.combine_chunks()
+            for at in range(0, left.num_rows, QUERY_PART):
+                some = left.slice(at, QUERY_PART).combine_chunks()
+                if right.num_rows:
+                    out.append(_nearest_members(some, right, need))
+            empty = pa.table({"q": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "distance": pa.array([], pa.float64())})
+            return pa.concat_tables([empty, *out])
+
+        deal = F.array(*[F.lit(int(p)) for p in parts]) if len(parts) else F.array(F.lit(1))
+        members = self.members().withColumn("part", F.pmod(F.xxhash64("id"), deal[F.col("list")]).cast("int"))
+        visit, found_as = "list int, part int, q long, qv array<double>, far double, bound double", "q long, id long, distance double"
+
+        def found(probes: DataFrame) -> DataFrame:
+            # Queries of a part are dealt too, so a group holds QUERY_PART of them and a part of a list.
+            probes = materialise(probes, "vector-visits")
+            here = probes.groupBy("list", "part").agg(F.ceil(F.count("*") / QUERY_PART).cast("int").alias("qparts"))
+            probes = probes.join(here, ["list", "part"]).withColumn("qpart", F.pmod(F.xxhash64("q"), F.col("qparts")).cast("int"))
+            table = members.join(here, ["list", "part"]).withColumn("qpart", F.explode(F.sequence(F.lit(0), F.col("qparts") - 1)))
+            table = table.select("id", "v", "away", *[F.col(c).alias(f"_{c}") for c in ("list", "part", "qpart")])
+            return probes.groupBy("list", "part", "qpart").cogroup(table.groupBy("_list", "_part", "_qpart")).applyInArrow(meet, found_as)
+
+        order = Window.partitionBy("q").orderBy("distance", "id")
+
+        def best(rows: DataFrame) -> DataFrame:
+            rows = rows.filter("q <> id") if others_only else rows
+            return rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+        home = materialise(best(found(asked.select("id", "v").mapInArrow(visits(True), visit))), "vectors-home")
+        # Without k members so far, everything is near enough.
+        bounds = home.groupBy("q").agg(F.when(F.count("*") == k, F.sqrt(F.max("distance"))).otherwise(F.lit(float("inf"))).alias("bound"))
+        bounded = asked.join(bounds, asked["id"] == bounds["q"], "left").select("id", "v", F.coalesce("bound", F.lit(float("inf"))).alias("bound"))
+        further = found(bounded.mapInArrow(visits(False), visit))
+        both = best(home.select("q", "id", "distance").unionByName(further))
+        return both.select(F.col("q").alias(query_id), F.col("id").alias("vec_id"), "distance", "rank")
+
+
+def _nearest_members(probes: pa.Table, members: pa.Table, k: int) -> pa.Table:
+    """The k nearest of some members to each probe, as far as its bound; distances are exact."""
+    queries, table = (_matrix(t.column(name).chunk(0)) for t, name in ((probes, "qv"), (members, "v")))
+    far, bound, away = (t.column(name).to_numpy() for t, name in ((probes, "far"), (probes, "bound"), (members, "away")))
+    rough, slack = _rough(queries, table), _slack(queries, table)
+    rough[np.abs(far[:, None] - away) > bound[:, None] + np.sqrt(slack)] = np.inf  # the triangle inequality again, for members
+    last = min(k, len(table)) - 1
+    limit = np.minimum(np.partition(rough, last, axis=1)[:, last], np.square(bound)) + 2 * slack
+    q, v = np.nonzero((rough <= limit[:, None]) & np.isfinite(rough))
+    distance = np.square(table[v] - queries[q]).sum(axis=1)
+    ids, asked = members.column("id").to_numpy(), probes.column("q").to_numpy()
+    order = np.lexsort((ids[v], distance, q))
+    q, v, distance = q[order], v[order], distance[order]
+    near = np.arange(len(q)) - np.searchsorted(q, q) < k
+    return pa.table({"q": asked[q[near]], "id": ids[v[near]], "distance": distance[near]})
+
+
 def centroids(vectors: DataFrame, group_col: str, vec_col: str = "embedding") -> DataFrame:
     """The mean vector of each group."""
     each = vectors.select(group_col, F.posexplode(F.col(vec_col).cast("array<double>")).alias("_i", "_x"))
