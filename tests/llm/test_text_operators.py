@@ -4,6 +4,7 @@ import hashlib
 import html
 import math
 import re
+import time
 from collections import defaultdict
 
 import numpy as np
@@ -246,3 +247,15 @@ def test_article_of_every_given_page(spark, folder):
         assert M.main_text(r.html) == "\n".join(p for p in parts if p)
 
 
+
+
+def test_a_million_words_take_time_in_proportion(spark):
+    """One text of many distinct words, and one twice as long, with a phrase at its end."""
+    took = []
+    for n in (500_000, 1_000_000):
+        docs = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(n)) + " under the MIT license")], "doc_id long, text string")
+        start = time.time()
+        r = L.scan(docs).collect()[0]
+        took.append(time.time() - start)
+        assert (r.n_words, r.n_base, r.first_word) == (n + 4, 1, n)
+    assert took[1] < 4 * took[0] + 5 and took[1] < 60

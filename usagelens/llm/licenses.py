@@ -83,13 +83,14 @@ def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def votes(docs: DataFrame, templates: tuple[Template, ...], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, _text, t, label, base, runs, diagonal, offsets): offsets has one bit per run found on the diagonal."""
     runs = _runs(docs.sparkSession, templates)
+    known = [r["_hash"] for r in runs.select("_hash").distinct().collect()]  # of the templates, at most MOST_RUNS
     n, w = F.size("_words"), F.col("_words")
-    hashes = F.transform(F.sequence(F.lit(0), n - K), lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(K)]))
-    rolled = _source(docs, id_col, text_col).filter(n >= K).select("doc_id", "_text", "_words", F.posexplode(hashes).alias("_at", "_own"))
-    same = F.col("_own") == F.col("_hash")
-    for j in range(K):
-        same &= F.get(F.col("_words"), F.col("_at") + j) == F.col("_run")[j]
-    hits = rolled.join(F.broadcast(runs), same)
+    rolled = F.transform(F.sequence(F.lit(0), n - K), lambda i: F.struct(i.alias("at"), F.xxhash64(*[F.get(w, i + j) for j in range(K)]).alias("own")))
+    # Only runs whose hash a template has leave the text, each with its own words, so that a text is copied once however long it is.
+    met = F.transform(F.filter(rolled, lambda r: r["own"].isin(known)), lambda r: F.struct(
+        r["at"].alias("_at"), r["own"].alias("_own"), F.slice(w, r["at"] + 1, K).alias("_got")))
+    places = _source(docs, id_col, text_col).filter(n >= K).select("doc_id", "_text", F.inline(met))
+    hits = places.join(F.broadcast(runs), (F.col("_own") == F.col("_hash")) & (F.col("_got") == F.col("_run")))
     return hits.groupBy("doc_id", "_text", "t", "label", "base", "runs", (F.col("_at") - F.col("at")).alias("diagonal")).agg(
         F.bit_or(F.expr("shiftleft(1L, at)")).alias("offsets"))
 
