@@ -259,3 +259,31 @@ def test_a_million_words_take_time_in_proportion(spark):
         took.append(time.time() - start)
         assert (r.n_words, r.n_base, r.first_word) == (n + 4, 1, n)
     assert took[1] < 4 * took[0] + 5 and took[1] < 60
+
+
+EIGHT = "".join(f"<p>Paragraph {i} says a lot, with commas, and ends at last.</p>" for i in range(8))
+TOLD = [f"Paragraph {i} says a lot, with commas, and ends at last." for i in range(8)]
+
+
+@pytest.mark.parametrize("page,before,after", [
+    (f"<body><h1>Title</h1><p>A lead</p><div>{EIGHT}</div></body>", ["Title", "A lead"], []),
+    (f"<body><div><p>A lead.</p><div>{EIGHT}</div><p>The end.</p></div></body>", ["A lead."], ["The end."]),
+    (f"<body><p>First, some text.</p><font>{EIGHT}", ["First, some text."], []),
+    (f"<body><div id=wrap><p>First words, of the text.</p><i>{EIGHT}</div>", ["First words, of the text."], []),
+    (f"<body><article><h1>T</h1>{EIGHT}<section class=search><h2>How search works</h2><p>It looks, and finds.</p></section><div class=header>Chapter two</div>"
+     "<div id=related-work>Others did so, before.</div></article>", ["T"], ["How search works", "It looks, and finds.", "Chapter two", "Others did so, before."]),
+    (f"<body><div class=share><a href=1>Tell</a> <a href=2>all</a></div><h1>T</h1><div class=ad>Buy this.</div><p>Lead.</p><div>{EIGHT}</div><div class=footer>Foot.</div><p>c</p>",
+     ["T", "Lead."], []),
+    (f"<body><div id=a>{EIGHT}</div><div id=b><p>Another column that has its own words, here.</p></div></body>", [], []),
+    (f"<body><article>{EIGHT}<div class=comments><p>A reader says a lot, with commas, and more of it, and more.</p></div></article>", [], []),
+    (f"<body><nav>n</nav><header>Site</header>{EIGHT}<form><p>Your name, please, and more.</p><input></form><aside>x</aside></body>", [], [])])
+def test_nothing_else_is_dropped(page, before, after):
+    assert M.main_text(page).split("\n") == [*before, *TOLD, *after]
+
+
+@pytest.mark.parametrize("tag", ["i", "div", "p", "li", "td"])
+def test_deep_pages_take_seconds(tag):
+    start = time.time()
+    text = M.main_text(f"<{tag}>word, more. " * 100_000)
+    assert time.time() - start < 30 and text.count("word, more.") == 100_000
+    assert M.main_text("</b>".join(["<i>x "] * 50_000) + "</i>" * 50_000).count("x") == 50_000

@@ -4,14 +4,17 @@ A page is read into text nodes with their path of tags from the root. For every
 path two ratios are aggregated over its nodes: characters per node and
 punctuation marks per node. The sequence of nodes takes its path's ratios, both
 are smoothed along the page with a Gaussian and fused by product, and nodes at
-or above a share of the spread of the fused ratio are content nodes. They decide
-which element is the article: the walk goes down from the body as long as one
-child holds nearly all content weight, and stops at an article. All blocks of
-that element are its text, short ones too, except subtrees of boilerplate
-(menus, adverts, forms, ...), known by tag, role or class words, or by being
-mostly links outside an article or main element and mostly not content by the
-ratios. Neither a class word nor its links are believed of an element that holds
-most of the content weight.
+or above a share of the spread of the fused ratio are content nodes.
+
+Boilerplate goes first: elements known as such by tag, role or class words, or
+mostly made of links. Words that name a part of many articles too (`search`,
+`header`, `related`, ...) count only where the links or form fields agree, and
+outside an article also where the ratios do. What is left of an article
+or main element that holds nearly all content nodes is the text, whole. On other
+pages it is the smallest block element around all content nodes, without
+containers beside the one that holds nearly all, and with the headings and
+paragraphs that stand directly before and behind it; of the body itself, what
+lies between the first and the last content node.
 
 Pages are independent, so this is one narrow pass.
 """
@@ -20,6 +23,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -35,6 +39,7 @@ DROPPED = frozenset("nav header footer aside form button select textarea dialog
 BLOCKS = frozenset(("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 "
                     "h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption option").split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+INLINE = frozenset("a abbr b big cite code em font i kbd label mark q s small span strong sub sup u tt".split())
 INNER = frozenset("p li h1 h2 h3 h4 h5 h6 blockquote pre dd dt td th tr ul ol dl table".split())
 #: A start tag of the second kind ends an open element of the first.
 ENDS = {"p": BLOCKS - {"body", "html"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot", "thead"},
@@ -49,27 +54,42 @@ FURNITURE = frozenset((
     "notices notification popup modal overlay newsletter subscribe subscription signup login sidebar sidebars widget widgets menu menus nav navbar "
     "navigation breadcrumb breadcrumbs header masthead topbar footer foot comment comments disqus respond replies reply share sharing social related "
     "recommended recommendations trending pagination pager toolbar skip copyright disclaimer search form").split())
+#: Words of these that name parts of articles as well.
+COMMON = frozenset(("search form header masthead notice notices share sharing social related recommended recommendations trending widget widgets menu menus "
+                    "promotion promoted subscription copyright foot skip").split())
+COMMENTS = frozenset("comment comments disqus respond replies reply".split())
+CONTROLS = frozenset("input button select textarea".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 MARKS = re.compile("[.,;:!?…。，；：！？、،؟।]")
 SPACE = re.compile(r"\s+")
 SMOOTH, SHARE, HOLDS, LINKED = 1.0, 0.5, 0.85, 0.6
 
 
+#: Open elements that a start tag may end, by that tag.
+CLOSES = {tag: [was for was, ends in ENDS.items() if tag in ends] for tag in frozenset().union(*ENDS.values())}
+
+
 class _Page(HTMLParser):
-    """Elements (tag, parent, attributes) and text nodes (element, block number, text)."""
+    """Elements (tag, parent, path number, attributes) and text nodes (element, block number, text)."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.tags, self.parents, self.notes = ["#root"], [-1], [{}]
-        self.open, self.nodes, self.block = [0], [], 0
+        self.tags, self.parents, self.paths, self.notes = ["#root"], [-1], [0], [{}]
+        self.open, self.nodes, self.block, self.controls = [0], [], 0, []
+        self.still = Counter()  # open elements by tag, so that the open ones are searched only for what is there
+        self.known: dict[tuple[int, str], int] = {}
 
     def _in_head(self):
-        return any(self.tags[e] == "head" for e in self.open)
+        return self.still["head"] > 0
+
+    def _close(self, at):
+        self.still.subtract(self.tags[e] for e in self.open[at:])
+        del self.open[at:]
 
     def _end_head(self):
         """Close a head that is open without an end tag; inside its own elements only a body tag closes it."""
         if self._in_head():
-            del self.open[[self.tags[e] for e in self.open].index("head"):]
+            self._close([self.tags[e] for e in self.open].index("head"))
             self.block += 1
 
     def handle_starttag(self, tag, attrs):
@@ -81,20 +101,22 @@ class _Page(HTMLParser):
             return
         if tag in BLOCKS:
             self.block += 1
-        for at in range(len(self.open) - 1, 0, -1):
+        for at in range(len(self.open) - 1, 0, -1) if any(self.still[was] for was in CLOSES.get(tag, ())) else ():
             was = self.tags[self.open[at]]
             if tag in ENDS.get(was, ()):
-                del self.open[at:]
+                self._close(at)
                 break
             if was in WALLS.get(tag, ()) or was in ("article", "section", "div", "table", "body") and tag not in WALLS:
                 break
-        if tag in ("html", "body") and any(self.tags[e] == tag for e in self.open):
-            return
-        if tag in VOID:
+        if tag in CONTROLS:
+            self.controls.append(self.open[-1])
+        if tag in ("html", "body") and self.still[tag] or tag in VOID:
             return
         self.tags.append(tag)
         self.parents.append(self.open[-1])
+        self.paths.append(self.known.setdefault((self.paths[self.open[-1]], tag), len(self.known) + 1))
         self.notes.append(dict(attrs))
+        self.still[tag] += 1
         self.open.append(len(self.tags) - 1)
 
     def handle_startendtag(self, tag, attrs):
@@ -105,10 +127,10 @@ class _Page(HTMLParser):
     def handle_endtag(self, tag):
         if tag in BLOCKS:
             self.block += 1
-        for at in range(len(self.open) - 1, 0, -1):
+        for at in range(len(self.open) - 1, 0, -1) if self.still[tag] else ():
             was = self.tags[self.open[at]]
             if was == tag:
-                del self.open[at:]
+                self._close(at)
                 break
             if was in ("table", "td", "th", "article", "body") and tag not in BLOCKS:
                 break
@@ -134,7 +156,7 @@ def _smoothed(values: list[float]) -> list[float]:
     return out
 
 
-def _content_weights(paths: list[tuple], texts: list[str]) -> list[float]:
+def _content_weights(paths: list[int], texts: list[str]) -> list[float]:
     """The weight of each node: its length where the fused ratio of its path passes the threshold, else 0."""
     chars, marks, number = {}, {}, {}
     for path, text in zip(paths, texts):
@@ -158,12 +180,11 @@ def main_text(html: str) -> str:
     page.close()
     tags, parents, notes = page.tags, page.parents, page.notes
     n = len(tags)
-    unseen, path = [False] * n, [()] * n
+    unseen, path = [False] * n, page.paths
     for e in range(1, n):
         note = notes[e]
         hidden = "hidden" in note or note.get("aria-hidden") == "true" or "display:none" in (note.get("style") or "").replace(" ", "").lower()
         unseen[e] = unseen[parents[e]] or tags[e] in UNSEEN or hidden
-        path[e] = (*path[parents[e]], tags[e])
     nodes = [(e, b, "".join(parts)) for e, b, parts in page.nodes if not unseen[e]]
     bare = [SPACE.sub(" ", t).strip() for _, _, t in nodes]
     seen = [i for i, t in enumerate(bare) if t]
@@ -177,17 +198,21 @@ def main_text(html: str) -> str:
             out[parents[e]] += out[e]
         return out
 
-    inside, body, link, heading = [False] * n, [False] * n, [False] * n, [0] * n
+    inside, body, link, block_of = [False] * n, [False] * n, [False] * n, [0] * n
     for e in range(1, n):
         inside[e] = inside[parents[e]] or tags[e] == "article"
         body[e] = body[parents[e]] or tags[e] in ("article", "main")
         link[e] = link[parents[e]] or tags[e] == "a"
+        block_of[e] = e if tags[e] in BLOCKS else block_of[parents[e]]
     holds_article = [t in ("article", "main") for t in tags]
-    links = [0] * n
+    links, controls = [0] * n, [0] * n
+    for e in page.controls:
+        controls[e] += 1
     for e in range(n - 1, 0, -1):
         holds_article[parents[e]] |= holds_article[e]
         links[e] += tags[e] == "a"
         links[parents[e]] += links[e]
+        controls[parents[e]] += controls[e]
     content, letters = totals(lambda i: weight[i]), totals(lambda i: len(bare[i]))
     linked = totals(lambda i: len(bare[i]) if link[nodes[i][0]] else 0)
     gone = [False] * n
@@ -198,40 +223,33 @@ def main_text(html: str) -> str:
             continue
         words = set(re.findall("[a-z]+", f"{note.get('class') or ''} {note.get('id') or ''}".lower()))
         most = holds_article[e] or content[e] > 0.5 * content[0] > 0
+        furniture, thin = words & FURNITURE, 2 * content[e] <= letters[e]
         if tag in DROPPED:
             gone[e] = not (tag == "header" and inside[e]) and not (tag == "form" and most)
-        elif (note.get("role") or "").lower() in ROLES or words & FURNITURE:
-            gone[e] = tag == "article" and bool(words & {"comment", "comments", "reply", "replies"}) or not most and tag not in HEADINGS | {"a", "b", "i", "em", "strong", "span"} or (
-                tag in ("span", "a") and bool(words & {"ad", "ads", "advert", "share", "skip", "sponsored"}))
+        elif tag == "article" and words & COMMENTS:
+            gone[e] = True
+        elif (note.get("role") or "").lower() in ROLES or furniture:
+            handles = linked[e] > LINKED * letters[e] or controls[e] > 0
+            if tag in INLINE:
+                gone[e] = tag in ("span", "a") and bool(words & {"ad", "ads", "advert", "share", "skip", "sponsored"})
+            elif most or tag in HEADINGS:
+                gone[e] = False
+            elif furniture and furniture <= COMMON:
+                gone[e] = handles or thin and not inside[e] and not letters[e] == content[e]
+            else:
+                gone[e] = bool(furniture) or not inside[e] or thin
         elif tag in ("ul", "ol", "div", "section", "table", "p") and links[e] >= 3 and linked[e] > LINKED * letters[e] and not (
-                body[e] or most or 2 * content[e] > letters[e]):
+                body[e] or most or not thin):
             gone[e] = True
     for i in list(weight):
         if gone[nodes[i][0]]:
             weight[i] = 0.0
     content = totals(lambda i: weight[i])
-    children: list[list[int]] = [[] for _ in range(n)]
-    for e in range(1, n):
-        children[parents[e]].append(e)
-        if tags[e] in HEADINGS and tags[e] in ("h1", "h2") and not gone[e]:
-            heading[e] = 1
-    for e in range(n - 1, 0, -1):
-        heading[parents[e]] += heading[e]
-    at = 0
-    while tags[at] not in ("article",):
-        best = max((c for c in children[at] if not gone[c]), key=lambda c: content[c], default=None)
-        if best is None or tags[best] in INNER or content[best] < HOLDS * content[at] or not content[best]:
-            break
-        if tags[at] == "main" and not holds_article[best] or tags[at] not in ("#root", "html", "body") and heading[at] > heading[best] and not any(
-                tags[c] == "article" for c in (best, *children[best])):
-            break
-        at = best
-    within = [False] * n
-    for e in range(n):
-        within[e] = e == at or (e > 0 and within[parents[e]])
+    chosen = _chosen(tags, parents, gone, content, [nodes[i][0] for i in seen], [weight[i] for i in seen])
+    stays = {i for i, good in zip(seen, chosen.around(block_of, lambda e: linked[e] > LINKED * letters[e])) if good}
     lines, current = [], None
-    for e, block, text in nodes:
-        if within[e] and not gone[e]:
+    for i, (e, block, text) in enumerate(nodes):
+        if i in stays or not bare[i] and block == current:
             if block != current:
                 lines.append([])
                 current = block
@@ -240,6 +258,68 @@ def main_text(html: str) -> str:
     return "\n".join(b for b in blocks if b)
 
 
+class _Chosen:
+    """The element of the main text, and which text nodes (by their elements) belong to it."""
+
+    def __init__(self, tags, parents, gone, owners, weights, at, whole):
+        self.tags, self.gone, self.owners, self.weights, self.whole = tags, gone, owners, weights, whole
+        self.within = [False] * len(tags)
+        for e in range(at, len(tags)):
+            self.within[e] = e == at or (e > 0 and self.within[parents[e]])
+        self.bound = tags[at] in ("#root", "html", "body")
+        self.parents, self.above = parents, {at}
+        while at > 0:
+            at = parents[at]
+            self.above.add(at)
+
+    def around(self, block_of, of_links) -> list[bool]:
+        """For each node whether it is main text: in the element, or a heading or paragraph directly beside it."""
+        out = [self.within[e] and not self.gone[e] for e in self.owners]
+        if self.whole:
+            return out
+        if self.bound:  # the body: from the first to the last content node
+            full = [i for i, w in enumerate(self.weights) if w > 0]
+            out = [good and full[0] <= i <= full[-1] for i, good in enumerate(out)] if full else out
+        held = [i for i, good in enumerate(out) if good]
+        for places, passes in ((range(held[0] - 1, -1, -1), True), (range(held[-1] + 1, len(out)), False)) if held else ():
+            for i in places:
+                block = block_of[self.owners[i]]
+                if self.gone[self.owners[i]]:
+                    if passes:  # an advert between title and text
+                        continue
+                    break
+                holder = block
+                while holder and self.tags[holder] in INNER:
+                    holder = block_of[self.parents[holder]]
+                if holder == block or holder not in self.above or of_links(block):  # of another container
+                    break
+                out[i] = True
+        return out
+
+
+def _chosen(tags, parents, gone, content, owners, weights) -> _Chosen:
+    n, total = len(tags), content[0]
+    for kind in ("article", "main"):  # elements stand before those inside them, so the last one is the innermost
+        found = [e for e in range(n) if tags[e] == kind and not gone[e] and content[e] >= HOLDS * total and total]
+        if found:
+            return _Chosen(tags, parents, gone, owners, weights, found[-1], True)
+    at = max((e for e in range(n) if content[e] == total and not gone[e]), default=0) if total else 0
+    children: dict[int, list[int]] = {}
+    for e in range(1, n):
+        if content[e] and not gone[e]:
+            children.setdefault(parents[e], []).append(e)
+    while at in children:
+        best = max(children[at], key=lambda c: content[c])
+        others = [c for c in children[at] if c != best]
+        beside = sum(content[c] for c in others) + content[best] < content[at]  # text of its own
+        if beside or tags[best] in INNER | INLINE or content[best] < HOLDS * content[at] or any(tags[c] in INNER | INLINE or tags[c] not in BLOCKS for c in others):
+            break
+        at = best
+    while at and (tags[at] not in BLOCKS or tags[at] in INNER):
+        at = parents[at]
+    return _Chosen(tags, parents, gone, owners, weights, at, False)
+
+
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text, n_chars (code points) of every row, from the whole html.
 
