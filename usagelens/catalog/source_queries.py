@@ -21,7 +21,7 @@ def _landed(lines, spark, label):
 
 
 @query("usage_log_import", f"""WITH {USAGE} SELECT id, department_id, tool_name, model_name,
-  strftime(usage_start, '%Y-%m-%d %H:%M:%S') AS usage_start, token_count, cost, purpose,
+  strftime(usage_start, '%Y-%m-%d %H:%M:%S') AS usage_start, strftime(usage_end, '%Y-%m-%d %H:%M:%S') AS usage_end, token_count, cost, purpose,
   CASE WHEN region IS NULL THEN 'none' ELSE region END AS region FROM usage""")
 def usage_log_import(spark, folder):
     """Usage written as JSON lines with ISO times, read by the strict reader."""
@@ -29,23 +29,26 @@ def usage_log_import(spark, folder):
         c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'Z'") for c in ("usage_start", "usage_end")})
     path = _landed(rows.select(F.to_json(F.struct(*rows.columns)).alias("value")), spark, "usage-log")
     got = usage_log.read_strict(spark, path, F.lit(p.AS_OF).cast("timestamp"))
-    return got.select("id", "department_id", "tool_name", "model_name", "usage_start", "token_count", "cost", "purpose",
+    return got.select("id", "department_id", "tool_name", "model_name", "usage_start", "usage_end", "token_count", "cost", "purpose",
                       F.coalesce("region", F.lit("none")).alias("region"))
 
 
-@query("usage_log_lenient", """SELECT count(*) FILTER (event_id % 7 <> 0) AS good, count(*) FILTER (event_id % 7 = 0) AS bad FROM events""")
+@query("usage_log_lenient", """WITH e AS (SELECT *, event_id % 7 <> 0 AS good FROM events)
+  SELECT good, CASE WHEN good THEN CAST(event_id AS VARCHAR) ELSE left('{"id":"' || event_id || '","tool', 15) END AS line,
+    CASE WHEN good THEN 50 * CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) END AS token_count FROM e""")
 def usage_log_lenient(spark, folder):
-    """Every seventh line is cut short; the lenient reader leaves it out and the quarantine holds it."""
+    """Every seventh line is cut short; the lenient reader leaves it out and the quarantine holds it as it stands."""
     rows = p.usage(spark, folder).select("id", F.to_json(F.struct("id", "tool_name", "token_count")).alias("j"))
     cut = F.when(F.col("id").cast("bigint") % 7 == 0, F.substring("j", 1, 15)).otherwise(F.col("j"))
     path = _landed(rows.select(cut.alias("value")), spark, "usage-log")
     lines = text_lines(spark, path, "*.txt")
-    good = usage_log.read_lenient(lines, F.lit(p.AS_OF).cast("timestamp")).agg(F.count("*").alias("n")).scalar()
-    return usage_log.bad_lines(number_lines(lines)).agg(F.count("*").alias("bad")).select(good.alias("good"), "bad")
+    good = usage_log.read_lenient(lines, F.lit(p.AS_OF).cast("timestamp")).select(F.lit(True).alias("good"), F.col("id").alias("line"), "token_count")
+    bad = usage_log.bad_lines(number_lines(lines))
+    return good.unionByName(bad.select(F.lit(False).alias("good"), F.col("text").alias("line"), F.lit(None).cast("bigint").alias("token_count")))
 
 
 @query("agent_session_import", """SELECT 'conv-' || conv_id AS conversation_key, 'c' || conv_id || '-' || turn AS message_id,
-  CASE role WHEN 'user' THEN 'user' ELSE 'model' END AS author, 'm' || (conv_id % 7) AS model_name, length(text) AS chars
+  CASE role WHEN 'user' THEN 'user' ELSE 'model' END AS author, 'm' || (conv_id % 7) AS model_name, role, text AS user_text
   FROM conversations WHERE role IN ('user', 'assistant')""")
 def agent_session_import(spark, folder):
     """Conversations as agent sessions: a model change, then the turns, which carry no model themselves."""
@@ -59,11 +62,11 @@ def agent_session_import(spark, folder):
         F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string")).alias("id"))).alias("value"))
     ordered = change.unionByName(said).repartition("conv_id").sortWithinPartitions("conv_id", "turn").select("value")
     got = chat_exports.agent_sessions(text_lines(spark, _landed(ordered, spark, "agents"), "*.txt"))
-    return got.select("conversation_key", "message_id", "author", "model_name", F.length("user_text").alias("chars"))
+    return got.select("conversation_key", "message_id", "author", "model_name", "role", "user_text")
 
 
 @query("project_session_import", """SELECT 'conv-' || conv_id AS conversation_key, CASE role WHEN 'user' THEN 'user' ELSE 'model' END AS author,
-  count(*) AS messages, CAST(sum(length(text)) AS BIGINT) AS chars FROM conversations WHERE role IN ('user', 'assistant') GROUP BY 1, 2""")
+  text AS user_text FROM conversations WHERE role IN ('user', 'assistant')""")
 def project_session_import(spark, folder):
     """Conversations as project sessions: user texts plain, assistant texts as block lists."""
     plain = F.to_json(F.struct(F.col("role").alias("type"), F.struct(F.col("text").alias("content")).alias("message"),
@@ -73,18 +76,17 @@ def project_session_import(spark, folder):
         F.concat(F.lit("conv-"), F.col("conv_id").cast("string")).alias("sessionId")))
     lines = p.table(spark, folder, "conversations").select(F.when(F.col("role") == "user", plain).otherwise(blocks).alias("value"))
     got = chat_exports.project_sessions(text_lines(spark, _landed(lines, spark, "projects"), "*.txt"))
-    return got.groupBy("conversation_key", "author").agg(
-        F.count("*").alias("messages"), F.sum(F.length("user_text")).alias("chars"))
+    return got.select("conversation_key", "author", "user_text")
 
 
-@query("prompt_history_import", """SELECT 'conv-' || conv_id AS conversation_key, count(*) AS prompts FROM conversations GROUP BY 1""")
+@query("prompt_history_import", """SELECT 'conv-' || conv_id AS conversation_key, 'user' AS author, text AS user_text FROM conversations""")
 def prompt_history_import(spark, folder):
     """Every turn as a line of a prompt history, with broken lines between."""
     lines = p.table(spark, folder, "conversations").select(F.explode(F.array(F.to_json(F.struct(
         F.col("text").alias("display"), F.concat(F.lit("conv-"), F.col("conv_id").cast("string")).alias("sessionId"))),
         F.lit("{broken"))).alias("value"))
     got = chat_exports.prompt_history(text_lines(spark, _landed(lines, spark, "history"), "*.txt"))
-    return got.groupBy("conversation_key").agg(F.count("*").alias("prompts"))
+    return got.select("conversation_key", "author", "user_text")
 
 
 def _csv(spark, folder):

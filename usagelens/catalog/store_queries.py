@@ -197,6 +197,25 @@ def analyzer_plugins(spark, folder):
     return verdicts.run_analyzers(answers, ["llm_trivial", "llm_complexity"]).select("chat_id", "analyzer", "severity")
 
 
+@query("batch_analyzer", """WITH m AS (SELECT doc_id, doc_id // 20 AS b, length(text) AS n FROM documents),
+  s AS (SELECT *, sum(n) OVER (PARTITION BY b ORDER BY doc_id) AS total FROM m)
+  SELECT doc_id AS chat_id, 'context_overflow' AS analyzer, 'context' AS category, CASE WHEN total > 40000 THEN 'high' ELSE 'medium' END AS severity,
+    CAST(total AS VARCHAR) AS detail FROM s WHERE total > 20000""")
+def batch_analyzer(spark, folder):
+    """An analyzer of batches as a table function in SQL: messages at which the running length of their batch passes a limit."""
+    def overflow(messages):
+        total, out = 0, []
+        for m in messages:
+            total += len(m["user_text"])
+            if total > 20_000:
+                out.append({"chat_id": m["chat_id"], "category": "context", "severity": "high" if total > 40_000 else "medium", "detail": str(total)})
+        return out
+
+    verdicts.register_batch_analyzer(spark, "context_overflow", overflow)
+    messages = p.table(spark, folder, "documents").selectExpr("doc_id AS chat_id", "doc_id DIV 20 AS batch_id", "doc_id AS position", "text AS user_text")
+    return verdicts.run_analyzers(messages, ["context_overflow"]).select("chat_id", "analyzer", "category", "severity", "detail")
+
+
 @query("batch_answers", """WITH b AS (SELECT doc_id, doc_id // 20 AS batch_id, row_number() OVER (PARTITION BY doc_id // 20 ORDER BY doc_id) - 1 AS position, quality FROM labels)
   SELECT doc_id AS chat_id, CASE quality WHEN 0 THEN 'trivial' ELSE 'productive' END AS classification FROM b WHERE position < 15""")
 def batch_answers(spark, folder):

@@ -9,9 +9,10 @@ from usagelens.catalog import projections as p
 from usagelens.catalog.oracle_parts import FINDINGS, USAGE
 from usagelens.catalog.registry import query
 from usagelens.operators import compliance
+from usagelens.plans import sketches
 from usagelens.plans import usage as u
 from usagelens.plans.filters import ReportFilters, filter_usage
-from usagelens.session import spread
+from usagelens.session import materialise, spread
 
 _KEYS = {"department": "department_id", "model": "model_name", "tool": "tool_name",
          "region": "coalesce(region, 'unknown')", "timespan": "strftime(usage_start, '%Y-%m-%d')"}
@@ -344,3 +345,29 @@ def cost_recommendations(spark, folder):
   round(sum(savings) / (SELECT sum(savings) FROM s) * 100, 2) AS share FROM s GROUP BY 1""")
 def savings_split(spark, folder):
     return u.savings_split(u.cost_recommendations(p.usage(spark, folder)))
+
+
+@query("sketched_users", f"""WITH {USAGE}, r AS (SELECT min(usage_start)::DATE AS low, max(usage_start)::DATE AS high FROM usage),
+  e AS (SELECT 'all' AS days, * FROM usage UNION ALL SELECT 'first week', usage.* FROM usage, r WHERE usage_start::DATE <= low + 6
+    UNION ALL SELECT 'after it', usage.* FROM usage, r WHERE usage_start::DATE > low + 6)
+  SELECT days, department_id, count(*) AS events, count(DISTINCT user_id_hash) AS users, true AS within FROM e GROUP BY 1, 2""")
+def sketched_users(spark, folder):
+    """Users per department over three ranges of days, from daily sketches stored in two batches, beside the exact counts.
+
+    `within` says that an estimate is at most five standard errors, or one user, off.
+    """
+    usage, by, ids = p.usage(spark, folder), ["department_id"], ["user_id_hash"]
+    halves = [usage.filter(F.pmod(F.xxhash64("id"), F.lit(2)) == n) for n in range(2)]
+    first, second = (sketches.daily_sketches(half, F.col("usage_start"), by, ids) for half in halves)
+    stored = materialise(sketches.merged_days(materialise(first, "sketches"), second, by, ids), "sketches")
+    ends = stored.agg(F.date_add(F.min("day"), 6).cast("string").alias("week"), F.date_add(F.min("day"), 7).cast("string").alias("later")).first()
+    out = None
+    for name, low, high in (("all", None, None), ("first week", None, ends["week"]), ("after it", ends["later"], None)):
+        estimate = sketches.distinct_counts(stored, by, ids, low, high).withColumn("days", F.lit(name))
+        day = F.to_date("usage_start")
+        exact = usage.filter((day >= F.lit(low or "0001-01-01").cast("date")) & (day <= F.lit(high or "9999-12-31").cast("date"))).groupBy(*by).agg(
+            F.countDistinct("user_id_hash").alias("users"))
+        found = estimate.join(exact, by)
+        out = found if out is None else out.unionByName(found)
+    close = F.abs(F.col("user_id_hash") - F.col("users")) <= F.greatest(F.lit(1.0), 5 * sketches.standard_error() * F.col("users"))
+    return out.select("days", "department_id", "events", "users", close.alias("within"))

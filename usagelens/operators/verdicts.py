@@ -8,8 +8,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import udtf
 
 from usagelens.functions.text import is_private, is_trivial, strip_code_fence
 
@@ -40,6 +41,45 @@ def run_analyzers(messages: DataFrame, names: list[str] | None = None) -> DataFr
     return out
 
 
+#: What an analyzer in SQL returns for a message.
+FINDING = ("chat_id BIGINT, analyzer STRING, category STRING, severity STRING, title STRING, detail STRING, snippet STRING, "
+           "confidence DOUBLE")
+
+
+def register_batch_analyzer(spark: SparkSession, name: str, analyze: Callable[[list[dict]], list[dict]]) -> Analyzer:
+    """Make an analyzer of whole batches known to SQL, as a table function, and to `run_analyzers`.
+
+    `analyze` gets the messages of a batch as dictionaries, in order, and returns
+    findings with any fields of FINDING; the analyzer's name is filled in. In SQL:
+
+        SELECT f.* FROM name(TABLE(messages) PARTITION BY batch_id ORDER BY position) AS f
+
+    A batch is one partition of the call and must fit a task. `analyze` travels
+    to the workers with the function.
+    """
+    fields = [field.split()[0] for field in FINDING.split(", ")]
+
+    class Batch:
+        def __init__(self):
+            self.messages = []
+
+        def eval(self, row: Row):
+            self.messages.append(row.asDict())
+
+        def terminate(self):
+            for finding in analyze(self.messages) if self.messages else ():
+                finding = {**finding, "analyzer": name}
+                yield tuple(finding.get(field) for field in fields)
+
+    spark.udtf.register(name, udtf(Batch, returnType=FINDING))
+
+    def over(messages: DataFrame) -> DataFrame:
+        return messages.sparkSession.sql(f"SELECT f.* FROM {name}(TABLE({{messages}}) PARTITION BY batch_id ORDER BY position) AS f", messages=messages)
+
+    register_analyzer(name, over)
+    return over
+
+
 def parse_verdicts(answers: DataFrame, schema: str, answer_col: str = "answer", id_col: str = "chat_id") -> DataFrame:
     """(chat id, verdict, meta): the answer without code fences, read with the schema."""
     text = strip_code_fence(F.col(answer_col))
