@@ -172,3 +172,10 @@ def test_components_of_a_long_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 60)] + [(7, 7)]
     labels = {r.v: r.label for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert labels == {**{i: 0 for i in range(41)}, **{100 + i: 100 for i in range(60)}}
+
+
+def test_rows_without_id_link_others(spark, monkeypatch):
+    prints = spark.createDataFrame([(1, 0), (None, 3), (2, 15), (None, 15 << 40), (7, -1), (None, -1), (3, 15)], "doc_id long, fp long")
+    monkeypatch.setattr(S, "fingerprints", lambda docs, id_col, text_col: prints)
+    got = sorted(((r.doc_id, r.fingerprint[-2:], r.component_id) for r in S.near_duplicates(prints).collect()), key=repr)
+    assert got == sorted([(1, "00", 1), (None, "03", 1), (2, "0f", 1), (3, "0f", 1), (None, "00", None), (7, "ff", 7), (None, "ff", 7)], key=repr)

@@ -1,6 +1,6 @@
 """SimHash near-duplicates with bit-sliced comparison.
 
-Equal fingerprints fold to one vertex first. Two fingerprints at most RADIUS
+Equal fingerprints fold to one vertex first, whether or not their rows have ids. Two fingerprints at most RADIUS
 bits apart agree on at least two of four 16-bit quarters, so each meets the
 others in six buckets of 32 shared bits. A bucket above BUCKET_ROWS is split on
 pairs of the remaining four bytes, by the same argument: then 48 bits are shared
@@ -184,17 +184,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Shingles of three words (ASCII white space between, A-Z lower-cased),
     repeats counted; a shorter text is one shingle, a text without words has
     fingerprint zero. Fingerprints link at most RADIUS bits apart and the
-    component is the smallest id reachable. Null texts are empty; a null id is
-    never a component id, and a fingerprint that only null ids carry stays alone
-    with a null component. Repeated rows get equal results.
+    component is the smallest id reachable. Null texts are empty; a row without
+    id links like any other, and only where no row reachable has one is the
+    component null. Repeated rows get equal results.
     """
     rows = materialise(fingerprints(docs, id_col, text_col), "simhash-prints")
-    vertices = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("v")), "simhash-vertices")
-    near = candidate_rows(vertices.filter("v is not null")).repartition("kind", "key").sortWithinPartitions("kind", "key", "v")
+    prints = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-vertices")
+    vertices = prints.select("fp", F.col("fp").alias("v"))
+    near = candidate_rows(vertices).repartition("kind", "key").sortWithinPartitions("kind", "key", "v")
     edges = materialise(near.mapInArrow(_bucket_edges, "a long, b long"), "simhash-edges")
     labels = connected_components(edges, label="simhash").withColumnRenamed("v", "_v")
-    placed = vertices.join(labels, F.col("v") == F.col("_v"), "left").select("fp", F.coalesce("label", "v").alias("component_id"))
-    return attach_by_key(rows, placed, "fp", "doc_id").select(
+    placed = materialise(prints.join(labels, F.col("fp") == F.col("_v"), "left").select("fp", "least", F.coalesce("label", "fp").alias("label")), "simhash-placed")
+    least = placed.groupBy("label").agg(F.min("least").alias("component_id"))
+    named = attach_by_key(placed.select("fp", "label"), least, "label", "fp").select("fp", "component_id")
+    return attach_by_key(rows, named, "fp", "doc_id").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
