@@ -15,6 +15,8 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from usagelens.session import once
+
 # The Arrow functions below travel to the workers by value, so that workers need
 # no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -145,11 +147,11 @@ def ngram_cosine(pairs: DataFrame, keys: list[str], text_a: str, text_b: str, n:
     long = pairs.select(*keys, F.explode(F.array(
         F.struct(F.lit(0).alias("side"), F.col(text_a).alias("text")),
         F.struct(F.lit(1).alias("side"), F.col(text_b).alias("text")))).alias("s"))
-    # Cut each text into characters once; a gram is then a slice, wherever it lies.
-    cut = long.select(*keys, "s.side", F.split("s.text", "").alias("_chars"), F.length("s.text").alias("_n"))
-    places = cut.select("*", F.explode(F.sequence(F.lit(1), F.greatest(
-        F.col("_n") - (size - 1), F.lit(1)))).alias("_i"))
-    grams = places.select(*keys, "side", F.array_join(F.slice("_chars", F.col("_i"), F.lit(size)), "").alias("gram"))
+    # Cut each text into characters once; a gram is then a slice, wherever it lies. Finished grams are exploded, not the text.
+    cut = once(long.select(*keys, "s.side", "s.text"), _chars=F.split("text", ""), _n=F.length("text"))
+    slices = F.transform(F.sequence(F.lit(1), F.greatest(F.col("_n") - (size - 1), F.lit(1))),
+                         lambda i: F.array_join(F.slice("_chars", i, F.lit(size)), ""))
+    grams = cut.select(*keys, "side", F.explode(slices).alias("gram"))
     counts = grams.groupBy(*keys, "gram").agg(
         F.count_if(F.col("side") == 0).cast("double").alias("x"),
         F.count_if(F.col("side") == 1).cast("double").alias("y"))
