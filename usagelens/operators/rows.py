@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from usagelens.functions.text import strip
+from usagelens.session import materialise
 
 
 # ------------------------------------------------------------ record cleaning
@@ -86,6 +87,10 @@ def count_by_first(frame: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------- comparison
+#: Buckets of each step; a table of so many numbers is sent to every task.
+BUCKETS = 1 << 16
+
+
 def compare_rows(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     """One row per key: only in a, only in b, equal or changed, and which columns changed."""
     columns = [c for c in a.columns if c in b.columns and c not in keys]
@@ -105,6 +110,43 @@ def compare_counts(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     return compare_rows(a, b, keys).groupBy("status").agg(F.count("*").alias("row_count"))
 
 
+def _hashed(frame: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """Rows with a coarse and a fine bucket of their key and two hashes of all they hold; nulls count by place."""
+    key = F.xxhash64(*keys)
+    flags = [F.col(c).isNull() for c in (*keys, *columns)]
+    held = [F.col(c) for c in (*keys, *columns)]
+    return frame.select(*keys, *columns, F.pmod(key, F.lit(BUCKETS)).cast("int").alias("_coarse"),
+                        F.pmod(F.shiftright(key, 20), F.lit(BUCKETS)).cast("int").alias("_fine"),
+                        F.xxhash64(*held, *flags).alias("_x"), F.xxhash64(F.lit(1), *flags, *held).alias("_y"))
+
+
+def _differing(a: DataFrame, b: DataFrame, by: list[str]) -> DataFrame:
+    """Buckets in which the rows of the two sides differ: their number, or their hashes added up."""
+    digest = [F.count("*").alias("_n"), F.bit_xor("_x").alias("_d"), F.sum(F.col("_y").cast("decimal(38,0)")).alias("_s")]
+    left, right = (side.groupBy(*by).agg(F.struct(*digest).alias(name)) for side, name in ((a, "_l"), (b, "_r")))
+    return left.join(right, by, "full_outer").filter(~F.col("_l").eqNullSafe(F.col("_r"))).select(*by)
+
+
+def differing_rows(a: DataFrame, b: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The rows of both sides that lie in buckets with a difference, found by digests in two steps.
+
+    Coarse digests are one row per bucket (at most BUCKETS); only rows of coarse
+    buckets that differ are digested by fine ones, so of two tables that are nearly
+    equal nearly nothing moves. Equal digests of different rows need two 64-bit hashes to agree.
+    """
+    columns = [c for c in a.columns if c in b.columns and c not in keys]
+    left, right = (_hashed(side, keys, columns) for side in (a, b))
+    coarse = F.broadcast(materialise(_differing(left, right, ["_coarse"]), "diff-coarse"))
+    left, right = (side.join(coarse, "_coarse", "left_semi") for side in (left, right))
+    fine = materialise(_differing(left, right, ["_coarse", "_fine"]), "diff-fine")
+    return tuple(side.join(fine, ["_coarse", "_fine"], "left_semi").select(*keys, *columns) for side in (left, right))
+
+
+def compare_changes(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """`compare_rows` without the rows that are the same; only rows of differing buckets are joined."""
+    return compare_rows(*differing_rows(a, b, keys), keys).filter("status <> 'same'")
+
+
 def compare_maps(a: Column, b: Column) -> Column:
     """Key sets of two maps: only in a, only in b, shared, and shared with other values."""
     ka, kb = F.map_keys(a), F.map_keys(b)
