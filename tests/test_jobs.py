@@ -113,8 +113,8 @@ def test_cycle_is_idempotent(spark, tmp_path):
     first = analysis_cycle(store, chats(spark), "r1", as_of())
     assert first == {"messages": 3, "findings": 3}
     assert analysis_cycle(store, chats(spark), "r2", as_of()) == {"messages": 0, "findings": 0}
-    assert store.table("findings").read().count() == 3
-    insight = {r["chat_id"]: (r["risk_score"], r["risk_factors"]) for r in store.table("conversation_insights").read().collect()}
+    assert store.log("findings").read().count() == 3
+    insight = {r["chat_id"]: (r["risk_score"], r["risk_factors"]) for r in store.log("conversation_insights").read().collect()}
     assert insight == {"1": (60, ["content_leak", "security_leak"]), "4": (20, ["content_leak"])}
     views = refresh_detector_views(store, chats(spark), as_of())
     over = views["overview"].first()

@@ -114,7 +114,7 @@ def refreshed_views(spark, folder):
     store = _store(spark, "views")
     analysis_cycle(store, p.message_columns(p.table(spark, folder, "documents")), "cycle", _as_of())
     views = refresh_detector_views(store, p.chat_context(spark, folder), _as_of())
-    count = lambda name: store.table(name).read().agg(F.count("*").alias("n")).scalar()
+    count = lambda name: store.log(name).read().agg(F.count("*").alias("n")).scalar()
     return views["overview"].select("total_messages", count("findings").alias("findings"), count("conversation_insights").alias("insights"))
 
 

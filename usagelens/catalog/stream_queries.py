@@ -98,7 +98,7 @@ def analysis_stream(spark, folder):
     messages = p.message_columns(spark.readStream.schema(raw).option("maxFilesPerTrigger", 1).parquet(landed))
     streams.analysis_stream(messages, store, scratch_path(spark, "cycle"), as_of).awaitTermination()
     analysis_cycle(store, p.message_columns(p.table(spark, folder, "documents")), "again", as_of)
-    return store.table("findings").read().groupBy("analyzer").agg(
+    return store.log("findings").read().groupBy("analyzer").agg(
         F.count("*").alias("finding_count"), F.countDistinct("chat_id").alias("messages"))
 
 

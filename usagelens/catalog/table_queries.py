@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from usagelens.catalog import projections as p
 from usagelens.catalog.registry import query
 from usagelens.operators import graph, rows, tables
+from usagelens.operators.keyed_log import KeyedLog
+from usagelens.session import scratch_path
 from usagelens.sources import generic
 
 
@@ -53,6 +55,17 @@ def append_new(spark, folder):
     return tables.new_rows(stored, updates, ["id"]).select("id")
 
 
+@query("first_seen_log", """SELECT user_id, event_type, min(day(ts) // 8) AS batch FROM events GROUP BY 1, 2""")
+def first_seen_log(spark, folder):
+    """What each user did, logged in the batch in which it was first seen; the second batch is delivered twice."""
+    events = p.table(spark, folder, "events").select("user_id", "event_type", F.floor(F.dayofmonth("ts") / 8).alias("batch"))
+    log = KeyedLog(spark, scratch_path(spark, "first-seen"), "user_id BIGINT, event_type STRING, batch BIGINT",
+                   ("user_id", "event_type"), ("user_id",), buckets=8)
+    for number in (0, 1, 1, 2, 3):
+        log.append_new(events.filter(F.col("batch") == number))
+    return log.read()
+
+
 @query("latest_order_per_customer", """SELECT o_custkey AS customer, max(o_orderkey) AS order_key FROM orders
   JOIN (SELECT o_custkey AS c, max(o_orderdate) AS d FROM orders GROUP BY 1) ON o_custkey = c AND o_orderdate = d GROUP BY 1""")
 def latest_order_per_customer(spark, folder):

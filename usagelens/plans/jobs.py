@@ -12,24 +12,31 @@ from usagelens import config, schemas
 from usagelens.config import RuleConfig
 from usagelens.operators import verdicts
 from usagelens.operators.detect import detect, processed_log
+from usagelens.operators.keyed_log import KeyedLog
 from usagelens.operators.rules import company_matches, summarize
 from usagelens.operators.tables import VersionedTable, checked_insights, has_completed_run, run_row, swap_recommendations
 from usagelens.plans import views
 from usagelens.session import materialise
 
 PROCESSED = "chat_id STRING, analyzer STRING"
+#: Keys of the tables to which analysis cycles only add. All three lie in buckets by chat_id, so a cycle reads its messages' buckets.
+LOGS = {"processed": ("chat_id", "analyzer"), "findings": ("finding_id",), "conversation_insights": ("chat_id",)}
 
 
 @dataclass
 class Store:
-    """The engine's tables under one root folder."""
+    """The engine's tables under one root folder; `buckets` is the layout of the logs, thousands for billions of messages."""
 
     spark: SparkSession
     root: str
+    buckets: int = 16
 
     def table(self, name: str, schema: str | StructType | None = None) -> VersionedTable:
-        ddl = schema or (PROCESSED if name == "processed" else schemas.TABLES[name])
-        return VersionedTable(self.spark, f"{self.root}/{name}", ddl, *schemas.KEYS.get(name, ()))
+        return VersionedTable(self.spark, f"{self.root}/{name}", schema or schemas.TABLES[name], *schemas.KEYS.get(name, ()))
+
+    def log(self, name: str) -> KeyedLog:
+        ddl = PROCESSED if name == "processed" else schemas.TABLES[name]
+        return KeyedLog(self.spark, f"{self.root}/log_{name}", ddl, LOGS[name], ("chat_id",), self.buckets)
 
 
 def _typed(rows: DataFrame, ddl: str) -> DataFrame:
@@ -45,13 +52,14 @@ def analysis_cycle(store: Store, chats: DataFrame, run_id: str, as_of: Column, d
     """Detect in user messages no analyzer has seen, then insights and recommendations.
 
     Messages count as seen once a run finished, with or without findings. A
-    repeated cycle over the same messages adds nothing, and a cycle writes only
-    what its own messages bring. `chats` needs chat_id, author, the text, and
-    the columns the views read.
+    repeated cycle over the same messages adds nothing. A cycle writes only what
+    its own messages bring, and reads of the logs only the buckets that its
+    messages fall in. `chats` needs chat_id, author, the text, and the columns
+    the views read.
     """
     analyzers = sorted({d.analyzer for d in detectors})
     messages = chats.withColumn("chat_id", F.col("chat_id").cast("string")).filter(F.col("author") == "user")
-    seen = store.table("processed").read()
+    seen = store.log("processed").near(messages)
     # A message is finished when every analyzer has seen it. Only this batch's part of the log is folded.
     seen = seen.filter(F.col("analyzer").isin(*analyzers)).join(messages.select("chat_id").distinct(), "chat_id", "left_semi")
     finished = seen.groupBy("chat_id").agg(
@@ -62,17 +70,17 @@ def analysis_cycle(store: Store, chats: DataFrame, run_id: str, as_of: Column, d
     log = materialise(processed_log(fresh, analyzers), "cycle-processed")
     added = found.count()
     if added:
-        store.table("findings").append_new(found, ["finding_id"])
+        store.log("findings").append_new(found)
         scored = checked_insights(verdicts.insights(found, as_of))
-        store.table("conversation_insights").append_new(_typed(scored, schemas.INSIGHTS), ["chat_id"])
-    store.table("processed").append_new(log, ["chat_id", "analyzer"])
+        store.log("conversation_insights").append_new(materialise(_typed(scored, schemas.INSIGHTS), "cycle-insights"))
+    store.log("processed").append_new(log)
     return {"messages": log.select("chat_id").distinct().count(), "findings": added}
 
 
 def refresh_detector_views(store: Store, chats: DataFrame, as_of: Column) -> dict[str, DataFrame]:
     """Write all detector views and swap the recommendations; returns the views as stored."""
     messages = chats.withColumn("chat_id", F.col("chat_id").cast("string"))
-    built = views.detector_views(messages, store.table("findings").read(), store.table("conversation_insights").read())
+    built = views.detector_views(messages, store.log("findings").read(), store.log("conversation_insights").read())
     out = {}
     for name, frame in built.items():
         table = store.table(f"view_{name}", frame.schema)
