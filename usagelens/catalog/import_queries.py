@@ -11,7 +11,7 @@ from usagelens.config import RuleConfig
 from usagelens.functions import text as t
 from usagelens.operators.rules import build_rules
 from usagelens.session import scratch_path
-from usagelens.sources import chat_exports, generic
+from usagelens.sources import chat_exports, export_source, generic
 from usagelens.sources.files import whole_files
 from usagelens.sources.splitting import json_items
 from usagelens.streaming import streams
@@ -52,11 +52,14 @@ def _standard(spark, folder):
     return _turns(spark, folder).withColumn("body", body).select("conv_id", F.concat(date, F.expr("substr(body, 2)")).alias("value"))
 
 
-@query("standard_export_import", f"""WITH {_TURNS} SELECT 'json' AS source_format, 'chatgpt' AS provider, 'https://x/' || conv_id AS conversation_key,
+_STANDARD_ROWS = f"""WITH {_TURNS} SELECT 'json' AS source_format, 'chatgpt' AS provider, 'https://x/' || conv_id AS conversation_key,
   'Talk ' || conv_id AS conversation_title, CASE WHEN idx % 2 = 0 THEN 'm' || idx ELSE author || '-' || idx END AS message_id,
   idx AS message_index, author, CASE role WHEN 'assistant' THEN 'ai' ELSE role END AS role, text AS user_text,
   CASE WHEN conv_id % 3 = 0 THEN strftime(make_timestamp((1700000000000 + conv_id * 1000) * 1000), '%Y-%m-%d %H:%M:%S')
-    ELSE '2024-01-' || lpad(CAST(conv_id % 28 + 1 AS VARCHAR), 2, '0') || ' 10:15:00' END AS conversation_timestamp FROM k""")
+    ELSE '2024-01-' || lpad(CAST(conv_id % 28 + 1 AS VARCHAR), 2, '0') || ' 10:15:00' END AS conversation_timestamp FROM k"""
+
+
+@query("standard_export_import", _STANDARD_ROWS)
 def standard_export_import(spark, folder):
     """Browser exports: system turns and blank texts go, missing ids are made up, times are numbers or compact ISO."""
     path = _files(_standard(spark, folder).select("value"), spark, "standard")
@@ -64,6 +67,18 @@ def standard_export_import(spark, folder):
     return got.select(*_CHAT.split(", "), "conversation_timestamp")
 
 
+@query("export_source_import", _STANDARD_ROWS)
+def export_source_import(spark, folder):
+    """The same exports by the data source: even conversations as a table, odd ones as a stream."""
+    export_source.register(spark)
+    rows = _standard(spark, folder)
+    even, odd = (_files(rows.filter(F.col("conv_id") % 2 == n).select("value"), spark, f"exports-{n}") for n in (0, 1))
+    read = lambda reader, path: reader.format("chat_exports").option("glob", "*.txt").option("settle", 0).load(path)
+    streamed = streams.run_available(chat_exports.standard_export(read(spark.readStream, odd)), "exports")
+    got = chat_exports.standard_export(read(spark.read, even)).unionByName(streamed)
+    return got.select(*_CHAT.split(", "), "conversation_timestamp")
+
+
 @query("conversation_array_import", f"""WITH {_TURNS} SELECT 'json' AS source_format, 'chatgpt' AS provider, 'hash-' || conv_id || '-abcdefgh' AS conversation_key,
   'wildchat-' || substr('hash-' || conv_id || '-abcdefgh', 1, 12) AS conversation_title,
   CASE WHEN idx % 2 = 0 THEN 'turn' || turn ELSE author || '-' || idx END AS message_id, idx AS message_index, author, role, text AS user_text,
