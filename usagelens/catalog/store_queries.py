@@ -7,14 +7,16 @@ from pyspark.sql import functions as F
 
 from usagelens import schemas
 from usagelens.catalog import projections as p
+from usagelens.catalog import security_queries  # noqa: F401  (its statements are used again)
 from usagelens.catalog.oracle_parts import CHATS, FINDINGS, MATCHES, USAGE
-from usagelens.catalog.registry import query
+from usagelens.catalog.registry import ORACLES, query
 from usagelens.config import RuleConfig
 from usagelens.operators import packages, tables, vectors, verdicts
 from usagelens.operators.rules import build_all_rules
 from usagelens.plans import security
 from usagelens.plans.jobs import Store, analysis_cycle, ensure_rule_scan, refresh_detector_views
-from usagelens.session import scratch_path
+from usagelens.plans.view_states import ViewStates
+from usagelens.session import materialise, scratch_path
 from usagelens.sources import generic
 from usagelens.streaming import streams
 
@@ -118,6 +120,29 @@ def refreshed_views(spark, folder):
     return views["overview"].select("total_messages", count("findings").alias("findings"), count("conversation_insights").alias("insights"))
 
 
+def _view_by_batches(spark, folder, name):
+    """A view from the states of three batches that overlap, the last of them delivered twice; older ones are added up before it."""
+    states = ViewStates(_store(spark, "states"))
+    chats, found, scored = p.chat_context(spark, folder), p.scored_findings(spark, folder), p.insight_rows(spark, folder)
+    found, scored = materialise(found, "states-findings"), materialise(scored, "states-insights")
+    for batch in (0, 1, 2, 2):
+        part = F.col("chat_id") % 4
+        states.add(batch, chats.filter((part == batch) | (part == batch + 1)), found, scored)
+        if batch == 1:
+            states.compact()
+    return states.views()[name]
+
+
+@query("overview_by_batches", ORACLES["overview"])
+def overview_by_batches(spark, folder):
+    return _view_by_batches(spark, folder, "overview")
+
+
+@query("provider_stats_by_batches", ORACLES["provider_stats"])
+def provider_stats_by_batches(spark, folder):
+    return _view_by_batches(spark, folder, "provider_stats")
+
+
 @query("insert_insights", """SELECT doc_id AS chat_id, doc_id % 150 - 20 AS risk_score FROM labels WHERE doc_id % 150 - 20 BETWEEN 0 AND 100""")
 def insert_insights(spark, folder):
     """Insights outside 0..100 are refused; stored ones are not added again."""

@@ -17,7 +17,7 @@ HIGH = ("critical", "high")
 
 
 # ------------------------------------------------------------ detector views
-def _per_message(findings: DataFrame) -> DataFrame:
+def per_message(findings: DataFrame) -> DataFrame:
     def of(category):
         return F.count_if(F.col("category") == category)
 
@@ -34,7 +34,7 @@ def _per_message(findings: DataFrame) -> DataFrame:
 
 def overview(chats: DataFrame, findings: DataFrame, insights: DataFrame) -> DataFrame:
     """One row over everything; averages are per message with an insight."""
-    per = _per_message(findings).select("chat_id", "findings", *[
+    per = per_message(findings).select("chat_id", "findings", *[
         f"{s}_findings" for s in ("critical", "high", "medium", "low")])
     risk = insights.groupBy("chat_id").agg(F.sum("risk_score").alias("risk"), F.count("risk_score").alias("risks"))
     joined = chats.select("chat_id", "conversation_key", "provider").join(per, "chat_id", "left").join(
@@ -62,7 +62,7 @@ def findings_by_category(chats: DataFrame, findings: DataFrame) -> DataFrame:
 
 def provider_stats(chats: DataFrame, findings: DataFrame) -> DataFrame:
     joined = chats.select("chat_id", "conversation_key", "provider", "model_name").join(
-        _per_message(findings), "chat_id", "left")
+        per_message(findings), "chat_id", "left")
     sums = ("security_leaks", "content_leaks", "supply_chain_findings", "trivial_usage")
     small = joined.groupBy("provider", "model_name", "conversation_key").agg(
         F.count("*").alias("m"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in sums],
@@ -93,7 +93,7 @@ def conversation_scatter(chats: DataFrame, findings: DataFrame) -> DataFrame:
     """Conversations of more than one message: size, complexity and leaks."""
     joined = chats.select(
         "chat_id", "conversation_key", "provider", "model_name", F.length("user_text_clean").alias("chars")).join(
-        _per_message(findings), "chat_id", "left")
+        per_message(findings), "chat_id", "left")
     return joined.groupBy("conversation_key", "provider", "model_name").agg(
         F.count("*").alias("message_count"),
         F.round(F.sum("complexity_sum") / F.nullif(F.sum("complexity_n"), F.lit(0)), 4).alias("avg_complexity"),

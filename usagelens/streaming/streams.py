@@ -18,6 +18,7 @@ from usagelens.functions.text import is_blank
 from usagelens.operators.detect import detect
 from usagelens.operators.tables import VersionedTable, keep_last
 from usagelens.plans.jobs import Store, analysis_cycle, refresh_detector_views
+from usagelens.plans.view_states import ViewStates
 from usagelens.session import materialise, scratch_path
 from usagelens.sources.usage_log import with_defaults
 
@@ -188,14 +189,19 @@ def append_log(stream: DataFrame, path: str, checkpoint: str, **trigger) -> Stre
 
 
 def analysis_stream(messages: DataFrame, store: Store, checkpoint: str, as_of: Column,
-                    all_chats: Callable[[], DataFrame] | None = None, **trigger) -> StreamingQuery:
+                    all_chats: Callable[[], DataFrame] | None = None, states: ViewStates | None = None, **trigger) -> StreamingQuery:
     """The analysis cycle on every batch of new messages; views are refreshed when it found something.
 
+    With `states` each batch adds its part to the views instead: no message of another batch is read.
+
     A batch is stored first: the cycle reads it several times, some of them for
     one column, and a batch of a stream would be worked out whole each time.
     """
     def cycle(batch: DataFrame, number: int) -> None:
-        result = analysis_cycle(store, materialise(batch, "cycle-batch"), f"batch-{number}", as_of)
+        batch = materialise(batch, "cycle-batch")
+        result = analysis_cycle(store, batch, f"batch-{number}", as_of)
+        if states is not None:
+            states.add(number, batch, store.log("findings").near(batch), store.log("conversation_insights").near(batch))
         if result["findings"] and all_chats is not None:
             refresh_detector_views(store, all_chats(), as_of)
 
