@@ -63,3 +63,11 @@ def test_streams_to_their_end(spark):
         assert sorted(map(tuple, got.collect())) == sorted(map(tuple, whole.collect())) and got.count() > 2
         closed = streams.run_available(build(stream), "closed").count()
         assert 0 < closed < whole.count()
+
+
+def test_a_table_is_streamed_from_a_file_and_from_a_folder(spark, folder, tmp_path):
+    whole = spark.read.parquet(f"{folder}/documents.parquet")
+    whole.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    for place in (folder, str(tmp_path)):
+        got = streams.run_available(streams.file_stream(spark, place, "documents.parquet").select("doc_id"), "table")
+        assert sorted(r.doc_id for r in got.collect()) == sorted(r.doc_id for r in whole.collect())

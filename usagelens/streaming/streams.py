@@ -38,9 +38,9 @@ def usage_log_stream(spark: SparkSession, folder: str, as_of: Column) -> DataFra
 
 
 def file_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A Parquet file or folder of the given name as a stream."""
+    """A Parquet file, or all files of a folder, of the given name as a stream."""
     schema = spark.read.parquet(f"{folder}/{name}").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
+    return spark.readStream.schema(schema).parquet(f"{folder}/{{{name}}}")  # a plain path must be a folder, a pattern need not
 
 
 def parsed_messages(raw: DataFrame, schema: str, column: str = "value") -> DataFrame:
