@@ -181,6 +181,15 @@ def test_row_operations(spark):
     assert tuple(rows.duplicate_counts(frame.unionAll(frame)).first()) == (4, 4)
 
 
+def test_a_later_sort_keeps_the_order_of_equals(spark):
+    """Keys far above the steps between prices, as in a part table of any size."""
+    pairs = [(n * 7919 % 50_000, float(n % 5) / 100) for n in range(500)]
+    frame = spark.createDataFrame(pairs, "k long, price double").repartition(7)
+    out, applied = rows.apply_operations(frame, ["sort:k", "sort:price", "limit:120"])
+    assert list(map(tuple, out.collect())) == sorted(pairs, key=lambda r: (r[1], r[0]))[:120] and applied[1] == "sort:price"
+
+
+
 def test_graph_and_verdicts(spark):
     answers = spark.createDataFrame([("doc", '```json\n{"people": ["Ann", "Bob"], "dates": "none"}\n```'), ("bad", "oops")],
                                     "source string, answer string")

@@ -161,9 +161,9 @@ def row_steps(spark, folder):
 
 @query("row_operations", """SELECT p_partkey, p_retailprice FROM part WHERE p_type = 'ECONOMY' ORDER BY p_retailprice, p_partkey LIMIT 50""")
 def row_operations(spark, folder):
-    source = p.table(spark, folder, "part").selectExpr(
-        "p_partkey", "p_type", "p_retailprice", "p_retailprice * 1000000 + p_partkey AS order_key")
-    out, _ = rows.apply_operations(source, ["filter:p_type:ECONOMY", "sort:order_key", "shuffle:x", "limit:50"])
+    """Two sorts, the second of which keeps the order of the first among equal prices."""
+    source = p.table(spark, folder, "part").select("p_partkey", "p_type", "p_retailprice")
+    out, _ = rows.apply_operations(source, ["filter:p_type:ECONOMY", "sort:p_partkey", "sort:p_retailprice", "shuffle:x", "limit:50"])
     return out.select("p_partkey", "p_retailprice")
 
 

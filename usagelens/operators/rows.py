@@ -53,16 +53,19 @@ def apply_operations(frame: DataFrame, operations: list[str]) -> tuple[DataFrame
     """Apply `sort:field`, `filter:field:value` and `limit:n` in order; others are skipped.
 
     Values compare as text; sorting puts numbers first, by value, then the rest
-    by text, with a missing field as the empty text.
+    by text, with a missing field as the empty text. A later sort keeps the order
+    of the earlier ones among its equals.
     """
     applied = []
+    order: list[Column] = []
     for operation in operations:
         kind, _, rest = operation.partition(":")
         if kind == "sort" and rest:
             name = rest.split(":", 1)[0]
             text = F.coalesce(F.col(name).cast("string"), F.lit("")) if name in frame.columns else F.lit("")
             number = text.try_cast("double")
-            frame = frame.orderBy(number.isNull(), number, text)
+            order = [number.isNull(), number, text, *order]
+            frame = frame.orderBy(*order)
             applied.append(f"sort:{name}")
         elif kind == "filter" and ":" in rest:
             name, value = rest.split(":", 1)
