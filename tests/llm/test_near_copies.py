@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from usagelens.llm import near_copies, queries
+from usagelens.llm import near_copies, queries, simhash
 
 
 def plain_set(text):
@@ -115,3 +115,24 @@ def test_repeated_rows_among_near_copies(spark):
     words = [f"w{i}" for i in range(64)]
     rows = [(4, edited(words)), (4, edited(words)), (5, edited(words, 30)), (5, edited(words, 30)), (6, "other text"), (None, "other text")]
     assert kept(spark.createDataFrame(rows, "doc_id long, text string")) == [4, 6]
+
+
+def test_fingerprints_alone_bring_copies_together(spark, monkeypatch):
+    """Two texts without a band in common are found by the components of their SimHash, and its links are verified too."""
+    monkeypatch.setattr(near_copies, "band_keys", lambda hashes: [])
+    words = [f"w{i}" for i in range(4000)]
+    rows = [(1, edited(words)), (2, edited(words, 100, 120)), (3, "another text of seven words in all"), (4, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    prints = [simhash.fingerprint(t.encode(), 5) % 2**64 for _, t in rows[:2]]
+    assert 0 < (prints[0] ^ prints[1]).bit_count() <= simhash.RADIUS and kept(frame) == [1, 3, 4]
+
+
+def test_components_meet_by_their_labels(spark):
+    """Links that come in three parts give the components of all links, and later parts bring in no earlier one."""
+    rng = random.Random(3)
+    parts = [[tuple(sorted(rng.sample(range(40), 2))) for _ in range(9)] for _ in range(3)]
+    labels = None
+    for part in parts:
+        labels = near_copies._merged(labels, spark.createDataFrame(part, "a long, b long"))
+    want = groups_of([p for part in parts for p in part])
+    assert {r.v: r.label for r in labels.collect()} == {v: want[v] for part in parts for p in part for v in p}

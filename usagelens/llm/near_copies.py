@@ -2,9 +2,11 @@
 
 Two texts are near copies if the sets of their five-word shingles have a Jaccard
 similarity of 0.8 or more; groups are the connected components. Texts with the
-same set fold to one vertex. Vertices meet in buckets of equal MinHash bands
+same set fold to one vertex. Vertices meet in buckets: the components of their
+SimHash fingerprints, by the operator of `simhash.py` over five-word shingles,
+and, for the copies that differ in more bits than it links, equal MinHash bands
 (`BANDS` of `ROWS` minima: a pair at 0.8 meets nowhere with a chance of 5 in
-100,000), and every link is verified by the exact Jaccard of the sets in a join.
+100,000). Every link is verified by the exact Jaccard of the sets.
 
 A bucket's members meet one centre first, another one each round, as long as that
 links enough of them. Buckets whose members are then still in different components
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 
 from usagelens.llm.common import attach_by_key, text_of, unused
 from usagelens.llm.components import connected_components
-from usagelens.llm.simhash import _forest
+from usagelens.llm.simhash import _forest, grouped, majority
 from usagelens.session import materialise
 
 SHINGLE, SIMILARITY, SEED = 5, 0.8, 42
@@ -66,17 +68,21 @@ def _vertex(hashes: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(hashes.tobytes(), SEED) - 2**63
 
 
+def _print(hashes: np.ndarray) -> int:
+    return majority(hashes.astype(">u8").view(np.uint8).reshape(-1, 8)) if len(hashes) else 0
+
+
 def signatures(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, th, v, n, keys) of every row: hash of the text, vertex (hash of the shingle set), size of the set, band keys."""
+    """(doc_id, th, v, n, fp, keys) of every row: hash of the text, vertex (hash of the shingle set), size of the set, SimHash, band keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingles(t.as_py(), shingle) for t in batch.column(2)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(map(_vertex, sets), pa.int64()), pa.array(map(len, sets), pa.int64()),
-                 pa.array(map(band_keys, sets), pa.list_(pa.int64()))], ["doc_id", "th", "v", "n", "keys"])
+                 pa.array(map(_print, sets), pa.int64()), pa.array(map(band_keys, sets), pa.list_(pa.int64()))], ["doc_id", "th", "v", "n", "fp", "keys"])
 
-    return _texts(docs).mapInArrow(run, "doc_id long, th long, v long, n long, keys array<long>")
+    return _texts(docs).mapInArrow(run, "doc_id long, th long, v long, n long, fp long, keys array<long>")
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -190,16 +196,39 @@ def _still_open(keyed: DataFrame, labels: DataFrame | None) -> DataFrame:
     return materialise(named.join(open_, "key", "left_semi"), "copies-met")
 
 
+def _merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """(v, label) of every vertex linked so far. Components meet by their labels: links taken in before do not come back."""
+    if labels is None:
+        return connected_components(links, label="copies")
+    ends = links.select(F.col("a").alias("v")).unionByName(links.select(F.col("b").alias("v"))).distinct()
+    known = materialise(ends.join(labels, "v", "left").select("v", F.coalesce("label", "v").alias("label")), "copies-known")
+    named = attach_by_key(links, known.select(F.col("v").alias("a"), F.col("label").alias("_a")), "a", "b")
+    named = attach_by_key(named, known.select(F.col("v").alias("b"), F.col("label").alias("_b")), "b", "a")
+    joined = connected_components(named.select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).distinct(), label="copies")
+    every = labels.unionByName(known).distinct()
+    moved = every.select("label").distinct().join(joined.select(F.col("v").alias("label"), F.col("label").alias("_new")), "label", "left")
+    moved = moved.select("label", F.coalesce("_new", "label").alias("_new"))
+    return materialise(attach_by_key(every, moved, "label", "v").select("v", F.col("_new").alias("label")), "copies-merged")
+
+
+def _buckets(vertices: DataFrame) -> DataFrame:
+    """(v, n, key): the buckets of each vertex, one per band and one for the component of its fingerprint."""
+    known = vertices.filter("n > 0")
+    groups = grouped(materialise(known.select("fp").distinct(), "copies-prints"), "copies-simhash")
+    bands = known.select("v", "n", F.explode("keys").alias("key"))
+    return bands.unionByName(attach_by_key(known.select("v", "n", "fp"), groups, "fp", "v").select("v", "n", F.xxhash64(F.lit("simhash"), "label").alias("key")))
+
+
 def components(docs: DataFrame, rows: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """(v, label) of the vertices of `rows` that are linked to another."""
-    vertices = materialise(rows.groupBy("v").agg(F.min("th").alias("th"), F.first("n").alias("n"), F.first("keys").alias("keys")), "copies-vertices")
-    keyed = vertices.select("v", "n", F.explode("keys").alias("key"))
+    vertices = materialise(rows.groupBy("v").agg(F.min("th").alias("th"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("keys").alias("keys")), "copies-vertices")
+    keyed = _buckets(vertices)
     shared = keyed.groupBy("key").agg(F.count("*").alias("_n")).filter("_n > 1").select("key")
     keyed = materialise(keyed.join(shared, "key", "left_semi"), "copies-buckets")
     # Written first, so that its size is known: a small table goes to the texts, and only a large one makes the texts move.
     wanted = materialise(vertices.select("v", "th").join(keyed.select("v").distinct(), "v", "left_semi").select("th"), "copies-wanted")
     sets = materialise(shingle_sets(docs, wanted, shingle), "copies-sets")
-    links = tried = labels = None
+    tried = labels = None
     turn, worth = 0, True
     while worth:
         met = _still_open(keyed, labels)
@@ -208,13 +237,12 @@ def components(docs: DataFrame, rows: DataFrame, shingle: int = SHINGLE, similar
         found = materialise(verified(pairs, sets, similarity), "copies-links")
         n_found, n_pairs = found.count(), pairs.count()
         if n_found:
-            links = found if links is None else links.unionByName(found)
-            labels = connected_components(links, label="copies")
+            labels = _merged(labels, found)
         tried = pairs if tried is None else tried.unionByName(pairs)
         turn, worth = turn + 1, n_found > WORTH * n_pairs
     found = materialise(linked(_still_open(keyed, labels), sets, similarity), "copies-links")
     if not found.isEmpty():
-        labels = connected_components(found if links is None else links.unionByName(found), label="copies")
+        labels = _merged(labels, found)
     return vertices.select("v", F.col("v").alias("label")).limit(0) if labels is None else labels
 
 

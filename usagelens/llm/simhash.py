@@ -38,7 +38,11 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     if not words:
         return 0
     runs = map(b" ".join, zip(*(words[i:] for i in range(shingle)))) if len(words) >= shingle else [b" ".join(words)]
-    digests = np.frombuffer(b"".join([xxhash.xxh64_digest(r, SEED) for r in runs]), dtype=np.uint8).reshape(-1, 8)
+    return majority(np.frombuffer(b"".join([xxhash.xxh64_digest(r, SEED) for r in runs]), dtype=np.uint8).reshape(-1, 8))
+
+
+def majority(digests: np.ndarray) -> int:
+    """The bits that are set in over half of the digests (rows of 8 bytes), as a signed number."""
     ones = np.zeros(64, dtype=np.int64)
     for at in range(0, len(digests), 4096):
         ones += np.unpackbits(digests[at:at + 4096], axis=1).sum(axis=0, dtype=np.int32)
@@ -178,6 +182,15 @@ def candidate_rows(vertices: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataF
     return met.select("fp", "v", F.inline(chosen)).select("kind", "key", "fp", "v")
 
 
+def grouped(prints: DataFrame, label: str = "simhash") -> DataFrame:
+    """`prints`, one row per fingerprint (fp), with the `label` of its component: the smallest fingerprint reachable in steps of RADIUS bits."""
+    vertices = prints.select("fp", F.col("fp").alias("v"))
+    near = candidate_rows(vertices).repartition("kind", "key").sortWithinPartitions("kind", "key", "v")
+    edges = materialise(near.mapInArrow(_bucket_edges, "a long, b long"), f"{label}-edges")
+    labels = connected_components(edges, label=label).withColumnRenamed("v", "_v")
+    return materialise(prints.join(labels, F.col("fp") == F.col("_v"), "left").select(*prints.columns, F.coalesce("label", "fp").alias("label")), f"{label}-placed")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id.
 
@@ -190,11 +203,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     rows = materialise(fingerprints(docs, id_col, text_col), "simhash-prints")
     prints = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-vertices")
-    vertices = prints.select("fp", F.col("fp").alias("v"))
-    near = candidate_rows(vertices).repartition("kind", "key").sortWithinPartitions("kind", "key", "v")
-    edges = materialise(near.mapInArrow(_bucket_edges, "a long, b long"), "simhash-edges")
-    labels = connected_components(edges, label="simhash").withColumnRenamed("v", "_v")
-    placed = materialise(prints.join(labels, F.col("fp") == F.col("_v"), "left").select("fp", "least", F.coalesce("label", "fp").alias("label")), "simhash-placed")
+    placed = grouped(prints)
     least = placed.groupBy("label").agg(F.min("least").alias("component_id"))
     named = attach_by_key(placed.select("fp", "label"), least, "label", "fp").select("fp", "component_id")
     return attach_by_key(rows, named, "fp", "doc_id").select(
