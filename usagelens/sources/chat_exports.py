@@ -212,8 +212,9 @@ def read_export_folder(spark: SparkSession, folder: str, legacy_headers: bool =
     """All JSON and Markdown exports of one folder; other shapes and broken files give no rows."""
     if not path_exists(spark, folder):
         return empty_chats(spark)
-    single = json_groups(spark, folder).filter("not is_list")
-    arrays = json_items(spark, folder, CONVERSATION, lists_only=True)
+    groups = json_groups(spark, folder, stored=True)
+    single = groups.filter("not is_list")
+    arrays = json_items(spark, folder, CONVERSATION, lists_only=True, groups=groups)
     markdown = whole_files(spark, folder, "*.md")
     return standard_export(single).unionByName(conversation_array(arrays)).unionByName(
         markdown_transcript(markdown, legacy_headers))

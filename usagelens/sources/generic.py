@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from usagelens.config import RuleConfig
 from usagelens.functions.text import block_text, drop_nul, line_separators_to_space, model_family, parse_iso
 from usagelens.sources.files import file_name, file_stem
-from usagelens.sources.splitting import csv_records, json_items
+from usagelens.sources.splitting import csv_records, json_groups, json_items
 
 Reader = Callable[..., DataFrame]
 _READERS: dict[str, Reader] = {}
@@ -77,8 +77,9 @@ def _message_text(message: Column) -> Column:
     return drop_nul(F.when(known, block_text(content)).otherwise(F.coalesce(other, F.lit(""))))
 
 
-def read_conversations(spark: SparkSession, folder: str) -> DataFrame:
-    return conversations(json_items(spark, folder, "VARIANT", keep=lambda v: F.schema_of_variant(v).startswith("OBJECT")))
+def read_conversations(spark: SparkSession, folder: str, glob: str = "*.json") -> DataFrame:
+    groups = json_groups(spark, folder, glob, stored=True)
+    return conversations(json_items(spark, folder, "VARIANT", groups=groups, keep=lambda v: F.schema_of_variant(v).startswith("OBJECT")))
 
 
 # ------------------------------------------------------------------ documents
@@ -103,10 +104,10 @@ def read_csv_documents(spark: SparkSession, path: str) -> DataFrame:
         F.to_json(F.struct(F.lit("csv").alias("type"), file_name(F.col("path")).alias("filename"), "row")).alias("metadata"))
 
 
-def read_json_documents(spark: SparkSession, path: str) -> DataFrame:
+def read_json_documents(spark: SparkSession, path: str, glob: str = "*.json") -> DataFrame:
     """JSON files as documents: one per array item, or one per file."""
     name = file_name(F.col("path"))
-    return json_items(spark, path, "VARIANT").filter(F.col("item").isNotNull()).select(
+    return json_items(spark, path, "VARIANT", groups=json_groups(spark, path, glob, stored=True)).filter(F.col("item").isNotNull()).select(
         F.when(F.col("is_list"), F.concat("path", F.lit(":item_"), F.col("index").cast("string"))).otherwise(
             F.col("path")).alias("source"),
         F.to_json("item").alias("content"),

@@ -15,6 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from usagelens.session import materialise
 from usagelens.sources.files import block_window, plain_path
 
 #: Between two of these in JSON text lies at most the end of one object and the beginning of the next.
@@ -113,14 +114,16 @@ def _depth(text: Column) -> Column:
     return F.length(F.regexp_replace(text, r"[^\[{]", "")) - F.length(F.regexp_replace(text, r"[^\]}]", ""))
 
 
-def json_groups(spark: SparkSession, root: str, glob: str = "*.json", recursive: bool = False) -> DataFrame:
+def json_groups(spark: SparkSession, root: str, glob: str = "*.json", recursive: bool = False, stored: bool = False) -> DataFrame:
     """(path, block, record, is_list, text, whole): what the files hold, cut at the top level of arrays.
 
     `text` is JSON: for a file that is an array, an array of some consecutive
     elements of it (one, where elements are objects without space before the
     comma); for any other file all of it. `whole` is false where an array does
     not end. Strings hold no line breaks in JSON, but may hold brackets and
-    commas, so what a piece opens depends on the quotes before it.
+    commas, so what a piece opens depends on the quotes before it. With `stored`
+    the files are read once and all steps read their pieces as a table: for
+    folders of many small files, which cost more to open than to read.
     """
     rows = pieces(spark, root, JSON_CUT, glob, recursive)
     bare = F.split(F.regexp_replace("text", r"(?s)\\.", ""), '"', -1)
@@ -128,6 +131,7 @@ def json_groups(spark: SparkSession, root: str, glob: str = "*.json", recursive:
         "_q": (F.size("_bare") - 1) % 2,
         "_d0": _depth(F.array_join(F.filter("_bare", lambda s, i: i % 2 == 0), "")),
         "_d1": _depth(F.array_join(F.filter("_bare", lambda s, i: i % 2 == 1), ""))}).drop("_bare")
+    rows = materialise(rows, "json-pieces") if stored else rows
     rows = rows.withColumn("_q0", F.coalesce(F.sum("_q").over(block_window().rowsBetween(*_BEFORE)), F.lit(0)) % 2)
     # The cut itself closes a bracket, unless it stands in a string. Seen from a block that begins outside (a) or inside (b) a string.
     for name, begins in (("_a", 0), ("_b", 1)):
@@ -159,13 +163,14 @@ def json_groups(spark: SparkSession, root: str, glob: str = "*.json", recursive:
 
 
 def json_items(spark: SparkSession, root: str, schema: str, glob: str = "*.json", recursive: bool = False, lists_only: bool = False,
-               keep: Callable[[Column], Column] | None = None) -> DataFrame:
+               keep: Callable[[Column], Column] | None = None, groups: DataFrame | None = None) -> DataFrame:
     """(path, is_list, index, item): elements of arrays with their place in the file, or the one value of a file.
 
     `schema` is the type of an item; items that `keep` refuses are not counted.
-    A file with a part that is no JSON gives no rows at all.
+    A file with a part that is no JSON gives no rows at all. Give the `groups` of
+    files that are read already.
     """
-    groups = json_groups(spark, root, glob, recursive)
+    groups = json_groups(spark, root, glob, recursive) if groups is None else groups
     if lists_only:
         groups = groups.filter("is_list")
     as_list = F.when(F.col("is_list"), F.from_json("text", f"ARRAY<{schema}>"))
