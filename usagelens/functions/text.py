@@ -45,11 +45,15 @@ def is_blank(text: Column) -> Column:
 
 
 def clean_user_text(raw: Column) -> Column:
-    """Redact URLs, addresses and keys (in this order), then tidy white space."""
+    """Redact URLs, addresses and keys (in this order), then tidy white space.
+
+    Texts without the literals that a pattern needs are not searched for it.
+    """
     text = drop_nul(raw)
-    text = F.regexp_replace(text, unicode_pattern(config.URL_PATTERN), "[REDACTED_URL]")
-    text = F.regexp_replace(text, unicode_pattern(config.EMAIL_PATTERN), "[REDACTED_EMAIL]")
-    text = F.regexp_replace(text, unicode_pattern(config.SECRET_PATTERN), "[REDACTED_SECRET]")
+    for literals, pattern, mark in ((("://",), config.URL_PATTERN, "URL"), (("@",), config.EMAIL_PATTERN, "EMAIL"),
+                                    (("sk-", "AKIA", "ghp_"), config.SECRET_PATTERN, "SECRET")):
+        redacted = F.regexp_replace(text, unicode_pattern(pattern), f"[REDACTED_{mark}]")
+        text = F.when(contains_any(text, literals), redacted).otherwise(text)
     return collapse_whitespace(text)
 
 
