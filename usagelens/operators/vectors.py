@@ -5,7 +5,9 @@ centres, with their distance from it. A query looks into the lists around it
 first; the distance of its k-th found bounds where nearer ones can lie: by the
 triangle inequality a list can only hold one if its centre is not further than
 the bound and the list's radius together, and a member only if its distance from
-the centre differs from the query's by no more than the bound.
+the centre differs from the query's by no more than the bound. Where that keeps
+nothing apart, every query meets every member: the work is quadratic then, what
+is shuffled is not, since queries meet members on a grid of fixed size.
 """
 
 from __future__ import annotations
@@ -25,8 +27,12 @@ from usagelens.session import materialise
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 QUERY_BLOCK = 1_000
-#: Members and queries that meet in one task at a time.
-LIST_PART, QUERY_PART = 4_096, 1_024
+#: Shelves that the lists of a table are dealt over, and parts that the visits to one are dealt over: both stay while tables grow.
+SHELVES = 8
+#: Members of a shelf, or queries of a part, that a task holds at most before their number grows; visits that are worth a part of their own.
+LIST_PART, QUERY_PART = 131_072, 1_024
+#: Queries and members whose distances are worked out at once, and pairs whose exact ones are.
+SEARCH_BLOCK, CHUNK, PAIRS = 256, 2_048, 65_536
 
 
 def _exact(vectors: np.ndarray, queries: np.ndarray, metric: str) -> np.ndarray:
@@ -182,14 +188,21 @@ class VectorLists:
     def nearest(self, queries: DataFrame, k: int, query_id: str = "query_id", query_vec: str = "query", others_only: bool = False) -> DataFrame:
         """(query, vec_id, distance, rank): the k nearest members of every query, equal distances by id; `others_only` leaves out the query's own id.
 
-        Queries stay distributed. They visit the lists around them until those hold
-        k members (and the own one), then every list that may hold a nearer one.
+        Queries stay distributed. They visit the shelves with the lists around them
+        until those hold k members (and the own one), then every shelf with a list
+        that may hold a nearer one. A query is sent to a shelf once, a member once
+        for each part of the shelf's visits, and neither number grows with the table
+        below SHELVES x LIST_PART members or as many queries.
         """
         centres, need = self.centres(), k + others_only
         sizes = self.members().groupBy("list").agg(F.count("*").alias("n"), F.max("away").alias("radius")).orderBy("list").toPandas()
         number, radius = np.zeros(len(centres), dtype=np.int64), np.zeros(len(centres))
         number[sizes["list"]], radius[sizes["list"]] = sizes["n"], sizes["radius"]
-        parts = np.maximum(-(-number // LIST_PART), 1)
+        first_shelf, shelf_parts = shelves(number)
+        n_shelves = int((first_shelf + shelf_parts).max(initial=1))
+        holds = np.zeros((len(centres), n_shelves), dtype=bool)  # which lists a shelf has
+        for i in np.flatnonzero(number):
+            holds[i, first_shelf[i]:first_shelf[i] + shelf_parts[i]] = True
         asked = materialise(self._clean(queries, query_id, query_vec).filter(F.size("v") == (centres.shape[1] if len(centres) else 0)), "vector-queries")
 
         def visits(first: bool):
@@ -203,42 +216,34 @@ class VectorLists:
                     before = np.cumsum(number[order], axis=1) - number[order]
                     home = np.zeros(far.shape, dtype=bool)
                     np.put_along_axis(home, order, before < need, axis=1)
-                    home &= number > 0
+                    wanted = home @ holds
                     bound = np.full(batch.num_rows, np.inf) if first else batch.column(2).to_numpy(zero_copy_only=False)
-                    wanted = home if first else ~home & (number > 0) & (far - radius <= bound[:, None] + slack)
+                    if not first:
+                        wanted = (far - radius <= bound[:, None] + slack) @ holds & ~wanted
                     q, to = np.nonzero(wanted)
-                    # Every part of a list is visited.
-                    times = parts[to]
-                    part = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
-                    q, to = np.repeat(q, times), np.repeat(to, times)
                     yield pa.RecordBatch.from_arrays([
-                        pa.array(to, pa.int32()), pa.array(part, pa.int32()), batch.column(0).take(pa.array(q)), batch.column(1).take(pa.array(q)),
-                        pa.array(far[q, to]), pa.array(bound[q] + slack)], ["list", "part", "q", "qv", "far", "bound"])
+                        pa.array(to, pa.int32()), batch.column(0).take(pa.array(q)), batch.column(1).take(pa.array(q)), pa.array(bound[q] + slack)],
+                        ["shelf", "q", "qv", "bound"])
 
             return run
 
         def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-            out = []
-            right = right.combine_chunks()
-            for at in range(0, left.num_rows, QUERY_PART):
-                some = left.slice(at, QUERY_PART).combine_chunks()
-                if right.num_rows:
-                    out.append(_nearest_members(some, right, need))
-            empty = pa.table({"q": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "distance": pa.array([], pa.float64())})
-            return pa.concat_tables([empty, *out])
-
-        deal = F.array(*[F.lit(int(p)) for p in parts]) if len(parts) else F.array(F.lit(1))
-        members = self.members().withColumn("part", F.pmod(F.xxhash64("id"), deal[F.col("list")]).cast("int"))
-        visit, found_as = "list int, part int, q long, qv array<double>, far double, bound double", "q long, id long, distance double"
+            return _nearest_members(left.combine_chunks(), right.combine_chunks(), centres, need)
+
+        def by_list(values: np.ndarray):
+            return F.array(*[F.lit(int(x)) for x in values])[F.col("list")] if len(values) else F.lit(1)
+
+        members = self.members().withColumn("shelf", (by_list(first_shelf) + F.pmod(F.xxhash64("id"), by_list(shelf_parts))).cast("int"))
+        visit, found_as = "shelf int, q long, qv array<double>, bound double", "q long, id long, distance double"
 
         def found(probes: DataFrame) -> DataFrame:
-            # Queries of a part are dealt too, so a group holds QUERY_PART of them and a part of a list.
             probes = materialise(probes, "vector-visits")
-            here = probes.groupBy("list", "part").agg(F.ceil(F.count("*") / QUERY_PART).cast("int").alias("qparts"))
-            probes = probes.join(here, ["list", "part"]).withColumn("qpart", F.pmod(F.xxhash64("q"), F.col("qparts")).cast("int"))
-            table = members.join(here, ["list", "part"]).withColumn("qpart", F.explode(F.sequence(F.lit(0), F.col("qparts") - 1)))
-            table = table.select("id", "v", "away", *[F.col(c).alias(f"_{c}") for c in ("list", "part", "qpart")])
-            return probes.groupBy("list", "part", "qpart").cogroup(table.groupBy("_list", "_part", "_qpart")).applyInArrow(meet, found_as)
+            visitors = {r["shelf"]: r["n"] for r in probes.groupBy("shelf").agg(F.count("*").alias("n")).collect()}
+            qparts = F.array(*[F.lit(query_parts(visitors.get(i, 0))) for i in range(n_shelves)])[F.col("shelf")]
+            dealt = probes.withColumn("qpart", F.pmod(F.xxhash64("q"), qparts).cast("int"))
+            table = members.filter(qparts > 0).withColumn("qpart", F.explode(F.sequence(F.lit(0), qparts - 1)))
+            table = table.select("list", "id", "v", "away", F.col("shelf").alias("_shelf"), F.col("qpart").alias("_qpart"))
+            return dealt.groupBy("shelf", "qpart").cogroup(table.groupBy("_shelf", "_qpart")).applyInArrow(meet, found_as)
 
         order = Window.partitionBy("q").orderBy("distance", "id")
 
@@ -255,21 +260,84 @@ class VectorLists:
         return both.select(F.col("q").alias(query_id), F.col("id").alias("vec_id"), "distance", "rank")
 
 
-def _nearest_members(probes: pa.Table, members: pa.Table, k: int) -> pa.Table:
-    """The k nearest of some members to each probe, as far as its bound; distances are exact."""
-    queries, table = (_matrix(t.column(name).chunk(0)) for t, name in ((probes, "qv"), (members, "v")))
-    far, bound, away = (t.column(name).to_numpy() for t, name in ((probes, "far"), (probes, "bound"), (members, "away")))
-    rough, slack = _rough(queries, table), _slack(queries, table)
-    rough[np.abs(far[:, None] - away) > bound[:, None] + np.sqrt(slack)] = np.inf  # the triangle inequality again, for members
-    last = min(k, len(table)) - 1
-    limit = np.minimum(np.partition(rough, last, axis=1)[:, last], np.square(bound)) + 2 * slack
-    q, v = np.nonzero((rough <= limit[:, None]) & np.isfinite(rough))
-    distance = np.square(table[v] - queries[q]).sum(axis=1)
-    ids, asked = members.column("id").to_numpy(), probes.column("q").to_numpy()
-    order = np.lexsort((ids[v], distance, q))
-    q, v, distance = q[order], v[order], distance[order]
-    near = np.arange(len(q)) - np.searchsorted(q, q) < k
-    return pa.table({"q": asked[q[near]], "id": ids[v[near]], "distance": distance[near]})
+def shelves(number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First shelf of each list, and over how many it is dealt: lists follow each other on SHELVES shelves, or more where LIST_PART asks for it."""
+    total = int(number.sum())
+    size = max(1, -(-total // max(SHELVES, -(-total // LIST_PART))))
+    parts = np.maximum(-(-number // size), 1)
+    before = np.cumsum(number) - number
+    # A list that fits goes whole where its middle lies; a longer one begins where it begins.
+    return np.where(parts == 1, before + number // 2, before) // size, parts
+
+
+def query_parts(visits: int) -> int:
+    """Into how many parts the visits to a shelf are dealt, each of which gets the shelf's members."""
+    return max(min(-(-visits // QUERY_PART), SHELVES), -(-visits // LIST_PART))
+
+
+def _few_copies(members: pa.Table, k: int) -> pa.Table:
+    """Members by list and distance from its centre; of equal vectors only the k smallest ids, since no other is among the k nearest."""
+    table = _matrix(members.column("v").chunk(0))
+    _, same = np.unique(np.ascontiguousarray(table).view(f"V{table.shape[1] * 8}").ravel(), return_inverse=True)
+    order = np.lexsort((members.column("id").to_numpy(), same))
+    kept = order[np.arange(len(order)) - np.searchsorted(same[order], same[order]) < k]
+    kept = kept[np.lexsort((members.column("away").to_numpy()[kept], members.column("list").to_numpy()[kept]))]
+    return members.take(pa.array(kept)).combine_chunks()
+
+
+def _nearest_members(probes: pa.Table, members: pa.Table, centres: np.ndarray, k: int) -> pa.Table:
+    """The k nearest of a shelf's members to each probe, as far as its bound; distances are exact."""
+    nothing = np.zeros(0, dtype=np.int64)
+    out = [(nothing, nothing, np.zeros(0))]
+    if probes.num_rows and members.num_rows:
+        members = _few_copies(members, k)
+        table, ids, lists, away = _matrix(members.column("v").chunk(0)), *(members.column(c).to_numpy() for c in ("id", "list", "away"))
+        queries, asked, bound = _matrix(probes.column("qv").chunk(0)), probes.column("q").to_numpy(), probes.column("bound").to_numpy()
+        sums = np.column_stack([table, np.ones(len(table)), np.square(table).sum(axis=1)])
+        cuts = np.flatnonzero(np.diff(lists)) + 1
+        chunks = {int(lists[low]): [(at, min(at + CHUNK, high)) for at in range(low, high, CHUNK)]
+                  for low, high in zip([0, *cuts.tolist()], [*cuts.tolist(), len(lists)])}
+        # Queries around one centre are searched together.
+        by_place = np.argsort(_rough(queries, centres).argmin(axis=1), kind="stable")
+        for at in range(0, len(by_place), SEARCH_BLOCK):
+            some = by_place[at:at + SEARCH_BLOCK]
+            q, v, distance = _nearest_in_chunks(queries[some], bound[some], table, sums, ids, away, centres, chunks, k)
+            out.append((asked[some[q]], ids[v], distance))
+    q, v, distance = map(np.concatenate, zip(*out))
+    return pa.table({"q": pa.array(q, pa.int64()), "id": pa.array(v, pa.int64()), "distance": pa.array(distance, pa.float64())})
+
+
+def _nearest_in_chunks(queries: np.ndarray, bound: np.ndarray, table: np.ndarray, sums: np.ndarray, ids: np.ndarray, away: np.ndarray,
+                       centres: np.ndarray, chunks: dict[int, list[tuple[int, int]]], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, member, distance) for a block of queries, nearer lists first; what is found narrows what later chunks must hold."""
+    far, slack = np.sqrt(_rough(queries, centres)), _slack(queries, table) + _slack(queries, centres)
+    limit = np.square(bound)
+    q, v, distance = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0)
+    # |q|^2 + |v|^2 - 2qv as one product, into the same memory for every chunk.
+    factors, held = np.column_stack([-2 * queries, np.square(queries).sum(axis=1), np.ones(len(queries))]), np.empty(len(queries) * CHUNK)
+    for i in sorted(chunks, key=lambda i: far[:, i].mean()):
+        for low, high in chunks[i]:
+            # The triangle inequality: members between two distances from the centre.
+            reach = np.sqrt(limit) + 2 * np.sqrt(slack)
+            at = np.flatnonzero((far[:, i] - away[high - 1] <= reach) & (away[low] - far[:, i] <= reach))
+            if not len(at):
+                continue
+            rough = np.matmul(factors[at], sums[low:high].T, out=held[:len(at) * (high - low)].reshape(len(at), high - low))
+            top = limit[at]
+            if high - low >= k and len(open_at := np.flatnonzero(np.isinf(top))):
+                top[open_at] = np.partition(rough[open_at], k - 1, axis=1)[:, k - 1] + slack
+            near_q, near_v = np.divmod(np.flatnonzero(rough <= (top + slack)[:, None]), high - low)
+            if not len(near_q):
+                continue
+            near_q, near_v = at[near_q], near_v + low
+            parts = [np.square(table[near_v[p:p + PAIRS]] - queries[near_q[p:p + PAIRS]]).sum(axis=1) for p in range(0, len(near_q), PAIRS)]
+            q, v, distance = np.concatenate([q, near_q]), np.concatenate([v, near_v]), np.concatenate([distance, *parts])
+            order = np.lexsort((ids[v], distance, q))
+            order = order[np.arange(len(q)) - np.searchsorted(q[order], q[order]) < k]
+            q, v, distance = q[order], v[order], distance[order]
+            full = np.flatnonzero(np.bincount(q, minlength=len(queries)) == k)
+            limit[full] = np.minimum(limit[full], distance[np.searchsorted(q, full, side="right") - 1])
+    return q, v, distance
 
 
 def centroids(vectors: DataFrame, group_col: str, vec_col: str = "embedding") -> DataFrame:
