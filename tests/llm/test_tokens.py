@@ -187,6 +187,24 @@ def test_words_are_encoded_like_whole_texts(library, texts):
     assert [ids.tolist() for ids in library.encode(texts)] == plain
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(alphabet=st.sampled_from("ab'é日😀 \t\n\r\x0b\x0c\u200b"), max_size=12), max_size=5))
+def test_words_cut_from_bytes(texts):
+    for cut in (byte_tokens.plain_words, byte_tokens.wide_words):
+        words, number = cut(texts)
+        assert words.to_pylist() == [w for t in texts for w in byte_tokens.WORD.findall(t)]
+        assert number.tolist() == [len(byte_tokens.WORD.findall(t)) for t in texts]
+
+
+def test_ids_wait_as_bytes(spark):
+    """Lists of numbers cost Spark and Arrow a step for each token, three times over."""
+    made = T.tokens(spark.createDataFrame([(1, "some words, some more"), (2, None)], "doc_id long, text string"), queries.byte_model())
+    assert dict(made.dtypes)["ids"] == "binary"
+    library = byte_tokens.ByteTokens(queries.byte_model()).tokenizer
+    assert {r.doc_id: np.frombuffer(r.ids, "<i4").tolist() for r in made.collect()} == {1: [*library.encode("some words, some more").ids, 0], 2: [0]}
+    assert {r["id"]: r["n"] for r in T.id_counts(made).collect()}[0] == 2
+
+
 def test_the_table_of_words_is_bounded(monkeypatch):
     monkeypatch.setattr(byte_tokens, "TABLE_WORDS", 5)
     library = byte_tokens.ByteTokens(queries.byte_model())

@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import numpy as np
+import pyarrow as pa
 from tokenizers import Tokenizer
 
 #: Characters of a text that are read at once; the library's answer is some fifty times as large.
@@ -18,6 +19,9 @@ CHUNK_CHARS = 250_000
 WORD = re.compile(r"\s*\S+|\s+")
 #: White space to Python, not to the library.
 DOUBTFUL = re.compile("[\x1c-\x1f]")
+#: White space beyond ASCII; without it a word begins where a byte of white space follows another byte.
+WIDE = re.compile("[" + "".join(chr(c) for c in range(0x80, 0x3001) if chr(c).isspace()) + "]")
+ASCII_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 #: Words that a task learns before it forgets those which it has not met since the time before, and the longest of them.
 TABLE_WORDS, LONG_WORD = 150_000, 256
 #: No token of a byte-level pattern reaches over the place between a letter and a space with a letter behind it.
@@ -60,10 +64,10 @@ class WordTable(dict):
         found = list(map(self.get, words))
         missing = [i for i, value in enumerate(found) if value is None]
         if missing:
-            fresh = set(map(words.__getitem__, missing))
-            met = fresh & self.older.keys()
+            fresh = dict.fromkeys(map(words.__getitem__, missing))
+            met = [word for word in fresh if word in self.older] if self.older else []
             self.update(zip(met, map(self.older.__getitem__, met)))
-            new = list(fresh - met)
+            new = [word for word in fresh if word not in self]
             self.update(zip(new, self.learn(new)))
             for i in missing:
                 found[i] = self[words[i]]
@@ -88,6 +92,26 @@ def encoded_words(words: list[str], encode: Callable[[str], np.ndarray], sizes:
     return out
 
 
+def plain_words(texts: list[str]) -> tuple[pa.StringArray, np.ndarray]:
+    """The words (as by WORD) of all texts, and how many each has; the texts' white space is ASCII."""
+    raw = [t.encode() for t in texts]
+    ends = np.cumsum([0, *map(len, raw)], dtype=np.int64)
+    data = b"".join(raw)
+    space = ASCII_SPACE[np.frombuffer(data, dtype=np.uint8)]
+    begins = np.zeros(len(data) + 1, dtype=bool)
+    begins[1:-1] = space[1:] & ~space[:-1]
+    begins[ends] = True  # also where a text ends, and of the last word
+    at = np.flatnonzero(begins).astype(np.int32)
+    words = pa.StringArray.from_buffers(len(at) - 1, pa.py_buffer(at), pa.py_buffer(data))
+    return words, np.diff(np.searchsorted(at, ends))
+
+
+def wide_words(texts: list[str]) -> tuple[pa.StringArray, np.ndarray]:
+    """The same for any text."""
+    words = [WORD.findall(t) for t in texts]
+    return pa.array([w for some in words for w in some], pa.string()), np.array([len(some) for some in words], dtype=np.int64)
+
+
 class ByteTokens:
     """Ids of texts, and the bytes of each id.
 
@@ -119,12 +143,24 @@ class ByteTokens:
         if not self.cuttable:
             return self._encoded(texts)
         out = [self._encoded([t])[0] if DOUBTFUL.search(t) else None for t in texts]
-        words, cuts = [], [0]
-        for text, ids in zip(texts, out):
-            words += WORD.findall(text) if ids is None else []
-            cuts.append(len(words))
-        found = self.words.values_of(words)
-        return [np.frombuffer(b"".join(found[low:high]), dtype=np.int32) if ids is None else ids for ids, low, high in zip(out, cuts, cuts[1:])]
+        at = [i for i, ids in enumerate(out) if ids is None]
+        plain = [i for i in at if not WIDE.search(texts[i])]
+        for which, (words, number) in ((plain, plain_words([texts[i] for i in plain])), (wide := sorted({*at} - {*plain}), wide_words([texts[i] for i in wide]))):
+            for i, ids in zip(which, self._by_words(words, number)):
+                out[i] = ids
+        return out
+
+    def _by_words(self, words: pa.StringArray, number: np.ndarray) -> list[np.ndarray]:
+        """The ids of texts of so many words each; a word that comes again is looked up once."""
+        coded = words.dictionary_encode()
+        found = self.words.values_of(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+        known, sizes = np.frombuffer(b"".join(found), dtype=np.int32), np.array(list(map(len, found)), dtype=np.int64) // 4
+        place = coded.indices.to_numpy()
+        of_word, begins = sizes[place], (np.cumsum(sizes) - sizes)[place]
+        ends = np.append(0, np.cumsum(of_word))
+        ids = known[np.repeat(begins - ends[:-1], of_word) + np.arange(ends[-1])]
+        cuts = ends[np.append(0, np.cumsum(number))]
+        return [ids[low:high] for low, high in zip(cuts, cuts[1:])]
 
     def _encoded(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, dtype=np.int32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]

@@ -138,6 +138,7 @@ def unpack(payload: bytes, marks: np.ndarray, sizes: np.ndarray, ids: np.ndarray
 def tokens(docs: DataFrame, tokenizer: str, end_id: int | None = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """row, doc_id, tie, ids of every row, without special tokens put in and with `end_id` behind each document.
 
+    `ids` are the bytes of little-endian 32-bit numbers, which Spark copies whole; lists it would walk through token by token.
     `tokenizer` is a path that every executor has. Null and empty texts have the
     end id only. `tie` orders rows of one id (by a hash of the text); rows that
     are equal in both are told apart by their position in the input.
@@ -176,18 +177,20 @@ def tokens(docs: DataFrame, tokenizer: str, end_id: int | None = 0, id_col: str
                 with uncollected():
                     made = list(encoded(part.column(3).to_pylist()))
                 ends = np.cumsum([0, *map(len, made)], dtype=np.int64)
-                ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(made)))
+                ids = pa.BinaryArray.from_buffers(pa.binary(), len(made), [None, pa.py_buffer((4 * ends).astype(np.int32)), pa.py_buffer(np.concatenate(made).astype("<i4"))])
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), ids], ["row", "doc_id", "tie", "ids"])
 
     text = text_of(F.col(text_col))
     source = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("tie"), text.alias("t"))
-    return source.mapInArrow(run, "row long, doc_id long, tie long, ids array<int>")
+    return source.mapInArrow(run, "row long, doc_id long, tie long, ids binary")
 
 
-def _flat(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
-    """(values, offsets) of a list column without nulls."""
-    offsets = column.offsets.to_numpy().astype(np.int64)
-    return column.values.to_numpy(zero_copy_only=False)[offsets[0]:offsets[-1]], offsets - offsets[0]
+def _flat(column: pa.BinaryArray) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, offsets) of a column of ids as `tokens` writes them, without nulls."""
+    _, offsets, data = column.buffers()
+    offsets = np.frombuffer(offsets, dtype=np.int32)[column.offset:column.offset + len(column) + 1].astype(np.int64)
+    ids = np.frombuffer(data, dtype="<i4", count=int(offsets[-1] - offsets[0]) // 4, offset=int(offsets[0])) if offsets[-1] > offsets[0] else np.zeros(0, "<i4")
+    return ids, (offsets - offsets[0]) // 4
 
 
 def id_counts(rows: DataFrame) -> DataFrame:
@@ -196,6 +199,8 @@ def id_counts(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, dtype=np.int64)
         for batch in batches:
+            if not batch.num_rows:
+                continue
             ids, _ = _flat(batch.column(0))
             now = np.bincount(ids, minlength=len(total))
             now[:len(total)] += total
@@ -219,6 +224,8 @@ def coded(rows: DataFrame, codes: Codes, block: int = BLOCK, step: int = STEP) -
 
         def parts() -> Iterator[tuple]:
             for batch in batches:
+                if not batch.num_rows:
+                    continue
                 ids, offsets = _flat(batch.column(3))
                 for i, key in enumerate(zip(*(batch.column(c).to_pylist() for c in range(3)))):
                     low, high = int(offsets[i]), int(offsets[i + 1])
