@@ -334,3 +334,15 @@ def test_groups_are_cut_at_all_common_ends(left, right):
 def test_a_long_run_without_common_ends_takes_few_rounds():
     a, b = np.arange(2, 400_001, 2), np.append(np.arange(3, 399_999, 2), 400_000)
     assert len(A.groups(a, b, np.array([[0, len(a), 0, len(b)]]))) == 1
+
+
+def test_words_with_other_signs_behind_are_learnt_once(library, both):
+    """A word that stands before a comma, a stop and a number was three words to both tables."""
+    text = " ".join(f"{word}{end}" for word in ("zonder", "quarbel", "été", "Ünther") for end in (",", ".", "!", ";", "12", ""))
+    for table, encode in ((library.words, library.encode), (both.words, both.tokens)):
+        table.clear()
+        table.older.clear() if table.older else None
+        encode([text])
+        assert len(table) <= 11
+    assert library.encode([text])[0].tolist() == library.tokenizer.encode(text).ids
+    assert [ids.tolist() for ids in both.tokens([text])[0][0]] == [ids.tolist() for ids in both._whole([" " + text])[0]]

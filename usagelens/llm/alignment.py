@@ -27,15 +27,15 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from usagelens.llm.byte_tokens import WORD, ByteTokens, WordTable, encoded_words, uncollected
+from usagelens.llm.byte_tokens import SINGLE, ByteTokens, WordTable, encoded_words, laid_out, plain_words, uncollected
 from usagelens.llm.common import text_of
 from usagelens.llm.pieces import MARK, Words
 from usagelens.session import materialise
 
 #: White space that the second side may hold in the middle of a token.
 OTHER_SPACE = re.compile(r"[^\S \n]")
-#: Characters of text aligned together, and links of a block.
-TEXT_CHARS, LINKS = 250_000, 1 << 20
+#: Characters of text whose words are looked up together, tokens aligned together, and links of a block.
+TEXT_CHARS, ALIGNED, LINKS = 1_000_000, 125_000, 1 << 20
 
 
 # ------------------------------------------------------------------ alignment
@@ -153,6 +153,10 @@ class Pair:
         self.bytes_b = [bytes([int(sp.id_to_piece(i)[1:-1], 16)]) if sp.is_byte(i) else sp.id_to_piece(i).replace(MARK, " ").encode()
                         for i in range(sp.get_piece_size())]
         self.sizes_a, self.sizes_b = (np.array(list(map(len, t)), dtype=np.int64) for t in (self.bytes_a, self.bytes_b))
+        #: Which bytes follow each other in a token of the second side.
+        self.meets = np.zeros((256, 256), dtype=bool)
+        for token in self.bytes_b:
+            self.meets[list(token[:-1]), list(token[1:])] = True
         #: Written id and what follows it, zeros before: within a side, after the first side, after a group.
         self.text = np.array([f"{i}{s}" for n, ends in ((len(self.bytes_a), ",|"), (len(self.bytes_b), ",;")) for s in ends for i in range(n)], dtype=bytes)
         self.text_sizes = np.char.str_len(self.text)
@@ -174,23 +178,18 @@ class Pair:
 
     def _tokens(self, pieces: list[str]) -> list[tuple[np.ndarray, np.ndarray] | None]:
         """The ids of both sides; None where one of them says something else than the piece."""
-        by_word = [self.cuttable and not OTHER_SPACE.search(p) for p in pieces]
-        words, cuts = [], [0]
-        for piece, good in zip(pieces, by_word):
-            words += WORD.findall(piece) if good else []
-            cuts.append(len(words))
-        found = self.words.values_of(words)
+        by_word = [self.cuttable and not OTHER_SPACE.search(p) and not self.a.added.search(p) for p in pieces]
+        words, number = plain_words([p for p, good in zip(pieces, by_word) if good], self.meets)
+        coded = words.dictionary_encode()
+        found = self.words.values_of(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
         a, b = zip(*found) if found else ((), ())
+        place = coded.indices.to_numpy()
+        other = np.append(0, np.cumsum(np.array([ids is None for ids in b], dtype=bool)[place]))
+        said = np.diff(other[np.append(0, np.cumsum(number))]) == 0
+        sides = zip(laid_out(list(a), place, number), laid_out([ids or b"" for ids in b], place, number))
+        made = iter([ids if same else None for ids, same in zip(sides, said)])
         whole = iter(self._whole([p for p, good in zip(pieces, by_word) if not good]))
-        out = []
-        for good, low, high in zip(by_word, cuts, cuts[1:]):
-            if not good:
-                out.append(next(whole))
-            elif None in b[low:high]:
-                out.append(None)
-            else:
-                out.append(tuple(np.frombuffer(b"".join(side[low:high]), dtype=np.int32) for side in (a, b)))
-        return out
+        return [next(made) if good else next(whole) for good in by_word]
 
     def _whole(self, pieces: list[str]) -> list[tuple[np.ndarray, np.ndarray] | None]:
         a, b = self.a.encode(pieces), [np.array(self.processor.encode(p[1:]), dtype=np.int32) for p in pieces]
@@ -202,14 +201,25 @@ class Pair:
         """The ids of words (with their white space before) as bytes; None where the second side says something else than the word."""
         lead = self.before
         encode = lambda text: np.array(self.processor.encode("\n" + text)[len(lead):], dtype=np.int32)
-        b = encoded_words(words, encode, self.sizes_b)
-        if b is None:  # a word holds what the model rewrites
-            b = [encode(w).tobytes() for w in words]
+        # Words without white space before are set behind line feeds, which are tokens of their own.
+        spaced, bare = [w for w in words if w[0].isspace()], [w for w in words if not w[0].isspace()]
+        known = {}
+        for some, lines in ((spaced, False), (bare, True)):
+            made = encoded_words(["\n" + w for w in some] if lines else some, encode, self.sizes_b)
+            if made is None:  # a word holds what the model rewrites
+                made = [encode(w).tobytes() for w in some]
+            elif lines:
+                made = [ids[4:] for ids in made]
+            known.update(zip(some, made))
+        b = [known[w] for w in words]
         rows, said = [np.frombuffer(b"".join(b), dtype=np.int32)], "".join(words).encode()
         if _spelled(rows, self.bytes_b)[0] != said:
             right = _spelled([np.frombuffer(ids, dtype=np.int32) for ids in b], self.bytes_b)
             b = [ids if w.encode() == z else None for w, ids, z in zip(words, b, right)]
-        return list(zip(self.a.learn(words), b))
+        single = [SINGLE.fullmatch(w) is not None for w in words]
+        whole = iter(self.a.learn([w for w, one in zip(words, single) if one]))
+        divided = (ids.tobytes() for ids in self.a.encode([w for w, one in zip(words, single) if not one]))
+        return [(next(whole if one else divided), ids) for one, ids in zip(single, b)]
 
     def align(self, rows: list[list[tuple[np.ndarray, np.ndarray]]]) -> Iterator[Span]:
         """The pieces of `tokens` in order, aligned together up to some number of tokens."""
@@ -218,7 +228,7 @@ class Pair:
             for piece in pieces:
                 held.append((doc, *piece))
                 size += len(piece[0])
-                if size >= TEXT_CHARS // 2:
+                if size >= ALIGNED:
                     yield from self._aligned(held)
                     held, size = [], 0
         if held:
