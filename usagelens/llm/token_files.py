@@ -34,7 +34,7 @@ from usagelens.session import scratch_path
 LIMIT = 20
 BLOCK, STEP = 1 << 16, 256
 #: Characters that a task hands to the tokenizer at once, and tokens in an Arrow batch.
-TEXT_CHARS, TOKENS = 250_000, 1 << 18
+TEXT_CHARS, TOKENS = 1_000_000, 1 << 18
 
 
 # --------------------------------------------------------------------- codes
