@@ -5,10 +5,11 @@ from collections import defaultdict
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from usagelens.llm import near_copies, queries, simhash
+from usagelens.llm import common, near_copies, queries, simhash
 
 
 def plain_set(text):
@@ -136,3 +137,11 @@ def test_components_meet_by_their_labels(spark):
         labels = near_copies._merged(labels, spark.createDataFrame(part, "a long, b long"))
     want = groups_of([p for part in parts for p in part])
     assert {r.v: r.label for r in labels.collect()} == {v: want[v] for part in parts for p in part for v in p}
+
+
+def test_batches_are_taken_in_slices():
+    """Work that keeps something of every row of a batch held that of 10,000 texts at a time."""
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(n), pa.int64())], ["v"]) for n in (2500, 0, 3)]
+    parts = list(common.sliced(iter(batches)))
+    assert [p.num_rows for p in parts] == [1000, 1000, 500, 3]
+    assert [v for p in parts for v in p.column(0).to_pylist()] == [*range(2500), *range(3)]

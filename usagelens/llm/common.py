@@ -72,6 +72,13 @@ def prefix_before(pieces: DataFrame, group: list[str], order: str, value: str, n
     return pieces.withColumn(name, F.coalesce(F.sum(value).over(before), F.lit(0)))
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of so many rows at most, for work that keeps something of every row of a batch."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def whole_groups(batches: Iterator[pa.RecordBatch], key: int = 0) -> Iterator[pa.RecordBatch]:
     """Batches cut so that all rows of a key are in one of them; rows come sorted by the key column."""
     held: list[pa.RecordBatch] = []

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from usagelens.llm.common import attach_by_key, text_of, unused
+from usagelens.llm.common import attach_by_key, sliced, text_of, unused
 from usagelens.llm.components import connected_components
 from usagelens.llm.simhash import _forest, grouped, majority
 from usagelens.session import materialise
@@ -76,7 +76,7 @@ def signatures(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, th, v, n, fp, keys) of every row: hash of the text, vertex (hash of the shingle set), size of the set, SimHash, band keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             sets = [shingles(t.as_py(), shingle) for t in batch.column(2)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(map(_vertex, sets), pa.int64()), pa.array(map(len, sets), pa.int64()),
@@ -89,7 +89,7 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, shingle: int = SHINGLE) ->
     """(v, hashes) for the texts whose hash is in `wanted` (th); hashes of 32 bits, half of what travels."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             sets = [shingles(t.as_py(), shingle) for t in batch.column(0)]
             short = [np.unique((s >> np.uint64(32)).astype(np.uint32)).view(np.int32) for s in sets]
             yield pa.RecordBatch.from_arrays([pa.array(map(_vertex, sets), pa.int64()), pa.array(short, pa.list_(pa.int32()))], ["v", "hashes"])

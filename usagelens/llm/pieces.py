@@ -23,7 +23,7 @@ from usagelens.llm.common import text_of
 
 MARK = "▁"
 TABLE_WORDS, LONG_WORD = 200_000, 256
-OUT_CHARS = 8_000_000
+OUT_CHARS = 2_000_000
 
 
 class Words(dict):

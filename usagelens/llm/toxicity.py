@@ -65,7 +65,7 @@ class Model:
 
 def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """FTRL over the documents in the order they come; yields the weights that aren't zero, the bias at place -1."""
-    docs = [(label.as_py(), np.frombuffer(code.as_py(), dtype=np.int32)) for b in batches for label, code in zip(b.column(0), b.column(1))]
+    docs = [(label.as_py(), np.frombuffer(code.as_buffer(), dtype=np.int32)) for b in batches for label, code in zip(b.column(0), b.column(1))]
     z, n = np.zeros(1 << BITS, dtype=np.float32), np.zeros(1 << BITS, dtype=np.float32)
     share = np.clip(np.mean([label for label, _ in docs]) if docs else 0.5, 0.01, 0.99)
     bias, bias_n = float(np.log(share / (1 - share))) if docs else 0.0, 1.0
