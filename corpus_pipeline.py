@@ -7,7 +7,8 @@
     tokens        texts become ids, with digests of ids and decoded text
 
 Each stage reads the Parquet files of the one before it, so a lost executor
-costs tasks of one stage only.
+costs tasks of one stage only. Stages that hand whole texts to Python have the
+session's Arrow batches at 1,000 rows at most.
 """
 
 from __future__ import annotations
@@ -15,10 +16,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from usagelens.llm import exact_dedup, mixing, near_copies, pieces, queries, toxicity
-from usagelens.session import materialise
+from usagelens.session import materialise, small_batches
 
 
 def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return toxicity.clean_documents(docs, queries.table(spark, sf_dir, "labels"))
 
 
@@ -27,6 +29,7 @@ def copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return near_copies.representatives(docs)
 
 
@@ -36,6 +39,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, ids, n_tokens, ids_sha256, decoded_sha256 of every row (a document that the mix repeats has as many)."""
+    small_batches(spark)
     return pieces.digests(pieces.encode(docs, queries.piece_model()), "ids")
 
 

@@ -9,6 +9,7 @@ import pyarrow as pa
 import pytest
 
 import corpus_pipeline
+from usagelens import session
 from usagelens.llm import common, near_copies, queries, simhash
 
 
@@ -145,3 +146,28 @@ def test_batches_are_taken_in_slices():
     parts = list(common.sliced(iter(batches)))
     assert [p.num_rows for p in parts] == [1000, 1000, 500, 3]
     assert [v for p in parts for v in p.column(0).to_pylist()] == [*range(2500), *range(3)]
+
+
+@pytest.mark.parametrize("stage", ["toxic_out", "near_copies_out", "tokens"])
+def test_stages_get_few_whole_texts_at_once(spark, folder, stage):
+    """Tasks held 10,000 texts at a time, in the executor and in its Python workers."""
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+    before = spark.conf.get(session.BATCH_ROWS)
+    try:
+        spark.conf.set(session.BATCH_ROWS, 10_000)
+        getattr(corpus_pipeline, stage)(spark, queries.table(spark, folder, "documents"), folder)
+        assert max(r.n for r in spark.range(0, 2500, 1, 1).mapInArrow(sizes, "n long").collect()) <= 1000
+    finally:
+        spark.conf.set(session.BATCH_ROWS, before)
+
+
+def test_links_meet_in_few_steps(spark, monkeypatch):
+    """Linking what earlier links had joined took two tables and some sixteen shuffles besides the rounds."""
+    written, plain = [], session.materialise
+    monkeypatch.setattr(near_copies, "materialise", lambda df, label: written.append(label) or plain(df, label))
+    first = near_copies._merged(None, spark.createDataFrame([(1, 2), (5, 6)], "a long, b long"))
+    second = near_copies._merged(first, spark.createDataFrame([(2, 6), (8, 9)], "a long, b long"))
+    assert {r.v: r.label for r in second.collect()} == {1: 1, 2: 1, 5: 1, 6: 1, 8: 8, 9: 8} and not written

@@ -197,18 +197,10 @@ def _still_open(keyed: DataFrame, labels: DataFrame | None) -> DataFrame:
 
 
 def _merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
-    """(v, label) of every vertex linked so far. Components meet by their labels: links taken in before do not come back."""
-    if labels is None:
-        return connected_components(links, label="copies")
-    ends = links.select(F.col("a").alias("v")).unionByName(links.select(F.col("b").alias("v"))).distinct()
-    known = materialise(ends.join(labels, "v", "left").select("v", F.coalesce("label", "v").alias("label")), "copies-known")
-    named = attach_by_key(links, known.select(F.col("v").alias("a"), F.col("label").alias("_a")), "a", "b")
-    named = attach_by_key(named, known.select(F.col("v").alias("b"), F.col("label").alias("_b")), "b", "a")
-    joined = connected_components(named.select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).distinct(), label="copies")
-    every = labels.unionByName(known).distinct()
-    moved = every.select("label").distinct().join(joined.select(F.col("v").alias("label"), F.col("label").alias("_new")), "label", "left")
-    moved = moved.select("label", F.coalesce("_new", "label").alias("_new"))
-    return materialise(attach_by_key(every, moved, "label", "v").select("v", F.col("_new").alias("label")), "copies-merged")
+    """(v, label) of every vertex linked so far. Of links taken in before only a vertex's edge to its label comes back."""
+    if labels is not None:
+        links = links.select("a", "b").unionByName(labels.select(F.col("v").alias("a"), F.col("label").alias("b")))
+    return connected_components(links, label="copies")
 
 
 def _buckets(vertices: DataFrame) -> DataFrame:

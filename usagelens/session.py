@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def build_session(app: str = "usagelens", master: str | None = None, **conf: str) -> SparkSession:
@@ -73,6 +74,18 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """From now on Spark hands Python at most so many rows at once.
+
+    Both sides hold a batch of whole texts several times over, for every task that
+    runs, and what they held stays with their processes. The setting is the
+    session's and is read when a frame runs, so it can't be taken back here.
+    """
+    now = int(spark.conf.get(BATCH_ROWS))
+    if not 0 < now <= rows:
+        spark.conf.set(BATCH_ROWS, rows)
+
+
 def once(df: DataFrame, **columns: Column) -> DataFrame:
     """Add columns that are worked out exactly once per row.
 
