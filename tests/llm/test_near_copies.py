@@ -165,9 +165,23 @@ def test_stages_get_few_whole_texts_at_once(spark, folder, stage):
 
 
 def test_links_meet_in_few_steps(spark, monkeypatch):
-    """Linking what earlier links had joined took two tables and some sixteen shuffles besides the rounds."""
+    """Linking what earlier links had joined took two tables besides those of the rounds."""
     written, plain = [], session.materialise
     monkeypatch.setattr(near_copies, "materialise", lambda df, label: written.append(label) or plain(df, label))
     first = near_copies._merged(None, spark.createDataFrame([(1, 2), (5, 6)], "a long, b long"))
     second = near_copies._merged(first, spark.createDataFrame([(2, 6), (8, 9)], "a long, b long"))
     assert {r.v: r.label for r in second.collect()} == {1: 1, 2: 1, 5: 1, 6: 1, 8: 8, 9: 8} and not written
+
+
+def test_rounds_are_written_as_few_files(spark, monkeypatch):
+    """Each round wrote a file for every partition of a shuffle, however few edges there were."""
+    monkeypatch.setattr(near_copies, "FILE_ROWS", 40)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", 30)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        found = near_copies._merged(None, spark.createDataFrame([(i, i + 1) for i in range(30)], "a long, b long"))
+        assert {r.v: r.label for r in found.collect()} == dict.fromkeys(range(31), 0) and len(found.inputFiles()) <= 2
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)

@@ -35,6 +35,8 @@ BANDS, ROWS = 25, 5
 WORTH = 0.05
 #: Members of a bucket that are compared with as many others in one task.
 BLOCK = 256
+#: Edges for each file that a round of component labels is written to.
+FILE_ROWS = 100_000
 _RANDOM = np.random.RandomState(SEED)
 FACTORS, OFFSETS = (_RANDOM.randint(0, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2))
 
@@ -200,13 +202,13 @@ def _merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
     """(v, label) of every vertex linked so far. Of links taken in before only a vertex's edge to its label comes back."""
     if labels is not None:
         links = links.select("a", "b").unionByName(labels.select(F.col("v").alias("a"), F.col("label").alias("b")))
-    return connected_components(links, label="copies")
+    return connected_components(links, label="copies", file_rows=FILE_ROWS)
 
 
 def _buckets(vertices: DataFrame) -> DataFrame:
     """(v, n, key): the buckets of each vertex, one per band and one for the component of its fingerprint."""
     known = vertices.filter("n > 0")
-    groups = grouped(materialise(known.select("fp").distinct(), "copies-prints"), "copies-simhash")
+    groups = grouped(materialise(known.select("fp").distinct(), "copies-prints"), "copies-simhash", FILE_ROWS)
     bands = known.select("v", "n", F.explode("keys").alias("key"))
     return bands.unionByName(attach_by_key(known.select("v", "n", "fp"), groups, "fp", "v").select("v", "n", F.xxhash64(F.lit("simhash"), "label").alias("key")))
 

@@ -182,12 +182,12 @@ def candidate_rows(vertices: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataF
     return met.select("fp", "v", F.inline(chosen)).select("kind", "key", "fp", "v")
 
 
-def grouped(prints: DataFrame, label: str = "simhash") -> DataFrame:
+def grouped(prints: DataFrame, label: str = "simhash", file_rows: int | None = None) -> DataFrame:
     """`prints`, one row per fingerprint (fp), with the `label` of its component: the smallest fingerprint reachable in steps of RADIUS bits."""
     vertices = prints.select("fp", F.col("fp").alias("v"))
     near = candidate_rows(vertices).repartition("kind", "key").sortWithinPartitions("kind", "key", "v")
     edges = materialise(near.mapInArrow(_bucket_edges, "a long, b long"), f"{label}-edges")
-    labels = connected_components(edges, label=label).withColumnRenamed("v", "_v")
+    labels = connected_components(edges, label=label, file_rows=file_rows).withColumnRenamed("v", "_v")
     return materialise(prints.join(labels, F.col("fp") == F.col("_v"), "left").select(*prints.columns, F.coalesce("label", "fp").alias("label")), f"{label}-placed")
 
 
